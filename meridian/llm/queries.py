@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import byte_bpe, decontamination, language_id, license_scan, token_counts
+from meridian.llm import byte_bpe, decontamination, language_id, lattice_lm, license_scan, token_counts, topk_search, warc
 from meridian.llm.common import table
 
 
@@ -20,6 +20,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_train = language_id.fold("doc_id", 10) != 0
+    return lattice_lm.score(table(spark, sf_dir, "documents"), is_train, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -31,6 +40,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "bits_per_byte")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -47,8 +60,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_license_scan": op2_license_scan,
+        "op3_lattice_lm": op3_lattice_lm,
+        "op4_topk_search": op4_topk_search,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_language_id": op6_language_id,
+        "op7_warc": op7_warc,
         "op10_decontamination": op10_decontamination,
     }
 
