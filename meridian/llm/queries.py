@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import byte_bpe, decontamination, language_id, lattice_lm, license_scan, token_counts, topk_search, warc
+from meridian.llm import byte_bpe, decontamination, jaccard_join, language_id, lattice_lm, license_scan, token_counts, topk_search, warc
 from meridian.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_language_id": op6_language_id,
         "op7_warc": op7_warc,
+        "op8_jaccard_join": op8_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
 
