@@ -1,22 +1,48 @@
-"""The corpus pipeline: STAGES applied to documents, each stage's rows written and reread as the next one's."""
+"""The corpus pipeline: STAGES applied to documents, the rows of each written and reread as the next one's."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import language_id
+from meridian.llm import byte_bpe, decontamination, jaccard_join, language_id, suffix_dedup
 from meridian.llm.common import stored, table
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told: text with letters, and one language more likely than all others together."""
-    model = language_id.fit(docs)
-    keep = language_id.predict(docs, model)
-    return docs
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a letter whose language is more likely than all others together."""
+    return language_id.identified(docs, language_id.fit(docs))
 
 
-STAGES = [("language_id", language)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 on shingles of five words, keeps the one with the smallest id."""
+    return jaccard_join.one_of_each(docs, size=5, percent=80).select(docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out of the texts what also starts earlier, as strings of 100 bytes, and what is left empty."""
+    return suffix_dedup.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a window of ten words of the benchmark."""
+    return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with the hash of their decoding."""
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", identify),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_dedup", drop_repeats),
+    ("decontamination", decontaminate),
+    ("byte_bpe", encode),
+]
+#: Neither the language models nor the byte-pair merges are SQL; tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 
 

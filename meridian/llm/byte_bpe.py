@@ -167,18 +167,18 @@ def vocabulary(path: str, pattern: str) -> ByteBPE:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, n_tokens) of every whole text. Null text has no ids."""
+    """(id, n_tokens, ids array<int>, decoded_sha256) of every whole text; the hash is that of the decoded ids. Null text has no ids."""
 
     def make():
         bpe = vocabulary(path, pattern)
 
         def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
             coded = [[int(i) for _, decimals, _ in bpe.coded_pieces(t.decode("utf-8")) for i in decimals.split()] for t in texts]
-            return {id_col: ids, "ids": coded, "n_tokens": [len(c) for c in coded]}
+            return {id_col: ids, "n_tokens": [len(c) for c in coded], "ids": coded, "decoded_sha256": [hashlib.sha256(bpe.decode(c)).hexdigest() for c in coded]}
 
         return fn
 
-    return map_text(docs, id_col, text_col, f"{id_col} long, ids array<int>, n_tokens long", make)
+    return map_text(docs, id_col, text_col, f"{id_col} long, n_tokens long, ids array<int>, decoded_sha256 string", make)
 
 
 def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -99,3 +99,15 @@ def map_text(
                 yield arrow_batch(arrow, fn(part.column(0), column_bytes(part.column(1))))
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
+def filter_text(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The rows, with all their columns, for whose texts fn gives true. `make` is called once a task and returns fn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            for part in by_bytes(batch):
+                yield part.filter(pa.array(fn(column_bytes(part.column(part.schema.get_field_index(text_col)))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

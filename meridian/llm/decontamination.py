@@ -11,8 +11,7 @@ Only the benchmark travels to the tasks. Its size is checked; a larger one is wo
 under the bound, and the hits are brought together per document.
 
 Rows: null text has no words; an item without words has no window; repeated item_ids count as one item; rows
-of documents that repeat an id are kept, one row out for each row in, if the benchmark fits one slice (beyond
-that, rows of equal id and text are told apart by counting); empty tables give no hits; other columns are not read.
+of documents that repeat an id are kept, one row out for each row in; empty tables give no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import map_text, words
+from meridian.llm.common import filter_text, map_text, words
 
 #: Bytes of benchmark text that one slice may hold.
 SLICE_BYTES = 32 << 20
@@ -159,50 +158,92 @@ def term_frequency(docs: DataFrame, vocabulary: frozenset, id_col: str, text_col
     return {bytes(r.term): r.n for r in counted.collect()}
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, items array<string>, hit_spans array<struct<start, words>>) of every document."""
-    spark = docs.sparkSession
-    parts = []
+def _windows(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text_col: str):
+    """The benchmark's windows, slice by slice."""
     for items in _slices(benchmark, item_col, item_text_col):
-        if not items and parts:
-            continue
         vocabulary = frozenset(w for _, data in items for w in words(data))
         frequency = term_frequency(docs, vocabulary, id_col, text_col) if vocabulary else {}
-        sent = spark.sparkContext.broadcast(Windows.build(items, size, frequency))
+        yield docs.sparkSession.sparkContext.broadcast(Windows.build(items, size, frequency))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that hold no window of the benchmark."""
+    kept = docs
+    for sent in _windows(docs, benchmark, size, id_col, text_col, item_col, item_text_col):
 
         def make(sent=sent):
             windows = sent.value
+            return lambda texts: [not windows.hits(words(t))[0] for t in texts]
+
+        kept = filter_text(kept, text_col, make)
+    return kept
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_hit, items array<string>, hit_spans array<struct<start, words>>) of every document."""
+    slices = list(_windows(docs, benchmark, size, id_col, text_col, item_col, item_text_col))
+    several = len(slices) > 1
+
+    def maker(sent):
+        def make():
+            windows = sent.value
 
             def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
-                n_words, hit_words, n_hit, item_sets, digest = [], [], [], [], []
+                out = {n: [] for n in ("n_words", "n_hit", "items", "hit_spans", "sha")}
                 for t in texts:
                     own = words(t)
                     spans, who = windows.hits(own)
                     mask = covered(spans, len(own)) if spans else np.zeros(0, bool)
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                    n_words.append(len(own))
-                    n_hit.append(int(mask.sum()))
-                    hit_words.append([{"start": int(a), "words": int(b - a)} for a, b in edges.reshape(-1, 2)])
-                    item_sets.append(sorted(who))
-                    digest.append(hashlib.sha256(t).hexdigest() if more else None)
-                return {id_col: ids, "n_words": n_words, "n_hit": n_hit, "items": item_sets, "hit_spans": hit_words, "text_sha256": digest}
+                    edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+                    out["n_words"].append(len(own))
+                    out["n_hit"].append(int(mask.sum()))
+                    out["items"].append(sorted(who))
+                    out["hit_spans"].append([{"start": int(a), "words": int(b - a)} for a, b in edges.reshape(-1, 2)])
+                    out["sha"].append(hashlib.sha256(t).hexdigest() if several else None)
+                return {id_col: ids} | out
 
             return fn
 
-        more = False
-        parts.append((items, make))
-    schema = f"{id_col} long, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,words:long>>, text_sha256 string"
-    if len(parts) == 1:
-        return map_text(docs, id_col, text_col, schema, parts[0][1]).drop("text_sha256")
-    more = True
-    every = None
-    for k, (_, make) in enumerate(parts):
-        one = map_text(docs, id_col, text_col, schema, make).withColumn("slice", F.lit(k))
-        every = one if every is None else every.unionByName(one)
-    merged = every.groupBy(id_col, "text_sha256", "n_words").agg(
+        return make
+
+    schema = f"{id_col} long, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,words:long>>, sha string"
+    parts = [map_text(docs, id_col, text_col, schema, maker(sent)) for sent in slices]
+    if not several:
+        return parts[0].drop("sha")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    merged = every.groupBy(id_col, "sha", "n_words").agg(
         F.expr(f"count(*) div {len(parts)}").alias("copies"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_distinct(F.flatten(F.collect_list(F.expr("flatten(transform(hit_spans, s -> sequence(s.start, s.start + s.words - 1)))")))).alias("hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("flatten(transform(hit_spans, s -> sequence(s.start, s.start + s.words - 1)))"))))).alias("hit"),
     )
-    whole = merged.select(id_col, "n_words", F.size("hit").cast("long").alias("n_hit"), "items", F.expr("transform(array_sort(hit), h -> named_struct('start', h, 'words', 1L))").alias("hit_spans"), F.explode(F.expr("sequence(1, copies)")).alias("copy"))
-    return whole.drop("copy")
+    # a hit word starts a run where the word before it is not hit, and ends it where the next one is not
+    edges = merged.withColumn("a", F.expr("filter(hit, h -> not array_contains(hit, h - 1))")).withColumn("b", F.expr("filter(hit, h -> not array_contains(hit, h + 1))"))
+    spans = F.expr("transform(arrays_zip(a, b), x -> named_struct('start', x.a, 'words', x.b - x.a + 1))")
+    return edges.select(id_col, "n_words", F.size("hit").cast("long").alias("n_hit"), "items", spans.alias("hit_spans"), F.explode(F.expr("sequence(1L, copies)")).alias("copy")).drop("copy")
+
+
+def proximity(docs: DataFrame, terms: list[list[str]], within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, query, places array<long>): where each list of terms stands together, all within `within` words
+    of its rarest term; `query` is the list's place in `terms`. Rows without any place are left out."""
+    lists = [[w for t in own for w in words(t.encode("utf-8"))] for own in terms]
+    vocabulary = frozenset(w for own in lists for w in own)
+    frequency = term_frequency(docs, vocabulary, id_col, text_col)
+    ordered = [sorted(dict.fromkeys(own), key=lambda w: (frequency.get(w, 0), w)) for own in lists]
+
+    def make():
+        def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
+            out = {id_col: [], "query": [], "places": []}
+            for i, t in zip(ids.to_pylist(), texts, strict=True):
+                index = postings(words(t), vocabulary)
+                for q, own in enumerate(ordered):
+                    if own and (places := proximity_places(index, own, within)):
+                        out[id_col].append(i)
+                        out["query"].append(q)
+                        out["places"].append(places)
+            return out
+
+        return fn
+
+    return map_text(docs, id_col, text_col, f"{id_col} long, query int, places array<long>", make)

@@ -288,3 +288,10 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     labels = components(by_id.where("ra is not null and rb is not null"), "ra", "rb")
     places = stored(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("component")))
     return documents.join(places, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that have the smallest id of their group; a row without an id stays."""
+    groups = linked(docs.where(F.col(id_col).isNotNull()), size, percent, id_col, text_col)
+    others = stored(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    return docs.join(others, id_col, "left_anti")

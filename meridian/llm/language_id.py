@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import map_text
+from meridian.llm.common import filter_text, map_text
 
 ORDER = 3
 #: The bound of the training sample, for each language, and of the number of languages.
@@ -182,6 +182,22 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model({x: [t[k] for k in range(ORDER + 1)] for x, t in trees.items()}) if trees else None
 
 
+def judge(model: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits per byte of each text."""
+    n = len(texts)
+    lang, score, rate = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
+    if model is None or not n:
+        return lang, score, rate
+    bits = model.code_lengths(texts)
+    best = bits.argmin(axis=1)
+    least = bits[np.arange(n), best]
+    posterior = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+    for i, t in enumerate(texts):
+        if has_letter(t):
+            lang[i], score[i], rate[i] = model.languages[best[i]], posterior[i], least[i] / len(t)
+    return lang, score, rate
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits_per_byte) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -190,16 +206,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         model = sent.value
 
         def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
-            n = len(texts)
-            lang, score, rate = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
-            if model is not None:
-                bits = model.code_lengths(texts)
-                best = bits.argmin(axis=1)
-                least = bits[np.arange(n), best]
-                posterior = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-                for i, t in enumerate(texts):
-                    if has_letter(t):
-                        lang[i], score[i], rate[i] = model.languages[best[i]], posterior[i], least[i] / len(t)
+            lang, score, rate = judge(model, texts)
             return {id_col: ids, "lang_pred": lang, "score": score, "bits_per_byte": rate}
 
         return fn
@@ -207,6 +214,22 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return map_text(docs, id_col, text_col, f"{id_col} long, lang_pred string, score double, bits_per_byte double", make)
 
 
+def identified(docs: DataFrame, model: Model | None, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is told with at least this score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = sent.value
+
+        def fn(texts: list[bytes]) -> list[bool]:
+            lang, score, _ = judge(model, texts)
+            return [x != UNDETERMINED and s >= least_score for x, s in zip(lang, score, strict=True)]
+
+        return fn
+
+    return filter_text(docs, text_col, make)
+
+
 def fold(id_col: str, parts: int) -> Column:
     """The part of a row in folds by crc32 of its id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import byte_bpe, decontamination, jaccard_join, language_id, lattice_lm, license_scan, token_counts, topk_search, warc
+from meridian.llm import byte_bpe, decontamination, jaccard_join, language_id, lattice_lm, license_scan, suffix_dedup, token_counts, topk_search, warc
 from meridian.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_warc": op7_warc,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontamination": op10_decontamination,
     }
 

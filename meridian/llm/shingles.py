@@ -22,7 +22,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of prefix sums, and of its inverse."""
     if len(_powers[0]) < n:
         size = 1 << int(n - 1).bit_length()
         for k, factor in enumerate((_POWER, _INVERSE)):
@@ -38,7 +39,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _grown(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
