@@ -1,4 +1,4 @@
-"""Queries over the relational tables, each with the SQL that gives the same rows."""
+"""All queries over the relational tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from meridian.plans import estimation, surveys, scalars
+from meridian.plans.registry import QUERIES, SQL
+
+__all__ = ["entry", "estimation", "oracle_sql", "queries", "scalars", "surveys"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1)
+    """The flagship: a network of height differences, adjusted."""
+    return QUERIES["network_adjustment"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return dict(SQL)
