@@ -85,7 +85,7 @@ def parse_angle(text, default_unit: str = "degree") -> Column:
     Null where it can't be read."""
     t = F.lower(F.trim(_c(text)))
     number = r"([+-]?\d+(?:\.\d*)?|[+-]?\.\d+)"
-    dms = r"^([+-]?)(\d+)\s*[°d:\s-]\s*(\d{1,2})\s*['′m:\s-]\s*(\d{1,2}(?:\.\d*)?)\s*(?:\"|″|s|'')?\s*([nsew]?)$"
+    dms = r"^([+-]?)(\d+)\s*[°d:\s-]\s*(\d{1,2})\s*['′m:\s-]\s*(\d{1,2}(?:\.\d*)?)(?:\s*(?:\"|″|'')|s)?\s*([nsew]?)$"
     part = lambda k: F.regexp_extract(t, dms, k)
     size = F.radians(part(2).try_cast("double") + part(3).try_cast("double") / 60.0 + part(4).try_cast("double") / 3600.0)
     signed = F.when((part(1) == "-") | part(5).isin("s", "w"), -size).otherwise(size)
