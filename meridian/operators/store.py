@@ -65,12 +65,13 @@ def row_runs(rows: DataFrame, number: str, block: int = 1 << 16) -> DataFrame:
     starts = inside.select((F.col("first_row") - 1).alias("edge"), F.lit(True).alias("goes_on"))
     ends = inside.select((F.col("last_row") + 1).alias("first_row"), F.lit(True).alias("continues"))
     flagged = inside.join(starts, F.col("last_row") == F.col("edge"), "left").join(ends, "first_row", "left")
-    # a run is a start that continues nothing, with the first end after it that nothing continues: only one row a run is ordered
-    heads = flagged.where("continues is null").select(F.col("first_row").alias("at"), F.lit(0).alias("kind"))
-    tails = flagged.where("goes_on is null").select(F.col("last_row").alias("at"), F.lit(1).alias("kind"))
+    # most runs lie inside a block; only the islands at the edges of blocks, two a block at most, are ordered to be paired
+    whole = flagged.where("continues is null and goes_on is null").select("first_row", "last_row")
+    heads = flagged.where("continues is null and goes_on").select(F.col("first_row").alias("at"), F.lit(0).alias("kind"))
+    tails = flagged.where("continues and goes_on is null").select(F.col("last_row").alias("at"), F.lit(1).alias("kind"))
     order = Window.orderBy("at", "kind")
     paired = heads.unionByName(tails).withColumn("first_row", F.lag("at").over(order)).where("kind = 1")
-    return paired.select("first_row", F.col("at").alias("last_row"))
+    return whole.unionByName(paired.select("first_row", F.col("at").alias("last_row")))
 
 
 #: Sheets of a result export and their columns.

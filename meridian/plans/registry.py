@@ -41,7 +41,7 @@ VIEWS = {
     "readings": "SELECT user_id AS session, event_type AS station, ts AS instant, event_id, value, 1.0 / (1 + event_id % 5) AS variance FROM events",
     "setups": "SELECT l_orderkey AS line, l_linenumber AS seq, 'S' || max(l_suppkey % 7) AS \"from\", 'S' || max(l_partkey % 7) AS \"to\", max(l_quantity) / 25.0 AS backsight, max(l_discount) * 10.0 AS foresight, 20.0 + 100.0 * max(l_tax) AS backsight_distance, 15.0 + 100.0 * max(l_discount) AS foresight_distance, 1e-6 AS backsight_variance, 4e-6 AS foresight_variance FROM lineitem GROUP BY l_orderkey, l_linenumber",
     "points": "SELECT c_custkey AS point, (c_custkey % 1601 - 800) / 1000.0 AS latitude, (c_custkey * 7 % 6001 - 3000) / 1000.0 AS longitude, c_acctbal / 10.0 AS height FROM customer",
-    "edges": "SELECT 'n1' AS network_id, s_nationkey AS a, c_nationkey AS b, count(*) AS n, avg(c_acctbal) - avg(s_acctbal) AS difference FROM supplier JOIN customer ON s_nationkey <> c_nationkey AND s_suppkey % 10 = c_custkey % 10 GROUP BY s_nationkey, c_nationkey",
+    "edges": "SELECT 'n1' AS network_id, s_nationkey AS a, c_nationkey AS b, count(*) AS n, avg(c_acctbal) - avg(s_acctbal) AS difference FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey",
     "epochs": "SELECT 'N' || n_nationkey AS station, year(o_orderdate) + 0.5 AS epoch, avg(o_totalprice) / 1e5 AS x, avg(o_orderkey % 97) / 10.0 AS y, avg(o_custkey % 89) / 10.0 AS z, 1.0 / count(*) AS vx, 2.0 / count(*) AS vy, 3.0 / count(*) AS vz, 20 AS dof, 1.5 AS factor FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, year(o_orderdate)",
 }
 
@@ -71,8 +71,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    joined = s.withColumn("k", F.col("s_suppkey") % 10).join(c.withColumn("k", F.col("c_custkey") % 10), "k").where("s_nationkey <> c_nationkey")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    joined = joined.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = joined.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey <> c_nationkey")
     return joined.groupBy(F.lit("n1").alias("network_id"), F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.count("*").alias("n"), (F.avg("c_acctbal") - F.avg("s_acctbal")).alias("difference"))
 
 

@@ -45,10 +45,10 @@ def gravity_precorrected(spark, sf):
 
 
 @query("gravity_calibration", """
-WITH t AS (SELECT CAST(p_size AS DOUBLE) AS counter, min(p_retailprice) AS gravity, avg(p_retailprice)/1000 AS factor FROM part WHERE p_size % 5 = 1 GROUP BY p_size), m AS (SELECT max(counter) AS last FROM t), l AS (SELECT last + last - (SELECT max(counter) FROM t WHERE counter < last) AS stop FROM m)
+WITH t AS (SELECT CAST(p_size AS DOUBLE) AS counter, min(p_retailprice) AS gravity, avg(p_retailprice)/1000 AS factor FROM part GROUP BY p_size), m AS (SELECT max(counter) AS last FROM t), l AS (SELECT last + last - (SELECT max(counter) FROM t WHERE counter < last) AS stop FROM m)
 SELECT event_id, round(CASE WHEN c <= (SELECT stop FROM l) THEN t.gravity + (c - t.counter)*t.factor END, 4)+0.0 AS value FROM (SELECT event_id, event_id % 601 / 10.0 AS c FROM events) e ASOF LEFT JOIN t ON e.c >= t.counter""")
 def gravity_calibration(spark, sf):
-    t = table(spark, sf, "part").where("p_size % 5 = 1").groupBy(F.col("p_size").cast("double").alias("counter")).agg(F.min("p_retailprice").alias("gravity"), (F.avg("p_retailprice") / 1000).alias("factor")).withColumn("instrument", F.lit("g1"))
+    t = table(spark, sf, "part").groupBy(F.col("p_size").cast("double").alias("counter")).agg(F.min("p_retailprice").alias("gravity"), (F.avg("p_retailprice") / 1000).alias("factor")).withColumn("instrument", F.lit("g1"))
     asked = table(spark, sf, "events").select("event_id", F.lit("g1").alias("instrument"), (F.col("event_id") % 601 / 10.0).alias("counter"))
     return gravimetry.calibrated(asked, t).select("event_id", r(F.col("value"), 4).alias("value"))
 
@@ -108,10 +108,9 @@ def level_loops(spark, sf):
     return levelling.loop_closures(legs, 0.02).select("loop", r(F.col("misclosure"), 4).alias("misclosure"), r(F.col("variance"), 11).alias("variance"), r(F.col("length"), 3).alias("length"))
 
 
-@query("level_reciprocal", "SELECT p_partkey % 500 AS crossing, round((max(CASE WHEN p_partkey < 500 THEN p_retailprice END)+max(CASE WHEN p_partkey BETWEEN 500 AND 999 THEN p_retailprice END))/2,6)+0.0 AS height_difference, round(max(CASE WHEN p_partkey < 500 THEN p_retailprice END)-max(CASE WHEN p_partkey BETWEEN 500 AND 999 THEN p_retailprice END),6)+0.0 AS discrepancy FROM part WHERE p_partkey < 1000 GROUP BY 1 HAVING count(DISTINCT p_partkey < 500) = 2")
+@query("level_reciprocal", "SELECT p_partkey // 2 AS crossing, round((max(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END)+max(CASE WHEN p_partkey % 2 = 1 THEN p_retailprice END))/2,6)+0.0 AS height_difference, round(max(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END)-max(CASE WHEN p_partkey % 2 = 1 THEN p_retailprice END),6)+0.0 AS discrepancy FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey % 2) = 2")
 def level_reciprocal(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 1000")
-    c = p.select((F.col("p_partkey") % 500).alias("crossing"), F.when(F.col("p_partkey") < 500, 1).otherwise(2).alias("bank"), F.col("p_retailprice").alias("height_difference"), F.lit(1.0).alias("variance"))
+    c = table(spark, sf, "part").select(F.expr("p_partkey div 2").alias("crossing"), (F.col("p_partkey") % 2 + 1).alias("bank"), F.col("p_retailprice").alias("height_difference"), F.lit(1.0).alias("variance"))
     return levelling.reciprocal(c).select("crossing", r(F.col("height_difference")).alias("height_difference"), r(F.col("discrepancy")).alias("discrepancy"))
 
 
@@ -278,37 +277,39 @@ def duplicate_observations(spark, sf):
     return network.duplicate_observations(o.unionByName(o)).select("subject")
 
 
-@query("dangling_references", "SELECT a || '-' || b || ':' || x AS subject FROM (SELECT a, b, a AS x FROM {edges} UNION ALL SELECT a, b, b FROM {edges}) WHERE x % 5 = 0")
+@query("dangling_references", "SELECT a || '-' || b || ':' || x AS subject FROM (SELECT a, b, a AS x FROM {edges} UNION ALL SELECT a, b, b FROM {edges}) WHERE x IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
 def dangling_references(spark, sf):
-    stations = table(spark, sf, "nation").where("n_nationkey % 5 <> 0").select(F.lit("n1").alias("network_id"), F.col("n_nationkey").cast("string").alias("station"))
+    stations = table(spark, sf, "nation").where("n_regionkey <> 0").select(F.lit("n1").alias("network_id"), F.col("n_nationkey").cast("string").alias("station"))
     return network.dangling_references(stations, _observations(spark, sf)).select("subject")
 
 
-@query("under_observed_stations", "SELECT CAST(x AS VARCHAR) AS subject FROM (SELECT a AS x FROM {edges} WHERE a = 3 AND n % 7 <> 0 UNION ALL SELECT b FROM {edges} WHERE a = 3 AND n % 7 <> 0) GROUP BY x HAVING count(*) < 2")
+def _chains(spark, sf):
+    """Customers as stations; each is tied to the one before it, ten to a chain."""
+    c = table(spark, sf, "customer")
+    stations = c.select(F.lit("n1").alias("network_id"), F.col("c_custkey").alias("station"))
+    ties = c.where("c_custkey % 10 > 0").select(F.lit("n1").alias("network_id"), F.col("c_custkey").alias("a"), (F.col("c_custkey") - 1).alias("b"))
+    return stations, ties.join(stations.select(F.col("station").alias("b")), "b", "left_semi").select("network_id", "a", "b")
+
+
+@query("under_observed_stations", "SELECT CAST(c.c_custkey AS VARCHAR) AS subject FROM customer c WHERE (CASE WHEN c_custkey % 10 > 0 AND c_custkey - 1 IN (SELECT c_custkey FROM customer) THEN 1 ELSE 0 END) + (CASE WHEN (c_custkey + 1) % 10 > 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer) THEN 1 ELSE 0 END) = 1")
 def under_observed_stations(spark, sf):
-    stations = table(spark, sf, "nation").select(F.lit("n1").alias("network_id"), F.col("n_nationkey").cast("string").alias("station"), F.lit(False).alias("fixed"))
-    o = _observations(spark, sf).where(F.element_at("stations", 1) == "3")
-    return network.under_observed(stations, o, "plane_2d").select("subject")
+    stations, ties = _chains(spark, sf)
+    o = ties.select("network_id", F.col("a").cast("string").alias("observation"), F.lit("HORIZONTAL_DISTANCE").alias("type"), F.array(F.col("a").cast("string"), F.col("b").cast("string")).alias("stations"), F.lit("ACTIVE").alias("status"))
+    own = stations.select("network_id", F.col("station").cast("string").alias("station"), F.lit(False).alias("fixed"))
+    return network.under_observed(own, o, "plane_2d").select("subject")
 
 
-@query("network_components", "WITH RECURSIVE e AS (SELECT c_custkey AS a, CASE WHEN c_custkey % 10 < 7 THEN c_custkey - 1 ELSE c_custkey END AS b FROM customer WHERE c_custkey % 10 > 0), s AS (SELECT c_custkey AS v FROM customer) SELECT v AS station, CASE WHEN v % 10 < 7 THEN v - v % 10 ELSE v END AS component FROM s WHERE (CASE WHEN v % 10 < 7 THEN v - v % 10 ELSE v END) IN (SELECT c_custkey FROM customer)")
+@query("network_components", "SELECT c_custkey AS station, greatest(c_custkey - c_custkey % 10, (SELECT min(c_custkey) FROM customer)) AS component FROM customer")
 def network_components(spark, sf):
-    c = table(spark, sf, "customer")
-    stations = c.select(F.lit("n1").alias("network_id"), F.col("c_custkey").alias("station"))
-    e = c.where("c_custkey % 10 between 1 and 6").select(F.lit("n1").alias("network_id"), F.col("c_custkey").alias("a"), (F.col("c_custkey") - 1).alias("b"))
-    known = stations.select(F.col("station").alias("b"))
-    labels = network.connected_components(stations, e.join(known, "b", "left_semi"))
-    start = F.when(F.col("station") % 10 < 7, F.col("station") - F.col("station") % 10).otherwise(F.col("station"))
-    has_start = labels.withColumn("start", start).join(known.withColumnRenamed("b", "start"), "start", "left_semi")
-    return has_start.select("station", "component")
+    stations, ties = _chains(spark, sf)
+    return network.connected_components(stations, ties).select("station", "component")
 
 
-@query("approximate_heights", "SELECT c_custkey AS station, round(100.0 + (c_custkey % 10)*0.5, 6) AS value, CAST(c_custkey % 10 AS INTEGER) AS depth FROM customer WHERE c_custkey % 10 < 5 AND c_custkey >= 10")
+@query("approximate_heights", "SELECT c_custkey AS station, round(100.0 + (c_custkey % 10)*0.5, 6) AS value, CAST(CASE WHEN c_custkey BETWEEN 1 AND 9 THEN c_custkey - 1 ELSE c_custkey % 10 END AS INTEGER) AS depth FROM customer")
 def approximate_heights(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 10 < 5 and c_custkey >= 10")
-    seeds = c.where("c_custkey % 10 = 0").select(F.lit("n1").alias("network_id"), F.col("c_custkey").alias("station"), F.lit(100.0).alias("value"))
-    steps = c.where("c_custkey % 10 > 0").select(F.lit("n1").alias("network_id"), F.col("c_custkey").alias("a"), (F.col("c_custkey") - 1).alias("b"), F.lit(-0.5).alias("difference"))
-    return network.approximate_values(seeds, steps).select("station", r(F.col("value")).alias("value"), "depth")
+    stations, ties = _chains(spark, sf)
+    seeds = stations.where("station % 10 = 0 or station = 1").select("network_id", "station", (100.0 + 0.5 * (F.col("station") % 10)).alias("value"))
+    return network.approximate_values(seeds, ties.withColumn("difference", F.lit(-0.5))).select("station", r(F.col("value")).alias("value"), "depth")
 
 
 @query("store_upsert", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
@@ -324,12 +325,11 @@ def store_differences(spark, sf):
     return store.differences(s, changed, ["s_suppkey"]).select("s_suppkey", "column_name")
 
 
-@query("store_delete", "SELECT c_custkey, c_custkey NOT IN (SELECT o_custkey FROM orders) AS deleted FROM customer WHERE c_custkey % 4 = 0")
+@query("store_delete", "SELECT c_custkey, c_custkey NOT IN (SELECT o_custkey FROM orders) AS deleted FROM customer")
 def store_delete(spark, sf):
     c = table(spark, sf, "customer")
-    kept, refused = store.delete_unreferenced(c, c.where("c_custkey % 4 = 0"), table(spark, sf, "orders"), "c_custkey", "o_custkey")
-    asked = c.where("c_custkey % 4 = 0").select("c_custkey")
-    return asked.join(kept.select("c_custkey", F.lit(True).alias("kept")), "c_custkey", "left").select("c_custkey", F.col("kept").isNull().alias("deleted"))
+    kept, _ = store.delete_unreferenced(c, c, table(spark, sf, "orders"), "c_custkey", "o_custkey")
+    return c.select("c_custkey").join(kept.select("c_custkey", F.lit(True).alias("kept")), "c_custkey", "left").select("c_custkey", F.col("kept").isNull().alias("deleted"))
 
 
 @query("store_supersede", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 1 AND (o_orderkey + 1) IN (SELECT o_orderkey FROM orders) THEN o_orderkey + 1 END AS superseded_by FROM orders")
@@ -351,7 +351,7 @@ def quantile_classes(spark, sf):
     return s.select(F.explode("b").alias("b")).select(r(F.col("b"), 4).alias("bound")).distinct()
 
 
-@query("row_runs", "SELECT first_row, last_row FROM (SELECT min(event_id) AS first_row, max(event_id) AS last_row FROM (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS island FROM events WHERE event_id % 10 <> 3) GROUP BY island)")
+@query("row_runs", "SELECT first_row, last_row FROM (SELECT min(event_id) AS first_row, max(event_id) AS last_row FROM (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS island FROM events WHERE event_type <> 'purchase') GROUP BY island)")
 def row_runs(spark, sf):
-    kept = table(spark, sf, "events").where("event_id % 10 <> 3")
+    kept = table(spark, sf, "events").where("event_type <> 'purchase'")
     return store.row_runs(kept, "event_id")
