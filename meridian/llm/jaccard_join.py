@@ -171,19 +171,47 @@ def shared_postings(prefix: DataFrame) -> DataFrame:
     return usual.unionByName(frequent)
 
 
+ADAPTED = "node long, n int, matches int, prefix int, unshared int, shingle long, place int"
+_ADAPTED = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("matches", pa.int32()), ("prefix", pa.int32()), ("unshared", pa.int32()), ("shingle", pa.int64()), ("place", pa.int32())])
+
+
+def _adapt(t: pa.Table, percent: int) -> list[pa.RecordBatch]:
+    """Whole nodes' postings, sorted by node: the multi-match of least cost, and the postings of its prefix."""
+    node, n, place, df = (t[c].to_numpy() for c in ("node", "n", "place", "df"))
+    first = np.flatnonzero(np.diff(node, prepend=node[0] - 1 if node[0] > -(1 << 63) else 0))
+    size = np.diff(np.append(first, len(node)))
+    base = n - _need(n, percent)  # a prefix of base + m shingles shares m
+    cost = np.full((len(first), MOST_MATCHES), np.inf)
+    for m in range(1, MOST_MATCHES + 1):
+        scanned = np.add.reduceat(np.where(place < base + m, df - 1, 0), first)
+        fits = _need(n[first], percent) >= m
+        cost[fits, m - 1] = (scanned * (1 + VERIFY_COST / m))[fits]
+    matches = np.repeat(cost.argmin(axis=1) + 1, size).astype(np.int32)
+    prefix = (base + matches).astype(np.int32)
+    keep = place < prefix
+    kept = np.repeat(np.add.reduceat(keep.astype(np.int32), first), size).astype(np.int32)
+    out = pa.Table.from_arrays([t["node"], t["n"], pa.array(matches), pa.array(prefix), pa.array(prefix - kept), t["shingle"], t["place"]], schema=_ADAPTED)
+    return out.filter(pa.array(keep)).to_batches(max_chunksize=64_000)
+
+
 def adapted(postings: DataFrame, percent: int) -> DataFrame:
-    """Each node's own multi-match: postings (node, n, matches, prefix, unshared, edge, shingle, place) of its adapted prefix."""
-    own = postings.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "df", "shingle"))).alias("p"))
-    own = own.withColumn("need", F.expr(f"cast((n * {percent} + 99) div 100 as int)"))
-
-    def cost(matches: Column) -> Column:
-        scanned = F.aggregate("p", F.lit(0.0), lambda s, x: s + F.when(x.place < F.col("n") - F.col("need") + matches, x.df - 1).otherwise(0))
-        return F.struct((scanned * (1 + F.lit(float(VERIFY_COST)) / matches)).alias("cost"), matches.alias("matches"))
-
-    best = F.array_min(F.transform(F.expr(f"sequence(1, least({MOST_MATCHES}, need))"), cost))
-    own = own.withColumn("matches", best.matches).withColumn("prefix", F.expr("n - need + matches"))
-    own = own.withColumn("p", F.filter("p", lambda x: x.place < F.col("prefix"))).withColumn("unshared", F.expr("prefix - size(p)"))
-    return own.where("size(p) > 0").select("node", "n", "matches", "prefix", "unshared", F.explode("p").alias("x")).select("node", "n", "matches", "prefix", "unshared", "x.shingle", "x.place")
+    """Each node's own multi-match: postings (node, n, matches, prefix, unshared, shingle, place) of its adapted prefix."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            node = t["node"].to_numpy()
+            last = int(np.searchsorted(node, node[-1], side="left"))
+            if last:
+                yield from _adapt(t.slice(0, last), percent)
+            held = t.slice(last)  # one node's postings: a part of one document's shingles
+        if held is not None:
+            yield from _adapt(held, percent)
+
+    return postings.repartition("node").sortWithinPartitions("node", "place").mapInArrow(run, ADAPTED)
 
 
 def hub_pairs(postings: DataFrame) -> DataFrame:
