@@ -62,7 +62,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_bytes(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes at most, so that a batch of very long texts is worked on piece by piece."""
     if batch.nbytes <= limit or batch.num_rows <= 1:
         yield batch
