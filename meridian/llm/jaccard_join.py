@@ -214,35 +214,42 @@ def adapted(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("node").sortWithinPartitions("node", "place").mapInArrow(run, ADAPTED)
 
 
-def hub_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): each node and the one hub it shares most shingles with; a shingle's hub has the fewest unshared."""
-    hubs = stored(postings.groupBy("shingle").agg(F.min(F.struct((F.col("unshared") / F.col("n")).alias("r"), "node")).node.alias("hub")))
-    met = postings.select("shingle", "node").join(hubs, "shingle").where("node <> hub")
-    counted = met.groupBy("node", "hub").agg(F.count("*").alias("c"))
-    return counted.groupBy("node").agg(F.max(F.struct("c", "hub")).hub.alias("b")).select(F.col("node").alias("a"), "b")
-
-
-def candidate_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of unlike labels that sizes, places and the shared shingles of their prefixes leave in question.
-    `postings` has label and edge: the place of the prefix's end in the order of shingles."""
-    labels = stored(postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"))
-    live = stored(postings.join(labels, "shingle", "left_semi"))
+def _in_question(met: DataFrame, percent: int, condition: Column) -> DataFrame:
+    """(a, b, c): pairs of nodes met in a shingle (as a.* and b.*) that their sizes, places and the number c of shingles they met in
+    leave in question."""
     least = F.expr(f"({percent}L * (a.n + b.n) + {99 + percent}) div {100 + percent}")
     # all shared shingles up to the earlier of the two edges are in both prefixes, so beyond it only the
     # rest of the set that ends there can be shared
     room = lambda x, y: F.when(F.col("a.edge") < F.col("b.edge"), x).when(F.col("a.edge") > F.col("b.edge"), y).otherwise(F.greatest(x, y))
     shareable = room(F.col("a.n") - F.col("a.unshared"), F.col("b.n") - F.col("b.unshared"))
     rest = room(F.col("a.n") - F.col("a.prefix"), F.col("b.n") - F.col("b.prefix"))
-    met = live.alias("a").join(live.alias("b"), "shingle").where(
-        (F.col("a.node") < F.col("b.node"))
-        & (F.col("a.label") != F.col("b.label"))
+    rows = met.where(
+        condition
         & (F.col("a.n") * 100 >= F.col("b.n") * percent)
         & (F.col("b.n") * 100 >= F.col("a.n") * percent)
         & (shareable >= least)
         & (F.least("a.place", "b.place") + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= least)
     )
-    rows = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.greatest(F.least("a.matches", "b.matches"), least - rest).alias("want"))
-    return rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("want").alias("want")).where("c >= want").select("a", "b")
+    rows = rows.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.greatest(F.least("a.matches", "b.matches"), least - rest).alias("want"))
+    return rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("want").alias("want")).where("c >= want").drop("want")
+
+
+def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node and the one hub it shares most shingles with, if the two may link; a shingle's hub has the fewest
+    unshared. Pairs that are left out here come up again among the candidates."""
+    own = F.struct((F.col("unshared") / F.col("n")).alias("r"), "node", "n", "matches", "prefix", "unshared", "edge", "place")
+    hubs = stored(postings.groupBy("shingle").agg(F.min(own).alias("hub")).select("shingle", "hub.*"))
+    met = postings.alias("a").join(hubs.alias("b"), "shingle")
+    pairs = _in_question(met, percent, F.col("a.node") != F.col("b.node"))
+    return pairs.groupBy("a").agg(F.max(F.struct("c", "b")).b.alias("b"))
+
+
+def candidate_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of unlike labels that may link. Shingles whose nodes have one label are left out before."""
+    labels = stored(postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"))
+    live = stored(postings.join(labels, "shingle", "left_semi"))
+    met = live.alias("a").join(live.alias("b"), "shingle")
+    return _in_question(met, percent, (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))).select("a", "b")
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
@@ -298,14 +305,15 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     prefix = stored(prefixes(docs, id_col, text_col, size, percent, frequent))
     postings = stored(adapted(stored(shared_postings(prefix)), percent))
 
-    first = stored(hub_pairs(postings))
-    links = stored(verified(first, docs, id_col, text_col, size, percent))
-    labels = stored(components(links))
     # the order of shingles is (frequent, hash); an edge is the last shingle of the prefix in that order
     order = F.struct(F.col("df") > 0, F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))))
     ends = prefix.where(f"place >= n - ({percent} * n + 99) div 100")  # the last few rows of each node
     edges = ends.join(postings.select("node", "prefix").distinct(), "node").where("place = prefix - 1").select("node", order.alias("edge")).dropDuplicates(["node"])
-    labelled = stored(postings.join(edges, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    placed = stored(postings.join(edges, "node"))
+
+    links = stored(verified(stored(hub_pairs(placed, percent)), docs, id_col, text_col, size, percent))
+    labels = stored(components(links))
+    labelled = stored(placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     pairs = stored(candidate_pairs(labelled, percent))
     if not pairs.isEmpty():
         links = links.unionByName(verified(pairs, docs, id_col, text_col, size, percent))
