@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from meridian.sources.shared import shared_dir, stored
+
+__all__ = ["by_bytes", "column_bytes", "filter_text", "map_text", "shared_dir", "stored", "table", "tokens", "words"]
+
 #: Lower-cases A-Z and turns every byte outside [0-9a-z\x80-\xff] into a space. Bytes of
 #: multi-byte UTF-8 characters are all over 0x7F, so working on bytes is working on characters.
 WORD_TABLE = bytes(
@@ -20,8 +22,6 @@ WORD_TABLE = bytes(
 #: Lower-cases A-Z.
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,26 +42,6 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir. Only where that is
-    unset (tests, local mode) one of this application's own is taken."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        top = _own_dirs[app]
-    return f"{top.rstrip('/')}/meridian-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows read back from Parquet in the shared folder. That cuts the lineage: an executor
-    lost later costs no recomputation of what came before."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def by_bytes(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes at most, so that a batch of very long texts is worked on piece by piece."""
     if batch.nbytes <= limit or batch.num_rows <= 1:
