@@ -46,11 +46,11 @@ def gravity_precorrected(spark, sf):
 
 @query("gravity_calibration", """
 WITH t AS (SELECT CAST(p_size AS DOUBLE) AS counter, min(p_retailprice) AS gravity, avg(p_retailprice)/1000 AS factor FROM part GROUP BY p_size), m AS (SELECT max(counter) AS last FROM t), l AS (SELECT last + last - (SELECT max(counter) FROM t WHERE counter < last) AS stop FROM m)
-SELECT event_id, round(CASE WHEN c <= (SELECT stop FROM l) THEN t.gravity + (c - t.counter)*t.factor END, 4)+0.0 AS value FROM (SELECT event_id, event_id % 601 / 10.0 AS c FROM events) e ASOF LEFT JOIN t ON e.c >= t.counter""")
+SELECT event_id, round(CASE WHEN c <= (SELECT stop FROM l) THEN t.gravity + (c - t.counter)*t.factor END, 9)+0.0 AS value FROM (SELECT event_id, event_id % 601 / 10.0 AS c FROM events) e ASOF LEFT JOIN t ON e.c >= t.counter""")
 def gravity_calibration(spark, sf):
     t = table(spark, sf, "part").groupBy(F.col("p_size").cast("double").alias("counter")).agg(F.min("p_retailprice").alias("gravity"), (F.avg("p_retailprice") / 1000).alias("factor")).withColumn("instrument", F.lit("g1"))
     asked = table(spark, sf, "events").select("event_id", F.lit("g1").alias("instrument"), (F.col("event_id") % 601 / 10.0).alias("counter"))
-    return gravimetry.calibrated(asked, t).select("event_id", r(F.col("value"), 4).alias("value"))
+    return gravimetry.calibrated(asked, t).select("event_id", r(F.col("value"), 9).alias("value"))
 
 
 @query("gravity_duplicates", "SELECT session, station, n FROM (SELECT session, station, instant, count(*) AS n FROM {readings} GROUP BY ALL HAVING count(*) > 1)")
