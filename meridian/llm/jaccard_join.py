@@ -171,8 +171,8 @@ def shared_postings(prefix: DataFrame) -> DataFrame:
     return usual.unionByName(frequent)
 
 
-ADAPTED = "node long, n int, matches int, prefix int, unshared int, shingle long, place int"
-_ADAPTED = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("matches", pa.int32()), ("prefix", pa.int32()), ("unshared", pa.int32()), ("shingle", pa.int64()), ("place", pa.int32())])
+ADAPTED = "node long, n int, matches int, prefix int, unshared int, rank int, shingle long, place int"
+_ADAPTED = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("matches", pa.int32()), ("prefix", pa.int32()), ("unshared", pa.int32()), ("rank", pa.int32()), ("shingle", pa.int64()), ("place", pa.int32())])
 
 
 def _adapt(t: pa.Table, percent: int) -> list[pa.RecordBatch]:
@@ -190,12 +190,14 @@ def _adapt(t: pa.Table, percent: int) -> list[pa.RecordBatch]:
     prefix = (base + matches).astype(np.int32)
     keep = place < prefix
     kept = np.repeat(np.add.reduceat(keep.astype(np.int32), first), size).astype(np.int32)
-    out = pa.Table.from_arrays([t["node"], t["n"], pa.array(matches), pa.array(prefix), pa.array(prefix - kept), t["shingle"], t["place"]], schema=_ADAPTED)
+    rank = (np.arange(len(node)) - np.repeat(first, size)).astype(np.int32)  # postings are sorted by place
+    out = pa.Table.from_arrays([t["node"], t["n"], pa.array(matches), pa.array(prefix), pa.array(prefix - kept), pa.array(rank), t["shingle"], t["place"]], schema=_ADAPTED)
     return out.filter(pa.array(keep)).to_batches(max_chunksize=64_000)
 
 
 def adapted(postings: DataFrame, percent: int) -> DataFrame:
-    """Each node's own multi-match: postings (node, n, matches, prefix, unshared, shingle, place) of its adapted prefix."""
+    """Each node's own multi-match: postings (node, n, matches, prefix, unshared, rank, shingle, place) of its adapted prefix; rank
+    counts them in the order of shingles."""
 
     def run(batches):
         held = None
@@ -215,32 +217,37 @@ def adapted(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_question(met: DataFrame, percent: int, condition: Column) -> DataFrame:
-    """(a, b, c): pairs of nodes met in a shingle (as a.* and b.*) that their sizes, places and the number c of shingles they met in
-    leave in question."""
+    """(a, b, want) of pairs of nodes met in a shingle, as a.* and b.*, that may link. `want` is how many shingles their prefixes
+    must share; the first of them stands early enough in both that so many can follow, so that a pair
+    which may link is met in an early shingle, and pairs are not met once for all they share."""
     least = F.expr(f"({percent}L * (a.n + b.n) + {99 + percent}) div {100 + percent}")
     # all shared shingles up to the earlier of the two edges are in both prefixes, so beyond it only the
     # rest of the set that ends there can be shared
     room = lambda x, y: F.when(F.col("a.edge") < F.col("b.edge"), x).when(F.col("a.edge") > F.col("b.edge"), y).otherwise(F.greatest(x, y))
     shareable = room(F.col("a.n") - F.col("a.unshared"), F.col("b.n") - F.col("b.unshared"))
     rest = room(F.col("a.n") - F.col("a.prefix"), F.col("b.n") - F.col("b.prefix"))
+    want = F.greatest(F.least("a.matches", "b.matches"), least - rest)
+    # postings from this one on; before it, what both have was met already
+    left = F.least(F.col("a.prefix") - F.col("a.unshared") - F.col("a.rank"), F.col("b.prefix") - F.col("b.unshared") - F.col("b.rank"))
+    after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     rows = met.where(
         condition
         & (F.col("a.n") * 100 >= F.col("b.n") * percent)
         & (F.col("b.n") * 100 >= F.col("a.n") * percent)
         & (shareable >= least)
-        & (F.least("a.place", "b.place") + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= least)
+        & (left >= want)
+        & (after >= least)
     )
-    rows = rows.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.greatest(F.least("a.matches", "b.matches"), least - rest).alias("want"))
-    return rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("want").alias("want")).where("c >= want").drop("want")
+    return rows.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), want.alias("want"))
 
 
 def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node and the one hub it shares most shingles with, if the two may link; a shingle's hub has the fewest
     unshared. Pairs that are left out here come up again among the candidates."""
-    own = F.struct((F.col("unshared") / F.col("n")).alias("r"), "node", "n", "matches", "prefix", "unshared", "edge", "place")
+    own = F.struct((F.col("unshared") / F.col("n")).alias("r"), "node", "n", "matches", "prefix", "unshared", "edge", "rank", "place")
     hubs = stored(postings.groupBy("shingle").agg(F.min(own).alias("hub")).select("shingle", "hub.*"))
     met = postings.alias("a").join(hubs.alias("b"), "shingle")
-    pairs = _in_question(met, percent, F.col("a.node") != F.col("b.node"))
+    pairs = _in_question(met, percent, F.col("a.node") != F.col("b.node")).groupBy("a", "b").agg(F.count("*").alias("c"))
     return pairs.groupBy("a").agg(F.max(F.struct("c", "b")).b.alias("b"))
 
 
@@ -249,7 +256,7 @@ def candidate_pairs(postings: DataFrame, percent: int) -> DataFrame:
     labels = stored(postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"))
     live = stored(postings.join(labels, "shingle", "left_semi"))
     met = live.alias("a").join(live.alias("b"), "shingle")
-    return _in_question(met, percent, (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))).select("a", "b")
+    return _in_question(met, percent, (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))).select("a", "b").distinct()
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
