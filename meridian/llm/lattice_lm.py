@@ -61,12 +61,15 @@ class Lattice:
         weight = lambda i: math.log(counts.get(i, 0) + 0.1) - total
         self.byte = [weight(single[b]) if b in single else -total for b in range(256)]
         self.end = math.log(ends + 0.1) - total
-        #: Prefixes of pieces: None where the prefix is not itself a piece.
+        #: Log weights of pieces; of prefixes that are not pieces themselves, none.
         self.weight: dict[str, float | None] = {}
         for text, i in usual.items():
             for n in range(1, len(text)):
                 self.weight.setdefault(text[:n], None)
             self.weight[text] = weight(i)
+        #: The same weights as they are, for texts so short that their products stay far above the least double.
+        self.plain = {t: math.exp(w) if w is not None else 0.0 for t, w in self.weight.items()}
+        self.plain_byte = [math.exp(w) for w in self.byte]
         self.words: dict[bytes, float] = {}
 
     def log_probability(self, text: str) -> float:
@@ -92,10 +95,32 @@ class Lattice:
         top = max(into[n])
         return top + math.log(sum([math.exp(a - top) for a in into[n]]))
 
+    def short_log_probability(self, text: str) -> float:
+        """The same sum for a short text, with one logarithm: of the total."""
+        n, weight, byte = len(text), self.plain.get, self.plain_byte
+        reach = [1.0] + [0.0] * n
+        for i in range(n):
+            here = reach[i]
+            if text[i] < "\x80":
+                reach[i + 1] += here * byte[ord(text[i])]
+            else:
+                part = here
+                for b in text[i].encode("utf-8"):
+                    part *= byte[b]
+                reach[i + 1] += part
+            for j in range(i + 1, n + 1):
+                w = weight(text[i:j])
+                if w is None:
+                    break
+                reach[j] += here * w
+        return math.log(reach[n])
+
     def word(self, word: bytes) -> float:
         got = self.words.get(word)
         if got is None:
-            got = self.log_probability(MARK + word.decode("utf-8"))
+            # 20 bytes by pieces of 1e-12 each are still above 1e-250
+            own = self.short_log_probability if len(word) <= 17 else self.log_probability
+            got = own(MARK + word.decode("utf-8"))
             if len(word) <= 64:
                 if len(self.words) >= TABLE_LIMIT:
                     self.words.clear()
