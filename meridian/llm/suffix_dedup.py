@@ -16,9 +16,9 @@ Tuples that repeat an earlier one of the same task are recognised there and only
 with the rest, so a string that very many documents share sends one tuple a task. A gram with more than half a
 mean partition of tuples is dealt by gram and run, not by gram.
 
-Rows: null text is empty; texts shorter than LENGTH keep all; null ids come last; rows that repeat an id are
-ordered by a hash of their text, and those of equal text count as one document; one row out for each row in;
-an empty table gives an empty result; other columns are not read.
+Rows: null text is empty; texts shorter than LENGTH keep all; null ids come last and count as one id; rows that repeat an id
+are ordered by a hash of their text, and those of equal text are one document: it is searched once, and each of its rows
+has its result; one row out for each row in; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -115,6 +115,12 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, repeats: bool) -> Da
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), twin.alias("twin"), F.col(text_col).alias("t"))
 
 
+def _once(own: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Each (doc, twin) of _documents once. Only rows of the ids `repeated` (doc) are shuffled with their texts."""
+    several = stored(own.join(repeated, "doc", "left_semi").dropDuplicates(["doc", "twin"]))
+    return own.join(repeated, "doc", "left_anti").unionByName(several)
+
+
 def _local_repeats(cols: list[np.ndarray], keys: int) -> tuple[np.ndarray, np.ndarray]:
     """The order by all columns, and whether the first `keys` of them are those of the row before."""
     order = np.lexsort(cols[::-1])
@@ -328,16 +334,13 @@ def windows_of_runs(docs: DataFrame, candidates: DataFrame) -> DataFrame:
             doc, twin, place, parts = sent.value
 
             def each():
-                done = set()
                 for batch in batches:
                     ids, twins = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                     lo, hi = np.searchsorted(doc, ids, side="left"), np.searchsorted(doc, ids, side="right")
                     for i in np.flatnonzero(hi > lo).tolist():
                         mine = slice(lo[i], hi[i])
                         own = np.flatnonzero(twin[mine] == twins[i]) + lo[i]
-                        if len(own) and (ids[i], twins[i]) not in done:
-                            if hi[i] - lo[i] > len(own) or twins[i]:
-                                done.add((ids[i], twins[i]))
+                        if len(own):
                             yield ids[i], twins[i], (batch.column(2)[i].as_py() or "").encode("utf-8"), place[own], parts[own].astype(np.int64)
 
             yield from expand(each())
@@ -352,11 +355,11 @@ def windows_of_runs(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
         yield from expand(each())
 
-    return docs.dropDuplicates(["doc", "twin"]).join(packed, ["doc", "twin"]).select("doc", "twin", "t", "r").mapInArrow(joined, TUPLE)
+    return docs.join(packed, ["doc", "twin"]).select("doc", "twin", "t", "r").mapInArrow(joined, TUPLE)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, twin, start, end) of strings that also start earlier; spans may overlap."""
+    """(doc, twin, start, end) of strings that also start earlier, of documents that come once each; spans may overlap."""
     spark = docs.sparkSession
     order = ["deal", "gram", "run", "doc", "twin", "place"]
     heavy = heavy_grams(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -377,8 +380,11 @@ def _removed(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All columns of the rows, as the struct `row`, with their `text` and the `spans` to remove."""
-    repeats = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"))
+    repeated = stored(ids.groupBy("doc").count().where("count > 1").select("doc"))
+    repeats = not repeated.isEmpty()
     own = _documents(docs, id_col, text_col, repeats)
+    own = _once(own, repeated) if repeats else own
     spans = repeated_spans(own).groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), (F.xxhash64(text_col) if repeats else F.lit(0).cast("long")).alias("twin"))
     none = F.array().cast("array<struct<start:long,end:long>>")

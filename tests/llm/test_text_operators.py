@@ -352,3 +352,16 @@ def test_proximity(docs):
     found = {r.doc_id: list(r.places) for r in decontamination.proximity(docs, [["wizards", "Coffee"]], 3).collect()}
     assert set(found) == {8, 9}
     assert decontamination.proximity(docs, [["wizards", "fox"]], 2).collect() == []
+
+
+@pytest.mark.parametrize("bound", [suffix_dedup.BROADCAST_RUNS, -1])
+def test_suffix_dedup_of_repeated_rows(spark, docs, monkeypatch, bound):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_RUNS", bound)
+    texts = [(i, t) for i, t in TEXTS if i is not None]
+    texts += [(20, prose(40, 20)), (20, prose(40, 20)), (20, prose(40, 20)), (21, prose(40, 20) + prose(9, 21))]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = suffix_dedup.deduplicate(rows).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    once = {r[0]: r for r in brute_dedup([(i, t or "") for i, t in dict.fromkeys(texts)])}
+    assert sorted(tuple(x) for x in found.collect()) == sorted(once[i] for i, _ in texts)
+    kept = [r.doc_id for r in suffix_dedup.cleaned(rows).collect()]
+    assert kept.count(9) == 2 and kept.count(20) == 3
