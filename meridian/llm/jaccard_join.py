@@ -15,7 +15,7 @@ verified, none left out. Sets travel only for pairs to be verified.
 Shingles are 64-bit hashes, and so are nodes: two of N different sets are taken for one with probability N^2 / 2^65.
 
 Rows: null or wordless texts have empty sets and are linked with nothing; rows that repeat an id are one document
-whose links join; null ids are kept as they are, unlinked; an empty table gives an empty result; other columns are not read.
+whose links join, whatever their texts; rows with a null id are kept with a null component and link nothing; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -309,7 +309,8 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     described = stored(describe(docs, id_col, text_col, size))
     documents = described.where("kind = 0").select("id", F.col("a").alias("node"), "n")
     frequent = frequent_shingles(described)
-    prefix = stored(prefixes(docs, id_col, text_col, size, percent, frequent))
+    named = docs.where(F.col(id_col).isNotNull())  # others may not come between documents, as hubs either
+    prefix = stored(prefixes(named, id_col, text_col, size, percent, frequent))
     postings = stored(adapted(stored(shared_postings(prefix)), percent))
 
     # the order of shingles is (frequent, hash); an edge is the last shingle of the prefix in that order
@@ -318,19 +319,23 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     edges = ends.join(postings.select("node", "prefix").distinct(), "node").where("place = prefix - 1").select("node", order.alias("edge")).dropDuplicates(["node"])
     placed = stored(postings.join(edges, "node"))
 
-    links = stored(verified(stored(hub_pairs(placed, percent)), docs, id_col, text_col, size, percent))
+    links = stored(verified(stored(hub_pairs(placed, percent)), named, id_col, text_col, size, percent))
     labels = stored(components(links))
     labelled = stored(placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     pairs = stored(candidate_pairs(labelled, percent))
     if not pairs.isEmpty():
-        links = links.unionByName(verified(pairs, docs, id_col, text_col, size, percent))
-
-    # components by ids: a node stands for its smallest id
-    reps = stored(documents.where("node is not null").groupBy("node").agg(F.min("id").alias("rep")))
-    by_id = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
-    labels = components(by_id.where("ra is not null and rb is not null"), "ra", "rb")
-    places = stored(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("component")))
-    return documents.join(places, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        links = links.unionByName(verified(pairs, named, id_col, text_col, size, percent))
+
+    # components by ids: a node stands for its smallest id, and joins the ids that have other texts too
+    reps = stored(documents.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep")))
+    by_id = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
+    several = documents.where("id is not null").groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), (F.count("node") < F.count("*")).alias("wordless"))
+    several = several.where("lo < hi or lo is not null and wordless").select("id")
+    same_id = documents.join(several, "id", "left_semi").join(reps, "node").select(F.col("rep").alias("ra"), F.col("id").alias("rb"))
+    labels = stored(components(by_id.unionByName(same_id), "ra", "rb").select(F.col("node").alias("rep"), "label"))
+    # a wordless row has what its id has from other rows
+    placed = documents.join(reps, "node", "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+    return placed.join(labels, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -365,3 +365,18 @@ def test_suffix_dedup_of_repeated_rows(spark, docs, monkeypatch, bound):
     assert sorted(tuple(x) for x in found.collect()) == sorted(once[i] for i, _ in texts)
     kept = [r.doc_id for r in suffix_dedup.cleaned(rows).collect()]
     assert kept.count(9) == 2 and kept.count(20) == 3
+
+
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    near = lambda *changed: " ".join(f"w{k}" if k in changed else w for k, w in enumerate(WORDS))
+    far = prose(80, 77)
+    # members that link directly, and copies of a text without an id that could be their hub
+    texts = [(50 + k, near(119 - k % 3)) for k in range(3)] + [(None, BASE)] * 3 + [(None, None), (None, far)]
+    # one id with two texts, one of them that of a smaller id, the other a near copy's
+    texts += [(5, far), (70, far), (70, prose(90, 78)), (80, prose(90, 78)), (90, prose(30, 79)), (90, ""), (60, prose(30, 79)), (91, " ")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in jaccard_join.linked(rows, 4, 85).collect():
+        got.setdefault(r.doc_id, []).append(r.component_id)
+    assert got == {50: [50], 51: [50], 52: [50], None: [None] * 5, 5: [5], 70: [5, 5], 80: [5], 90: [60, 60], 60: [60], 91: [91]}
+    assert {r.doc_id for r in jaccard_join.one_of_each(rows, 4, 85).collect()} == {50, 5, 60, 91, None}
