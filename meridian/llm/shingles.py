@@ -56,8 +56,9 @@ def sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     counts = np.bincount(owner, minlength=len(texts))
     firsts = np.cumsum(counts) - counts
     joined = np.zeros(len(hashes), np.uint64)
-    for k in range(size):
-        joined[: len(hashes) - k] = joined[: len(hashes) - k] * np.uint64(0xD6E8FEB86659FD93) + hashes[k:]
+    for k in range(min(size, len(hashes))):
+        m = len(hashes) - k
+        joined[:m] = joined[:m] * np.uint64(0xD6E8FEB86659FD93) + hashes[k:]
     joined = mix(joined)
     for i, (first, n) in enumerate(zip(firsts.tolist(), counts.tolist(), strict=True)):
         if n >= size:

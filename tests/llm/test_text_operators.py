@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from meridian.llm import byte_bpe, decontamination, jaccard_join, language_id, lattice_lm, license_scan, suffix_dedup, token_counts
+from meridian.llm import byte_bpe, decontamination, jaccard_join, language_id, lattice_lm, license_scan, shingles, suffix_dedup, token_counts
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards brew coffee near the old stone bridge of the town and sing"
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -380,3 +380,11 @@ def test_jaccard_join_of_null_and_repeated_ids(spark):
         got.setdefault(r.doc_id, []).append(r.component_id)
     assert got == {50: [50], 51: [50], 52: [50], None: [None] * 5, 5: [5], 70: [5, 5], 80: [5], 90: [60, 60], 60: [60], 91: [91]}
     assert {r.doc_id for r in jaccard_join.one_of_each(rows, 4, 85).collect()} == {50, 5, 60, 91, None}
+
+
+def test_shingles_of_few_words():
+    for size in (4, 5):
+        for n in range(8):
+            text = " ".join("one two three four five six seven".split()[:n]).encode()
+            alone, among = shingles.sets([text], size), shingles.sets([text, BASE.encode()], size)
+            assert len(alone[0]) == (max(1, n - size + 1) if n else 0) and alone[0].tolist() == among[0].tolist()
