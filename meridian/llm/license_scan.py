@@ -5,7 +5,7 @@ A text becomes its words, lower-cased and joined by single spaces, so that a phr
 words stand consecutively. Phrases give the base labels. An SPDX tag is followed by an expression such as
 `(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0`; its identifiers give further labels.
 The score says how sure a text is licensed: 1 - 0.5^k with k the weighted evidence, a tag whose expression
-parses counting 2 and a phrase 1.
+parses counting 2 and a phrase 1. A tag's expression ends at the latest with its line or where the next tag begins.
 
 Rows: null text has no words; no place means null first and last word, empty labels and score 0; null or
 repeated ids are kept, one row out for each row in; other columns are not read.
@@ -36,7 +36,8 @@ MORE_PHRASES = {
 }
 #: Fixed value: the words of the identifier tag "SPDX-License-Identifier:".
 TAG = "spdx license identifier"
-_TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_TAG = re.compile(rb"spdx-license-identifier:", re.IGNORECASE)
+_LINE_END = re.compile(rb"[\r\n]")
 _LEXEME = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: Binding strength of the operators.
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
@@ -103,16 +104,52 @@ def choices(expression: str) -> list[frozenset[str]] | None:
 
 def leading_expression(line: str) -> str:
     """The longest start of a tag's line that parses: prose may follow the expression."""
-    lexemes = _LEXEME.findall(line)[:256]
-    best = ""
-    depth = 0
-    for i, lexeme in enumerate(lexemes):
-        depth += (lexeme == "(") - (lexeme == ")")
-        if depth < 0 or i and lexemes[i - 1].lower() not in ("(", *_STRENGTH) and lexeme.lower() not in (")", *_STRENGTH):
+    lexemes: list[str] = []
+    best = depth = 0
+    operand_next = True
+    for found in _LEXEME.finditer(line):
+        lexeme = found.group()
+        low = lexeme.lower()
+        if operand_next != (low not in (")", *_STRENGTH)):
             break
-        if depth == 0 and lexeme != "(" and lexeme.lower() not in _STRENGTH:
-            best = " ".join(lexemes[: i + 1])
-    return best
+        depth += (low == "(") - (low == ")")
+        if depth < 0:
+            break
+        lexemes.append(lexeme)
+        operand_next = low == "(" or low in _STRENGTH
+        if depth == 0 and not operand_next:
+            best = len(lexemes)
+    return " ".join(lexemes[:best])
+
+
+def identifiers(expression: str) -> set[str] | None:
+    """All identifiers of an expression, those of all its choices together, or None if it does not parse. The
+    smaller set goes into the larger, so that long expressions take about as long as they are."""
+    order = postfix(expression)
+    if order is None:
+        return None
+    stack: list[set[str]] = []
+    for item in order:
+        if item not in _STRENGTH:
+            stack.append({item})
+            continue
+        b, a = stack.pop(), stack.pop()
+        if item == "with":
+            stack.append({f"{x} with {y}" for x in a for y in b})
+        else:
+            if len(a) < len(b):
+                a, b = b, a
+            a |= b
+            stack.append(a)
+    return stack[0]
+
+
+def tag_lines(data: bytes):
+    """What follows each identifier tag, up to the line's end or the next tag."""
+    tags = [m.span() for m in _TAG.finditer(data)]
+    for (_, start), (end, _) in zip(tags, [*tags[1:], (len(data), 0)], strict=True):
+        line_end = _LINE_END.search(data, start, end)
+        yield data[start : line_end.start() if line_end else end]
 
 
 @lru_cache(maxsize=4)
@@ -142,11 +179,11 @@ def scan(data: bytes, find) -> dict[str, object]:
             base.add(label)
             starts.append(word)
     if tagged:
-        for line in _TAG.findall(data):
-            parsed = choices(leading_expression(line.decode("utf-8", "replace")))
+        for line in tag_lines(data):
+            parsed = identifiers(leading_expression(line.decode("utf-8", "replace")))
             if parsed:
                 evidence += 2
-                more.update(*parsed)
+                more |= parsed
     return {
         "n_words": len(own),
         "n_base": len(starts),

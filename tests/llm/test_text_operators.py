@@ -388,3 +388,16 @@ def test_shingles_of_few_words():
             text = " ".join("one two three four five six seven".split()[:n]).encode()
             alone, among = shingles.sets([text], size), shingles.sets([text, BASE.encode()], size)
             assert len(alone[0]) == (max(1, n - size + 1) if n else 0) and alone[0].tolist() == among[0].tolist()
+
+
+def test_license_scan_of_many_tags_and_long_expressions(spark):
+    tag = "SPDX-License-Identifier:"
+    many = f"/*! {tag} MIT */ x=1; /* {tag}Apache-2.0 */ y=2; // spdx-license-identifier: BSD-3-Clause OR ISC\r{tag}"
+    long = f"{tag} " + " OR ".join(f"L{k}" for k in range(300)) + " text follows"
+    rows = spark.createDataFrame([(1, many), (2, long), (3, f"{tag} MIT and or Zlib")], "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan_licenses(rows).collect()}
+    assert found[1].labels == "apache-2.0,bsd-3-clause,isc,mit" and found[1].score == 1 - 0.5**6
+    assert found[2].labels == ",".join(sorted(f"l{k}" for k in range(300)))
+    assert found[3].labels == "mit" and found[3].score == 0.75
+    for text in ("(mit or apache-2.0) and gpl-2.0 with x", "(a or b) with (c or d)", "a and (b or c and (d or a))"):
+        assert license_scan.identifiers(text) == set().union(*license_scan.choices(text))
