@@ -10,7 +10,9 @@ in a first pass whose result is as large as the benchmark's vocabulary.
 Only the benchmark travels to the tasks. Its size is checked; a larger one is worked through in slices, each
 under the bound, and the hits are brought together per document.
 
-Rows: null text has no words; an item without words has no window; repeated item_ids count as one item; rows
+Rows: null text has no words; an item without words has no window; repeated item_ids count as one item. Benchmark rows
+without an item_id are searched like all others; together they are one item, null, which stands last in `items`
+(op10's n_items counts it once, and its items_sha256, over the ids that are there, leaves it out). Rows
 of documents that repeat an id are kept, one row out for each row in; empty tables give no hits; other columns are not read.
 """
 
@@ -87,11 +89,11 @@ class Windows:
 
     size: int
     terms: frozenset
-    by_term: dict[bytes, list[tuple[list[tuple[bytes, int]], int, tuple[str, ...]]]]
+    by_term: dict[bytes, list[tuple[list[tuple[bytes, int]], int, tuple[str | None, ...]]]]
 
     @classmethod
-    def build(cls, items: list[tuple[str, bytes]], size: int, frequency: dict[bytes, int]) -> Windows:
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    def build(cls, items: list[tuple[str | None, bytes]], size: int, frequency: dict[bytes, int]) -> Windows:
+        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         for item, data in items:
             for window in windows_of(words(data), size):
                 owners[window].add(item)
@@ -99,10 +101,10 @@ class Windows:
         for window, who in owners.items():
             order = sorted(((w, i) for i, w in enumerate(window)), key=lambda x: (frequency.get(x[0], 0), x))
             if frequency.get(order[0][0], 0):  # a term that no document has: no occurrence
-                by_term[order[0][0]].append((order, len(window), tuple(sorted(who))))
+                by_term[order[0][0]].append((order, len(window), tuple(who)))
         return cls(size, frozenset(w for v in by_term.values() for order, _, _ in v for w, _ in order), dict(by_term))
 
-    def hits(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """(start, words) of every occurrence in a document, and the items they belong to."""
         present = self.by_term.keys() & set(own)
         if not present:
@@ -128,7 +130,7 @@ def covered(spans: list[tuple[int, int]], total: int) -> np.ndarray:
 
 def _slices(benchmark: DataFrame, item_col: str, text_col: str):
     """The benchmark as lists of (item, bytes), each list within SLICE_BYTES or a single item."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t")).where("i is not null and length(t) > 0")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t")).where("length(t) > 0")
     held, size = [], 0
     for r in rows.toLocalIterator():
         held.append((r.i, bytes(r.t)))
@@ -197,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
                     edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
                     out["n_words"].append(len(own))
                     out["n_hit"].append(int(mask.sum()))
-                    out["items"].append(sorted(who))
+                    out["items"].append(sorted(who, key=lambda x: (x is None, x or "")))
                     out["hit_spans"].append([{"start": int(a), "words": int(b - a)} for a, b in edges.reshape(-1, 2)])
                     out["sha"].append(hashlib.sha256(t).hexdigest() if several else None)
                 return {id_col: ids} | out

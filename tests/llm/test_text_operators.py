@@ -401,3 +401,19 @@ def test_license_scan_of_many_tags_and_long_expressions(spark):
     assert found[3].labels == "mit" and found[3].score == 0.75
     for text in ("(mit or apache-2.0) and gpl-2.0 with x", "(a or b) with (c or d)", "a and (b or c and (d or a))"):
         assert license_scan.identifiers(text) == set().union(*license_scan.choices(text))
+
+
+def test_decontamination_by_items_without_id(spark, docs, monkeypatch):
+    items = [*ITEMS, (None, PASSAGE), (None, "it")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def one(i, t):
+        n, hit, who = brute_hits(t, items)  # null is "None" there
+        return (i, n, hit, [w for w in who if w != "None"] + [None] * ("None" in who))
+
+    names = ["doc_id", "n_words", "n_hit", "items"]
+    assert collected(decontamination.contamination(docs, bench).select(*names)) == expected(one)
+    kept = {r.doc_id for r in decontamination.uncontaminated(docs, bench).collect()}
+    assert kept == {i for i, t in TEXTS if not brute_hits(t, items)[1]} and 10 not in kept
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", 40)  # several slices
+    assert collected(decontamination.contamination(docs, bench).select(*names)) == expected(one)
