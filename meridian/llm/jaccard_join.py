@@ -4,7 +4,8 @@ Texts are sets of word shingles; two link when 100 * intersection >= percent * u
 sets share one order of shingles: those found frequent last, else by hash; any one order gives exact results,
 this one keeps frequent shingles out of prefixes. If two sets link, their prefixes of n - need + l shingles share l of
 them, for every l. Each node takes the l whose estimated cost (postings scanned, candidates verified) is least:
-a longer prefix demands more shared shingles before a pair is verified. Shingles that no other prefix has fall
+a pair is verified once it shares a shingle early enough in both prefixes for all that are demanded to follow. That so
+many do follow is not counted, which departs from the method: more pairs are verified, none is missed. Shingles that no other prefix has fall
 out first, and count against a node: what its prefix can't share, no partner has.
 
 Only components are wanted, so links that a component has already are not sought again. First every node is
