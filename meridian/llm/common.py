@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from meridian.sources.shared import shared_dir, stored
+from meridian.sources.shared import discard, shared_dir, stored
 
-__all__ = ["by_bytes", "column_bytes", "filter_text", "map_text", "shared_dir", "stored", "table", "tokens", "words"]
+__all__ = ["by_bytes", "column_bytes", "discard", "filter_text", "map_text", "shared_dir", "stored", "table", "tokens", "words"]
 
 #: Lower-cases A-Z and turns every byte outside [0-9a-z\x80-\xff] into a space. Bytes of
 #: multi-byte UTF-8 characters are all over 0x7F, so working on bytes is working on characters.

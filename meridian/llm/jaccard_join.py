@@ -1,12 +1,16 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
 Texts are sets of word shingles; two link when 100 * intersection >= percent * union. Equal sets are one node. All
-sets share one order of shingles: those found frequent last, else by hash; any one order gives exact results,
-this one keeps frequent shingles out of prefixes. If two sets link, their prefixes of n - need + l shingles share l of
-them, for every l. Each node takes the l whose estimated cost (postings scanned, candidates verified) is least:
-a pair is verified once it shares a shingle early enough in both prefixes for all that are demanded to follow. That so
-many do follow is not counted, which departs from the method: more pairs are verified, none is missed. Shingles that no other prefix has fall
-out first, and count against a node: what its prefix can't share, no partner has.
+sets share one order of shingles: those found frequent last, the more frequent the later, else by hash; any one order gives
+exact results, this one keeps what many documents share out of prefixes. If two sets link, their prefixes of
+n - need + l shingles share l of them, for every l. Each node takes the l whose estimated cost (postings
+scanned, candidates verified) is least, and a pair is verified only if its prefixes share as many shingles
+as the two demand, counted over all they share. Shingles that no other prefix has fall out first, and count
+against a node: what its prefix can't share, no partner has.
+
+Frequencies are counted over all documents, not over parts of them: each document sends twice the shingles of a prefix
+(those with the least hashes, packed as numbers of eight bytes), and then all the rest where so many of these are
+frequent that the prefix reaches beyond them.
 
 Only components are wanted, so links that a component has already are not sought again. First every node is
 compared with one hub, the prefix neighbour with the fewest unshared shingles, which joins groups of copies
@@ -21,22 +25,26 @@ whose links join, whatever their texts; rows with a null id are kept with a null
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm import shingles
-from meridian.llm.common import by_bytes, column_bytes, map_text, stored
+from meridian.llm.common import by_bytes, column_bytes, discard, map_text, stored
 from meridian.llm.components import components
 
-#: A shingle that comes COMMON times in PIECE_BYTES of text in one task is counted there; of those so counted,
-#: at most FREQUENT go last in the order, each with FREQUENT_FROM sightings at least.
-PIECE_BYTES, COMMON, FREQUENT_FROM, FREQUENT = 16 << 20, 3, 24, 1_000_000
+#: A shingle is frequent if FREQUENT_FROM documents have it; of those so counted, the most frequent go last in the
+#: order, FREQUENT at most. BAND: how much more than a prefix each document counts; HELD: keys that a task sorts at once.
+FREQUENT_FROM, FREQUENT, BAND, HELD = 6, 1_000_000, 2, 1_000_000
 #: The longest multi-match, and the cost of a verification in scanned postings.
 MOST_MATCHES, VERIFY_COST = 4, 20
 #: Nodes whose numbers may be broadcast; beyond that they are joined.
-BROADCAST_NODES = 4_000_000
+BROADCAST_NODES = 1_000_000
+#: A key is the upper 48 bits of a shingle, and 16 bits of the set that has it, so that copies count once.
+_SHINGLE = np.uint64(0xFFFF_FFFF_FFFF_0000)
 
 
 def _need(n, percent: int):
@@ -50,82 +58,160 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _node(own: np.ndarray) -> int:
     """A set's number: a hash of its sorted shingles."""
-    with np.errstate(over="ignore"):
-        value = shingles.mix(np.array([shingles.mix(own).sum(dtype=np.uint64) * np.uint64(3) + np.uint64(len(own))], np.uint64))
-    return int(_signed(value)[0])
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+class Frequent:
+    """The frequent shingles by their upper bits, sorted, and their sightings."""
+
+    def __init__(self, keys: np.ndarray, sightings: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.sightings = keys[order], sightings[order]
+
+    def of(self, own: np.ndarray) -> np.ndarray:
+        """Sightings of each shingle, 0 unless it is a frequent one."""
+        if not len(self.keys):
+            return np.zeros(len(own), np.int64)
+        keys = own & _SHINGLE
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.sightings[at], 0)
+
+
+def _once(done: set[int], node: int) -> bool:
+    """Whether a node is new to this task; of very many, not all are remembered."""
+    if node in done:
+        return False
+    if len(done) < 300_000:
+        done.add(node)
+    return True
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Rows of documents (kind 0: id, node, n) and of frequent shingles (kind 1: shingle, sightings)."""
+def count_keys(docs: DataFrame, text_col: str, size: int, percent: int, known: Frequent | None) -> DataFrame:
+    """(bucket, keys) of what documents count: the first BAND prefixes of their shingles; or, where frequent ones are known,
+    the rest of those whose prefix reaches beyond that. Dealt by the shingles' upper bits."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(8, (16 * partitions - 1).bit_length())
+    sent = spark.sparkContext.broadcast(known)
 
     def run(batches):
-        names = ["kind", "id", "a", "n"]
-        held, held_bytes = [], 0
+        known, done, held, size_held = sent.value, set(), [], 0
 
-        def common():
-            values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = counts >= COMMON
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(keep.sum(), np.int32)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(_signed(values[keep])), pa.array(counts[keep])], names=names)
+        def out():
+            keys = np.sort(np.concatenate(held))
+            keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            chunks = [keys[a:b].astype("<u8").tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(chunks, pa.binary())], names=["bucket", "keys"])
 
         for batch in batches:
             for part in by_bytes(batch):
-                texts = column_bytes(part.column(1))
-                own = shingles.sets(texts, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), part.column(0).cast(pa.int64()), pa.array([_node(s) if len(s) else None for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())], names=names)
-                held += own
-                held_bytes += sum(map(len, texts))
-                if held_bytes >= PIECE_BYTES:
-                    yield common()
-                    held, held_bytes = [], 0
-        yield common()
-
-    return docs.select(id_col, text_col).mapInArrow(run, "kind int, id long, a long, n long")
-
-
-def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most FREQUENT shingles, sorted, and their sightings; which ones only matters for speed."""
-    counted = described.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    rows = counted.where(F.col("n") * FREQUENT >= total).select("a", "n").toArrow()  # at most FREQUENT have that share
-    values = rows["a"].to_numpy().view(np.uint64)
-    order = np.argsort(values)
-    return values[order], rows["n"].to_numpy()[order]
-
-
-def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, n, shingle, place, df) of the longest prefix of each set, once a task; df is 0 unless the
-    shingle is a frequent one."""
+                for own in shingles.sets(column_bytes(part.column(0)), size):
+                    if not len(own) or not _once(done, node := _node(own)):
+                        continue
+                    length = len(own) - _need(len(own), percent) + MOST_MATCHES
+                    counted = own[: BAND * length]
+                    if known is not None:
+                        if np.count_nonzero(known.of(counted) == 0) >= length:
+                            continue
+                        counted = own[BAND * length :]
+                    if len(counted):
+                        held.append((counted & _SHINGLE) | np.uint64(node & 0xFFFF))
+                        size_held += len(counted)
+                    if size_held >= HELD:
+                        yield out()
+                        held, size_held = [], 0
+        if held:
+            yield out()
+
+    return docs.select(text_col).mapInArrow(run, "bucket int, keys binary")
+
+
+def counted(keys: DataFrame) -> DataFrame:
+    """(key, n) of shingles with FREQUENT_FROM sightings at least, bucket by bucket."""
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        last = None
+
+        def out():
+            keys = np.sort(np.concatenate(held))
+            own = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] & _SHINGLE
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            n = np.diff(np.append(first, len(own)))
+            often = n >= FREQUENT_FROM
+            return pa.RecordBatch.from_arrays([pa.array(own[first[often]].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["key", "n"])
+
+        for batch in batches:
+            for bucket, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != last and held:
+                    yield out()
+                    held = []
+                last = bucket
+                held.append(np.frombuffer(chunk, "<u8"))
+        if held:
+            yield out()
+
+    return keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n long")
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, size: int, percent: int) -> Frequent:
+    """At most FREQUENT shingles; which ones only matters for speed."""
+    found = Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for known in (False, True):
+        table = stored(counted(count_keys(docs, text_col, size, percent, found if known else None)))
+        total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        rows = table.where(F.col("n") * (FREQUENT // 2) >= total).toArrow()  # at most half of FREQUENT have that share
+        found = Frequent(np.concatenate((found.keys, rows["key"].to_numpy().view(np.uint64))), np.concatenate((found.sightings, rows["n"].to_numpy())))
+        discard(table)
+    return found
+
+
+PREFIX = "id long, node long, n int, shingle long, place int, df int"
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: Frequent) -> DataFrame:
+    """Rows of documents (id, node, n; no shingle) and of the longest prefixes of those with an id, each set once a task (node, n,
+    shingle, place, df); df is 0 unless the shingle is a frequent one."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
-        (last, sightings), done = sent.value, set()
+        frequent, done = sent.value, set()
 
         def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
             nodes, sizes, lengths, values, places, dfs = [], [], [], [], [], []
-            for own in shingles.sets(texts, size):
+            whole, counts = [], []
+            for own, named in zip(shingles.sets(texts, size), ids.is_valid().to_pylist(), strict=True):
                 n = len(own)
-                if not n or (node := _node(own)) in done:
+                node = _node(own) if n else None
+                whole.append(node)
+                counts.append(n)
+                if not n or not named or not _once(done, node):
                     continue
-                if len(done) < 500_000:
-                    done.add(node)
-                df = np.zeros(n, np.int64)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, own), len(last) - 1)
-                    df = np.where(last[at] == own, sightings[at], 0)
+                df = frequent.of(own)
                 length = min(n, n - _need(n, percent) + MOST_MATCHES)
-                order = np.concatenate((np.flatnonzero(df == 0), np.flatnonzero(df)))[:length]
+                order = np.argsort(df, kind="stable")[:length]
                 nodes.append(node)
                 sizes.append(n)
                 lengths.append(length)
                 values.append(own[order])
-                places.append(np.arange(length))
-                dfs.append(df[order])
+                places.append(np.arange(length, dtype=np.int32))
+                dfs.append(df[order].astype(np.int32))
             join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-            return {"node": pa.array(np.repeat(np.array(nodes, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "shingle": pa.array(_signed(join(values, np.uint64))), "place": pa.array(join(places, np.int64).astype(np.int32)), "df": pa.array(join(dfs, np.int64))}
+            more = int(sum(lengths))
+            return {
+                "id": pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(more, pa.int64())]),
+                "node": pa.concat_arrays([pa.array(whole, pa.int64()), pa.array(np.repeat(np.array(nodes, np.int64), lengths))]),
+                "n": pa.concat_arrays([pa.array(counts, pa.int32()), pa.array(np.repeat(np.array(sizes, np.int32), lengths))]),
+                "shingle": pa.concat_arrays([pa.nulls(len(whole), pa.int64()), pa.array(_signed(join(values, np.uint64)))]),
+                "place": pa.concat_arrays([pa.nulls(len(whole), pa.int32()), pa.array(join(places, np.int32))]),
+                "df": pa.concat_arrays([pa.nulls(len(whole), pa.int32()), pa.array(join(dfs, np.int32))]),
+            }
 
         return fn
 
-    return map_text(docs, id_col, text_col, "node long, n int, shingle long, place int, df long", make)
+    return map_text(docs, id_col, text_col, PREFIX, make)
 
 
 def _shared_only(batches):
@@ -141,7 +227,7 @@ def _shared_only(batches):
         starts = np.flatnonzero(np.diff(t["shingle"].to_numpy(), prepend=t["shingle"][0].as_py() ^ 1))
         counts = np.diff(np.append(starts, len(t)))
         counts[0] += before
-        df = np.repeat(counts, np.diff(np.append(starts, len(t))))
+        df = np.repeat(counts, np.diff(np.append(starts, len(t)))).astype(np.int32)
         out = t.set_column(t.schema.get_field_index("df"), "df", pa.array(df)).filter(pa.array(df > 1))
         return out.to_batches(), int(counts[-1])
 
@@ -218,9 +304,8 @@ def adapted(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_question(met: DataFrame, percent: int, condition: Column) -> DataFrame:
-    """(a, b, want) of pairs of nodes met in a shingle, as a.* and b.*, that may link. `want` is how many shingles their prefixes
-    must share; the first of them stands early enough in both that so many can follow, so that a pair
-    which may link is met in an early shingle, and pairs are not met once for all they share."""
+    """(a, b) of pairs of nodes met in a shingle, as a.* and b.*, that share as many shingles of their prefixes as they must to
+    link. `met` has every shingle that a pair shares, once."""
     least = F.expr(f"({percent}L * (a.n + b.n) + {99 + percent}) div {100 + percent}")
     # all shared shingles up to the earlier of the two edges are in both prefixes, so beyond it only the
     # rest of the set that ends there can be shared
@@ -228,115 +313,137 @@ def _in_question(met: DataFrame, percent: int, condition: Column) -> DataFrame:
     shareable = room(F.col("a.n") - F.col("a.unshared"), F.col("b.n") - F.col("b.unshared"))
     rest = room(F.col("a.n") - F.col("a.prefix"), F.col("b.n") - F.col("b.prefix"))
     want = F.greatest(F.least("a.matches", "b.matches"), least - rest)
-    # postings from this one on; before it, what both have was met already
-    left = F.least(F.col("a.prefix") - F.col("a.unshared") - F.col("a.rank"), F.col("b.prefix") - F.col("b.unshared") - F.col("b.rank"))
-    after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     rows = met.where(
         condition
         & (F.col("a.n") * 100 >= F.col("b.n") * percent)
         & (F.col("b.n") * 100 >= F.col("a.n") * percent)
         & (shareable >= least)
-        & (left >= want)
-        & (after >= least)
+        & (F.least(F.col("a.prefix") - F.col("a.unshared"), F.col("b.prefix") - F.col("b.unshared")) >= want)
     )
-    return rows.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), want.alias("want"))
+    shared = rows.groupBy(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).agg(F.count("*").alias("c"), F.max(want).alias("want"))
+    return shared.where("c >= want").select("a", "b")
 
 
 def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node and the one hub it shares most shingles with, if the two may link; a shingle's hub has the fewest
     unshared. Pairs that are left out here come up again among the candidates."""
-    own = F.struct((F.col("unshared") / F.col("n")).alias("r"), "node", "n", "matches", "prefix", "unshared", "edge", "rank", "place")
-    hubs = stored(postings.groupBy("shingle").agg(F.min(own).alias("hub")).select("shingle", "hub.*"))
+    own = F.struct((F.col("unshared") / F.col("n")).alias("r"), "node", "n", "matches", "prefix", "unshared", "edge")
+    hubs = postings.groupBy("shingle").agg(F.min(own).alias("hub")).select("shingle", "hub.*")
     met = postings.alias("a").join(hubs.alias("b"), "shingle")
-    pairs = _in_question(met, percent, F.col("a.node") != F.col("b.node")).groupBy("a", "b").agg(F.count("*").alias("c"))
+    least = F.expr(f"({percent}L * (a.n + b.n) + {99 + percent}) div {100 + percent}")
+    # a hub does not stand for all that two nodes share, so nothing is demanded but that they may link
+    rows = met.where((F.col("a.node") != F.col("b.node")) & (F.least("a.n", "b.n") >= least))
+    pairs = rows.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("c"))
     return pairs.groupBy("a").agg(F.max(F.struct("c", "b")).b.alias("b"))
 
 
 def candidate_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of unlike labels that may link. Shingles whose nodes have one label are left out before."""
-    labels = stored(postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"))
-    live = stored(postings.join(labels, "shingle", "left_semi"))
-    met = live.alias("a").join(live.alias("b"), "shingle")
-    return _in_question(met, percent, (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))).select("a", "b").distinct()
+    """(a, b): all pairs of unlike labels that may link. Of a shingle's nodes, those of its most common label are met with the
+    others, not with one another; a shingle of one label is met by none."""
+    labels = postings.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "label")).label.alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    live = stored(postings.join(labels.select("shingle", "most"), "shingle"))
+    met = live.where("label <> most").alias("a").join(live.alias("b"), "shingle")
+    other = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.most")) | (F.col("a.node") < F.col("b.node")))
+    pairs = stored(_in_question(met, percent, other))
+    discard(live)
+    return pairs
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
-    """(node, s array<long>): the whole sets of the nodes asked for."""
+    """(node, s binary): the whole sets of the nodes (node, rep) asked for, from the rows with the id `rep`; a node comes
+    again where such rows are repeated."""
     count = nodes.count()
-    ask_all = np.sort(nodes.toArrow()["node"].to_numpy()) if count <= BROADCAST_NODES else None
-    wanted = docs.sparkSession.sparkContext.broadcast(ask_all)
+    if count <= BROADCAST_NODES:
+        rows = nodes.toArrow()
+        order = np.argsort(rows["node"].to_numpy())
+        ask = rows["node"].to_numpy()[order], rows["rep"].to_numpy()[order]
+    else:
+        docs, ask = docs.join(nodes.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi"), None
+    wanted = docs.sparkSession.sparkContext.broadcast(ask)
 
     def make():
-        ask, done = wanted.value, set()
+        ask = wanted.value
 
         def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
+            if ask is not None:  # texts of other ids need no look
+                asked = np.isin(ids.to_numpy(zero_copy_only=False), ask[1]).tolist()
+                ids, texts = ids.filter(pa.array(asked)), [t for t, x in zip(texts, asked, strict=True) if x]
             found, lists = [], []
-            for own in shingles.sets(texts, size):
-                if not len(own) or (node := _node(own)) in done:
+            for i, own in zip(ids.to_pylist(), shingles.sets(texts, size), strict=True):
+                if not len(own):
                     continue
+                node = _node(own)
                 if ask is not None:
-                    at = int(np.searchsorted(ask, node))
-                    if at == len(ask) or ask[at] != node:
+                    at = int(np.searchsorted(ask[0], node))
+                    if at == len(ask[0]) or ask[0][at] != node or ask[1][at] != i:
                         continue
-                    if len(done) < 500_000:
-                        done.add(node)
                 found.append(node)
-                lists.append(own)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-            flat = _signed(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
-            return {"node": found, "s": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
+                lists.append(own.astype("<u8").tobytes())
+            return {"node": found, "s": pa.array(lists, pa.binary())}
 
         return fn
 
-    rows = map_text(docs, id_col, text_col, "node long, s array<long>", make)
-    if ask_all is None:
-        rows = rows.join(nodes, "node", "left_semi")
-    return stored(rows.dropDuplicates(["node"]))
+    return map_text(docs, id_col, text_col, "node long, s binary", make)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    nodes = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    own = set_table(docs, id_col, text_col, size, nodes)
+    both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = stored(set_table(docs, id_col, text_col, size, stored(both.join(reps, "node"))))
+
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes(batch):
+                link = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    link.append(100 * n >= percent * (len(x) + len(y) - n))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(link, pa.bool_()))
+
     left = own.select(F.col("node").alias("a"), F.col("s").alias("x"))
     right = own.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
-    return compared.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    links = stored(compared.mapInArrow(run, "a long, b long"))
+    discard(own)
+    return links
 
 
 def linked(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: component_id is the smallest id reachable by links."""
-    described = stored(describe(docs, id_col, text_col, size))
-    documents = described.where("kind = 0").select("id", F.col("a").alias("node"), "n")
-    frequent = frequent_shingles(described)
     named = docs.where(F.col(id_col).isNotNull())  # others may not come between documents, as hubs either
-    prefix = stored(prefixes(named, id_col, text_col, size, percent, frequent))
-    postings = stored(adapted(stored(shared_postings(prefix)), percent))
+    frequent = frequent_shingles(named, text_col, size, percent)
+    both = stored(prefixes(docs, id_col, text_col, size, percent, frequent))
+    documents = stored(both.where("shingle is null").select("id", "node", "n"))
+    prefix = both.where("shingle is not null").drop("id")
+    postings = stored(adapted(shared_postings(prefix), percent))
+    reps = stored(documents.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep")))
 
-    # the order of shingles is (frequent, hash); an edge is the last shingle of the prefix in that order
-    order = F.struct(F.col("df") > 0, F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))))
+    # the order of shingles is (df, hash); an edge is the last shingle of the prefix in that order
+    order = F.struct("df", F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))))
     ends = prefix.where(f"place >= n - ({percent} * n + 99) div 100")  # the last few rows of each node
     edges = ends.join(postings.select("node", "prefix").distinct(), "node").where("place = prefix - 1").select("node", order.alias("edge")).dropDuplicates(["node"])
     placed = stored(postings.join(edges, "node"))
+    discard(both, postings)
 
-    links = stored(verified(stored(hub_pairs(placed, percent)), named, id_col, text_col, size, percent))
-    labels = stored(components(links))
+    links = verified(stored(hub_pairs(placed, percent)), reps, named, id_col, text_col, size, percent)
+    labels = components(links)
     labelled = stored(placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    pairs = stored(candidate_pairs(labelled, percent))
+    discard(placed)
+    pairs = candidate_pairs(labelled, percent)
+    discard(labelled)
     if not pairs.isEmpty():
-        links = links.unionByName(verified(pairs, named, id_col, text_col, size, percent))
+        links = links.unionByName(verified(pairs, reps, named, id_col, text_col, size, percent))
 
     # components by ids: a node stands for its smallest id, and joins the ids that have other texts too
-    reps = stored(documents.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep")))
     by_id = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
     several = documents.where("id is not null").groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), (F.count("node") < F.count("*")).alias("wordless"))
     several = several.where("lo < hi or lo is not null and wordless").select("id")
     same_id = documents.join(several, "id", "left_semi").join(reps, "node").select(F.col("rep").alias("ra"), F.col("id").alias("rb"))
-    labels = stored(components(by_id.unionByName(same_id), "ra", "rb").select(F.col("node").alias("rep"), "label"))
+    labels = components(by_id.unionByName(same_id), "ra", "rb").select(F.col("node").alias("rep"), "label")
     # a wordless row has what its id has from other rows
     placed = documents.join(reps, "node", "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
-    return placed.join(labels, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    return placed.join(labels, "rep", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

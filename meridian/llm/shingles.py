@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+from meridian.llm.common import LOWER_TABLE
+
+#: Bytes of a word beyond which it is hashed by itself.
+LONG = 128
+_IS_SPACE = bytes(b == 32 or 9 <= b <= 13 for b in range(256))
+#: By the bytes that are left of a word: which bits of its next lane are its own.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _POWER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_POWER), -1, 1 << 64))
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -34,17 +39,25 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) of all texts in order, and its text's place."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
+    """The hash of each word `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) of all texts in order, and each text's number of words.
+    A word's lanes of eight bytes are mixed one after the other; words over LONG bytes have a cryptographic hash."""
+    joined = b"\n".join(texts).translate(LOWER_TABLE) + b"\n"
+    edge = np.flatnonzero(np.diff(np.frombuffer(joined.translate(_IS_SPACE), np.int8), prepend=1))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    lanes = np.ndarray(len(joined), "<u8", joined + bytes(8), strides=(1,))
+    hashes = mix(size.astype(np.uint64))
+    left = np.flatnonzero(size <= LONG)
+    at = starts[left]
+    while len(left):
+        rest = ends[left] - at
+        hashes[left] = mix(hashes[left] + (lanes[at] & _MASKS[np.minimum(rest, 8)]))
+        more = rest > 8
+        left, at = left[more], at[more] + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
     text_ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(text_ends, starts, side="right")
+    return hashes, np.diff(np.searchsorted(starts, text_ends), prepend=0)
 
 
 def sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -52,20 +65,22 @@ def sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     out = [np.zeros(0, np.uint64)] * len(texts)
     if not texts:
         return out
-    hashes, owner = words(texts)
-    counts = np.bincount(owner, minlength=len(texts))
-    firsts = np.cumsum(counts) - counts
+    hashes, counts = words(texts)
     joined = np.zeros(len(hashes), np.uint64)
     for k in range(min(size, len(hashes))):
         m = len(hashes) - k
-        joined[:m] = joined[:m] * np.uint64(0xD6E8FEB86659FD93) + hashes[k:]
-    joined = mix(joined)
-    for i, (first, n) in enumerate(zip(firsts.tolist(), counts.tolist(), strict=True)):
+        joined[:m] = mix(joined[:m] + hashes[k:])
+    first = 0
+    for i, n in enumerate(counts.tolist()):
         if n >= size:
-            out[i] = np.unique(joined[first : first + n - size + 1])
+            own = np.sort(joined[first : first + n - size + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out[i] = own[new]
         elif n:
-            value = n
-            for h in hashes[first : first + n].tolist():
-                value = (value * 0xD6E8FEB86659FD93 + h) % (1 << 64)
-            out[i] = mix(np.array([value], np.uint64))
+            value = np.array([n], np.uint64)
+            for h in hashes[first : first + n]:
+                value = mix(value + h)
+            out[i] = value
+        first += n
     return out
