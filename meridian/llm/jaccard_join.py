@@ -14,8 +14,9 @@ frequent that the prefix reaches beyond them.
 
 Only components are wanted, so links that a component has already are not sought again. First every node is
 compared with one hub, the prefix neighbour with the fewest unshared shingles, which joins groups of copies
-at the price of one comparison a node; then all remaining candidate pairs between different components are
-verified, none left out. Sets travel only for pairs to be verified.
+at the price of one comparison a node. Nodes near one hub then meet only in shingles in which both differ from it, so
+that variants of one text which all lie a little too far apart are not met pair by pair. Last, all remaining
+candidate pairs of different components are verified, none left out. Sets travel only for pairs to be compared.
 
 Shingles are 64-bit hashes, and so are nodes: two of N different sets are taken for one with probability N^2 / 2^65.
 
@@ -338,17 +339,50 @@ def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def candidate_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of unlike labels that may link. Of a shingle's nodes, those of its most common label are met with the
-    others, not with one another; a shingle of one label is met by none."""
-    labels = postings.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "label")).label.alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    live = stored(postings.join(labels.select("shingle", "most"), "shingle"))
-    met = live.where("label <> most").alias("a").join(live.alias("b"), "shingle")
-    other = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.most")) | (F.col("a.node") < F.col("b.node")))
+    """(a, b): all pairs of unlike labels and unlike hubs that may link. Of a shingle's nodes, those of its most common hub or
+    label are met with the others, not with one another; a shingle whose nodes have but one is met by none."""
+    own = postings.withColumn("crowd", F.coalesce("hub", "label"))
+    crowds = own.groupBy("shingle", "crowd").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "crowd")).crowd.alias("most"), F.count("*").alias("crowds")).where("crowds > 1")
+    live = stored(own.join(crowds.select("shingle", "most"), "shingle"))
+    met = live.where("crowd <> most").alias("a").join(live.alias("b"), "shingle")
+    other = (F.col("a.label") != F.col("b.label")) & (F.col("a.crowd") != F.col("b.crowd")) & ((F.col("b.crowd") == F.col("b.most")) | (F.col("a.node") < F.col("b.node")))
     pairs = stored(_in_question(met, percent, other))
     discard(live)
     return pairs
 
 
+def near_links(near: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links between nodes (node, hub, n, d, label, delta) that were compared with one hub: what two of them differ in
+    follows from what they differ from the hub in, |a ^ b| = |a ^ h| + |b ^ h| - 2 |(a ^ h) & (b ^ h)|. As their labels are unlike,
+    they do not both link to the hub, so they link only if they share such differences. Only these are met."""
+
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes(batch):
+                flat = [np.frombuffer(x, "<i8") for x in part.column(part.num_columns - 1).to_pylist()]
+                row = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
+                values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(row)) for i in range(part.num_columns - 1)), pa.array(values)], names=["node", "hub", "n", "d", "label", "x"])
+
+    # hubs all of whose nodes have one label have nothing to tell
+    several = near.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("hub")
+    single = near.join(several, "hub", "left_semi").select("node", "hub", "n", "d", "label", "delta").mapInArrow(run, "node long, hub long, n long, d long, label long, x long")
+    single = stored(single)
+    crowds = single.groupBy("hub", "x", "label").agg(F.count("*").alias("k")).groupBy("hub", "x").agg(F.max(F.struct("k", "label")).label.alias("most"), F.sum("k").alias("k"), F.count("*").alias("labels")).where("k > 1")
+    shared = stored(single.join(crowds.select("hub", "x", "most", "labels"), ["hub", "x"]))
+    counts = shared.groupBy("node").agg(F.count("*").alias("s"))
+    live = stored(shared.where("labels > 1").join(counts, "node"))
+    discard(single, shared)
+    most_apart = F.expr(f"({100 - percent}L * (a.n + b.n)) div {100 + percent}")
+    demanded = (F.col("a.d") + F.col("b.d") - most_apart + 1) / 2  # of shared differences, a half more at most
+    other = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.most")) | (F.col("a.node") < F.col("b.node")))
+    met = live.where("label <> most").alias("a").join(live.alias("b"), ["hub", "x"]).where(other & (F.least("a.s", "b.s") + 0.5 >= demanded))
+    pairs = met.groupBy(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).agg(F.count("*").alias("c"), F.max(F.col("a.d") + F.col("b.d") - most_apart).alias("over"))
+    links = stored(pairs.where("2 * c >= over").select("a", "b"))
+    discard(live)
+    return links
+
+
 def set_table(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
     """(node, s binary): the whole sets of the nodes (node, rep) asked for, from the rows with the id `rep`; a node comes
     again where such rows are repeated."""
@@ -386,27 +420,38 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: Dat
     return map_text(docs, id_col, text_col, "node long, s binary", make)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+COMPARED = "a long, b long, na long, nb long, d long, delta binary"
+
+
+def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, deltas: bool) -> DataFrame:
+    """The pairs (a, b) with their sets' sizes and how many shingles only one of them has; and, if wanted, these shingles, where
+    they are at most twice as many as a link allows."""
     both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     own = stored(set_table(docs, id_col, text_col, size, stored(both.join(reps, "node"))))
 
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch):
-                link = []
+                na, nb, d, delta = [], [], [], []
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    n = len(np.intersect1d(x, y, assume_unique=True))
-                    link.append(100 * n >= percent * (len(x) + len(y) - n))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(link, pa.bool_()))
+                    x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                    apart = np.setxor1d(x, y, assume_unique=True)
+                    na.append(len(x))
+                    nb.append(len(y))
+                    d.append(len(apart))
+                    delta.append(apart.tobytes() if deltas and len(apart) * (100 + percent) <= 2 * (100 - percent) * (len(x) + len(y)) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(d, pa.int64()), pa.array(delta, pa.binary())], names=["a", "b", "na", "nb", "d", "delta"])
 
     left = own.select(F.col("node").alias("a"), F.col("s").alias("x"))
     right = own.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    links = stored(compared.mapInArrow(run, "a long, b long"))
+    rows = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, COMPARED).dropDuplicates(["a", "b"]))
     discard(own)
-    return links
+    return rows
+
+
+def links_of(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of compared ones that link."""
+    return pairs.where(F.col("d") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def linked(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,14 +471,20 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     placed = stored(postings.join(edges, "node"))
     discard(both, postings)
 
-    links = verified(stored(hub_pairs(placed, percent)), reps, named, id_col, text_col, size, percent)
+    met = compared(stored(hub_pairs(placed, percent)), reps, named, id_col, text_col, size, percent, deltas=True)
+    links = links_of(met, percent)
+    labels = components(links)
+    # what was compared with a hub, and the hubs, which do not differ from themselves
+    hubs = met.where("delta is not null").groupBy(F.col("b").alias("node")).agg(F.max("nb").alias("n")).select("node", F.col("node").alias("hub"), "n", F.lit(0).cast("long").alias("d"), F.lit(b"").alias("delta"))
+    near = met.where("delta is not null").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("na").alias("n"), "d", "delta").join(hubs, "node", "left_anti").unionByName(hubs)
+    near = stored(near.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    links = stored(links.unionByName(near_links(near, percent)))
     labels = components(links)
-    labelled = stored(placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    discard(placed)
+    labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(near.select("node", "hub"), "node", "left")
     pairs = candidate_pairs(labelled, percent)
-    discard(labelled)
+    discard(placed, met, near)
     if not pairs.isEmpty():
-        links = links.unionByName(verified(pairs, reps, named, id_col, text_col, size, percent))
+        links = links.unionByName(links_of(compared(pairs, reps, named, id_col, text_col, size, percent, deltas=False), percent))
 
     # components by ids: a node stands for its smallest id, and joins the ids that have other texts too
     by_id = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
