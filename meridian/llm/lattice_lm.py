@@ -1,18 +1,21 @@
 """Language-model scoring over the lattice of subword segmentations.
 
-The vocabulary is an existing one, read from a public tokenizer's file; it is not trained. Each of its pieces
-weighs as much as its share in the training documents, whose words the vocabulary itself segments (the file's own
-scores are merge ranks, not log probabilities). A word's probability is the sum over all its segmentations into
-pieces, computed by a forward recursion in log space; a text's is the product over its words and its end. Single
-characters can always be spelt by byte pieces, so that every text has a probability over 0.
+The vocabulary and its scores are existing ones, read from a public tokenizer's file; they are not trained. A piece weighs
+exp(b * score), normalised over the vocabulary. The one number b brings scores of any scale (log probabilities, or ranks of
+merges) to that of the training documents: it is the one for which the expected score of a piece equals the mean score of
+the pieces that the vocabulary segments the training documents into, which is the most likely b. The end of a
+text has its share in the training documents. A word's probability is the sum over all its segmentations into
+pieces, computed by a forward recursion in log space, for many words of like length at once; a text's is the product over its
+words and its end. Single characters can always be spelt by byte pieces, which have the vocabulary's least score, so
+that every text has a probability over 0.
 
 What grows with the corpus is shuffled, never gathered: the words' counts are a table. Only words with at least
 1 / FREQUENT of all training tokens are broadcast, of which there are at most FREQUENT; all other words are
 rare by that bound, so that joining them with the table has no hot key.
 
 Rows: null text is empty, its only token is the end; null ids are in the held-out fold and are kept; a row that
-repeats id and text of another is one row out each; with no training rows all counts are 0; other columns are
-not read.
+repeats id and text of another is one row out each; with no training rows all counts are 0 and all pieces weigh the same;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +25,18 @@ import math
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import map_text, stored, tokens
+from meridian.llm.common import by_bytes, column_bytes, map_text, stored, tokens
 
 #: Bound of the broadcast words, entries of a worker's table of word scores, and of a task's table of counts.
 FREQUENT, TABLE_LIMIT, COUNT_LIMIT = 1_000_000, 800_000, 600_000
+#: Bytes of words whose recursions run side by side, and how many do; longer ones run alone and are not kept.
+BATCHED, BATCH = 64, 8192
+_CODES = 0x110000
 #: Fixed value: what sentencepiece puts before each word.
 MARK = "▁"
 END = b""  # no word is empty, so this stands for the end token in tables of counts
@@ -37,46 +44,111 @@ END = b""  # no word is empty, so this stands for the end token in tables of cou
 
 @lru_cache(maxsize=2)
 def pieces(path: str):
-    """The library's processor, the ids of ordinary pieces by their text, and the ids of byte pieces."""
+    """The library's processor, the ids of ordinary pieces by their text, the ids of byte pieces, and the score of each id."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    usual, single = {}, {}
+    usual, single, score = {}, {}, {}
     for i in range(sp.get_piece_size()):
         text = sp.id_to_piece(i)
         if sp.is_byte(i):
             single[int(text[1:-1], 16)] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             usual[text] = i
-    return sp, usual, single
+            score[i] = sp.get_score(i)
+    least = min(score.values(), default=0.0)
+    return sp, usual, single, score | dict.fromkeys(single.values(), least)
+
+
+def tempered(scores: np.ndarray, mean: float | None) -> float:
+    """The b for which exp(b * score), normalised, has this mean score: by bisection, as the mean grows with b."""
+    if mean is None or not scores.min() < mean < scores.max():
+        return 0.0
+    away = scores - scores.max()
+
+    def expected(b: float) -> float:
+        w = np.exp(b * away) if b >= 0 else np.exp(b * (scores - scores.min()))
+        return float((w * scores).sum() / w.sum())
+
+    low, high = -1.0, 1.0
+    while expected(low) > mean:
+        low *= 2
+    while expected(high) < mean:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if expected(middle) < mean else (low, middle)
+    return (low + high) / 2
 
 
 class Lattice:
-    """Log weights of pieces; scores words by the sum over all segmentations."""
+    """Log weights of pieces in a trie; scores words by the sum over all segmentations."""
 
     def __init__(self, path: str, counts: dict[int, int], ends: int):
-        _, usual, single = pieces(path)
-        kinds = len(usual) + len(single) + 1
-        total = math.log(sum(counts.values()) + ends + 0.1 * kinds)
-        weight = lambda i: math.log(counts.get(i, 0) + 0.1) - total
-        self.byte = [weight(single[b]) if b in single else -total for b in range(256)]
-        self.end = math.log(ends + 0.1) - total
+        _, usual, single, score = pieces(path)
+        ids = list(score)
+        scores = np.array([score[i] for i in ids])
+        used = sum(counts.get(i, 0) for i in ids)
+        self.temper = tempered(scores, sum(counts.get(i, 0) * score[i] for i in ids) / used if used else None)
+        #: Of all tokens, ends included, the share that are ends; one more of each is taken as seen.
+        self.end = math.log((ends + 1) / (used + ends + 2))
+        raw = self.temper * scores
+        top = float(raw.max())
+        norm = top + math.log(np.exp(raw - top).sum()) - math.log1p(-math.exp(self.end))
+        weight = dict(zip(ids, (raw - norm).tolist(), strict=True))
+        self.byte = np.array([weight.get(single.get(b), float(raw.min()) - norm) for b in range(256)])
         #: Log weights of pieces; of prefixes that are not pieces themselves, none.
         self.weight: dict[str, float | None] = {}
         for text, i in usual.items():
             for n in range(1, len(text)):
                 self.weight.setdefault(text[:n], None)
-            self.weight[text] = weight(i)
-        #: The same weights as they are, for texts so short that their products stay far above the least double.
-        self.plain = {t: math.exp(w) if w is not None else 0.0 for t, w in self.weight.items()}
-        self.plain_byte = [math.exp(w) for w in self.byte]
+            self.weight[text] = weight[i]
+        state = {text: k + 1 for k, text in enumerate(self.weight)} | {"": 0}
+        keys = np.array([state[text[:-1]] * _CODES + ord(text[-1]) for text in self.weight], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.arange(1, len(keys) + 1)[order]
+        self.of_state = np.array([-np.inf, *(-np.inf if w is None else w for w in self.weight.values())])
         self.words: dict[bytes, float] = {}
 
+    def spelt(self, codes: np.ndarray) -> np.ndarray:
+        """The log weight of each character's byte pieces."""
+        c = codes.astype(np.int64)
+        b = self.byte
+        two = b[0xC0 | (c >> 6) & 0x1F] + b[0x80 | c & 0x3F]
+        three = b[0xE0 | (c >> 12) & 0x0F] + b[0x80 | (c >> 6) & 0x3F] + b[0x80 | c & 0x3F]
+        four = b[0xF0 | (c >> 18) & 0x07] + b[0x80 | (c >> 12) & 0x3F] + b[0x80 | (c >> 6) & 0x3F] + b[0x80 | c & 0x3F]
+        return np.select([c < 0x80, c < 0x800, c < 0x10000], [b[c & 0x7F], two, three], four)
+
+    def log_probabilities(self, texts: list[str]) -> np.ndarray:
+        """Forward recursion in log space, for texts of like length at once: place by place, the arcs of all texts that leave it."""
+        size = np.array([len(t) for t in texts])
+        longest = int(size.max(initial=0))
+        codes = np.zeros((len(texts), longest), np.int64)
+        codes[np.arange(longest) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        reach = np.full((longest + 1, len(texts)), -np.inf)
+        reach[0] = 0.0
+        for i in range(longest):
+            row = np.flatnonzero(size > i)
+            here = reach[i, row]
+            reach[i + 1, row] = np.logaddexp(reach[i + 1, row], here + self.spelt(codes[row, i]))
+            state = np.zeros(len(row), np.int64)
+            for j in range(i, longest):
+                key = state * _CODES + codes[row, j]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                found = (self.keys[at] == key) & (size[row] > j)
+                row, here, state = row[found], here[found], self.next[at[found]]
+                if not len(row):
+                    break
+                w = self.of_state[state]
+                reach[j + 1, row] = np.logaddexp(reach[j + 1, row], here + w)
+        return reach[size, np.arange(len(texts))]
+
     def log_probability(self, text: str) -> float:
-        """Forward recursion: the log of the summed weight of all segmentations of each prefix."""
+        """The same recursion for one text of any length."""
         n, weight, missing = len(text), self.weight, self
         into: list[list[float]] = [[] for _ in range(n + 1)]
         into[0].append(0.0)
+        spelt = self.spelt(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")).tolist()
         for i in range(n):
             arcs = into[i]
             if len(arcs) == 1:
@@ -84,8 +156,8 @@ class Lattice:
             else:
                 top = max(arcs)
                 here = top + math.log(sum([math.exp(a - top) for a in arcs]))
-            c = text[i]
-            into[i + 1].append(here + (self.byte[ord(c)] if c < "\x80" else sum([self.byte[b] for b in c.encode("utf-8", "surrogatepass")])))
+            into[i] = []
+            into[i + 1].append(here + spelt[i])
             for j in range(i + 1, n + 1):
                 w = weight.get(text[i:j], missing)
                 if w is missing:
@@ -95,42 +167,19 @@ class Lattice:
         top = max(into[n])
         return top + math.log(sum([math.exp(a - top) for a in into[n]]))
 
-    def short_log_probability(self, text: str) -> float:
-        """The same sum for a short text, with one logarithm: of the total."""
-        n, weight, byte = len(text), self.plain.get, self.plain_byte
-        reach = [1.0] + [0.0] * n
-        for i in range(n):
-            here = reach[i]
-            if text[i] < "\x80":
-                reach[i + 1] += here * byte[ord(text[i])]
-            else:
-                part = here
-                for b in text[i].encode("utf-8"):
-                    part *= byte[b]
-                reach[i + 1] += part
-            for j in range(i + 1, n + 1):
-                w = weight(text[i:j])
-                if w is None:
-                    break
-                reach[j] += here * w
-        return math.log(reach[n])
-
-    def word(self, word: bytes) -> float:
-        got = self.words.get(word)
-        if got is None:
-            # 20 bytes by pieces of 1e-12 each are still above 1e-250
-            own = self.short_log_probability if len(word) <= 17 else self.log_probability
-            got = own(MARK + word.decode("utf-8"))
-            if len(word) <= 64:
-                if len(self.words) >= TABLE_LIMIT:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
-    def text(self, counts: Counter) -> float:
-        """Log10 probability of a text, given its words' counts."""
-        word = self.word
-        return (math.fsum([n * word(w) for w, n in counts.items()]) + self.end) / math.log(10)
+    def score(self, own: list[Counter]) -> list[float]:
+        """Log10 probabilities of texts, given their words' counts."""
+        new = sorted({w for counts in own for w in counts if w not in self.words}, key=len)
+        if len(self.words) + len(new) > TABLE_LIMIT:
+            self.words.clear()
+            new = sorted({w for counts in own for w in counts}, key=len)
+        short = [w for w in new if len(w) <= BATCHED]
+        for at in range(0, len(short), BATCH):
+            part = short[at : at + BATCH]
+            self.words.update(zip(part, self.log_probabilities([MARK + w.decode("utf-8") for w in part]).tolist(), strict=True))
+        long = {w: self.log_probability(MARK + w.decode("utf-8")) for w in new[len(short) :]}
+        find = self.words | long if long else self.words
+        return [(math.fsum([n * find[w] for w, n in counts.items()]) + self.end) / math.log(10) for counts in own]
 
     def __reduce__(self):
         return _lattice, (dict(self.__dict__, words={}),)
@@ -149,9 +198,10 @@ def word_counts(train: DataFrame, text_col: str, id_col: str) -> DataFrame:
         total: Counter = Counter()
         schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
-            for t in batch.column(0).cast(pa.large_binary()).to_pylist():
-                total.update(tokens(t or b""))
-                total[END] += 1
+            for part in by_bytes(batch):
+                for t in column_bytes(part.column(0)):
+                    total.update(tokens(t))
+                    total[END] += 1
                 if len(total) > COUNT_LIMIT:
                     yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], schema=schema)
                     total = Counter()
@@ -164,7 +214,7 @@ def piece_counts(counts: DataFrame, vocabulary: str) -> dict[int, int]:
     """How often the vocabulary's segmentation of the counted words uses each piece: one row a piece at most."""
 
     def run(batches):
-        sp, _, _ = pieces(vocabulary)
+        sp = pieces(vocabulary)[0]
         total: Counter = Counter()
         for batch in batches:
             words = [w.decode("utf-8") for w in batch.column(0).to_pylist()]
@@ -196,8 +246,8 @@ def score(docs: DataFrame, is_train: Column, vocabulary: str, id_col: str = "doc
 
         def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
             key, sha, word, n, known, base, full, n_tokens = [], [], [], [], [], [], [], []
-            for i, t in zip(ids.to_pylist(), texts, strict=True):
-                own = Counter(tokens(t))
+            counted = [Counter(tokens(t)) for t in texts]
+            for i, t, own, score in zip(ids.to_pylist(), texts, counted, lattice.score(counted), strict=True):
                 digest = hashlib.md5(t, usedforsecurity=False).digest()
                 base_sum, known_sum, rare = end_log, int(ends > 0), 0
                 for w, k in own.items():
@@ -213,7 +263,7 @@ def score(docs: DataFrame, is_train: Column, vocabulary: str, id_col: str = "doc
                 sha += [digest] * (rare + 1)
                 known += [None] * rare + [known_sum]
                 base += [None] * rare + [base_sum]
-                full += [None] * rare + [lattice.text(own)]
+                full += [None] * rare + [score]
                 n_tokens += [None] * rare + [sum(own.values()) + 1]
                 word.append(None)
                 n.append(None)

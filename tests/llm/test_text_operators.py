@@ -228,7 +228,7 @@ def test_lattice_lm(docs, empty):
 
 def test_lattice_sums_all_segmentations():
     path = P.path("piece_bpe_32k.model")
-    lattice = lattice_lm.Lattice(path, {k: k % 13 for k in range(300, 20000)}, 5)
+    lattice = lattice_lm.Lattice(path, {k: 20000 - k for k in range(300, 20000)}, 5)
 
     def brute(text):
         if not text:
@@ -239,10 +239,27 @@ def test_lattice_sums_all_segmentations():
                 total += math.exp(w) * brute(text[n:])
         return total
 
-    for word in ("▁the", "▁a", "▁héllo", "▁漢x", "▁singing"):
+    words = ("▁the", "▁a", "▁héllo", "▁漢x", "▁singing", "▁😀é")
+    for word, batched in zip(words, lattice.log_probabilities(list(words)), strict=True):
         assert lattice.log_probability(word) == pytest.approx(math.log(brute(word)), rel=1e-12)
-        assert lattice.short_log_probability(word) == pytest.approx(math.log(brute(word)), rel=1e-12)
-    assert math.isfinite(lattice.log_probability("▁" + "x" * 5000))
+        assert batched == pytest.approx(math.log(brute(word)), rel=1e-12)
+    for n in (64, 5000):
+        assert lattice.log_probability("▁" + "x" * n) == pytest.approx(lattice.log_probabilities(["▁" + "x" * n])[0], rel=1e-12)
+
+
+def test_lattice_weights_are_the_vocabularys_scores():
+    path = P.path("piece_bpe_32k.model")
+    _, usual, single, score = lattice_lm.pieces(path)
+    counts = {i: 32000 - k for k, i in enumerate(usual.values())}
+    lattice = lattice_lm.Lattice(path, counts, 7)
+    weights = {i: lattice.weight[t] for t, i in usual.items()} | {i: lattice.byte[b] for b, i in single.items()}
+    assert sum(map(math.exp, weights.values())) + math.exp(lattice.end) == pytest.approx(1, rel=1e-9)
+    a, b = list(usual.values())[10], list(usual.values())[3000]
+    assert weights[a] - weights[b] == pytest.approx(lattice.temper * (score[a] - score[b]), rel=1e-9) and lattice.temper > 0
+    mean = sum(n * score[i] for i, n in counts.items()) / sum(counts.values())
+    inside = sum(map(math.exp, weights.values()))
+    assert sum(math.exp(w) * score[i] for i, w in weights.items()) / inside == pytest.approx(mean, rel=1e-6)
+    assert lattice_lm.Lattice(path, {}, 0).temper == 0
 
 
 def shingle_set(t, size):
