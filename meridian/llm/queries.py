@@ -54,7 +54,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=20)
     return found.select(
         "doc_id",
         "n_words",
@@ -62,6 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
     )
 
 
@@ -97,9 +98,14 @@ bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + lea
 dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM bw) l, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS i)),
 h AS (SELECT doc_id, i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
 c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, LATERAL (SELECT unnest(generate_series(i, i + n - 1)) AS j) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id),
+p AS (SELECT doc_id, i, w[i] AS term FROM d, LATERAL (SELECT unnest(generate_series(1, len(w))) AS i)), f AS (SELECT term, count(*) AS f FROM p GROUP BY term),
+k AS (SELECT DISTINCT k, string_split(k, ' ') AS w FROM bw), wt AS (SELECT k, o, w[o] AS term FROM k, LATERAL (SELECT unnest(generate_series(1, len(w))) AS o)),
+r AS (SELECT k, first(wt.term ORDER BY f, o) AS rarest, count(DISTINCT wt.term) AS kinds FROM wt LEFT JOIN f ON wt.term = f.term GROUP BY k HAVING count(*) = count(f)),
+u AS (SELECT DISTINCT k, term FROM wt), g AS (SELECT p.doc_id, p.i, r.k FROM r JOIN p ON p.term = r.rarest JOIN u ON u.k = r.k JOIN p AS x ON x.doc_id = p.doc_id AND x.term = u.term AND x.i BETWEEN p.i - 20 AND p.i + 20 GROUP BY p.doc_id, p.i, r.k, r.kinds HAVING count(DISTINCT u.term) = r.kinds),
+e AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT doc_id, item FROM g JOIN bw ON g.k = bw.k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN e ON d.doc_id = e.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:

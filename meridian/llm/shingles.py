@@ -38,10 +38,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) of all texts in order, and each text's number of words.
+def words(texts: list[bytes], translation: bytes = LOWER_TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word `[^\\x20\\x09-\\x0D]+` of all texts in order, translated byte by byte, and each text's number of words.
     A word's lanes of eight bytes are mixed one after the other; words over LONG bytes have a cryptographic hash."""
-    joined = b"\n".join(texts).translate(LOWER_TABLE) + b"\n"
+    joined = b"\n".join(texts).translate(translation) + b"\n"
     edge = np.flatnonzero(np.diff(np.frombuffer(joined.translate(_IS_SPACE), np.int8), prepend=1))
     starts, ends = edge[0::2], edge[1::2]
     size = ends - starts

@@ -353,22 +353,46 @@ ITEMS = [(1, PASSAGE), (2, "One, TWO"), (3, None), (4, "!!"), (5, prose(15, 99))
 
 def test_decontamination(spark, docs, empty, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    items = [(i, t) for i, t in ITEMS if i is not None]
-    want = expected(lambda i, t: (i, *brute_hits(t, items)))
+    want = expected(lambda i, t: (i, *with_null(*brute_hits(t, ITEMS))))
     names = ["doc_id", "n_words", "n_hit", "items"]
     assert collected(decontamination.contamination(docs, bench).select(*names)) == want
-    monkeypatch.setattr(decontamination, "SLICE_BYTES", 40)  # several slices
+    monkeypatch.setattr(decontamination, "WINDOWS", 5)  # several groups of windows
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", 4000)  # and many slices
     assert collected(decontamination.contamination(docs, bench).select(*names)) == want
     kept = decontamination.uncontaminated(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, t in TEXTS if not brute_hits(t, items)[1]}
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, t in TEXTS if not brute_hits(t, ITEMS)[1])
     assert decontamination.contamination(empty, bench).collect() == []
     assert {r.n_hit for r in decontamination.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
-def test_proximity(docs):
-    found = {r.doc_id: list(r.places) for r in decontamination.proximity(docs, [["wizards", "Coffee"]], 3).collect()}
-    assert set(found) == {8, 9}
-    assert decontamination.proximity(docs, [["wizards", "fox"]], 2).collect() == []
+def with_null(n, hit, who):
+    return n, hit, [w for w in who if w != "None"] + [None] * ("None" in who)
+
+
+def test_proximity(spark, docs):
+    found = decontamination.proximity(docs, [["wizards", "Coffee"], ["wizards", "fox"], []], 3).collect()
+    assert {(r.doc_id, r["query"]) for r in found} == {(8, 0), (9, 0)}
+    # all of a window's words within so many of its rarest, in any order; words of the neighbour document do not count
+    rows = spark.createDataFrame([(1, "a x y b"), (2, "b a"), (3, "a a a a"), (4, "b"), (5, "a x x x x b"), (6, None)], "doc_id string, text string")
+    near = decontamination.contamination(rows.coalesce(1), spark.createDataFrame([("i", "a b"), ("j", "b")], "item_id string, text string"), within=3)
+    assert {r.doc_id: (list(r["items"]), r.near) for r in near.collect()} == {"1": (["j"], ["i", "j"]), "2": (["j"], ["i", "j"]), "3": ([], []), "4": (["j"], ["j"]), "5": (["j"], ["j"]), "6": ([], [])}
+
+
+def test_lists_of_positions(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    hashes = r.integers(0, 1 << 63, 40, dtype=np.uint64)[r.integers(0, 40, 3000)]
+    at = np.cumsum(r.integers(1, 200, 3000))
+    for own in (hashes, np.where(hashes % np.uint64(3) == 0, hashes[0], hashes[0] ^ np.uint64(1))):  # the second: like upper bits
+        terms, first, position = decontamination._lists(own, at)
+        packed = decontamination._packed(first, position).to_pylist()
+        sizes = np.diff(np.append(first, len(position)))
+        assert sorted(terms.tolist()) == sorted(set(own.tolist()))
+        for t, data, n in zip(terms.tolist(), packed, sizes.tolist(), strict=True):
+            assert decontamination.unpacked(data, n).tolist() == at[own == t].tolist()
+    far = decontamination._packed(np.array([0, 2]), np.array([5, 70_000, 1, 2, 3]))
+    assert decontamination.unpacked(far[0].as_py(), 2).tolist() == [5, 70_000] and decontamination.unpacked(far[1].as_py(), 3).tolist() == [1, 2, 3]
 
 
 @pytest.mark.parametrize("bound", [suffix_dedup.BROADCAST_RUNS, -1])
@@ -420,17 +444,10 @@ def test_license_scan_of_many_tags_and_long_expressions(spark):
         assert license_scan.identifiers(text) == set().union(*license_scan.choices(text))
 
 
-def test_decontamination_by_items_without_id(spark, docs, monkeypatch):
+def test_decontamination_by_items_without_id(spark, docs):
     items = [*ITEMS, (None, PASSAGE), (None, "it")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-
-    def one(i, t):
-        n, hit, who = brute_hits(t, items)  # null is "None" there
-        return (i, n, hit, [w for w in who if w != "None"] + [None] * ("None" in who))
-
     names = ["doc_id", "n_words", "n_hit", "items"]
-    assert collected(decontamination.contamination(docs, bench).select(*names)) == expected(one)
+    assert collected(decontamination.contamination(docs, bench).select(*names)) == expected(lambda i, t: (i, *with_null(*brute_hits(t, items))))
     kept = {r.doc_id for r in decontamination.uncontaminated(docs, bench).collect()}
     assert kept == {i for i, t in TEXTS if not brute_hits(t, items)[1]} and 10 not in kept
-    monkeypatch.setattr(decontamination, "SLICE_BYTES", 40)  # several slices
-    assert collected(decontamination.contamination(docs, bench).select(*names)) == expected(one)
