@@ -18,6 +18,8 @@ a long are clipped to it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,17 +34,27 @@ ENERGY = 0.75
 _MAX, _MIN = (1 << 63) - 1, -(1 << 63)
 
 
-def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
-    """(id, x array<double>, norm): whole-numbered components; only vectors that take part."""
-    x = F.transform(F.col(vector_col), lambda v: _floor(v.cast("double") * scale))
-    good = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    rows = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
+def _good(id_col: str, vector_col: str) -> Column:
+    """Which vectors take part."""
+    return F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+
 
+def shift_of(vectors: DataFrame, id_col: str, vector_col: str) -> int:
+    """By how many binary places components are shifted down so that sums of their squares stay finite: 0 unless a component is
+    over 1e120. Shifts by powers of two are exact."""
+    largest = vectors.where(_good(id_col, vector_col)).agg(F.max(F.aggregate(vector_col, F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v.cast("double")))))).first()[0]
+    return max(0, math.frexp(largest or 0.0)[1] + 8 - 400)
 
-def _floor(v: Column) -> Column:
-    """Floor that stays a double, also beyond the range of a long."""
-    return F.when(F.abs(v) < 2.0**52, F.floor(v).cast("double")).otherwise(v)
+
+def integers(vectors: DataFrame, id_col: str, vector_col: str, shift: int = 0) -> DataFrame:
+    """(id, x array<double>, norm): floor(256 * component) / 2^shift; only vectors that take part."""
+
+    def whole(v: Column) -> Column:
+        v = v.cast("double")  # from 2^44 on, 256 times a double is a whole number
+        return F.when(F.abs(v) < 2.0**44, F.floor(v * 256.0).cast("double") * 2.0**-shift).otherwise(v * 2.0 ** (8 - shift))
+
+    rows = vectors.where(_good(id_col, vector_col)).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), whole).alias("x"))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -107,13 +119,28 @@ def blocks(rows: DataFrame, dim: int, size: int, where: Column | None = None) ->
     return ordered.select("id", "x", "norm").mapInArrow(run, "block long, ids binary, x binary, longest double")
 
 
-def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of whole-numbered rows, pair by pair, as int64."""
+def exact_products(q: np.ndarray, x: np.ndarray, shift: int = 0) -> np.ndarray:
+    """Inner products of whole-numbered rows (shifted down by `shift`), pair by pair, as int64; clipped to its range."""
     if not len(q):
         return np.zeros(0, np.int64)
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53:
+    if not shift and np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53:
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(u, v, strict=True)), _MIN), _MAX) for u, v in zip(q, x, strict=True)], np.int64)
+
+    def number(v: float) -> int:
+        top, bottom = v.as_integer_ratio()
+        return (top << shift) // bottom
+
+    return np.array([min(max(sum(number(a) * number(b) for a, b in zip(u, v, strict=True)), _MIN), _MAX) for u, v in zip(q.tolist(), x.tolist(), strict=True)], np.int64)
+
+
+def bounds_of(at: np.ndarray, scores: np.ndarray, queries: int, k: int, shift: int) -> np.ndarray:
+    """The k-th best score of each query that has k, in the terms of shifted products; none where that score was clipped from below."""
+    bound, worst = np.full(queries, -np.inf), np.full(queries, np.inf)
+    np.minimum.at(worst, at, scores.astype(np.float64))
+    full = np.bincount(at, minlength=queries) == k
+    keep = full & (worst > float(_MIN))
+    bound[keep] = np.ldexp(worst[keep], -2 * shift)
+    return bound
 
 
 def best(qi: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -129,11 +156,10 @@ def best(qi: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndar
     return order[rank < k]
 
 
-def search_block(q_ids, q, bound, ids, x, k: int, turn: np.ndarray, keep: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(q_ids, q, bound, ids, x, k: int, turn: np.ndarray, keep: int, shift: int = 0, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of one block of vectors (longest first) for each query whose k-th best is at least `bound`.
     Returns query places, ids and scores."""
     found_q, found_i, found_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bound = bound.copy()
     q_len, x_len = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
     q_turn, x_turn = q @ turn[:, :keep], x @ turn[:, :keep]
     q_rest = np.sqrt(np.maximum(q_len**2 - (q_turn**2).sum(1), 0))
@@ -151,19 +177,17 @@ def search_block(q_ids, q, bound, ids, x, k: int, turn: np.ndarray, keep: int, s
         qi, xi = qi[other], xi[other]
         if not len(qi):
             continue
-        qi, cand, score = np.concatenate((found_q, qi)), np.concatenate((found_i, ids[xi])), np.concatenate((found_s, exact_products(q[qi], x[xi])))
+        qi, cand, score = np.concatenate((found_q, qi)), np.concatenate((found_i, ids[xi])), np.concatenate((found_s, exact_products(q[qi], x[xi], shift)))
         top = best(qi, cand, score, k)
         found_q, found_i, found_s = qi[top], cand[top], score[top]
-        full = np.flatnonzero(np.bincount(found_q, minlength=len(q)) == k)
-        worst = np.full(len(q), np.inf)
-        np.minimum.at(worst, found_q, found_s.astype(np.float64))
-        bound[full] = np.maximum(bound[full], worst[full])
+        bound = np.maximum(bound, bounds_of(found_q, found_s, len(q), k, shift))
     return found_q, found_i, found_s
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k best of all other rows for each row that `is_query` names (by `id`)."""
-    rows = stored(integers(vectors, id_col, vector_col))
+    shift = shift_of(vectors, id_col, vector_col)
+    rows = stored(integers(vectors, id_col, vector_col, shift))
     result = "query_id long, id long, score long"
     stats = rows.agg(F.max(F.size("x")).alias("dim"), F.count("*").alias("n")).first()
     dim = max(1, stats.dim or 0)
@@ -179,12 +203,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, q = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["x"], "<f8").reshape(-1, dim)
-                bound = np.full(len(q), -np.inf)
-                at, _, scores = search_block(q_ids, q, bound, head_ids, head_x, k, turn, keep)
-                full = np.flatnonzero(np.bincount(at, minlength=len(q)) == k)
-                worst = np.full(len(q), np.inf)
-                np.minimum.at(worst, at, scores.astype(np.float64))
-                bound[full] = worst[full]
+                at, _, scores = search_block(q_ids, q, np.full(len(q), -np.inf), head_ids, head_x, k, turn, keep, shift)
+                bound = bounds_of(at, scores, len(q), k, shift)
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["ids"]], pa.binary()), pa.array([row["x"]], pa.binary()), pa.array([bound.astype("<f8").tobytes()], pa.binary()), pa.array([float(np.linalg.norm(q, axis=1).max(initial=0))]), pa.array([float(bound.min(initial=np.inf))])], names=["q_block", "q_ids", "q", "bound", "q_longest", "least"])
 
     asked = stored(blocks(rows, dim, QUERY_BLOCK, is_query).mapInArrow(seed, "q_block long, q_ids binary, q binary, bound binary, q_longest double, least double"))
@@ -200,7 +220,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("q_ids", "q", "bound", "ids", "x")}
                 q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                at, found, scores = search_block(q_ids, np.frombuffer(row["q"], "<f8").reshape(-1, dim), np.frombuffer(row["bound"], "<f8"), ids, np.frombuffer(row["x"], "<f8").reshape(-1, dim), k, turn, keep)
+                at, found, scores = search_block(q_ids, np.frombuffer(row["q"], "<f8").reshape(-1, dim), np.frombuffer(row["bound"], "<f8"), ids, np.frombuffer(row["x"], "<f8").reshape(-1, dim), k, turn, keep, shift)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "id", "score"])
 
     found = work.mapInArrow(run, result).distinct()

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -45,6 +46,19 @@ def test_topk_of_large_components(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, (1 << 63) - 1), (2, 256 * 512)]
 
 
+@pytest.mark.parametrize("big", [1e130, 1e160, 1.7e308, -1e300])
+def test_topk_of_huge_components(spark, big):
+    rows = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [1.0, 2.0]), (3, [-big, 5.0]), (4, [0.0, 3.0]), (50, [0.25, 1e-300]), (51, [-1e-9, 1e150])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, k=6).collect()
+    low, high = -(1 << 63), (1 << 63) - 1
+    whole = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        scored = sorted((-min(max(sum(x * y for x, y in zip(whole[q], b)), low), high), i) for i, b in whole.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+
+
 PAGES = [(i, f"http://h/{i % 7}", f"<p>{i % 5}</p>" * 200) for i in range(40)] + [
     (40, None, "short"),
     (41, "http://h/é\r\nX: y", "short"),
