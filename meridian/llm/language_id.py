@@ -29,7 +29,7 @@ ORDER = 3
 #: The bound of the training sample, for each language, and of the number of languages.
 SAMPLE_ROWS, SAMPLE_BYTES, MAX_LANGUAGES = 140, 16 << 10, 256
 UNDETERMINED = "und"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _spread(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
