@@ -1,11 +1,13 @@
-"""License scans: an Aho-Corasick automaton finds notice phrases and identifier tags in one pass over a text,
-and a shunting-yard parser evaluates the and/or/with expressions behind the tags.
+"""License scans: Aho-Corasick automata find notice phrases and identifier tags, and a shunting-yard parser evaluates the
+and/or/with expressions behind the tags.
 
 A text becomes its words, lower-cased and joined by single spaces, so that a phrase is found wherever its
-words stand consecutively. Phrases give the base labels. An SPDX tag is followed by an expression such as
-`(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0`; its identifiers give further labels.
-The score says how sure a text is licensed: 1 - 0.5^k with k the weighted evidence, a tag whose expression
-parses counting 2 and a phrase 1. A tag's expression ends at the latest with its line or where the next tag begins.
+words stand consecutively. Phrases give the base labels. A tag is followed by an expression such as
+`(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0`, which is evaluated: `and` gives a label for each
+side, as all hold; `or` gives one label for the choice, `apache-2.0 or mit`; `with` ties an exception to its licence.
+The score says how sure a text's licence is: 1 - 0.5^k with k the weighted evidence, 1 for a phrase and 1 + 1 / c for a
+tag, where c is how many choices its expression leaves. A tag's expression ends at the latest with its line or where the
+next tag begins. A single word that no licence is called by, as in a sentence about tags, is no expression.
 
 Rows: null text has no words; no place means null first and last word, empty labels and score 0; null or
 repeated ids are kept, one row out for each row in; other columns are not read.
@@ -20,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meridian.llm.common import map_text, words
+from meridian.llm.common import LOWER_TABLE, map_text, words
 
 #: Phrases of notices and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -36,7 +38,14 @@ MORE_PHRASES = {
 }
 #: Fixed value: the words of the identifier tag "SPDX-License-Identifier:".
 TAG = "spdx license identifier"
-_TAG = re.compile(rb"spdx-license-identifier:", re.IGNORECASE)
+RAW_TAG = "spdx-license-identifier:"
+#: Licences whose identifiers have neither a digit nor a hyphen.
+BARE = frozenset(
+    "0bsd aal adsl afmparse aladdin apafml baekmuk bahyph barr beerware caldera clartistic crossword cube curl diffmark doc dotseqn dsdp egenix entessa eurosym fair "
+    "fdk fsfap fsful fsfullr ftl giftware gl2ps glide glulxe gnuplot hpnd icu ijg imagemagick info-zip intel ipa isc jasper json latex2e leptonica libpng libtiff "
+    "mit mitnfa motosoto mpich2 mtll mup naist naumen ncsa net-snmp netcdf newsletr ngpl nlpl noweb ntp openssl plexus postgresql psfrag psutils qhull rdisc rsa-md "
+    "ruby saxpath scea sendmail sleepycat snia spl tcl ttwl unlicense vim vostrom w3c watcom wsuipa wtfpl x11 xerox xinetd xnet xpp xskat zed zlib".split()
+)
 _LINE_END = re.compile(rb"[\r\n]")
 _LEXEME = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: Binding strength of the operators.
@@ -79,29 +88,6 @@ def postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
-def choices(expression: str) -> list[frozenset[str]] | None:
-    """The sets of licences that each satisfy the expression (`or` gives a choice, `and` joins, `with` ties an
-    exception to its licence), or None if it does not parse. At most 64 choices are kept apart; beyond that the
-    identifiers are joined to one set, which is the strictest reading."""
-    order = postfix(expression)
-    if order is None:
-        return None
-    stack: list[list[frozenset[str]]] = []
-    for item in order:
-        if item not in _STRENGTH:
-            stack.append([frozenset([item])])
-            continue
-        b, a = stack.pop(), stack.pop()
-        if item == "or":
-            got = list(dict.fromkeys(a + b))
-        elif item == "and":
-            got = list(dict.fromkeys(x | y for x in a for y in b)) if len(a) * len(b) <= 4096 else [frozenset().union(*a, *b)]
-        else:
-            got = [frozenset(f"{x} with {y}" for x in one for two in b for y in two) for one in a]
-        stack.append(got if len(got) <= 64 else [frozenset().union(*got)])
-    return stack[0]
-
-
 def leading_expression(line: str) -> str:
     """The longest start of a tag's line that parses: prose may follow the expression."""
     lexemes: list[str] = []
@@ -122,34 +108,63 @@ def leading_expression(line: str) -> str:
     return " ".join(lexemes[:best])
 
 
-def identifiers(expression: str) -> set[str] | None:
-    """All identifiers of an expression, those of all its choices together, or None if it does not parse. The
-    smaller set goes into the larger, so that long expressions take about as long as they are."""
+def evaluated(expression: str) -> tuple[set[str], int] | None:
+    """The labels that all hold, and how many choices are left; or None if the expression does not parse. A choice is written
+    with its sides in order, and with brackets around a side on which several hold. The smaller set goes into the larger,
+    so that long expressions take about as long as they are."""
     order = postfix(expression)
-    if order is None:
+    if order is None or len(order) == 1 and not (order[0] in BARE or re.search("[0-9-]", order[0])):
         return None
-    stack: list[set[str]] = []
+    # labels that hold, sides of a choice if this is one, and choices
+    stack: list[tuple[set[str], list[str] | None, int]] = []
     for item in order:
         if item not in _STRENGTH:
-            stack.append({item})
+            stack.append(({item}, None, 1))
             continue
-        b, a = stack.pop(), stack.pop()
+        (b, b_sides, n), (a, a_sides, m) = stack.pop(), stack.pop()
         if item == "with":
-            stack.append({f"{x} with {y}" for x in a for y in b})
-        else:
+            stack.append(({f"{_side(a, a_sides)} with {_side(b, b_sides)}"}, None, m))
+        elif item == "and":
+            a, b = (_whole(a, a_sides), _whole(b, b_sides))
             if len(a) < len(b):
                 a, b = b, a
             a |= b
-            stack.append(a)
-    return stack[0]
+            stack.append((a, None, max(m, n)))
+        else:
+            sides = a_sides or [_side(a, None)]
+            sides += b_sides or [_side(b, None)]
+            stack.append((set(), sides, m + n))
+    labels, sides, n = stack[0]
+    return _whole(labels, sides), n
+
+
+def _side(labels: set[str], sides: list[str] | None) -> str:
+    """One side of an operator as text."""
+    if sides:
+        return f"({' or '.join(sorted(set(sides)))})"
+    if len(labels) == 1:
+        return next(iter(labels))
+    return f"({' and '.join(sorted(f'({x})' if ' or ' in x else x for x in labels))})"
+
+
+def _whole(labels: set[str], sides: list[str] | None) -> set[str]:
+    return {" or ".join(sorted(set(sides)))} if sides else labels
+
+
+@lru_cache(maxsize=1)
+def tag_automaton():
+    found = ahocorasick.Automaton()
+    found.add_word(RAW_TAG, len(RAW_TAG))
+    found.make_automaton()
+    return found
 
 
 def tag_lines(data: bytes):
     """What follows each identifier tag, up to the line's end or the next tag."""
-    tags = [m.span() for m in _TAG.finditer(data)]
-    for (_, start), (end, _) in zip(tags, [*tags[1:], (len(data), 0)], strict=True):
-        line_end = _LINE_END.search(data, start, end)
-        yield data[start : line_end.start() if line_end else end]
+    ends = [end + 1 for end, _ in tag_automaton().iter(data.translate(LOWER_TABLE).decode("latin-1"))]
+    for start, after in zip(ends, [*(e - len(RAW_TAG) for e in ends[1:]), len(data)], strict=True):
+        line_end = _LINE_END.search(data, start, after)
+        yield data[start : line_end.start() if line_end else after]
 
 
 @lru_cache(maxsize=4)
@@ -165,7 +180,7 @@ def scan(data: bytes, find) -> dict[str, object]:
     own = words(data)
     text = (b" " + b" ".join(own) + b" ").decode("latin-1") if own else ""
     base, more, starts = set(), set(), []
-    evidence, tagged, at, word = 0, False, 0, -1
+    evidence, tagged, at, word = 0.0, False, 0, -1
     hits = sorted((end - back, label, is_base) for end, (back, label, is_base) in find.iter(text))
     for place, label, is_base in hits:
         word += text.count(" ", at, place + 1)  # the words before: each has a space in front
@@ -180,10 +195,10 @@ def scan(data: bytes, find) -> dict[str, object]:
             starts.append(word)
     if tagged:
         for line in tag_lines(data):
-            parsed = identifiers(leading_expression(line.decode("utf-8", "replace")))
+            parsed = evaluated(leading_expression(line.decode("utf-8", "replace")))
             if parsed:
-                evidence += 2
-                more |= parsed
+                more |= parsed[0]
+                evidence += 1 + 1 / parsed[1]
     return {
         "n_words": len(own),
         "n_base": len(starts),

@@ -131,7 +131,7 @@ def test_license_scan(docs, empty):
     found = license_scan.scan_licenses(docs)
     assert collected(found.select(*names)) == expected(one)
     tagged = found.where("doc_id = 7").first()
-    assert tagged.labels == "apache,apache-2.0,gpl-2.0-only with classpath-exception-2.0,mit" and 0 < tagged.score < 1
+    assert tagged.labels == "apache,apache-2.0 or mit,gpl-2.0-only with classpath-exception-2.0,mit" and 0 < tagged.score < 1
     assert license_scan.scan_licenses(empty).collect() == []
 
 
@@ -143,8 +143,25 @@ def test_shunting_yard(expression, order):
     assert license_scan.postfix(expression) == (order.split() if order else None)
 
 
-def test_licence_choices():
-    assert license_scan.choices("(mit or apache-2.0) and gpl-2.0 with x") == [frozenset({"mit", "gpl-2.0 with x"}), frozenset({"apache-2.0", "gpl-2.0 with x"})]
+@pytest.mark.parametrize(
+    ("expression", "labels", "choices"),
+    [
+        ("MIT AND Apache-2.0", {"mit", "apache-2.0"}, 1),
+        ("MIT OR Apache-2.0", {"apache-2.0 or mit"}, 2),
+        ("(mit or apache-2.0) and gpl-2.0 with x", {"apache-2.0 or mit", "gpl-2.0 with x"}, 2),
+        ("mit or gpl-2.0 and isc or mit", {"(gpl-2.0 and isc) or mit"}, 3),
+        ("(a or b) with (c or d)", {"(a or b) with (c or d)"}, 2),
+        ("a and (b or c and (d or a))", {"a", "((a or d) and c) or b"}, 3),
+        ("the", None, 0),
+        ("Zlib", {"zlib"}, 1),
+        ("a and", None, 0),
+    ],
+)
+def test_licence_expressions(expression, labels, choices):
+    assert license_scan.evaluated(expression) == ((labels, choices) if labels else None)
+
+
+def test_leading_expression():
     assert license_scan.leading_expression("MIT OR Apache-2.0 see the file") == "MIT OR Apache-2.0"
 
 
@@ -435,13 +452,13 @@ def test_license_scan_of_many_tags_and_long_expressions(spark):
     tag = "SPDX-License-Identifier:"
     many = f"/*! {tag} MIT */ x=1; /* {tag}Apache-2.0 */ y=2; // spdx-license-identifier: BSD-3-Clause OR ISC\r{tag}"
     long = f"{tag} " + " OR ".join(f"L{k}" for k in range(300)) + " text follows"
-    rows = spark.createDataFrame([(1, many), (2, long), (3, f"{tag} MIT and or Zlib")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, many), (2, long), (3, f"{tag} MIT and or Zlib"), (4, f"{tag} MIT OR Apache-2.0"), (5, f"{tag} MIT AND Apache-2.0"), (6, f"{tag} the quick brown fox")], "doc_id long, text string")
     found = {r.doc_id: r for r in license_scan.scan_licenses(rows).collect()}
-    assert found[1].labels == "apache-2.0,bsd-3-clause,isc,mit" and found[1].score == 1 - 0.5**6
-    assert found[2].labels == ",".join(sorted(f"l{k}" for k in range(300)))
+    assert found[1].labels == "apache-2.0,bsd-3-clause or isc,mit" and found[1].score == 1 - 0.5**5.5
+    assert found[2].labels == " or ".join(sorted(f"l{k}" for k in range(300)))
     assert found[3].labels == "mit" and found[3].score == 0.75
-    for text in ("(mit or apache-2.0) and gpl-2.0 with x", "(a or b) with (c or d)", "a and (b or c and (d or a))"):
-        assert license_scan.identifiers(text) == set().union(*license_scan.choices(text))
+    assert (found[4].labels, found[4].score, found[5].labels, found[5].score) == ("apache-2.0 or mit", 1 - 0.5**1.5, "apache-2.0,mit", 0.75)
+    assert found[6].labels == "" and found[6].score == 0
 
 
 def test_decontamination_by_items_without_id(spark, docs):
