@@ -1,38 +1,42 @@
 """Least-squares adjustment of many networks at once, and of one network too large for a task.
 
-Observation equations, normal equations, residuals and statistics are columns, joins and sums over all networks; only
-the solution of each network's own normal equations is NumPy, one group a network.
+adjust() deals whole networks to groups in one shuffle, and a group's networks are estimated together in NumPy
+(gauss_newton). A network too large for a task has its observation equations, normal equations and
+vectors as tables over all executors (adjust_distributed).
 
 stations: network_id, station, x (east), y (north), z (up), fixed boolean, and null components where a frame has none.
-observations: network_id, obs, type, at, to, third, value, variance, setup.
-Unknowns are named station:x, station:y, station:z and orientation:setup."""
+observations: network_id, obs, type, at, to, third, value, variance, setup; elapsed_at, elapsed_to where a drift is estimated.
+Unknowns are named station:x, station:y, station:z, orientation:setup and drift_1:setup."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import distributions as dist
+from meridian.functions import geodesy
 from meridian.functions.angles import circular_mean, wrap_to_2pi, wrap_to_pi
-from meridian.sources.shared import stored
-
-#: Convergence in metres and radians, iterations, relative rank tolerance, uncheckable redundancy.
-CONVERGENCE, ITERATIONS, RANK_TOLERANCE, UNCHECKABLE = 1e-4, 20, 1e-12, 0.01
-#: Unknown components of a frame.
-FRAMES = {"height_1d": ("z",), "plane_2d": ("x", "y"), "local_3d": ("x", "y", "z")}
+from meridian.operators.gauss_newton import CONVERGENCE, EXTRA_NAMES, EXTRAS, ITERATIONS, STATIONS_OF, Networks, solve
+from meridian.sources.shared import discard, stored
+
+#: Fixed value: the redundancy below which an observation can't be checked.
+UNCHECKABLE = 0.01
+#: Unknown components of a frame; gravity is kept as z.
+FRAMES = {"height_1d": ("z",), "gravity_1d": ("z",), "plane_2d": ("x", "y"), "local_3d": ("x", "y", "z"), "geocentric_3d": ("x", "y", "z")}
+GRAVITY_TYPES = ("GRAVITY", "GRAVITY_DIFFERENCE")
+#: Types whose equations are columns as well.
+DISTRIBUTED_TYPES = ("HEIGHT_DIFFERENCE", "HEIGHT", "HORIZONTAL_DISTANCE", "SLOPE_DISTANCE", "ZENITH_ANGLE", "AZIMUTH", "DIRECTION", "HORIZONTAL_ANGLE", "X_DIFFERENCE", "Y_DIFFERENCE")
 #: Types whose values are angles.
 ANGULAR = ("DIRECTION", "HORIZONTAL_ANGLE", "AZIMUTH", "ZENITH_ANGLE")
-#: Bytes of a dense solution above which one network is solved over all executors.
-DENSE_BYTES = 1 << 30
-
-
-def dense_footprint(rows: int, parameters: int) -> int:
-    return 8 * (6 * rows * rows + 4 * rows * parameters + 2 * parameters * parameters)
+#: Rows of observations that a group of whole networks has, about.
+GROUP_ROWS = 100_000
 
 
 def _partial(station: str, component: str, value: Column) -> Column:
@@ -103,87 +107,26 @@ def right_side(design: DataFrame) -> DataFrame:
     return design.select("network_id", "misclosure", "weight", F.explode("partials").alias("p")).groupBy("network_id", F.col("p.parameter").alias("i")).agg(F.sum(F.col("weight") * F.col("p.a") * F.col("misclosure")).alias("u"))
 
 
-def inner_constraints(names: list[str], position: dict[str, float], defect: tuple[str, ...]) -> np.ndarray:
-    """Columns of the datum's null space at the approximate coordinates: translations, rotation, scale; unit length."""
-    part = [n.rpartition(":") for n in names]
-    kind = np.array([c if s != "orientation" else "" for s, _, c in part])
-    value = np.array([position.get(n, 0.0) for n in names])
-    centred = {c: np.where(kind == c, value - (value[kind == c].mean() if (kind == c).any() else 0.0), 0.0) for c in "xyz"}
-    columns = []
-    for d in defect:
-        if d in ("x", "y", "z"):
-            columns.append((kind == d).astype(float))
-        elif d == "rotation":
-            at = {n: i for i, n in enumerate(names)}
-            g = np.zeros(len(names))
-            for i, (s, _, c) in enumerate(part):
-                if c == "x" and f"{s}:y" in at:
-                    g[i] = -centred["y"][at[f"{s}:y"]]
-                elif c == "y" and f"{s}:x" in at:
-                    g[i] = centred["x"][at[f"{s}:x"]]
-            columns.append(g)
-        elif d == "scale":
-            columns.append(centred["x"] + centred["y"] + centred["z"])
-    g = np.stack(columns, axis=1) if columns else np.zeros((len(names), 0))
-    return g / np.maximum(np.linalg.norm(g, axis=0), 1e-300)
-
-
-SOLUTION = "network_id string, i string, j string, q double, dx double, rank_defect int"
-
-
-def solve_networks(normal: DataFrame, right: DataFrame, positions: DataFrame | None = None, defect: tuple[str, ...] = ()) -> DataFrame:
-    """(network_id, i, j, q, dx, rank_defect): cofactors of each network's unknowns, corrections on the diagonal rows. A network whose
-    normal matrix has null vectors beyond the stated defect gets its rank defect, and null cofactors and corrections."""
-    entries = normal.select("network_id", "i", "j", F.col("n").alias("v")).unionByName(right.select("network_id", "i", F.lit(None).cast("string").alias("j"), F.col("u").alias("v")))
-    if positions is not None:
-        entries = entries.unionByName(positions.select("network_id", F.col("parameter").alias("i"), F.lit("@").alias("j"), F.col("value").alias("v")))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        matrix = rows[rows.j.notna() & (rows.j != "@")]
-        names = sorted(set(matrix.i))
-        at = {n: k for k, n in enumerate(names)}
-        n, u = np.zeros((len(names), len(names))), np.zeros(len(names))
-        n[matrix.i.map(at), matrix.j.map(at)] = matrix.v
-        side = rows[rows.j.isna()]
-        u[side.i.map(at)] = side.v
-        place = rows[rows.j == "@"]
-        g = inner_constraints(names, dict(zip(place.i, place.v, strict=True)), defect)
-        bordered = np.block([[n, g], [g.T, np.zeros((g.shape[1], g.shape[1]))]])
-        scale = np.sqrt(np.maximum(np.abs(np.diag(n)), 1e-300))
-        values = np.linalg.eigvalsh((n + g @ g.T * np.mean(np.diag(n)) if g.size else n) / np.outer(scale, scale))
-        missing = int((values < RANK_TOLERANCE * max(values.max(initial=0), 1e-300)).sum())
-        if missing:
-            dx, q = np.full(len(names), np.nan), np.full_like(n, np.nan)
-        else:
-            inverse = np.linalg.inv(bordered)[: len(names), : len(names)]
-            q = 0.5 * (inverse + inverse.T)
-            dx = q @ u
-        i, j = np.divmod(np.arange(n.size), len(names))
-        label = np.array(names, object)
-        out = pd.DataFrame({"network_id": rows.network_id.iloc[0], "i": label[i], "j": label[j], "q": q.ravel(), "dx": np.where(i == j, dx[i], np.nan), "rank_defect": missing})
-        return out.astype({"dx": "Float64", "q": "Float64"})
-
-    return entries.groupBy("network_id").applyInPandas(one, SOLUTION)
-
-
-def conjugate_gradient(normal: DataFrame, right: DataFrame, tolerance: float = 1e-10, most: int = 2000, keep: int = 10) -> DataFrame:
+def conjugate_gradient(normal: DataFrame, right: DataFrame, tolerance: float = 1e-10, most: int = 2000) -> DataFrame:
     """(i, x) of one network over all executors: N is a table of entries, vectors are tables of unknowns, a step is one join and two
-    sums. Jacobi preconditioning; every vector is written each `keep` steps, which bounds the lineage."""
+    sums. Jacobi preconditioning; the vectors are written at every step, which bounds the lineage."""
     n = stored(normal.select("i", "j", "n"))
-    diagonal = stored(n.where("i = j").select("i", F.col("n").alias("d")))
-    state = stored(diagonal.join(right.select("i", "u"), "i", "left").select("i", "d", F.lit(0.0).alias("x"), F.coalesce("u", F.lit(0.0)).alias("r")).withColumn("p", F.col("r") / F.col("d")))
+    diagonal = n.where("i = j").select("i", F.col("n").alias("d"))
+    state = diagonal.join(right.select("i", "u"), "i", "left").select("i", "d", F.lit(0.0).alias("x"), F.coalesce("u", F.lit(0.0)).alias("r")).withColumn("p", F.col("r") / F.col("d"))
+    before = state = stored(state)
     rho = first = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
-    for step in range(most):
+    for _ in range(most):
         if rho <= tolerance * tolerance * first:
-            break
+            return state.select("i", "x")
         product = n.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(F.sum(F.col("n") * F.col("p")).alias("np"))
-        state = stored(state.join(product, "i"))
-        alpha = rho / state.agg(F.sum(F.col("p") * F.col("np"))).first()[0]
-        state = state.select("i", "d", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("np")).alias("r"), "p")
+        now = stored(state.join(product, "i"))
+        discard(before)
+        alpha = rho / now.agg(F.sum(F.col("p") * F.col("np"))).first()[0]
+        state = now.select("i", "d", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("np")).alias("r"), "p")
         new = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
         state = state.withColumn("p", F.col("r") / F.col("d") + (new / rho) * F.col("p"))
-        rho = new
-    return state.select("i", "x")
+        before, rho = now, new
+    raise ValueError("the conjugate gradients do not converge")
 
 
 def _orientations(observations: DataFrame, stations: DataFrame) -> DataFrame:
@@ -192,26 +135,252 @@ def _orientations(observations: DataFrame, stations: DataFrame) -> DataFrame:
     return rows.groupBy("network_id", "setup").agg(circular_mean(F.atan2(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) - F.col("value")).alias("orientation"))
 
 
-def adjust(stations: DataFrame, observations: DataFrame, frame: str = "plane_2d", defect: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Gauss-Newton over all networks: tables stations (adjusted coordinates), cofactors, residuals and statistics.
+_IN = {"what": "int", "network_id": "string", "a": "string", "b": "string", "c": "string", "type": "string", "name": "string", "v": "double", "w": "double", "x": "double", "y": "double", "z": "double", "fixed": "boolean"}
+_OUT = "what int, network_id string, a string, b string, v double, w double, x double, y double, z double, fixed boolean, status string"
+_OUT_FIELDS = ("what", "network_id", "a", "b", "v", "w", "x", "y", "z", "fixed", "status")
+
+
+def _local_horizon(ellipsoid: geodesy.Ellipsoid) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Rotations from geocentric differences to east, north and up at each position, and ellipsoidal heights."""
+
+    def at(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lon, flat = np.arctan2(p[:, 1], p[:, 0]), np.hypot(p[:, 0], p[:, 1])
+        lat = np.arctan2(p[:, 2], flat * (1 - ellipsoid.e2))
+        for _ in range(6):  # each step gains more than two digits at heights near the ellipsoid
+            normal = ellipsoid.a / np.sqrt(1 - ellipsoid.e2 * np.sin(lat) ** 2)
+            lat = np.arctan2(p[:, 2] + ellipsoid.e2 * normal * np.sin(lat), flat)
+        normal = ellipsoid.a / np.sqrt(1 - ellipsoid.e2 * np.sin(lat) ** 2)
+        height = flat * np.cos(lat) + p[:, 2] * np.sin(lat) - ellipsoid.a**2 / normal
+        so, co, sa, ca, none = np.sin(lon), np.cos(lon), np.sin(lat), np.cos(lat), np.zeros(len(p))
+        return np.stack((np.stack((-so, co, none), 1), np.stack((-sa * co, -sa * so, ca), 1), np.stack((ca * co, ca * so, sa), 1)), 1), height
+
+    return at
+
+
+def _places(keys: pa.Array, values: pa.Array) -> np.ndarray:
+    """The place of each value among the keys, or -1."""
+    return pc.fill_null(pc.index_in(values, value_set=keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _named(network: pa.Array, name: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(network, name, "\x00")  # null where a name is
+
+
+def _task(t: pa.Table, frame: str, defect: tuple[str, ...], degree: int, once: bool) -> pa.Table:
+    """Adjusts the networks of one group of _IN rows; gives _OUT rows: 0 stations, 1 residuals, 2 cofactors, 3 statistics."""
+    t = t.combine_chunks()
+    what = t["what"].to_numpy()
+    col = lambda own, name: own[name].combine_chunks() if own.num_rows else pa.array([], own.schema.field(name).type)
+    st = t.filter(pa.array(what == 0)).sort_by([("network_id", "ascending"), ("a", "ascending")])
+    ob, cov = t.filter(pa.array(what == 1)), t.filter(pa.array(what == 2))
+    net_names = pc.unique(t["network_id"]).sort()
+    nets = len(net_names)
+    station_net, row_net = _places(net_names, col(st, "network_id")), _places(net_names, col(ob, "network_id"))
+    station_names = _named(col(st, "network_id"), col(st, "a"))
+    places = np.stack([_places(station_names, _named(col(ob, "network_id"), col(ob, c))) for c in "abc"], 1) if ob.num_rows else np.zeros((0, 3), np.int64)
+    kind = np.array(col(ob, "type").to_pylist(), object)
+    named = np.array([STATIONS_OF[k] for k in kind], np.int64)
+    lost = np.zeros(nets, bool)  # networks whose observations name stations they do not have
+    lost[row_net[((np.arange(3) < named[:, None]) & (places < 0)).any(1)]] = True
+    places[np.arange(3) >= named[:, None]] = -1
+
+    # unknowns: components of free stations, then orientations and drifts by their owners
+    position = np.stack([np.nan_to_num(col(st, c).cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in "xyz"], 1) if st.num_rows else np.zeros((0, 3))
+    held = col(st, "fixed").to_numpy(zero_copy_only=False).astype(bool) if st.num_rows else np.zeros(0, bool)
+    free = np.zeros((st.num_rows, 3), bool)
+    free[:, ["xyz".index(c) for c in FRAMES[frame]]] = True
+    observed = np.zeros(st.num_rows + 1, bool)
+    observed[places] = True
+    free &= ~held[:, None] & observed[:-1, None]
+    count = np.bincount(station_net, free.sum(1), nets).astype(np.int64)
+    flat = np.cumsum(free.ravel()).reshape(free.shape) - 1
+    unknown = np.where(free, flat - (np.cumsum(count) - count)[station_net][:, None], -1) if st.num_rows else np.zeros((0, 3), np.int64)
+
+    owner = _named(col(ob, "network_id"), col(ob, "name"))
+    is_direction, is_drift = kind == "DIRECTION", kind == "GRAVITY_DIFFERENCE"
+    extra, factor = np.full((len(kind), EXTRAS), -1, np.int64), np.zeros((len(kind), EXTRAS))
+    extra_at, extra_names, extra_net, orientation_of = extra.copy(), [], [], []
+    for k, own in [(0, np.flatnonzero(is_direction))] + [(d, np.flatnonzero(is_drift & owner.is_valid().to_numpy(zero_copy_only=False))) for d in range(1, degree + 1)]:
+        if not len(own):
+            continue
+        values = owner.take(pa.array(own))
+        keys = pc.unique(values)
+        at = _places(keys, values)
+        of = np.zeros(len(keys), np.int64)
+        of[at] = row_net[own]
+        order = np.argsort(of, kind="stable")
+        number = np.zeros(len(keys), np.int64)
+        number[order] = count[of[order]] + np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        count += np.bincount(of, minlength=nets)
+        slot = max(k - 1, 0)
+        extra[own, slot], extra_at[own, slot] = number[at], len(extra_names) + at
+        if k:
+            begin, end = (np.nan_to_num(col(ob, c).to_numpy(zero_copy_only=False)[own]) for c in "xy")
+            factor[own, slot] = end**k - begin**k
+        else:
+            factor[own, slot] = -1.0
+            orientation_of = np.stack((of, number), 1)
+        extra_names += [f"{EXTRA_NAMES[k]}:{x.partition(chr(0))[2]}" for x in keys.to_pylist()]
+        extra_net += of.tolist()
+
+    value, variance = (col(ob, c).to_numpy(zero_copy_only=False).astype(float) for c in "vw")
+    extra_value = np.zeros(len(extra_names))
+    if is_direction.any() and not once:  # orientations begin at the mean of azimuth less reading
+        d = np.where(is_direction & (places[:, :2] >= 0).all(1))[0]
+        turn = position[places[d, 1]] - position[places[d, 0]]
+        if frame == "geocentric_3d":
+            turn = np.einsum("rij,rj->ri", _local_horizon(geodesy.GRS80)(position[places[d, 0]])[0], turn)
+        raw = np.arctan2(turn[:, 0], turn[:, 1]) - value[d]
+        extra_value = np.arctan2(np.bincount(extra_at[d, 0], np.sin(raw), len(extra_names)), np.bincount(extra_at[d, 0], np.cos(raw), len(extra_names)))
+
+    # weights: of rows alone, or the inverse of what is correlated together
+    pair_i, pair_k, pair_p = [np.arange(len(kind))], [np.arange(len(kind))], [1.0 / variance]
+    if cov.num_rows:
+        row_names = _named(col(ob, "network_id"), col(ob, "fullname"))
+        i, k = (_places(row_names, _named(col(cov, "network_id"), col(cov, c))) for c in "ab")
+        c = col(cov, "v").to_numpy(zero_copy_only=False)[(i >= 0) & (k >= 0)]
+        i, k = i[(i >= 0) & (k >= 0)], k[(i >= 0) & (k >= 0)]
+        cluster = np.arange(len(kind))
+        while True:
+            low = np.minimum(cluster[i], cluster[k])
+            new = cluster.copy()
+            np.minimum.at(new, i, low)
+            np.minimum.at(new, k, low)
+            if (new == cluster).all():
+                break
+            cluster = new
+        alone = np.ones(len(kind), bool)
+        alone[i] = alone[k] = False
+        pair_i, pair_k, pair_p = [np.flatnonzero(alone)], [np.flatnonzero(alone)], [1.0 / variance[alone]]
+        by, entries = np.argsort(cluster, kind="stable"), np.argsort(cluster[i], kind="stable")
+        for label in np.unique(cluster[~alone]).tolist():
+            rows = by[np.searchsorted(cluster[by], label) : np.searchsorted(cluster[by], label, side="right")]
+            own = entries[np.searchsorted(cluster[i][entries], label) : np.searchsorted(cluster[i][entries], label, side="right")]
+            block = np.diag(variance[rows])
+            p, q = np.searchsorted(rows, i[own]), np.searchsorted(rows, k[own])  # rows of a label come in order
+            block[p, q] = block[q, p] = c[own]
+            pair_i.append(np.repeat(rows, len(rows)))
+            pair_k.append(np.tile(rows, len(rows)))
+            pair_p.append(np.linalg.inv(block).ravel())
+    net = Networks(station_net, position, unknown, row_net, kind, places, value, extra, factor, extra_value, extra_at, np.where(lost, 0, count), (np.concatenate(pair_i), np.concatenate(pair_k), np.concatenate(pair_p)), _local_horizon(geodesy.GRS80) if frame == "geocentric_3d" else None)
+    if lost.any():  # their rows give no equations
+        bad = lost[row_net]
+        net.stations[bad], net.extra[bad] = 0, -1
+        net.unknown[lost[station_net]] = -1
+    with np.errstate(all="ignore"):
+        out = solve(net, defect, np.array(orientation_of, np.int64).reshape(-1, 2), once)
+
+    rank = out["rank_defect"]
+    status = np.full(nets, "not_converged", object)
+    status[out["converged"] | (once & (rank == 0))] = "converged"
+    status[rank > 0], status[out["too_large"]], status[lost] = "rank_defect", "too_large", "missing_station"
+    good = status == "converged"
+    net_text = np.array(net_names.to_pylist(), object)
+    names = {}
+    text = np.array(col(st, "a").to_pylist(), object)
+    for s, c in zip(*np.nonzero(net.unknown >= 0), strict=True):
+        names[int(station_net[s]), int(net.unknown[s, c])] = f"{text[s]}:{'xyz'[c]}"
+    used = extra_at >= 0
+    for net_k, number, place in zip(np.broadcast_to(row_net[:, None], used.shape)[used].tolist(), extra[used].tolist(), extra_at[used].tolist(), strict=True):
+        names[net_k, number] = extra_names[place]
+    blank = lambda n: [None] * n
+
+    def rows_of(kind: int, network, a, b, v, w, x, y, z, fixed, state) -> pa.Table:
+        n = len(network)
+        arrays = [pa.array(np.full(n, kind, np.int32)), pa.array(network, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(pa.array(k, pa.float64(), from_pandas=True) for k in (v, w, x, y, z)), pa.array(fixed, pa.bool_()), pa.array(state, pa.string())]
+        return pa.Table.from_arrays(arrays, names=list(_OUT_FIELDS))
+
+    shown = np.where(good[station_net][:, None], out["position"], np.nan) if st.num_rows else np.zeros((0, 3))
+    n = st.num_rows
+    tables = [rows_of(0, net_text[station_net], text, blank(n), np.full(n, np.nan), np.full(n, np.nan), *shown.T, held, blank(n))]
+    ok = good[row_net] if len(row_net) else np.zeros(0, bool)
+    null = lambda x: np.where(ok, x, np.nan)
+    m = len(kind)
+    vpv = np.where(good, np.bincount(row_net, np.nan_to_num(out["residual"] * out["weighted"]), nets), np.nan)
+    tables.append(rows_of(1, net_text[row_net], col(ob, "fullname"), blank(m), null(out["residual"]), 1.0 / variance, null(out["redundancy"]), null(out["weighted"]), np.full(m, np.nan), blank(m), blank(m)))
+    qn, qi, qj, q = out["q"]
+    keep = good[qn] if len(qn) else np.zeros(0, bool)
+    qn, qi, qj, q = qn[keep], qi[keep], qj[keep], q[keep]
+    label = lambda x: [names[k] for k in zip(qn.tolist(), x.tolist(), strict=True)]
+    tables.append(rows_of(2, net_text[qn], label(qi), label(qj), q, *(np.full(len(q), np.nan) for _ in range(4)), blank(len(q)), blank(len(q))))
+    tables.append(rows_of(3, net_text, blank(nets), blank(nets), vpv, np.bincount(row_net, minlength=nets).astype(float), count.astype(float), rank.astype(float), out["iterations"].astype(float), blank(nets), status))
+    return pa.concat_tables(tables)
+
+
+def _refuse_other(observations: DataFrame, kinds: tuple[str, ...], frame: str) -> None:
+    unlike = observations.where(F.col("type").isNull() | ~F.col("type").isin(*kinds)).select("type").limit(1).collect()
+    if unlike:
+        raise ValueError(f"no observation equation for {unlike[0].type} in {frame}")
+
+
+def _estimated(stations: DataFrame, observations: DataFrame, frame: str, defect: tuple[str, ...], covariances: DataFrame | None, degree: int, once: bool) -> dict[str, DataFrame]:
+    if degree > EXTRAS:
+        raise ValueError(f"drifts of a degree over {EXTRAS} are not estimated")
+    kinds = GRAVITY_TYPES if frame == "gravity_1d" else tuple(k for k in STATIONS_OF if k not in GRAVITY_TYPES)
+    _refuse_other(observations, kinds, frame)
+    if observations.where(F.coalesce(F.col("variance"), F.lit(0.0)) <= 0).limit(1).count():
+        raise ValueError("every observation needs a variance over 0")
+    row = lambda what, **own: [F.lit(what).alias("what"), *(own.get(n, F.lit(None)).cast(t).alias(n) for n, t in _IN.items() if n != "what"), own.get("fullname", F.lit(None)).cast("string").alias("fullname")]
+    c = F.col
+    begin, end = (c(n) if n in observations.columns else F.lit(None) for n in ("elapsed_at", "elapsed_to"))
+    parts = stations.select(*row(0, network_id=c("network_id"), a=c("station"), x=c("x"), y=c("y"), z=c("z"), fixed=F.coalesce("fixed", F.lit(False))))
+    parts = parts.unionByName(observations.select(*row(1, network_id=c("network_id"), a=c("at"), b=c("to"), c=c("third"), type=c("type"), name=c("setup"), v=c("value"), w=c("variance"), x=begin, y=end, fullname=c("obs"))))
+    if covariances is not None:
+        parts = parts.unionByName(covariances.select(*row(2, network_id=c("network_id"), a=c("obs_a"), b=c("obs_b"), v=c("covariance"))))
+    # whole networks are dealt to groups of about GROUP_ROWS rows
+    groups = max(int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions")), observations.count() // GROUP_ROWS)
+    grouped = parts.withColumn("deal", F.pmod(F.xxhash64("network_id"), F.lit(groups))).groupBy("deal")
+    out = stored(grouped.applyInArrow(lambda t: _task(t, frame, defect, degree, once), _OUT))
+    statistics = out.where("what = 3").select("network_id", F.col("w").cast("long").alias("rows"), F.col("v").alias("vpv"), F.col("x").cast("long").alias("unknowns"), F.col("y").cast("int").alias("rank_defect"), F.col("z").cast("int").alias("iterations"), "status")
+    statistics = statistics.withColumn("converged", F.col("status") == "converged").withColumn("dof", F.col("rows") - F.col("unknowns") + len(defect))
+    statistics = statistics.withColumn("variance_factor", F.when(F.col("dof") > 0, F.col("vpv") / F.col("dof")))
+    return {
+        "stations": out.where("what = 0").select("network_id", F.col("a").alias("station"), "x", "y", "z", "fixed"),
+        "residuals": out.where("what = 1").select("network_id", F.col("a").alias("obs"), F.col("v").alias("residual"), F.col("w").alias("weight"), F.col("x").alias("redundancy"), F.col("y").alias("weighted")),
+        "cofactors": out.where("what = 2").select("network_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("v").alias("q")),
+        "statistics": statistics,
+    }
+
+
+def adjust(stations: DataFrame, observations: DataFrame, frame: str = "plane_2d", defect: tuple[str, ...] = (), covariances: DataFrame | None = None, degree: int = 1) -> dict[str, DataFrame]:
+    """Gauss-Newton over all networks: tables stations (adjusted coordinates), residuals, cofactors (of unknowns that share
+    an observation or a station) and statistics (rows, unknowns, dof, vpv, variance_factor, iterations, status).
+
+    `covariances` (network_id, obs_a, obs_b, covariance) correlates observations; what is correlated, over any
+    number of steps, is weighted by the inverse of its covariance block. `degree` is that of a drift of gravity
+    differences: `setup` names its owner, `elapsed_at` and `elapsed_to` are scaled times of the two readings.
+    A network that does not converge, has null vectors beyond `defect`, names stations it does not have or is too large
+    for a task has that as its status and null results; if there is no other network, it raises. One network that is
+    too large is for adjust_distributed."""
+    out = _estimated(stations, observations, frame, defect, covariances, degree, once=False)
+    first = out["statistics"].limit(2).collect()
+    if len(first) == 1 and not first[0].converged and first[0].unknowns:
+        raise ValueError(f"network {first[0].network_id}: {first[0].status}")
+    return out
+
+
+def simulate(stations: DataFrame, observations: DataFrame, frame: str = "plane_2d", defect: tuple[str, ...] = (), covariances: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Expected cofactors and redundancies of planned networks: geometry and sigmas only, values are not read."""
+    return _estimated(stations, observations.withColumn("value", F.lit(0.0)), frame, defect, covariances, 1, once=True)
 
-    A network is done when its largest correction is below CONVERGENCE; all go on until every one is, as further
-    steps move a converged network by nothing. The last linearisation is solved again, so that residuals and cofactors
-    belong to the final coordinates."""
+
+def adjust_distributed(stations: DataFrame, observations: DataFrame, frame: str = "plane_2d") -> DataFrame:
+    """(network_id, station, x, y, z, fixed) of one network over all executors: each step's normal equations are tables, solved
+    by conjugate gradients. No cofactors. Types are those of equations()."""
     free = FRAMES[frame]
+    _refuse_other(observations, DISTRIBUTED_TYPES, frame)
     current = stored(stations.select("network_id", "station", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in "xyz"), F.coalesce("fixed", F.lit(False)).alias("fixed")))
     observations = stored(observations)
     turned = stored(_orientations(observations, current))
-    for step in range(ITERATIONS + 1):
+    for _ in range(ITERATIONS):
         rows = with_coordinates(observations, current).join(turned, ["network_id", "setup"], "left")
         design = stored(free_only(equations(rows), current))
-        positions = current.where("not fixed").select("network_id", F.explode(F.array(*(F.struct(F.concat_ws(":", F.col("station"), F.lit(c)).alias("parameter"), F.col(c).alias("value")) for c in free))).alias("e")).select("network_id", "e.parameter", "e.value")
-        solution = stored(solve_networks(normal_matrix(design), right_side(design), positions if defect else None, defect))
-        change = solution.where("i = j").select("network_id", "i", "dx")
-        if step == ITERATIONS or (change.agg(F.max(F.abs("dx"))).first()[0] or 0.0) < CONVERGENCE:
-            break
+        network = design.select("network_id").limit(1)
+        change = stored(conjugate_gradient(normal_matrix(design), right_side(design)).crossJoin(F.broadcast(network)).select("network_id", "i", F.col("x").alias("dx")))
+        if (change.agg(F.max(F.abs("dx"))).first()[0] or 0.0) < CONVERGENCE:
+            return current
         current, turned = _moved(current, change, free), stored(_turned(turned, change))
-    return _results(current, design, solution, len(defect), step)
+    raise ValueError("the network does not converge")
 
 
 def _moved(stations: DataFrame, change: DataFrame, components: tuple[str, ...]) -> DataFrame:
@@ -229,21 +398,6 @@ def _turned(turned: DataFrame, change: DataFrame) -> DataFrame:
     return turned.join(own, ["network_id", "setup"], "left").select("network_id", "setup", (F.col("orientation") + F.coalesce("dx", F.lit(0.0))).alias("orientation"))
 
 
-def _results(stations: DataFrame, design: DataFrame, solution: DataFrame, defect: int, iterations: int) -> dict[str, DataFrame]:
-    terms = design.select("network_id", "obs", "misclosure", "weight", F.explode("partials").alias("p")).select("network_id", "obs", "misclosure", "weight", F.col("p.parameter").alias("i"), "p.a")
-    change = solution.where("i = j").select("network_id", "i", "dx")
-    moved = terms.join(change, ["network_id", "i"]).groupBy("network_id", "obs").agg(F.first("misclosure").alias("misclosure"), F.first("weight").alias("weight"), F.sum(F.col("a") * F.col("dx")).alias("adx"))
-    other = terms.select("network_id", "obs", F.col("i").alias("j"), F.col("a").alias("b"))
-    shares = terms.select("network_id", "obs", "i", "a").join(other, ["network_id", "obs"]).join(solution.select("network_id", "i", "j", "q"), ["network_id", "i", "j"])
-    spread = shares.groupBy("network_id", "obs").agg(F.sum(F.col("a") * F.col("q") * F.col("b")).alias("cofactor"))
-    residuals = moved.join(spread, ["network_id", "obs"]).select("network_id", "obs", (F.col("adx") - F.col("misclosure")).alias("residual"), "weight", (1.0 - F.col("weight") * F.col("cofactor")).alias("redundancy"))
-    residuals = stored(residuals)
-    unknowns = solution.where("i = j").groupBy("network_id").agg(F.count("*").alias("unknowns"), F.max("rank_defect").alias("rank_defect"))
-    statistics = residuals.groupBy("network_id").agg(F.count("*").alias("rows"), F.sum(F.col("weight") * F.col("residual") ** 2).alias("vpv")).join(unknowns, "network_id")
-    statistics = statistics.withColumn("dof", F.col("rows") - F.col("unknowns") + defect).withColumn("variance_factor", F.when(F.col("dof") > 0, F.col("vpv") / F.col("dof"))).withColumn("iterations", F.lit(iterations))
-    return {"stations": stations, "cofactors": solution.select("network_id", "i", "j", "q"), "residuals": residuals, "statistics": stored(statistics)}
-
-
 def global_test(statistics: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Two-sided chi-square of dof * factor; untested networks have no degrees of freedom. Quantiles are looked up by the
     distinct degrees of freedom."""
@@ -295,27 +449,19 @@ def station_ellipses(cofactors: DataFrame, scale: float = 1.0) -> DataFrame:
 
 def variance_components(stations: DataFrame, observations: DataFrame, frame: str, group: str, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
     """(group, factor): a factor for each group of observations, estimated over all networks by v'Pv over redundancy and repeated
-    until every step is within `tolerance` of one."""
-    total = observations.select(group).distinct().withColumn("factor", F.lit(1.0))
+    until every step is within `tolerance` of one. Raises where a group has too little redundancy or a factor of zero, or
+    where the factors do not settle."""
+    observations = stored(observations)
+    total = {r[0]: 1.0 for r in observations.select(group).distinct().collect()}
     for _ in range(rounds):
-        total = stored(total)
-        scaled = observations.join(total, group).withColumn("variance", F.col("variance") * F.col("factor")).drop("factor")
-        residuals = adjust(stations, scaled, frame)["residuals"].join(observations.select("network_id", "obs", group), ["network_id", "obs"])
-        step = stored(residuals.groupBy(group).agg((F.sum(F.col("weight") * F.col("residual") ** 2) / F.sum("redundancy")).alias("step"), F.sum("redundancy").alias("r")))
-        if step.where("r < 1").count():
+        factor = F.create_map(*(F.lit(x) for pair in total.items() for x in pair))[F.col(group)]
+        residuals = adjust(stations, observations.withColumn("variance", F.col("variance") * factor), frame)["residuals"].join(observations.select("network_id", "obs", group), ["network_id", "obs"])
+        steps = residuals.groupBy(group).agg(F.sum(F.col("residual") * F.col("weighted")).alias("vpv"), F.sum("redundancy").alias("r")).collect()
+        if any((s.r or 0.0) < 1 for s in steps):
             raise ValueError("a group has too little redundancy for a factor of its own")
-        total = total.join(step, group).select(group, (F.col("factor") * F.col("step")).alias("factor"))
-        if step.agg(F.max(F.abs(F.col("step") - 1))).first()[0] < tolerance:
-            break
-    return total
-
-
-def simulate(stations: DataFrame, observations: DataFrame, frame: str = "plane_2d", defect: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Expected cofactors and redundancies of a planned network: geometry and sigmas only, values are not read."""
-    planned = observations.withColumn("value", F.lit(0.0))
-    current = stations.select("network_id", "station", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in "xyz"), F.coalesce("fixed", F.lit(False)).alias("fixed"))
-    rows = with_coordinates(planned, current).withColumn("orientation", F.lit(0.0))
-    design = stored(free_only(equations(rows).withColumn("misclosure", F.lit(0.0)), current))
-    positions = current.where("not fixed").select("network_id", F.explode(F.array(*(F.struct(F.concat_ws(":", F.col("station"), F.lit(c)).alias("parameter"), F.col(c).alias("value")) for c in FRAMES[frame]))).alias("e")).select("network_id", "e.parameter", "e.value")
-    solution = stored(solve_networks(normal_matrix(design), right_side(design), positions if defect else None, defect))
-    return _results(current, design, solution, len(defect), 0)
+        if any(s.vpv <= 0 for s in steps):
+            raise ValueError("a group fits without residuals: its factor is zero")
+        total = {s[group]: total[s[group]] * s.vpv / s.r for s in steps}
+        if max(abs(s.vpv / s.r - 1) for s in steps) < tolerance:
+            return stations.sparkSession.createDataFrame(list(total.items()), f"{group} string, factor double")
+    raise ValueError("the variance factors do not settle")

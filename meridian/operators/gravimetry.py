@@ -12,19 +12,22 @@ from meridian.functions.tides import tidal_correction
 
 def calibrated(readings: DataFrame, calibration: DataFrame, counter: str = "counter") -> DataFrame:
     """As-of join with a table (instrument, counter, gravity, factor): the row with the greatest counter not above the
-    reading's gives gravity + (reading - row) * factor. Both sides are ordered once per instrument and the last table
-    row is carried forward, so no reading meets more than one row. Readings outside the table keep a null value; the
-    table ends one interval after its last row."""
-    table = calibration.select("instrument", F.col("counter").alias("at"), F.struct("counter", "gravity", "factor").alias("row"), F.lit(0).alias("kind"))
-    ends = calibration.groupBy("instrument").agg(F.max("counter").alias("last"), F.sort_array(F.collect_list("counter"), False).alias("c"))
+    reading's gives gravity + (reading - row) * factor. The table's rows become intervals, and intervals and readings
+    are dealt to steps as wide as the instrument's widest interval, so that an equal join on the step brings
+    each reading to the few intervals that may hold it; only the table is sorted. Readings outside the table keep a null
+    value; the table ends one interval after its last row, and of rows with one counter the last counts."""
+    rows = calibration.groupBy("instrument", "counter").agg(F.max(F.struct("gravity", "factor")).alias("r"))
+    order = Window.partitionBy("instrument").orderBy("counter")
+    rows = rows.select("instrument", F.col("counter").alias("low"), "r.gravity", "r.factor", F.lead("counter").over(order).alias("next"), F.lag("counter").over(order).alias("before"))
     # the last interval is as long as the one before it
-    ends = ends.select("instrument", (F.col("last") + F.coalesce(F.try_element_at("c", F.lit(1)) - F.try_element_at("c", F.lit(2)), F.lit(0.0))).alias("end"))
-    asked = readings.withColumn("at", F.col(counter)).withColumn("kind", F.lit(1))
-    both = asked.unionByName(table, allowMissingColumns=True)
-    order = Window.partitionBy("instrument").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("row", F.last("row", ignorenulls=True).over(order)).where("kind = 1").drop("kind", "at")
-    value = F.col("row.gravity") + (F.col(counter) - F.col("row.counter")) * F.col("row.factor")
-    return filled.join(ends, "instrument", "left").withColumn("value", F.when(F.col(counter) <= F.col("end"), value)).drop("row", "end")
+    rows = rows.withColumn("high", F.coalesce("next", F.col("low") + F.coalesce(F.col("low") - F.col("before"), F.lit(0.0)))).withColumn("closed", F.col("next").isNull())
+    steps = rows.groupBy("instrument").agg(F.max(F.col("high") - F.col("low")).alias("step")).withColumn("step", F.when(F.col("step") > 0, F.col("step")).otherwise(1.0))
+    place = lambda c: F.floor(F.col(c) / F.col("step"))
+    intervals = rows.join(steps, "instrument").withColumn("at", F.explode(F.sequence(place("low"), place("high")))).select("instrument", "at", "low", "high", "closed", "gravity", "factor")
+    asked = readings.join(steps, "instrument", "left").withColumn("at", place(counter)).drop("step")
+    inside = (F.col(counter) >= F.col("low")) & ((F.col(counter) < F.col("high")) | (F.col("closed") & (F.col(counter) <= F.col("high"))))
+    found = asked.alias("r").join(intervals.alias("t"), (F.col("r.instrument") == F.col("t.instrument")) & (F.col("r.at") == F.col("t.at")) & inside, "left")
+    return found.select(*(F.col(f"r.`{c}`") for c in readings.columns), (F.col("gravity") + (F.col(f"r.`{counter}`") - F.col("low")) * F.col("factor")).alias("value"))
 
 
 def reduce_readings(readings: DataFrame, scale: float = 1.0, gradient: float = -3.086e-6, replace_tide: bool = True) -> DataFrame:

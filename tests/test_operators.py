@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.operators import adjustment, gnss, gravimetry, levelling, monitoring, network, store, total_station
+from meridian.operators import adjustment, gauss_newton, gnss, gravimetry, levelling, monitoring, network, store, total_station
 
 
 def close(x, y, tol=1e-6):
@@ -30,13 +30,175 @@ def test_levelling_loop_by_hand(spark):
     assert all(close(r.redundancy, 1 / 3) and close(abs(r.residual), 0.01) for r in out["residuals"].collect())
 
 
-def test_unconnected_network_reports_its_rank_defect(spark):
-    stations = spark.createDataFrame([("n", s, 0.0, 0.0, 0.0, s == "A") for s in "ABCD"], STATIONS)
-    obs = spark.createDataFrame([("n", "1", "HEIGHT_DIFFERENCE", "A", "B", NONE, 1.0, 1.0, NONE), ("n", "2", "HEIGHT_DIFFERENCE", "C", "D", NONE, 1.0, 1.0, NONE)], OBS)
-    rows = adjustment.with_coordinates(obs, stations).withColumn("orientation", F.lit(0.0))
-    design = adjustment.free_only(adjustment.equations(rows), stations)
-    solved = adjustment.solve_networks(adjustment.normal_matrix(design), adjustment.right_side(design)).collect()
-    assert {r.rank_defect for r in solved} == {1} and all(r.q is None for r in solved)
+def test_networks_that_fail_say_so(spark):
+    stations = [("n", s, 0.0, 0.0, 0.0, s == "A") for s in "ABCD"]
+    apart = [("n", "1", "HEIGHT_DIFFERENCE", "A", "B", NONE, 1.0, 1.0, NONE), ("n", "2", "HEIGHT_DIFFERENCE", "C", "D", NONE, 1.0, 1.0, NONE)]
+    with pytest.raises(ValueError, match="rank_defect"):
+        adjustment.adjust(spark.createDataFrame(stations, STATIONS), spark.createDataFrame(apart, OBS), "height_1d")
+    more = [("m", "A", 0.0, 0.0, 5.0, True), ("m", "B", 0.0, 0.0, 0.0, False), ("k", "A", 0.0, 0.0, 0.0, True)]
+    rows = [*apart, ("m", "1", "HEIGHT_DIFFERENCE", "A", "B", NONE, 2.0, 1.0, NONE), ("k", "1", "HEIGHT_DIFFERENCE", "A", "Z", NONE, 2.0, 1.0, NONE)]
+    out = adjustment.adjust(spark.createDataFrame(stations + more, STATIONS), spark.createDataFrame(rows, OBS), "height_1d")
+    assert {r.network_id: (r.status, r.converged, r.rank_defect) for r in out["statistics"].collect()} == {"n": ("rank_defect", False, 1), "m": ("converged", True, 0), "k": ("missing_station", False, 0)}
+    assert {r.network_id: r.z for r in out["stations"].where("station = 'B'").collect()} == {"n": NONE, "m": 7.0}
+    assert {r.network_id for r in out["cofactors"].collect()} == {"m"} and out["residuals"].where("network_id <> 'm' and residual is not null").count() == 0
+
+
+def test_an_unconverged_network_is_no_result(spark):
+    stations = spark.createDataFrame([("n", "A", 0.0, 0.0, 0.0, True), ("n", "B", 100.0, 0.0, 0.0, True), ("n", "C", 90.0, 150.0, 0.0, False)], STATIONS)
+    rows = [("n", "1", "HORIZONTAL_DISTANCE", "A", "C", NONE, 100.0, 1e-6, NONE), ("n", "2", "HORIZONTAL_DISTANCE", "B", "C", NONE, 80.0, 1e-6, NONE)]
+    obs = spark.createDataFrame(rows, OBS)
+    c = {r.station: r for r in adjustment.adjust(stations, obs, "plane_2d")["stations"].collect()}["C"]
+    assert close(math.hypot(c.x, c.y), 100.0) and close(math.hypot(c.x - 100, c.y), 80.0)
+    apart = [("n", "1", "HORIZONTAL_DISTANCE", "A", "C", NONE, 10.0, 1e-6, NONE), ("n", "2", "HORIZONTAL_DISTANCE", "B", "C", NONE, 10.0, 1e-6, NONE)]
+    with pytest.raises(ValueError, match="not_converged|rank_defect"):  # circles that do not meet
+        adjustment.adjust(stations, spark.createDataFrame(apart, OBS), "plane_2d")
+
+
+def test_types_without_equation_are_refused(spark):
+    stations = spark.createDataFrame([("n", "A", 0.0, 0.0, 0.0, True), ("n", "B", 1.0, 1.0, 0.0, False)], STATIONS)
+    for kind, frame in (("BEARING", "plane_2d"), ("GRAVITY", "height_1d"), ("AZIMUTH", "gravity_1d"), (NONE, "plane_2d")):
+        with pytest.raises(ValueError, match="no observation equation"):
+            adjustment.adjust(stations, spark.createDataFrame([("n", "1", kind, "A", "B", NONE, 1.0, 1.0, NONE)], OBS), frame)
+    with pytest.raises(ValueError, match="no observation equation"):
+        adjustment.adjust_distributed(stations, spark.createDataFrame([("n", "1", "VERTICAL_ANGLE", "A", "B", NONE, 1.0, 1.0, NONE)], OBS), "local_3d")
+    with pytest.raises(ValueError, match="variance"):
+        adjustment.adjust(stations, spark.createDataFrame([("n", "1", "AZIMUTH", "A", "B", NONE, 1.0, 0.0, NONE)], OBS))
+
+
+def braced(k, free=False):
+    """A braced plane grid with the distances' errors and approximate coordinates."""
+    r = np.random.default_rng(k)
+    true = {(i, j): (100.0 * i + r.normal(0, 3), 100.0 * j + r.normal(0, 3)) for i in range(k) for j in range(k)}
+    held = set() if free else {(0, 0), (k - 1, 0)}
+    stations = [("g", f"{i}.{j}", x + (r.normal(0, 0.05) if (i, j) not in held else 0.0), y + (r.normal(0, 0.05) if (i, j) not in held else 0.0), 0.0, (i, j) in held) for (i, j), (x, y) in true.items()]
+    rows = [("g", f"{i}.{j}-{m}.{n}", "HORIZONTAL_DISTANCE", f"{i}.{j}", f"{m}.{n}", NONE, math.dist(true[i, j], true[m, n]) + r.normal(0, 0.002), 4e-6, NONE) for i, j in true for m, n in ((i + 1, j), (i, j + 1), (i + 1, j + 1), (i - 1, j + 1)) if (m, n) in true]
+    return stations, rows
+
+
+@pytest.mark.parametrize("free", [False, True])
+def test_levels_give_what_one_matrix_gives(spark, monkeypatch, free):
+    stations, rows = braced(7, free)
+    defect = ("x", "y", "rotation") if free else ()
+    st, ob = spark.createDataFrame(stations, STATIONS), spark.createDataFrame(rows, OBS)
+    results = []
+    for dense in (384, 0):
+        frame = "plane_2d"
+        parts = adjustment._estimated(st, ob, frame, defect, None, 1, False) if dense else None
+        if parts is None:  # the same in this process, with no network small enough for one matrix
+            monkeypatch.setattr(gauss_newton, "DENSE", 0)
+            own = [(0, "g", s, NONE, NONE, NONE, NONE, NONE, NONE, x, y, z, f, NONE) for _, s, x, y, z, f in stations] + [(1, "g", a, b, NONE, k, NONE, v, w, NONE, NONE, NONE, NONE, o) for _, o, k, a, b, _, v, w, _ in rows]
+            table = spark.createDataFrame(own, ", ".join(f"{n} {t}" for n, t in adjustment._IN.items()) + ", fullname string").toArrow()
+            out = adjustment._task(table, frame, defect, 1, False).to_pylist()
+            results.append(({r["a"]: (r["x"], r["y"]) for r in out if r["what"] == 0}, {(r["a"], r["b"]): r["v"] for r in out if r["what"] == 2}, {r["a"]: r["x"] for r in out if r["what"] == 1}))
+        else:
+            results.append(({r.station: (r.x, r.y) for r in parts["stations"].collect()}, {(r.i, r.j): r.q for r in parts["cofactors"].collect()}, {r.obs: r.redundancy for r in parts["residuals"].collect()}))
+            assert close(sum(results[0][2].values()), parts["statistics"].first().dof, 1e-6)
+    for one, two in zip(*results, strict=True):
+        assert one.keys() == two.keys()
+        for key, value in one.items():
+            assert np.allclose(value, two[key], rtol=1e-6, atol=1e-11)
+
+
+def test_correlated_observations_are_weighted_together(spark):
+    """Two baselines of a session and a third alone, against generalised least squares written out."""
+    stations = spark.createDataFrame([("n", "A", 10.0, 20.0, 30.0, True), ("n", "B", 0.0, 0.0, 0.0, False), ("n", "C", 0.0, 0.0, 0.0, False)], STATIONS)
+    axes = [("X_DIFFERENCE", 0), ("Y_DIFFERENCE", 1), ("Z_DIFFERENCE", 2)]
+    vectors = [("AB", "A", "B", (100.0, 50.0, 5.0)), ("AC", "A", "C", (40.0, 90.0, -3.0)), ("BC", "B", "C", (-60.02, 40.01, -7.99))]
+    rows = [("n", f"{name}{k}", kind, a, b, NONE, v[k], 1e-4 * (1 + k), NONE) for name, a, b, v in vectors for kind, k in axes]
+    r = np.random.default_rng(5)
+    cov = np.diag([x[7] for x in rows])
+    half = r.normal(0, 0.004, (6, 6))
+    cov[:6, :6] += half @ half.T
+    rows = [(*x[:7], float(cov[i, i]), NONE) for i, x in enumerate(rows)]
+    entries = [("n", rows[i][1], rows[j][1], float(cov[i, j])) for i in range(6) for j in range(i)]
+    out = adjustment.adjust(stations, spark.createDataFrame(rows, OBS), "local_3d", covariances=spark.createDataFrame(entries, "network_id string, obs_a string, obs_b string, covariance double"))
+    a = np.zeros((9, 6))
+    for i, x in enumerate(rows):
+        k = i % 3
+        for s, sign in ((x[3], -1.0), (x[4], 1.0)):
+            if s != "A":
+                a[i, "BC".index(s) * 3 + k] = sign
+    start = np.array([10.0, 20.0, 30.0])
+    l = np.array([x[6] for x in rows])  # noqa: E741
+    l[:6] += np.tile(start, 2)
+    p = np.linalg.inv(cov)
+    q = np.linalg.inv(a.T @ p @ a)
+    x = q @ a.T @ p @ l
+    got = {s.station: (s.x, s.y, s.z) for s in out["stations"].collect()}
+    assert np.allclose(got["B"], x[:3]) and np.allclose(got["C"], x[3:])
+    v = a @ x - l
+    redundancy = np.diag(np.eye(9) - a @ q @ a.T @ p)
+    for s in out["residuals"].collect():
+        k = [y[1] for y in rows].index(s.obs)
+        assert close(s.residual, v[k]) and close(s.redundancy, redundancy[k])
+    assert close(out["statistics"].first().vpv, v @ p @ v)
+    found = {(s.i, s.j): s.q for s in out["cofactors"].collect()}
+    assert close(found["B:x", "C:y"], q[0, 4], 1e-12) and close(found["C:z", "C:z"], q[5, 5], 1e-12)
+
+
+def test_geocentric_network(spark):
+    """Lines of sight, levelled differences and a baseline between points on the ellipsoid, from displaced coordinates."""
+    from meridian.functions.geodesy import GRS80, geodetic_to_cartesian
+
+    points = spark.createDataFrame([("A", -0.44, -0.85, 900.0), ("B", -0.4401, -0.8499, 950.0), ("C", -0.4399, -0.8498, 930.0)], "s string, lat double, lon double, h double")
+    true = {r.s: np.array([r.x, r.y, r.z]) for r in points.select("s", *(v.alias(n) for n, v in zip("xyz", geodetic_to_cartesian(F.col("lat"), F.col("lon"), F.col("h")), strict=True))).collect()}
+    turn, height = adjustment._local_horizon(GRS80)(np.stack([true[s] for s in "ABC"]))
+    assert np.allclose(height, [900.0, 950.0, 930.0], atol=1e-6)
+    sight = lambda a, b: turn["ABC".index(a)] @ (true[b] - true[a])
+    rows = []
+    for a, b in ("AB", "AC", "BC", "CB"):
+        e, n, u = sight(a, b)
+        rows += [("AZIMUTH", a, b, math.atan2(e, n), 1e-12), ("ZENITH_ANGLE", a, b, math.atan2(math.hypot(e, n), u), 1e-12), ("SLOPE_DISTANCE", a, b, float(np.linalg.norm(true[b] - true[a])), 1e-6), ("HEIGHT_DIFFERENCE", a, b, float(height["ABC".index(b)] - height["ABC".index(a)]), 1e-6)]
+    rows += [("X_DIFFERENCE", "A", "B", float((true["B"] - true["A"])[0]), 1e-6), ("Z_COORDINATE", "C", NONE, float(true["C"][2]), 1e-6)]
+    obs = spark.createDataFrame([("n", str(k), kind, a, b, NONE, v, w, NONE) for k, (kind, a, b, v, w) in enumerate(rows)], OBS)
+    stations = spark.createDataFrame([("n", s, *(float(c) + (0.5 if s != "A" else 0.0) for c in p), s == "A") for s, p in true.items()], STATIONS)
+    got = {r.station: (r.x, r.y, r.z) for r in adjustment.adjust(stations, obs, "geocentric_3d")["stations"].collect()}
+    assert all(np.allclose(got[s], true[s], atol=1e-4) for s in "ABC")
+
+
+def test_gravity_network_with_drift(spark):
+    g, drift = {"A": 9.78e5, "B": 9.79e5, "C": 9.785e5}, {"s1": (0.3, -0.02), "s2": (-0.1, 0.05)}
+    rows = []
+    for owner, (one, two) in drift.items():
+        for k, (a, b) in enumerate(["AB", "BC", "CA", "AC", "BA"]):
+            t0, t1 = k * 0.7, k * 0.7 + 0.5
+            rows.append(("n", f"{owner}-{k}", "GRAVITY_DIFFERENCE", a, b, NONE, g[b] - g[a] + one * (t1 - t0) + two * (t1**2 - t0**2), 1e-4, owner, t0, t1))
+    obs = spark.createDataFrame(rows, OBS + ", elapsed_at double, elapsed_to double")
+    stations = spark.createDataFrame([("n", s, 0.0, 0.0, v if s == "A" else 9e5, s == "A") for s, v in g.items()], STATIONS)
+    out = adjustment.adjust(stations, obs, "gravity_1d", degree=2)
+    assert {r.station: round(r.z, 6) for r in out["stations"].collect()} == g
+    assert out["statistics"].first().unknowns == 6 and "drift_2:s1" in {r.i for r in out["cofactors"].collect()}
+
+
+def test_variance_components(spark):
+    r = np.random.default_rng(4)
+    stations = spark.createDataFrame([("n", f"P{i}", 0.0, 0.0, 0.0, i == 0) for i in range(20)], STATIONS)
+    pairs = [(i, j, k) for i in range(20) for j in range(i + 1, 20) for k in range(2)]
+    rows = [("n", f"{i}-{j}-{k}", "HEIGHT_DIFFERENCE", f"P{i}", f"P{j}", NONE, float(j - i + r.normal() * (1, 3)[k]), 1.0, NONE, "ab"[k]) for i, j, k in pairs]
+    obs = spark.createDataFrame(rows, OBS + ", kind string")
+    got = {x.kind: x.factor for x in adjustment.variance_components(stations, obs, "height_1d", "kind").collect()}
+    a = np.zeros((len(rows), 20))
+    for m, (i, j, _) in enumerate(pairs):
+        a[m, i], a[m, j] = -1.0, 1.0
+    a, l, kind = a[:, 1:], np.array([x[6] for x in rows]), np.array([p[2] for p in pairs])  # noqa: E741
+    v = np.array([got["a"], got["b"]])[kind]
+    q = np.linalg.inv(a.T @ (a / v[:, None]))
+    e = a @ (q @ a.T @ (l / v)) - l
+    redundancy = 1 - np.einsum("ij,jk,ik->i", a, q, a) / v
+    for k in (0, 1):  # at the fixed point v'Pv of a group is its redundancy
+        assert close((e**2 / v)[kind == k].sum() / redundancy[kind == k].sum(), 1.0, 1e-3)
+    with pytest.raises(ValueError, match="settle"):
+        adjustment.variance_components(stations, obs, "height_1d", "kind", rounds=1)
+    exact = spark.createDataFrame([(*x[:6], 0.0, *x[7:]) for x in rows], OBS + ", kind string")
+    with pytest.raises(ValueError, match="zero"):
+        adjustment.variance_components(stations, exact, "height_1d", "kind")
+
+
+def test_distributed_plane_network(spark):
+    stations, rows = braced(4)
+    st, ob = spark.createDataFrame(stations, STATIONS), spark.createDataFrame(rows, OBS)
+    one = {r.station: (r.x, r.y) for r in adjustment.adjust(st, ob)["stations"].collect()}
+    assert all(np.allclose(one[r.station], (r.x, r.y), atol=1e-5) for r in adjustment.adjust_distributed(st, ob).collect())
 
 
 def test_free_height_network_keeps_the_mean(spark):
@@ -56,18 +218,6 @@ def test_directions_angles_and_distances(spark):
     assert close(c.x, 60.0) and close(c.y, 80.0)
 
 
-def test_distributed_solution_equals_the_dense_one(spark):
-    r = np.random.default_rng(1)
-    stations = spark.createDataFrame([("n", f"P{i}", 0.0, 0.0, 0.0, i == 0) for i in range(12)], STATIONS)
-    pairs = [(i, j) for i in range(12) for j in range(i + 1, 12) if (i + j) % 3]
-    obs = spark.createDataFrame([("n", f"{i}-{j}", "HEIGHT_DIFFERENCE", f"P{i}", f"P{j}", NONE, float(j - i + r.normal() / 10), 0.5 + (i % 3), NONE) for i, j in pairs], OBS)
-    design = adjustment.free_only(adjustment.equations(adjustment.with_coordinates(obs, stations).withColumn("orientation", F.lit(0.0))), stations)
-    n, u = adjustment.normal_matrix(design), adjustment.right_side(design)
-    dense = {x.i: x.dx for x in adjustment.solve_networks(n, u).where("i = j").collect()}
-    for row in adjustment.conjugate_gradient(n, u).collect():
-        assert close(row.x, dense[row.i], 1e-8)
-
-
 def test_calibration_table(spark):
     table = spark.createDataFrame([("g", 0.0, 100.0, 1.0), ("g", 10.0, 112.0, 1.5), ("g", 20.0, 130.0, 2.0)], "instrument string, counter double, gravity double, factor double")
     rows = spark.createDataFrame([(i, "g", c) for i, c in enumerate((-1.0, 0.0, 9.0, 10.0, 25.0, 30.0, 31.0))], "k int, instrument string, counter double")
