@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from meridian.llm.common import map_text
 from meridian.llm.token_counts import cut
 
-TABLE_LIMIT = 1_000_000
-PAIRS_LIMIT = 1_000_000
+#: Words and pairs of tokens that a worker remembers; some 50 MB of each.
+TABLE_LIMIT = 200_000
+PAIRS_LIMIT = 250_000
 
 
 class ByteBPE:
@@ -173,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         bpe = vocabulary(path, pattern)
 
         def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
-            coded = [[int(i) for _, decimals, _ in bpe.coded_pieces(t.decode("utf-8")) for i in decimals.split()] for t in texts]
+            coded = [[i for _, decimals, _ in bpe.coded_pieces(t.decode("utf-8")) for i in map(int, decimals.split())] for t in texts]
             return {id_col: ids, "n_tokens": [len(c) for c in coded], "ids": coded, "decoded_sha256": [hashlib.sha256(bpe.decode(c)).hexdigest() for c in coded]}
 
         return fn

@@ -14,6 +14,9 @@ from meridian.sources.shared import discard, shared_dir, stored
 
 __all__ = ["by_bytes", "column_bytes", "discard", "filter_text", "map_text", "shared_dir", "stored", "table", "tokens", "words"]
 
+# Workers are reused by later stages: what a batch took goes back to the system, not into Arrow's own pool.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Lower-cases A-Z and turns every byte outside [0-9a-z\x80-\xff] into a space. Bytes of
 #: multi-byte UTF-8 characters are all over 0x7F, so working on bytes is working on characters.
 WORD_TABLE = bytes(
