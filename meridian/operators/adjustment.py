@@ -5,7 +5,8 @@ adjust() deals whole networks to groups in one shuffle, and a group's networks a
 vectors as tables over all executors (adjust_distributed).
 
 stations: network_id, station, x (east), y (north), z (up), fixed boolean, and null components where a frame has none.
-observations: network_id, obs, type, at, to, third, value, variance, setup; elapsed_at, elapsed_to where a drift is estimated.
+observations: network_id, obs, type, at, to, third, value, variance, setup; elapsed_at, elapsed_to where a drift is estimated;
+height_offset (target height less instrument height) of slope distances, zenith and vertical angles taken above the marks.
 Unknowns are named station:x, station:y, station:z, orientation:setup and drift_1:setup."""
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def with_coordinates(observations: DataFrame, stations: DataFrame) -> DataFrame:
 def equations(rows: DataFrame) -> DataFrame:
     """(network_id, obs, row, misclosure, weight, partials array<struct<parameter, a>>) of rows with coordinates and, for
     directions, an orientation. Types without an equation give no row."""
-    dx, dy, dz = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("bz") - F.col("az")
+    dx, dy, rise = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("bz") - F.col("az")
+    dz = rise + F.coalesce(F.col("height_offset"), F.lit(0.0)) if "height_offset" in rows.columns else rise
     ex, ey = F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
     flat2 = dx * dx + dy * dy
     flat, slope2 = F.sqrt(flat2), flat2 + dz * dz
@@ -70,7 +72,7 @@ def equations(rows: DataFrame) -> DataFrame:
     angle = [_partial("third", c, v) for c, v in far.items()] + [_partial("to", c, -v) for c, v in azimuth.items()] + [_partial("at", c, azimuth[c] - far[c]) for c in "xy"]
     orientation = F.struct(F.concat_ws(":", F.lit("orientation"), F.col("setup")).alias("parameter"), F.lit(-1.0).alias("a"))
     kinds: dict[str, tuple[Column, list[Column]]] = {
-        "HEIGHT_DIFFERENCE": (dz, along({"z": F.lit(1.0)})),
+        "HEIGHT_DIFFERENCE": (rise, along({"z": F.lit(1.0)})),
         "HEIGHT": (F.col("az"), [_partial("at", "z", F.lit(1.0))]),
         "HORIZONTAL_DISTANCE": (flat, along({"x": dx / flat, "y": dy / flat})),
         "SLOPE_DISTANCE": (slope, along({"x": dx / slope, "y": dy / slope, "z": dz / slope})),
@@ -262,7 +264,7 @@ def _task(t: pa.Table, frame: str, defect: tuple[str, ...], degree: int, once: b
             pair_i.append(np.repeat(rows, len(rows)))
             pair_k.append(np.tile(rows, len(rows)))
             pair_p.append(np.linalg.inv(block).ravel())
-    net = Networks(station_net, position, unknown, row_net, kind, places, value, extra, factor, extra_value, extra_at, np.where(lost, 0, count), (np.concatenate(pair_i), np.concatenate(pair_k), np.concatenate(pair_p)), _local_horizon(geodesy.GRS80) if frame == "geocentric_3d" else None)
+    net = Networks(station_net, position, unknown, row_net, kind, places, value, extra, factor, extra_value, extra_at, np.where(lost, 0, count), (np.concatenate(pair_i), np.concatenate(pair_k), np.concatenate(pair_p)), np.nan_to_num(col(ob, "z").to_numpy(zero_copy_only=False).astype(float)), _local_horizon(geodesy.GRS80) if frame == "geocentric_3d" else None)
     if lost.any():  # their rows give no equations
         bad = lost[row_net]
         net.stations[bad], net.extra[bad] = 0, -1
@@ -322,9 +324,9 @@ def _estimated(stations: DataFrame, observations: DataFrame, frame: str, defect:
         raise ValueError("every observation needs a variance over 0")
     row = lambda what, **own: [F.lit(what).alias("what"), *(own.get(n, F.lit(None)).cast(t).alias(n) for n, t in _IN.items() if n != "what"), own.get("fullname", F.lit(None)).cast("string").alias("fullname")]
     c = F.col
-    begin, end = (c(n) if n in observations.columns else F.lit(None) for n in ("elapsed_at", "elapsed_to"))
+    begin, end, offset = (c(n) if n in observations.columns else F.lit(None) for n in ("elapsed_at", "elapsed_to", "height_offset"))
     parts = stations.select(*row(0, network_id=c("network_id"), a=c("station"), x=c("x"), y=c("y"), z=c("z"), fixed=F.coalesce("fixed", F.lit(False))))
-    parts = parts.unionByName(observations.select(*row(1, network_id=c("network_id"), a=c("at"), b=c("to"), c=c("third"), type=c("type"), name=c("setup"), v=c("value"), w=c("variance"), x=begin, y=end, fullname=c("obs"))))
+    parts = parts.unionByName(observations.select(*row(1, network_id=c("network_id"), a=c("at"), b=c("to"), c=c("third"), type=c("type"), name=c("setup"), v=c("value"), w=c("variance"), x=begin, y=end, z=offset, fullname=c("obs"))))
     if covariances is not None:
         parts = parts.unionByName(covariances.select(*row(2, network_id=c("network_id"), a=c("obs_a"), b=c("obs_b"), v=c("covariance"))))
     # whole networks are dealt to groups of about GROUP_ROWS rows

@@ -72,6 +72,7 @@ class Networks:
     extra_at: np.ndarray  # (rows, EXTRAS): the place there, or -1
     unknowns: np.ndarray  # of each network
     pair: tuple[np.ndarray, np.ndarray, np.ndarray]  # rows i and k, weight
+    offset: np.ndarray  # of rows: target height less instrument height
     local: Callable | None = None  # positions -> (n, 3, 3) rotations to the local horizon, and heights
     rows_of: dict[str, np.ndarray] = field(default_factory=dict)
 
@@ -101,6 +102,8 @@ class Networks:
                 d, far = position[j] - position[i], position[k] - position[i]
                 if turn is not None:
                     d, far = np.einsum("rij,rj->ri", turn[i], d), np.einsum("rij,rj->ri", turn[i], far)
+                if kind in ("SLOPE_DISTANCE", "ZENITH_ANGLE", "VERTICAL_ANGLE"):
+                    d = d + np.array([0.0, 0.0, 1.0]) * self.offset[own, None]
                 computed, g_to, g_third = line(kind, d, far)
                 if turn is not None:
                     g_to, g_third = np.einsum("rji,rj->ri", turn[i], g_to), np.einsum("rji,rj->ri", turn[i], g_third)

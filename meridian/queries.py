@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridian.plans import estimation, surveys, scalars
+from meridian.plans import estimation, networks, scalars, surveys
 from meridian.plans.registry import QUERIES, SQL
 
-__all__ = ["entry", "estimation", "oracle_sql", "queries", "scalars", "surveys"]
+__all__ = ["entry", "estimation", "networks", "oracle_sql", "queries", "scalars", "surveys"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
