@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,14 +46,28 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+try:
+    _give_back = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library, which has no such call
+
+    def _give_back(pad: int) -> int:
+        return 0
+
+
 def by_bytes(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about `limit` bytes at most, so that a batch of very long texts is worked on piece by piece."""
+    """Slices of about `limit` bytes at most, so that a batch of very long texts is worked on piece by piece. After the last one,
+    freed memory goes back to the system: workers outlive their tasks."""
+    yield from _halves(batch, limit)
+    _give_back(0)
+
+
+def _halves(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
     if batch.nbytes <= limit or batch.num_rows <= 1:
         yield batch
         return
     half = batch.num_rows // 2
-    yield from by_bytes(batch.slice(0, half), limit)
-    yield from by_bytes(batch.slice(half), limit)
+    yield from _halves(batch.slice(0, half), limit)
+    yield from _halves(batch.slice(half), limit)
 
 
 def arrow_batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:

@@ -13,9 +13,6 @@ LONG = 128
 _IS_SPACE = bytes(b == 32 or 9 <= b <= 13 for b in range(256))
 #: By the bytes that are left of a word: which bits of its next lane are its own.
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
-_POWER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
-_INVERSE = np.uint64(pow(int(_POWER), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,17 +24,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base of prefix sums, and of its inverse."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, factor in enumerate((_POWER, _INVERSE)):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def words(texts: list[bytes], translation: bytes = LOWER_TABLE) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word `[^\\x20\\x09-\\x0D]+` of all texts in order, translated byte by byte, and each text's number of words.
     A word's lanes of eight bytes are mixed one after the other; words over LONG bytes have a cryptographic hash."""

@@ -32,19 +32,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meridian.llm.common import by_bytes, column_bytes, stored
-from meridian.llm.shingles import mix, powers
+from meridian.llm.shingles import mix
 
 LENGTH, GRAM = 100, 16
 #: Grams in a window, and of the four stretches the windows' offsets from their anchor.
 SPAN = LENGTH - GRAM + 1
 PARTS, PART = 4, -(-SPAN // 4)
 #: Bytes of text whose arrays are made at once; tuples that are compared in a task before they go out.
-SLICE_BYTES, LOCAL = 1 << 20, 400_000
+SLICE_BYTES, LOCAL = 1 << 19, 200_000
 #: Candidate runs that may be broadcast; beyond that they are joined.
 BROADCAST_RUNS = 2_000_000
 LAST = (1 << 63) - 1
 _AT = np.uint64((1 << 40) - 1)
-_BYTE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hashes are two polynomials in random bases modulo a Mersenne prime, so that no family of strings collides by its form.
+PRIME = np.uint64((1 << 31) - 1)
+_rng = np.random.Generator(np.random.PCG64(7))
+_BASES = [int(x) for x in _rng.integers(1 << 20, 1 << 30, 2)]
+_BYTES = _rng.integers(1, 1 << 31, (2, 256), dtype=np.uint64) % PRIME
+_powers: list[list[np.ndarray]] = [[np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2]
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base, and of its inverse: doubled until there are enough."""
+    for which, base in enumerate((_BASES[k], pow(_BASES[k], -1, int(PRIME)))):
+        table = _powers[k][which]
+        while len(table) < n:
+            step = np.uint64(pow(base, len(table), int(PRIME)))
+            table = np.concatenate((table, _modulo(table * step)))
+        _powers[k][which] = table
+    return _powers[k][0][:n], _powers[k][1][:n]
 
 
 class Hashes:
@@ -53,12 +76,17 @@ class Hashes:
     def __init__(self, texts: list[bytes]):
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
-        up, self.down = powers(len(self.data) + 1)
-        self.sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=self.sums[1:])
+        self.sums, self.down = [], []
+        for k in range(2):
+            up, down = powers(k, len(self.data) + 1)
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_modulo(_BYTES[k][self.data] * up[: len(self.data)]), out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        first, second = (_modulo(_modulo(s[end] - s[start]) * d[start]) for s, d in zip(self.sums, self.down, strict=True))
+        return mix(((first << np.uint64(31)) | second) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def runs(texts: list[bytes]) -> tuple[Hashes, dict[str, np.ndarray]]:

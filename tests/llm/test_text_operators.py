@@ -468,3 +468,26 @@ def test_decontamination_by_items_without_id(spark, docs):
     assert collected(decontamination.contamination(docs, bench).select(*names)) == expected(lambda i, t: (i, *with_null(*brute_hits(t, items))))
     kept = {r.doc_id for r in decontamination.uncontaminated(docs, bench).collect()}
     assert kept == {i for i, t in TEXTS if not brute_hits(t, items)[1]} and 10 not in kept
+
+
+def thue_morse(n):
+    out = b"a"
+    while len(out) < n:
+        out += out.translate(bytes.maketrans(b"ab", b"ba"))
+    return out[:n], out[:n].translate(bytes.maketrans(b"ab", b"ba"))
+
+
+def test_hashes_tell_strings_of_like_form_apart(spark):
+    """Words and stretches that collide under any polynomial hash modulo a power of two."""
+    import numpy as np
+
+    one, two = thue_morse(1024)
+    assert not set(shingles.sets([one], 4)[0].tolist()) & set(shingles.sets([two], 4)[0].tolist())
+    rows = spark.createDataFrame([(1, one.decode()), (2, two.decode()), (3, two.decode() * 40), (4, one.decode() * 40)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.linked(rows, 4, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    for n in (128, 184, 1024):
+        a, b = thue_morse(n)
+        own = suffix_dedup.Hashes([a, b, a])
+        start = np.array([0, n, 2 * n])
+        x, y, z = own.of(start, start + n).tolist()
+        assert x == z != y
