@@ -10,28 +10,41 @@ from meridian.llm import byte_bpe, decontamination, jaccard_join, language_id, s
 from meridian.llm.common import stored, table
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a letter whose language is more likely than all others together."""
+    _bounded(spark)
     return language_id.identified(docs, language_id.fit(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 on shingles of five words, keeps the one with the smallest id."""
+    _bounded(spark)
     return jaccard_join.one_of_each(docs, size=5, percent=80).select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out of the texts what also starts earlier, as strings of 100 bytes, and what is left empty."""
+    _bounded(spark)
     return suffix_dedup.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a window of ten words of the benchmark."""
+    _bounded(spark)
     return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the hash of their decoding."""
+    _bounded(spark)
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
