@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridian.functions.uncertainty import transform
+
 
 @dataclass(frozen=True)
 class Ellipsoid:
@@ -53,6 +55,19 @@ def geodetic_to_cartesian_jacobian(latitude: Column, longitude: Column, height:
     return [[-m * sp * cl, -n * cp * sl, cp * cl], [-m * sp * sl, n * cp * cl, cp * sl], [m * cp, F.lit(0.0), sp]]
 
 
+def geodetic_covariance(latitude: Column, longitude: Column, height: Column, covariance: list[list[Column]], ellipsoid: Ellipsoid = GRS80) -> list[list[Column]]:
+    """The geocentric covariance of a position whose latitude, longitude and height have this one."""
+    return transform(geodetic_to_cartesian_jacobian(latitude, longitude, height, ellipsoid), covariance)
+
+
+def cartesian_covariance(latitude: Column, longitude: Column, height: Column, covariance: list[list[Column]], ellipsoid: Ellipsoid = GRS80) -> list[list[Column]]:
+    """The covariance of latitude, longitude and height of a position whose geocentric coordinates have this one: the jacobian's columns are
+    orthogonal, so its inverse is its transpose with each row over the square of its length."""
+    j = geodetic_to_cartesian_jacobian(latitude, longitude, height, ellipsoid)
+    length2 = ((ellipsoid.meridian(latitude) + height) ** 2, ((ellipsoid.prime_vertical(latitude) + height) * F.cos(latitude)) ** 2, F.lit(1.0))
+    return transform([[j[i][k] / length2[k] for i in range(3)] for k in range(3)], covariance)
+
+
 def with_geodetic(rows: DataFrame, x: str, y: str, z: str, ellipsoid: Ellipsoid = GRS80, rounds: int = 3) -> DataFrame:
     """Adds latitude, longitude and height. Bowring's parametric latitude is improved by a fixed number of rounds, which for heights on
     and near Earth is below the precision of a double; on the polar axis the longitude is 0. Each round is a column of its own: a
@@ -122,6 +137,11 @@ class Helmert:
         return tuple((c[0][j] * v[0] + c[1][j] * v[1] + c[2][j] * v[2]) / det for j in range(3))
 
 
+    def apply_vector(self, dx: Column, dy: Column, dz: Column, epoch: Column | float) -> tuple[Column, ...]:
+        """A difference of positions in the other frame: turned and scaled, not moved."""
+        return _apply(self._at(epoch)[1], (dx, dy, dz))
+
+
 def move_to_epoch(position: tuple[Column, ...], velocity: tuple[Column, ...], from_epoch: Column, to_epoch: Column) -> tuple[Column, ...]:
     return tuple(p + v * (to_epoch - from_epoch) for p, v in zip(position, velocity, strict=True))
 
