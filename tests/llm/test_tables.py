@@ -165,3 +165,31 @@ def test_pipeline(spark):
         if name == "byte_bpe":
             assert all(after[i]["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest() for i, r in before.items())
     assert corpus_pipeline.run(spark, SF).count() == rows["byte_bpe"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, ties, empty and very long texts, and columns named as the stages name their own."""
+    words = [f"word{k}" for k in range(400)]
+    base = " ".join(words[:120])
+    long = " ".join(words[(k * 7919 + k // 400) % 400] for k in range(20_000)) + " " + "x" * 3_000_000
+    texts = [(1, base), (2, base), (2, base), (3, base + " tail"), (None, base), (4, None), (None, None), (5, ""), (6, "1234 !!"), (7, "tiny text"), (8, long), (9, " ".join(words[200:330])), (10, "benchmark passage " + " ".join(words[150:165]))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shingle string, node int, label int, row string, twin int, spans string, t string, slice string, term string"
+    rows = [(i, t, "aa" if k % 2 else "bb", "s", len(t or ""), "x", 1, 2, "r", 3, "sp", "t", "sl", "te") for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([("i", " ".join(words[150:165])), (None, "tiny text"), ("n", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = []
+    for name in ("language_id", "jaccard_join", "suffix_dedup", "decontamination"):
+        docs = stored(stages[name](spark, docs, str(tmp_path)))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        kept.append(sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect()))
+    ids = lambda *own, null=0: [(False, i) for i in own] + [(True, 0)] * null
+    assert kept[0] == ids(1, 2, 2, 3, 7, 8, 9, 10, null=1)
+    assert kept[1] == ids(1, 7, 8, 9, 10, null=1)
+    assert kept[2] == ids(1, 7, 8, 9, 10)  # the row without an id repeats what stands before
+    assert kept[3] == ids(1, 8, 9)
+    coded = stages["byte_bpe"](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in coded} == {1, 8, 9} and all(r.n_tokens == len(r.ids) for r in coded)
+    none = docs.limit(0)
+    for stage in stages.values():
+        assert stage(spark, none, str(tmp_path)).collect() == []
