@@ -1,4 +1,11 @@
-"""The corpus pipeline: STAGES applied to documents, the rows of each written and reread as the next one's."""
+"""The corpus pipeline: STAGES applied to documents, the rows of each written and reread as the next one's.
+
+Every stage takes any columns, names of its own included, and all but the last return the columns of its input. Rows with null or
+letterless text go in the first stage. A row without an id is kept by the others, is no one's near copy, and comes last where the
+order of documents counts. Rows that repeat id and text stay together: the near-copy stage keeps all rows of the smallest id
+of a group, and the suffix stage counts them as one document. Of texts that are tied the smallest id stays. Empty tables give
+empty tables, and an empty benchmark contaminates nothing. Texts may be of any length.
+"""
 
 from __future__ import annotations
 
