@@ -138,6 +138,11 @@ class ByteBPE:
         token = self.token
         return b"".join([token[i] for i in ids])
 
+    def forget(self) -> None:
+        """Drops what was remembered of texts: the worker may go on with other work."""
+        self.coded.clear()
+        self.pairs.clear()
+
     def _code(self, piece: str) -> tuple[int, str, bytes]:
         ids = self.encode(piece)
         decimal = self.decimal
@@ -177,6 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             coded = [[i for _, decimals, _ in bpe.coded_pieces(t.decode("utf-8")) for i in map(int, decimals.split())] for t in texts]
             return {id_col: ids, "n_tokens": [len(c) for c in coded], "ids": coded, "decoded_sha256": [hashlib.sha256(bpe.decode(c)).hexdigest() for c in coded]}
 
+        fn.done = bpe.forget
         return fn
 
     return map_text(docs, id_col, text_col, f"{id_col} long, n_tokens long, ids array<int>, decoded_sha256 string", make)
@@ -213,6 +219,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 data_sums.append(hashlib.sha256(b"".join([d for _, _, d in got])).hexdigest())
             return {id_col: ids, "n_tokens": n_tokens, "ids_sha256": id_sums, "decoded_sha256": data_sums}
 
+        fn.done = bpe.forget
         return fn
 
     return map_text(docs, id_col, text_col, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)

@@ -86,15 +86,19 @@ def map_text(
     make: Callable[[], Callable[[pa.Array, list[bytes]], dict[str, object]]],
 ) -> DataFrame:
     """Maps batches of (id, text). `make` is called once a task and returns fn(id column, texts as UTF-8
-    bytes) -> columns of `schema`, of any one length. Only these two columns are read, so that other
-    columns can't clash with those of the result."""
+    bytes) -> columns of `schema`, of any one length; if fn has a `done`, it is called at the task's end. Only these two
+    columns are read, so that other columns can't clash with those of the result."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            for part in by_bytes(batch):
-                yield arrow_batch(arrow, fn(part.column(0), column_bytes(part.column(1))))
+        try:
+            for batch in batches:
+                for part in by_bytes(batch):
+                    yield arrow_batch(arrow, fn(part.column(0), column_bytes(part.column(1))))
+        finally:
+            getattr(fn, "done", lambda: None)()
+            _give_back(0)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

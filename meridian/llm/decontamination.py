@@ -30,7 +30,7 @@ from meridian.llm import shingles
 from meridian.llm.common import WORD_TABLE, by_bytes, column_bytes, discard, stored
 
 #: Bytes of text of a slice of documents, and benchmark windows that are broadcast at once.
-SLICE_BYTES, WINDOWS = 4 << 20, 200_000
+SLICE_BYTES, WINDOWS = 2 << 20, 200_000
 
 
 def _lists(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -479,7 +479,6 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     near = met.where("delta is not null").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("na").alias("n"), "d", "delta").join(hubs, "node", "left_anti").unionByName(hubs)
     near = stored(near.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     links = stored(links.unionByName(near_links(near, percent)))
-    labels = components(links)
     labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(near.select("node", "hub"), "node", "left")
     pairs = candidate_pairs(labelled, percent)
     discard(placed, met, near)

@@ -39,7 +39,7 @@ LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
 PARTS, PART = 4, -(-SPAN // 4)
 #: Bytes of text whose arrays are made at once; tuples that are compared in a task before they go out.
-SLICE_BYTES, LOCAL = 1 << 19, 200_000
+SLICE_BYTES, LOCAL = 1 << 18, 150_000
 #: Candidate runs that may be broadcast; beyond that they are joined.
 BROADCAST_RUNS = 2_000_000
 LAST = (1 << 63) - 1
