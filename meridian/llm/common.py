@@ -47,18 +47,21 @@ def column_bytes(column: pa.Array) -> list[bytes]:
 
 
 try:
-    _give_back = ctypes.CDLL("libc.so.6").malloc_trim
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
 except (OSError, AttributeError):  # another C library, which has no such call
+    _trim = int
 
-    def _give_back(pad: int) -> int:
-        return 0
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks."""
+    _trim(0)
 
 
 def by_bytes(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes at most, so that a batch of very long texts is worked on piece by piece. After the last one,
-    freed memory goes back to the system: workers outlive their tasks."""
+    freed memory goes back."""
     yield from _halves(batch, limit)
-    _give_back(0)
+    give_back()
 
 
 def _halves(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
@@ -98,7 +101,7 @@ def map_text(
                     yield arrow_batch(arrow, fn(part.column(0), column_bytes(part.column(1))))
         finally:
             getattr(fn, "done", lambda: None)()
-            _give_back(0)
+            give_back()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
