@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows whose key is not among the new, and the new."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    """Old rows whose key is not among the new, and the new, one of each key. A null in a key is a value as any other."""
+    once = new.dropDuplicates(keys)
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    return old.alias("o").join(once.select(*keys).alias("n"), reduce(lambda a, b: a & b, same), "left_anti").select("o.*").unionByName(once)
 
 
 def insert_absent(held: DataFrame, offered: DataFrame, keys: list[str]) -> DataFrame:

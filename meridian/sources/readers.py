@@ -167,31 +167,35 @@ def name_hints(path: Column) -> dict[str, Column]:
     return {"station": F.when(name.rlike(short), F.upper(F.regexp_extract(name, short, 1))), "day": F.regexp_extract(name, short, 2).try_cast("int"), "year": F.when(yy < 80, yy + 2000).otherwise(yy + 1900)}
 
 
-def read_esri_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
-    """(row from the south, column, value) of a grid, without its no-data cells, and its header."""
+def read_esri_ascii(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, row from the south, column, value, south, west, dlat, dlon) of grids, without their no-data cells; each file by its own header,
+    whose corner is that of its first cell or that cell's centre."""
     rows = fields_of(lines_of(spark, path)).where(F.size("f") > 0)
-    head = {r.f[0].lower(): float(r.f[1]) for r in rows.where(F.col("line").rlike(r"^\s*[A-Za-z]")).select("f").collect()}
-    body = rows.where(~F.col("line").rlike(r"^\s*[A-Za-z]")).withColumn("north", F.row_number().over(Window.partitionBy("path").orderBy("line_number")))
-    cells = body.select((F.lit(int(head["nrows"])) - F.col("north")).alias("row"), F.posexplode("f").alias("column", "text")).select("row", "column", F.col("text").cast("double").alias("value"))
-    return cells.where(F.col("value") != head.get("nodata_value", float("nan"))), head
+    is_head = F.col("line").rlike(r"^\s*[A-Za-z]")
+    pairs = rows.where(is_head).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(F.lower(F.element_at("f", 1)).alias("k"), F.element_at("f", 2).cast("double").alias("v")))).alias("h"))
+    get = lambda k: F.try_element_at("h", F.lit(k))
+    size = get("cellsize")
+    head = pairs.select("path", get("nrows").cast("int").alias("nrows"), get("nodata_value").alias("no_data"), F.coalesce(get("yllcenter"), get("yllcorner")).alias("south"), F.coalesce(get("xllcenter"), get("xllcorner")).alias("west"), F.coalesce(get("dy"), size).alias("dlat"), F.coalesce(get("dx"), size).alias("dlon"))
+    body = rows.where(~is_head).withColumn("north", F.row_number().over(Window.partitionBy("path").orderBy("line_number")))
+    cells = body.join(head, "path").select("path", (F.col("nrows") - F.col("north")).alias("row"), F.posexplode("f").alias("column", "text"), "no_data", "south", "west", "dlat", "dlon")
+    value = F.col("text").cast("double")
+    return cells.withColumn("value", value).where(F.col("no_data").isNull() | (F.col("value") != F.col("no_data"))).select("path", "row", "column", "value", "south", "west", "dlat", "dlon")
 
 
-def read_gtx(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
-    """The same of a big-endian GTX grid, which is stored from the south; no-data is -88.8888."""
+def read_gtx(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The same of big-endian GTX grids, which are stored from the south; no-data is -88.8888."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch.content:
+            for name, content in zip(batch.path, batch.content, strict=True):
                 south, west, dlat, dlon = np.frombuffer(content, ">f8", 4)
                 rows, columns = np.frombuffer(content, ">i4", 2, 32)
                 values = np.frombuffer(content, ">f4", rows * columns, 40).astype(float)
                 i, j = np.divmod(np.arange(rows * columns), columns)
                 keep = np.abs(values + 88.8888) > 1e-3
-                yield pd.DataFrame({"row": i[keep], "column": j[keep], "value": values[keep], "south": south, "west": west, "dlat": dlat, "dlon": dlon})
+                yield pd.DataFrame({"path": name, "row": i[keep], "column": j[keep], "value": values[keep], "south": south, "west": west, "dlat": dlat, "dlon": dlon})
 
-    grid = spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, "row int, column int, value double, south double, west double, dlat double, dlon double")
-    first = grid.first()
-    return grid.select("row", "column", "value"), {k: first[k] for k in ("south", "west", "dlat", "dlon")}
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "path string, row int, column int, value double, south double, west double, dlat double, dlon double")
 
 
 def undulations(points: DataFrame, cells: DataFrame, south: float, west: float, dlat: float, dlon: float, sigma: float = 0.05) -> DataFrame:
@@ -219,24 +223,25 @@ def read_sections(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return fields_of(inside.where((F.col("line") != "") & ~F.col("line").rlike(r"^\[.*\]$"))).select("path", "line_number", "section", "f")
 
 
-def read_adjust(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(stations, observations) of *Adjust* text: a title, five counts (distances, angles, azimuths, control stations, stations), stations,
-    then rows told apart by their number of fields: 2 or 4 a distance, 3 or 7 an angle from a backsight at a station to a foresight."""
+def read_adjust(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(stations, observations) of *Adjust* text, each with its path: a title, five counts (distances, angles, azimuths, control stations,
+    stations), stations, then rows told apart by their number of fields: 2 or 4 a distance, 3 or 7 an angle from a backsight at a
+    station to a foresight. Raises for a file whose counts are not those of its rows."""
     rows = fields_of(lines_of(spark, path)).where(F.size("f") > 0)
-    w = Window.partitionBy("path").orderBy("line_number")
-    rows = rows.withColumn("k", F.row_number().over(w))
-    counts = [int(x) for x in rows.where("k = 2").first().f[:5]]
-    n_stations = counts[3] + counts[4]
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("line_number")))
+    counts = rows.where("k = 2").select("path", F.transform(F.slice("f", 1, 5), lambda x: x.cast("int")).alias("c"))
+    rows = rows.join(counts, "path").withColumn("n_stations", F.col("c")[3] + F.col("c")[4])
     n = lambda k: F.try_element_at("f", F.lit(k)).try_cast("double")
-    stations = rows.where(F.col("k").between(3, 2 + n_stations)).select(F.element_at("f", 1).alias("station"), n(2).alias("x"), n(3).alias("y"), n(4).alias("sx"), n(5).alias("sy"), (F.col("k") <= 2 + counts[3]).alias("control"))
-    body = rows.where(F.col("k") > 2 + n_stations).withColumn("size", F.size("f"))
-    distance = body.where("size in (2, 4)").select("line_number", F.lit("HORIZONTAL_DISTANCE").alias("type"), F.slice("f", 1, 2).alias("stations"), n(3).alias("value"), n(4).alias("sigma"))
+    stations = rows.where((F.col("k") >= 3) & (F.col("k") <= 2 + F.col("n_stations"))).select("path", F.element_at("f", 1).alias("station"), n(2).alias("x"), n(3).alias("y"), n(4).alias("sx"), n(5).alias("sy"), (F.col("k") <= 2 + F.col("c")[3]).alias("control"))
+    body = rows.where(F.col("k") > 2 + F.col("n_stations")).withColumn("size", F.size("f"))
+    distance = body.where("size in (2, 4)").select("path", "line_number", F.lit("HORIZONTAL_DISTANCE").alias("type"), F.slice("f", 1, 2).alias("stations"), n(3).alias("value"), n(4).alias("sigma"))
     dms = F.signum(n(4) + 0.5) * (F.abs(n(4)) + n(5) / 60.0 + n(6) / 3600.0)
-    angle = body.where("size in (3, 7)").select("line_number", F.lit("HORIZONTAL_ANGLE").alias("type"), F.slice("f", 1, 3).alias("stations"), F.radians(dms).alias("value"), F.radians(n(7) / 3600.0).alias("sigma"))
+    angle = body.where("size in (3, 7)").select("path", "line_number", F.lit("HORIZONTAL_ANGLE").alias("type"), F.slice("f", 1, 3).alias("stations"), F.radians(dms).alias("value"), F.radians(n(7) / 3600.0).alias("sigma"))
     found = distance.unionByName(angle)
-    got = {r.type: r["count"] for r in found.groupBy("type").count().collect()}
-    if (got.get("HORIZONTAL_DISTANCE", 0), got.get("HORIZONTAL_ANGLE", 0)) != (counts[0], counts[1]) or counts[2]:
-        raise ValueError(f"the counts {counts[:3]} are not those of the rows: {got}")
+    got = found.groupBy("path").agg(F.count_if(F.col("type") == "HORIZONTAL_DISTANCE").alias("distances"), F.count_if(F.col("type") == "HORIZONTAL_ANGLE").alias("angles"))
+    wrong = counts.join(got, "path", "left").where((F.coalesce("distances", F.lit(0)) != F.col("c")[0]) | (F.coalesce("angles", F.lit(0)) != F.col("c")[1]) | (F.col("c")[2] != 0)).limit(1).collect()
+    if wrong:
+        raise ValueError(f"the counts {wrong[0].c[:3]} of {wrong[0].path} are not those of its rows")
     return stations, found
 
 

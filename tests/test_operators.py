@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.operators import adjustment, gauss_newton, gnss, gravimetry, levelling, monitoring, network, store, total_station
+from meridian.operators import adjustment, builders, gauss_newton, gnss, gravimetry, levelling, matrices, monitoring, network, solutions, store, total_station
 
 
 def close(x, y, tol=1e-6):
@@ -305,3 +305,65 @@ def test_three_wires_in_order(spark):
     bad = levelling.three_wire(F.lit(1.5), F.lit(1.6), F.lit(0.9), F.lit(3e-6))
     r = spark.range(1).select(w["reading"].alias("a"), w["variance"].alias("b"), w["distance"].alias("c"), bad["reading"].alias("d")).first()
     assert close(r.a, 1.2) and close(r.b, 1e-6, 1e-12) and close(r.c, 60.0) and r.d is None
+
+
+def test_upsert_of_repeats_and_null_keys(spark):
+    old = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
+    new = spark.createDataFrame([("a", 9), ("a", 9), (None, 8)], "k string, v int")
+    assert sorted(tuple(r) for r in store.upsert(old, new, ["k"]).collect() if r.k) == [("a", 9), ("b", 3)]
+    assert [r.v for r in store.upsert(old, new, ["k"]).where("k is null").collect()] == [8]
+
+
+def test_builders_and_loops(spark):
+    b = spark.createDataFrame([("e1", "A", "B", 1.0), ("e2", "B", "C", 2.0), ("e3", "A", "C", 3.0), ("e4", "C", "D", 1.0), ("e5", "D", "A", 5.0), ("e6", "B", "A", 9.0), ("e7", "X", "X", 1.0)], "baseline string, base string, rover string, cxx double").withColumns({"cyy": F.lit(0.0), "czz": F.lit(0.0)})
+    own = builders.independent_subset(b)
+    assert {r.baseline for r in own.where("independent").collect()} == {"e1", "e2", "e4"}
+    loops = {}
+    for r in builders.closing_loops(own).orderBy("loop", "seq").collect():
+        loops.setdefault(r.loop, []).append((r.baseline, r.sign))
+    assert loops == {"e3": [("e3", 1), ("e2", -1), ("e1", -1)], "e5": [("e5", 1), ("e1", 1), ("e2", 1), ("e4", 1)]}
+    assert builders.independent_subset(b.limit(0)).collect() == []
+    with pytest.raises(Exception, match="no way from this height"):
+        builders.harmonised(spark.createDataFrame([("s", 1.0, 0.1, "normal", None, None)], "station string, height double, variance double, height_type string, undulation double, undulation_variance double")).collect()
+    sigma, _ = builders.resolved_sigma(F.col("a"), F.col("b"), F.col("c"), F.lit(4))
+    rows = spark.createDataFrame([(None, None, None)], "a double, b double, c double")
+    with pytest.raises(Exception, match="no sigma"):
+        rows.select(sigma).collect()
+
+
+def test_total_station_network_with_heights_of_instrument_and_target(spark):
+    """Slope distances and zenith angles above the marks give the marks."""
+    true = {"A": (0.0, 0.0, 10.0), "B": (100.0, 0.0, 12.0), "C": (60.0, 80.0, 15.0)}
+    rows = []
+    for k, (a, t) in enumerate(["AC", "BC", "AB", "BA"]):
+        e, n, u = (y - x for x, y in zip(true[a], true[t]))
+        u += 1.3 - 1.6
+        flat = math.hypot(e, n)
+        rows.append(("n", f"s{a}", a, t, math.atan2(e, n) % (2 * math.pi), math.atan2(flat, u), math.hypot(flat, u), 1e-10, 1e-10, 1e-6, 1.6, 1.3))
+    names = "network_id string, setup string, station string, target string, horizontal double, zenith double, distance double, horizontal_variance double, zenith_variance double, distance_variance double, instrument_height double, target_height double"
+    obs = builders.total_station_observations(spark.createDataFrame(rows, names), 3)
+    known = spark.createDataFrame([("n", "A", *true["A"], True), ("n", "B", *true["B"], True), ("n", "C", 59.0, 81.0, 14.0, False)], STATIONS)
+    out = adjustment.adjust(builders.network_stations(obs, known), obs, "local_3d")
+    got = {r.station: (r.x, r.y, r.z) for r in out["stations"].collect()}
+    assert np.allclose(got["C"], true["C"], atol=1e-6)
+    assert builders.detect_defect(obs, "local_3d").first().defect == ["x", "y", "z", "rotation"]
+
+
+def test_solutions_must_be_comparable(spark):
+    one = spark.createDataFrame([("plane", "d1")], "frame string, datum string")
+    solutions.require_comparable(one, one)
+    with pytest.raises(ValueError, match="datum"):
+        solutions.require_comparable(one, one.withColumn("datum", F.lit("d2")))
+
+
+def test_printed_covariances(spark):
+    m = [[1.0, 0.5], [0.5, 0.2499]]  # just negative, as rounding makes it
+    rows = [("k", i, j, m["pq".index(i)]["pq".index(j)]) for i in "pq" for j in "pq"]
+    got = matrices.from_printed(spark.createDataFrame(rows, "k string, i string, j string, v double"), ["k"], 1e-3).collect()
+    back = np.array([[next(r.v for r in got if (r.i, r.j) == (i, j)) for j in "pq"] for i in "pq"])
+    assert all(r.conditioned for r in got) and np.linalg.eigvalsh(back)[0] > -1e-12 and np.allclose(back, m, atol=1e-3)
+    with pytest.raises(Exception, match="beyond its rounding"):
+        matrices.from_printed(spark.createDataFrame(rows, "k string, i string, j string, v double"), ["k"], 1e-9).collect()
+    bad = spark.createDataFrame([("k", "p", "p", -1.0), ("k", "q", "q", 2.0)], "k string, i string, j string, v double")
+    with pytest.raises(Exception, match="negative beyond rounding"):
+        matrices.zero_rounded(bad, ["k"]).collect()

@@ -79,14 +79,19 @@ def test_rinex_header(spark, tmp_path):
 
 def test_grids_and_interpolation(spark, tmp_path):
     asc = write(tmp_path, "g.asc", "ncols 3\nnrows 2\nxllcorner 10\nyllcorner 50\ncellsize 1\nNODATA_value -9999\n4 5 6\n1 2 -9999\n")
-    cells, head = readers.read_esri_ascii(spark, asc)
-    assert sorted((r.row, r.column, r.value) for r in cells.collect()) == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 4.0), (1, 1, 5.0), (1, 2, 6.0)] and head["cellsize"] == 1
+    cells = readers.read_esri_ascii(spark, asc)
+    assert sorted((r.row, r.column, r.value) for r in cells.collect()) == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 4.0), (1, 1, 5.0), (1, 2, 6.0)] and {(r.south, r.west, r.dlat) for r in cells.collect()} == {(50.0, 10.0, 1.0)}
+    other = write(tmp_path, "h.asc", "ncols 1\nnrows 3\nxllcenter 20\nyllcenter 60\ncellsize 2\n7\n8\n-9999\n")  # no no-data value, another height
+    two = readers.read_esri_ascii(spark, [asc, other]).where("path like '%h.asc'").collect()
+    assert sorted((r.row, r.value, r.south, r.dlon) for r in two) == [(0, -9999.0, 60.0, 2.0), (1, 8.0, 60.0, 2.0), (2, 7.0, 60.0, 2.0)]
     points = spark.createDataFrame([("a", 50.5, 10.5), ("b", 50.0, 10.0), ("c", 50.5, 11.5), ("d", 60.0, 10.0)], "p string, latitude double, longitude double")
     got = {r.p: r.undulation for r in readers.undulations(points, cells, 50.0, 10.0, 1.0, 1.0).collect()}
     assert got == {"a": pytest.approx(3.0), "b": 1.0, "c": None, "d": None}
     gtx = write(tmp_path, "g.gtx", struct.pack(">4d2i4f", 50.0, 10.0, 1.0, 1.0, 2, 2, 1.0, 2.0, -88.8888, 5.0))
-    cells, head = readers.read_gtx(spark, gtx)
-    assert sorted((r.row, r.column, round(r.value, 3)) for r in cells.collect()) == [(0, 0, 1.0), (0, 1, 2.0), (1, 1, 5.0)] and head["south"] == 50.0
+    cells = readers.read_gtx(spark, gtx)
+    assert sorted((r.row, r.column, round(r.value, 3)) for r in cells.collect()) == [(0, 0, 1.0), (0, 1, 2.0), (1, 1, 5.0)] and cells.first().south == 50.0
+    more = write(tmp_path, "i.gtx", struct.pack(">4d2i1f", 70.0, 11.0, 1.0, 1.0, 1, 1, 9.0))
+    assert {(r.south, r.value) for r in readers.read_gtx(spark, [gtx, more]).where("value > 8").collect()} == {(70.0, 9.0)}
 
 
 def test_sectioned_and_counted_text(spark, tmp_path):
@@ -95,6 +100,9 @@ def test_sectioned_and_counted_text(spark, tmp_path):
     adjust = write(tmp_path, "a.txt", "title\n1 1 0 1 1\nA 0 0 0.01 0.01\nB 10 0\nA B 10.0 0.002\nA B A 90 30 00 5\n")
     stations, rows = readers.read_adjust(spark, adjust)
     assert {r.station: r.control for r in stations.collect()} == {"A": True, "B": False}
+    more = write(tmp_path, "b.txt", "title\n2 0 0 0 3\nC 0 0\nD 1 1\nE 2 2\nC D 1.4 0.01\nD E 1.4 0.01\n")
+    several = readers.read_adjust(spark, [adjust, more])
+    assert (several[0].count(), several[1].count()) == (5, 4) and {r.station for r in several[0].where("control").collect()} == {"A"}
     angle = rows.where("type = 'HORIZONTAL_ANGLE'").first()
     assert angle.value == pytest.approx(math.radians(90.5)) and angle.sigma == pytest.approx(math.radians(5 / 3600))
     with pytest.raises(ValueError):
