@@ -395,3 +395,31 @@ def trajectory_features(spark, sf):
 @query("constrained_stations", "SELECT CAST(n_nationkey AS VARCHAR) AS station FROM nation WHERE n_nationkey = 0")
 def constrained_stations(spark, sf):
     return solutions.constrained_stations(_height_network(spark, sf)[0]).select("station")
+
+
+@query("congruency_of_correlated_stations", "SELECT p_partkey AS campaign, round((b*d*d-2*c*d*g+a*g*g)/(a*b-c*c),5)+0.0 AS omega, 2 AS h FROM (SELECT p_partkey, p_retailprice AS a, p_size + 1000.0 AS b, p_size * 1.0 AS c, p_partkey % 11 - 5.0 AS d, p_size % 7 - 3.0 AS g FROM part)")
+def congruency_of_correlated_stations(spark, sf):
+    """Two heights a campaign with a full covariance."""
+    from meridian.operators import congruency
+
+    m = matrices.sub_block(_matrices(spark, sf), ["p", "q"]).select(F.col("k").alias("campaign"), F.concat("i", F.lit(":z")).alias("i"), F.concat("j", F.lit(":z")).alias("j"), "v")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("campaign"), F.explode(F.array(F.struct(F.lit("p").alias("s"), (F.col("p_partkey") % 11 - 5.0).alias("v")), F.struct(F.lit("q").alias("s"), (F.col("p_size") % 7 - 3.0).alias("v")))).alias("e")).select("campaign", "e.*")
+    d = p.select("campaign", F.concat("s", F.lit(":z")).alias("i"), "v")
+    places = p.select("campaign", F.col("s").alias("station"), *(F.lit(0.0).alias(c) for c in "xyz"), F.lit(True).alias("reference"))
+    meta = p.select("campaign").distinct().withColumns({"pooled": F.lit(1.0), "dof": F.lit(0)})
+    found = congruency.congruency(d, m, places, meta, ["campaign"])
+    return found.select("campaign", r(F.col("omega"), 5).alias("omega"), "h").distinct()
+
+
+@query("s_transformed_differences", "WITH d AS (SELECT n_regionkey AS campaign, n_nationkey AS k, n_nationkey % 7 * 0.5 AS dx, n_nationkey % 5 * 0.25 AS dy FROM nation), m AS (SELECT campaign, avg(dx) AS mx, avg(dy) AS my, count(*) AS n FROM d WHERE k % 2 = 0 GROUP BY campaign) SELECT d.campaign, 'S' || k AS station, round(dx-mx,6)+0.0 AS dx, round(dy-my,6)+0.0 AS dy, round(CASE WHEN k % 2 = 0 THEN 1-1.0/n ELSE 1+1.0/n END,6)+0.0 AS variance FROM d JOIN m ON d.campaign = m.campaign")
+def s_transformed_differences(spark, sf):
+    """Differences of independent stations in the datum of some of them (translations)."""
+    from meridian.operators import congruency
+
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("campaign"), F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("station"), (F.col("n_nationkey") % 7 * 0.5).alias("x"), (F.col("n_nationkey") % 5 * 0.25).alias("y"), (F.col("n_nationkey") % 2 == 0).alias("reference"))
+    d = n.select("campaign", "station", F.explode(F.array(F.struct(F.lit("x").alias("c"), F.col("x").alias("v")), F.struct(F.lit("y").alias("c"), F.col("y").alias("v")))).alias("e")).select("campaign", F.concat_ws(":", "station", "e.c").alias("i"), "e.v")
+    q = d.select("campaign", "i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+    meta = n.select("campaign").distinct().withColumns({"pooled": F.lit(1.0), "dof": F.lit(10)})
+    found = congruency.congruency(d, q, n.withColumn("z", F.lit(0.0)), meta, ["campaign"], ("x", "y"))
+    pick = lambda c, v: F.max(F.when(F.expr("substring_index(i, ':', -1)") == c, F.col(v)))
+    return found.groupBy("campaign", F.expr("substring_index(i, ':', 1)").alias("station")).agg(r(pick("x", "v")).alias("dx"), r(pick("y", "v")).alias("dy"), r(pick("x", "variance")).alias("variance"))
