@@ -84,5 +84,9 @@ def congruency(differences: DataFrame, cofactors: DataFrame, positions: DataFram
         critical = _critical(confidence, h, dof) if h else np.nan
         return pd.DataFrame({b: t[b].iloc[0] for b in by} | {"i": names, "v": v, "variance": np.diag(q), "omega": omega, "h": h, "statistic": statistic, "critical": critical, "congruent": bool(statistic <= critical)})
 
+    def many(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(own) for _, own in t.groupby(by, sort=False)])
+
     kinds = dict(differences.dtypes)
-    return rows.groupBy(*by).applyInPandas(one, ", ".join(f"{b} {kinds[b]}" for b in by) + ", " + OUT)
+    parts = 4 * int(differences.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # whole campaigns, many a group
+    return rows.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(parts))).groupBy("deal").applyInPandas(many, ", ".join(f"{b} {kinds[b]}" for b in by) + ", " + OUT)
