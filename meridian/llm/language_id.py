@@ -7,8 +7,9 @@ order -1. Statistics are frozen after training, so the code length of a text is
 its (ORDER + 1)-byte windows, and the trees of all languages become tables from windows to costs that NumPy
 looks up. The language with the shortest code wins; its score is its posterior under equal priors.
 
-Training takes a bounded sample: of each language the SAMPLE_ROWS rows with the smallest hash of their id among
-the labelled rows of at most SAMPLE_BYTES. All other work covers every byte of every text.
+Training takes a bounded sample: of each language SAMPLE_ROWS labelled rows, first those of at most SAMPLE_BYTES, then, where they
+are too few, longer ones, of which SAMPLE_BYTES characters at most are learned; within both by the smallest hash of
+their id. All other work covers every byte of every text.
 
 Rows: null text, or one without a letter, is `und` with score 0; equal code lengths go to the language that
 sorts first; without any training row everything is `und`; null or repeated ids are kept, one row out for each
@@ -163,11 +164,12 @@ def has_letter(data: bytes) -> bool:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Trees of each language, each trained in a task of its own on its bounded sample."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, sample_bytes)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", "h")
-    chosen = usable.select("l", "i", F.xxhash64("t").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).select("l", "i", "h").distinct()
+    long = (F.octet_length(text_col) > sample_bytes).cast("int")
+    usable = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"), long.alias("long"))
+    order = Window.partitionBy("l").orderBy("long", F.xxhash64("i"), "i", "h")
+    chosen = usable.select("l", "i", "long", F.xxhash64("t").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).select("l", "i", "h").distinct()
     # at most sample_rows rows a language: a proven bound
-    sample = usable.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["l", "i", "h"], "left_semi")
+    sample = usable.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["l", "i", "h"], "left_semi").withColumn("t", F.substring("t", 1, sample_bytes))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(set(rows["t"]))[: sample_rows]

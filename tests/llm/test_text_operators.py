@@ -491,3 +491,11 @@ def test_hashes_tell_strings_of_like_form_apart(spark):
         start = np.array([0, n, 2 * n])
         x, y, z = own.of(start, start + n).tolist()
         assert x == z != y
+
+
+def test_language_id_learns_languages_of_long_texts_only(spark):
+    rows = [(k, "a", prose(20, k)) for k in range(5)] + [(10 + k, "b", " ".join(["zzz qqq xxyyx"] * 2000)) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.fit(docs, sample_bytes=2000)
+    assert model.languages == ["a", "b"]
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()} == {i: x for i, x, _ in rows}
