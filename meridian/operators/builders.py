@@ -301,3 +301,25 @@ def closing_loops(baselines: DataFrame) -> DataFrame:
     closing = F.array(F.struct(F.col("loop").alias("baseline"), F.lit(1).alias("sign")))
     loops = done.where(F.size("forth") + F.size("back") >= 2).select("loop", F.concat(closing, "forth", "back").alias("legs"))
     return loops.select("loop", F.posexplode("legs").alias("seq", "leg")).select("loop", "seq", "leg.baseline", "leg.sign")
+
+
+# ---- several techniques
+
+
+def combined(parts: dict[str, tuple[DataFrame, DataFrame]], tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """(stations, observations) of several techniques' networks as one. A station that any holds is held, at the coordinates it has there;
+    else it has those of the first technique that names it. Raises where two hold a station at different places.
+    Observations carry their technique, in their names too."""
+    stations = observations = None
+    for place, (technique, (own, rows)) in enumerate(parts.items()):
+        own = own.select("network_id", "station", "x", "y", "z", F.coalesce("fixed", F.lit(False)).alias("fixed"), F.lit(place).alias("place"))
+        rows = rows.withColumn("obs", F.concat_ws(":", F.lit(technique), "obs")).withColumn("technique", F.lit(technique))
+        stations = own if stations is None else stations.unionByName(own)
+        observations = rows if observations is None else observations.unionByName(rows, allowMissingColumns=True)
+    held = lambda f, c: f(F.when(F.col("fixed"), F.col(c)))
+    apart = [F.coalesce(held(F.max, c) - held(F.min, c), F.lit(0.0)) > tolerance for c in "xyz"]
+    merged = stations.groupBy("network_id", "station").agg(
+        F.min_by(F.struct("x", "y", "z"), F.struct((~F.col("fixed")).alias("free"), "place")).alias("p"), F.max("fixed").alias("fixed"), (apart[0] | apart[1] | apart[2]).alias("apart")
+    )
+    checked = F.when(F.col("apart"), F.raise_error(F.concat(F.lit("held at two places: "), "station")).cast("boolean")).otherwise(F.col("fixed"))
+    return merged.select("network_id", "station", "p.x", "p.y", "p.z", checked.alias("fixed")), observations

@@ -423,3 +423,15 @@ def s_transformed_differences(spark, sf):
     found = congruency.congruency(d, q, n.withColumn("z", F.lit(0.0)), meta, ["campaign"], ("x", "y"))
     pick = lambda c, v: F.max(F.when(F.expr("substring_index(i, ':', -1)") == c, F.col(v)))
     return found.groupBy("campaign", F.expr("substring_index(i, ':', 1)").alias("station")).agg(r(pick("x", "v")).alias("dx"), r(pick("y", "v")).alias("dy"), r(pick("x", "variance")).alias("variance"))
+
+
+@query("combined_stations", "SELECT 'P' || k AS station, CASE WHEN k % 4 = 0 THEN k*2.0 WHEN k % 3 = 0 THEN k*1.0 ELSE k*2.0 END::DOUBLE AS x, k % 4 = 0 AS fixed FROM (SELECT p_partkey AS k FROM part) WHERE k % 2 = 0 OR k % 3 = 0")
+def combined_stations(spark, sf):
+    """Stations of two techniques, one of which holds some."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    own = lambda factor, fixed: [F.lit("n").alias("network_id"), F.concat(F.lit("P"), F.col("k").cast("string")).alias("station"), (F.col("k") * factor).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), fixed.alias("fixed")]
+    first = p.where("k % 3 = 0").select(*own(1.0, F.lit(False)))
+    second = p.where("k % 2 = 0").select(*own(2.0, F.col("k") % 4 == 0))
+    none = spark.createDataFrame([], "network_id string, obs string")
+    stations, _ = builders.combined({"gnss": (first, none), "level": (second, none)})
+    return stations.select("station", "x", "fixed")

@@ -367,3 +367,27 @@ def test_printed_covariances(spark):
     bad = spark.createDataFrame([("k", "p", "p", -1.0), ("k", "q", "q", 2.0)], "k string, i string, j string, v double")
     with pytest.raises(Exception, match="negative beyond rounding"):
         matrices.zero_rounded(bad, ["k"]).collect()
+
+
+def test_gravity_network_from_visits(spark):
+    """Readings of a drifting meter over a loop, through visits and correlated differences, give gravity and drift back."""
+    g = {"A": 980.0, "B": 981.5, "C": 979.25}
+    visits = [("s", k + 1, s, g[s] + 0.02 * t, 1e-6, 3600.0 * t) for k, (s, t) in enumerate(zip("ABCABCA", (0.0, 0.4, 1.1, 1.7, 2.0, 2.9, 3.3)))]
+    v = spark.createDataFrame(visits, "session string, visit int, station string, value double, variance double, seconds double")
+    known = spark.createDataFrame([("A", g["A"], 0.0), ("B", g["B"], 1e-4)], "station string, value double, variance double")
+    stations, obs, cov = builders.gravity_network(v, known)
+    out = adjustment.adjust(stations, obs, "gravity_1d", covariances=cov)
+    assert {r.station: round(r.z, 6) for r in out["stations"].collect()} == g
+    assert cov.count() == 5 and out["statistics"].first().unknowns == 3
+    assert [r.estimable for r in builders.estimable_drifts(v).collect()] == [True]
+
+
+def test_combined_networks(spark):
+    first = spark.createDataFrame([("n", "A", 0.0, 0.0, 10.0, True), ("n", "B", 0.0, 0.0, 0.0, False)], STATIONS)
+    second = spark.createDataFrame([("n", "B", 0.0, 0.0, 11.0, False), ("n", "C", 0.0, 0.0, 0.0, False)], STATIONS)
+    one = spark.createDataFrame([("n", "1", "HEIGHT_DIFFERENCE", "A", "B", NONE, 1.0, 1.0, NONE)], OBS)
+    two = spark.createDataFrame([("n", "1", "HEIGHT_DIFFERENCE", "B", "C", NONE, 2.0, 1.0, NONE)], OBS)
+    out = adjustment.adjust(*builders.combined({"level": (first, one), "trig": (second, two)}), "height_1d")
+    assert {r.station: round(r.z, 9) for r in out["stations"].collect()} == {"A": 10.0, "B": 11.0, "C": 13.0}
+    with pytest.raises(Exception, match="held at two places"):
+        builders.combined({"level": (first, one), "trig": (first.withColumn("z", F.col("z") + 1), two)})[0].collect()
