@@ -404,11 +404,11 @@ def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, on
         np.maximum.at(largest, np.repeat(np.arange(nets), net.unknowns), np.abs(x))
         done = alive & (largest < CONVERGENCE)
         lost = alive & ~np.isfinite(largest)
-        move = np.where(np.repeat(alive & ~done & ~lost, net.unknowns), x, 0.0)
+        move = np.where(np.repeat(alive & ~lost, net.unknowns), x, 0.0)  # the last small correction too
         position[free] += move[free_at]
         extra += move[offset[extra_net] + extra_unknown]
         converged |= done
-        steps[alive & ~done] += 1
+        steps[alive & ~lost] += 1
         alive &= ~done & ~lost & (steps < ITERATIONS)
     chosen = (net.unknowns > 0) & (converged | once)
     misclosure, a, names, x, look, (kn, ki, kj) = step(chosen, True)

@@ -181,4 +181,4 @@ g1 AS (SELECT session, satellites, list_transform(m, lambda row, i: CASE WHEN i
 g2 AS (SELECT session, satellites, list_transform(m, lambda row, i: CASE WHEN i = 2 THEN list_transform(row, lambda x: x/m[2][2]) ELSE list_transform(row, lambda x, j: x-row[2]*m[2][j]/m[2][2]) END) AS m FROM g1),
 g3 AS (SELECT session, satellites, list_transform(m, lambda row, i: CASE WHEN i = 3 THEN list_transform(row, lambda x: x/m[3][3]) ELSE list_transform(row, lambda x, j: x-row[3]*m[3][j]/m[3][3]) END) AS m FROM g2),
 g4 AS (SELECT session, satellites, list_transform(m, lambda row, i: CASE WHEN i = 4 THEN list_transform(row, lambda x: x/m[4][4]) ELSE list_transform(row, lambda x, j: x-row[4]*m[4][j]/m[4][4]) END) AS m FROM g3)
-SELECT session, satellites, round(sqrt(m[1][5]+m[2][6]+m[3][7]+m[4][8]),3)+0.0 AS gdop, round(sqrt(m[1][5]+m[2][6]+m[3][7]),3)+0.0 AS pdop, round(sqrt(m[1][5]+m[2][6]),3)+0.0 AS hdop, round(sqrt(m[3][7]),3)+0.0 AS vdop FROM g4"""
+SELECT n.session, n.satellites, round(sqrt(g4.m[1][5]+g4.m[2][6]+g4.m[3][7]+g4.m[4][8]),3)+0.0 AS gdop, round(sqrt(g4.m[1][5]+g4.m[2][6]+g4.m[3][7]),3)+0.0 AS pdop, round(sqrt(g4.m[1][5]+g4.m[2][6]),3)+0.0 AS hdop, round(sqrt(g4.m[3][7]),3)+0.0 AS vdop FROM n LEFT JOIN g4 ON n.session = g4.session"""
