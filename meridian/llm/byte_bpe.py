@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame
 from meridian.llm.common import map_text
 from meridian.llm.token_counts import cut
 
-#: Words and pairs of tokens that a worker remembers; some 50 MB of each.
-TABLE_LIMIT = 200_000
-PAIRS_LIMIT = 250_000
+#: Words, and pairs of tokens, that a task remembers: a million of each take some 400 MB.
+TABLE_LIMIT = 1_000_000
 
 
 class ByteBPE:
@@ -63,6 +62,7 @@ class ByteBPE:
                     self.left[rank], self.right[rank] = first, second
                     break
                 first = self.shorter[first]
+        self.limit = TABLE_LIMIT
         #: Of words after a space: number of ids, their decimals, the decoded bytes.
         self.coded: dict[str, tuple[int, str, bytes]] = {}
 
@@ -95,7 +95,7 @@ class ByteBPE:
 
     def compatible(self, a: int, b: int) -> bool:
         """The answer of _fits, kept for the next time."""
-        if len(self.pairs) >= PAIRS_LIMIT:
+        if len(self.pairs) >= self.limit:
             self.pairs.clear()
         self.pairs[a, b] = known = self._fits(a, b)
         return known
@@ -160,7 +160,7 @@ class ByteBPE:
                     if (v := coded.get(word)) is None:  # an earlier turn of this loop may have had it
                         v = self._code(" " + word)
                         if len(word) <= 64:
-                            if len(coded) >= TABLE_LIMIT:
+                            if len(coded) >= self.limit:
                                 coded.clear()
                             coded[word] = v
                     got[i] = v
@@ -172,11 +172,13 @@ def vocabulary(path: str, pattern: str) -> ByteBPE:
     return ByteBPE.load(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids array<int>, decoded_sha256) of every whole text; the hash is that of the decoded ids. Null text has no ids."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", remember: int = TABLE_LIMIT) -> DataFrame:
+    """(id, n_tokens, ids array<int>, decoded_sha256) of every whole text; the hash is that of the decoded ids. Null text has no ids.
+    `remember` bounds what a task keeps of words and pairs."""
 
     def make():
         bpe = vocabulary(path, pattern)
+        bpe.limit = remember
 
         def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
             coded = [[i for _, decimals, _ in bpe.coded_pieces(t.decode("utf-8")) for i in map(int, decimals.split())] for t in texts]
@@ -209,6 +211,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def make():
         bpe = vocabulary(path, pattern)
+        bpe.limit = TABLE_LIMIT
 
         def fn(ids: pa.Array, texts: list[bytes]) -> dict[str, object]:
             n_tokens, id_sums, data_sums = [], [], []
