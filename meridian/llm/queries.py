@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import byte_bpe, decontamination, jaccard_join, language_id, lattice_lm, license_scan, suffix_dedup, token_counts, topk_search, warc
+from meridian.llm import byte_bpe, conversation_repair, decontamination, jaccard_join, language_id, lattice_lm, license_scan, suffix_dedup, token_counts, topk_search, warc
 from meridian.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
