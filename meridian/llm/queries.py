@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import byte_bpe, conversation_repair, decontamination, jaccard_join, language_id, lattice_lm, license_scan, suffix_dedup, token_counts, topk_search, warc
+from meridian.llm import byte_bpe, conversation_repair, cross_tokenizer, decontamination, jaccard_join, language_id, lattice_lm, license_scan, suffix_dedup, token_counts, topk_search, warc
 from meridian.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(rows), rows)
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return cross_tokenizer.align(table(spark, sf_dir, "documents"), *files).withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontamination": op10_decontamination,
         "op11_conversation_repair": op11_conversation_repair,
+        "op13_cross_tokenizer": op13_cross_tokenizer,
     }
 
 
