@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import byte_bpe, conversation_repair, cross_tokenizer, decontamination, jaccard_join, language_id, lattice_lm, license_scan, suffix_dedup, token_counts, topk_search, warc
+from meridian.llm import byte_bpe, conversation_repair, cross_tokenizer, decontamination, jaccard_join, language_id, lattice_lm, license_scan, personal_data, suffix_dedup, token_counts, topk_search, warc
 from meridian.llm.common import table
 
 
@@ -71,6 +71,19 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(rows), rows)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2(F.encode(personal_data.written("base"), "UTF-8"), 256).alias("base_sha256"),
+        personal_data.written("spans").alias("spans"),
+    )
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return cross_tokenizer.align(table(spark, sf_dir, "documents"), *files).withColumnRenamed("groups", "groups_sha256")
@@ -89,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontamination": op10_decontamination,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_personal_data": op12_personal_data,
         "op13_cross_tokenizer": op13_cross_tokenizer,
     }
 
