@@ -7,7 +7,7 @@ words stand consecutively. Phrases give the base labels. A tag is followed by an
 side, as all hold; `or` gives one label for the choice, `apache-2.0 or mit`; `with` ties an exception to its licence.
 The score says how sure a text's licence is: 1 - 0.5^k with k the weighted evidence, 1 for a phrase and 1 + 1 / c for a
 tag, where c is how many choices its expression leaves. A tag's expression ends at the latest with its line or where the
-next tag begins. A single word that no licence is called by, as in a sentence about tags, is no expression.
+next tag begins. A single word counts if it has a digit or stands alone; other words behind a tag are a sentence about tags.
 
 Rows: null text has no words; no place means null first and last word, empty labels and score 0; null or
 repeated ids are kept, one row out for each row in; other columns are not read.
@@ -38,16 +38,13 @@ MORE_PHRASES = {
 }
 #: Fixed value: the words of the identifier tag "SPDX-License-Identifier:".
 TAG = "spdx license identifier"
-RAW_TAG = "spdx-license-identifier:"
-#: Licences whose identifiers have neither a digit nor a hyphen.
-BARE = frozenset(
-    "0bsd aal adsl afmparse aladdin apafml baekmuk bahyph barr beerware caldera clartistic crossword cube curl diffmark doc dotseqn dsdp egenix entessa eurosym fair "
-    "fdk fsfap fsful fsfullr ftl giftware gl2ps glide glulxe gnuplot hpnd icu ijg imagemagick info-zip intel ipa isc jasper json latex2e leptonica libpng libtiff "
-    "mit mitnfa motosoto mpich2 mtll mup naist naumen ncsa net-snmp netcdf newsletr ngpl nlpl noweb ntp openssl plexus postgresql psfrag psutils qhull rdisc rsa-md "
-    "ruby saxpath scea sendmail sleepycat snia spl tcl ttwl unlicense vim vostrom w3c watcom wsuipa wtfpl x11 xerox xinetd xnet xpp xskat zed zlib".split()
-)
+RAW_TAG = "spdx-license-identifier"
 _LINE_END = re.compile(rb"[\r\n]")
-_LEXEME = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_COLON = re.compile(rb"[ \t]*:")
+#: Brackets, and words that end in a letter, a digit or a plus: punctuation behind them belongs to the sentence.
+_LEXEME = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?")
+#: What follows a word that stands alone: punctuation at most, then the line's end or a comment mark.
+_ALONE = re.compile(r"[\s.,;:\"'`]*(?:$|\*/|/[*/]|--|#|%|\]\]|\*\))")
 #: Binding strength of the operators.
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
@@ -89,66 +86,76 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def leading_expression(line: str) -> str:
-    """The longest start of a tag's line that parses: prose may follow the expression."""
+    """The longest start of a tag's line that parses: prose may follow the expression. A single word counts if it has a digit, as
+    versions do, an operator follows, or it stands alone; so `well-known format is used` is prose and `Minpack` a licence."""
     lexemes: list[str] = []
-    best = depth = 0
+    best = depth = end = 0
+    before = None
     operand_next = True
     for found in _LEXEME.finditer(line):
         lexeme = found.group()
         low = lexeme.lower()
-        if operand_next != (low not in (")", *_STRENGTH)):
-            break
+        if operand_next != (low not in (")", *_STRENGTH)) or before is not None and line[before : found.start()].strip():
+            break  # another order, or punctuation in between
+        before = found.end()
         depth += (low == "(") - (low == ")")
         if depth < 0:
             break
         lexemes.append(lexeme)
         operand_next = low == "(" or low in _STRENGTH
         if depth == 0 and not operand_next:
-            best = len(lexemes)
+            best, end = len(lexemes), found.end()
+    words = [x for x in lexemes[:best] if x not in "()"]
+    if len(words) == 1 and len(lexemes) == best and not any(c.isdigit() for c in words[0]) and not _ALONE.match(line, end):
+        return ""
     return " ".join(lexemes[:best])
 
 
 def evaluated(expression: str) -> tuple[set[str], int] | None:
-    """The labels that all hold, and how many choices are left; or None if the expression does not parse. A choice is written
-    with its sides in order, and with brackets around a side on which several hold. The smaller set goes into the larger,
-    so that long expressions take about as long as they are."""
+    """The labels that all hold, and how many different choices are left; or None if the expression does not parse. A choice is
+    written with its sides in order, and with brackets around a side on which several hold. The smaller set goes into the
+    larger, so that long expressions take about as long as they are."""
     order = postfix(expression)
-    if order is None or len(order) == 1 and not (order[0] in BARE or re.search("[0-9-]", order[0])):
+    if order is None:
         return None
-    # labels that hold, sides of a choice if this is one, and choices
-    stack: list[tuple[set[str], list[str] | None, int]] = []
+    # labels that hold, sides of a choice with the choices that each leaves if this is one, and the choices of the labels
+    stack: list[tuple[set[str], dict[str, int], int]] = []
     for item in order:
         if item not in _STRENGTH:
-            stack.append(({item}, None, 1))
+            stack.append(({item}, {}, 1))
             continue
         (b, b_sides, n), (a, a_sides, m) = stack.pop(), stack.pop()
         if item == "with":
-            stack.append(({f"{_side(a, a_sides)} with {_side(b, b_sides)}"}, None, m))
+            stack.append(({f"{_side(a, a_sides)} with {_side(b, b_sides)}"}, {}, _choices(a_sides, m)))
         elif item == "and":
-            a, b = (_whole(a, a_sides), _whole(b, b_sides))
-            if len(a) < len(b):
-                a, b = b, a
-            a |= b
-            stack.append((a, None, max(m, n)))
+            more, less = sorted((_whole(a, a_sides), _whole(b, b_sides)), key=len, reverse=True)
+            more |= less
+            stack.append((more, {}, max(_choices(a_sides, m), _choices(b_sides, n))))
         else:
-            sides = a_sides or [_side(a, None)]
-            sides += b_sides or [_side(b, None)]
-            stack.append((set(), sides, m + n))
+            more, less = sorted((a_sides or {_side(a, {}): m}, b_sides or {_side(b, {}): n}), key=len, reverse=True)
+            more |= less
+            stack.append((set(), more, 1))
     labels, sides, n = stack[0]
-    return _whole(labels, sides), n
+    return _whole(labels, sides), _choices(sides, n)
+
+
+def _choices(sides: dict[str, int], otherwise: int) -> int:
+    return sum(sides.values()) or otherwise
 
 
-def _side(labels: set[str], sides: list[str] | None) -> str:
+def _side(labels: set[str], sides: dict[str, int]) -> str:
     """One side of an operator as text."""
+    if len(sides) > 1:
+        return f"({' or '.join(sorted(sides))})"
     if sides:
-        return f"({' or '.join(sorted(set(sides)))})"
+        return next(iter(sides))
     if len(labels) == 1:
         return next(iter(labels))
     return f"({' and '.join(sorted(f'({x})' if ' or ' in x else x for x in labels))})"
 
 
-def _whole(labels: set[str], sides: list[str] | None) -> set[str]:
-    return {" or ".join(sorted(set(sides)))} if sides else labels
+def _whole(labels: set[str], sides: dict[str, int]) -> set[str]:
+    return {" or ".join(sorted(sides))} if sides else labels
 
 
 @lru_cache(maxsize=1)
@@ -160,11 +167,14 @@ def tag_automaton():
 
 
 def tag_lines(data: bytes):
-    """What follows each identifier tag, up to the line's end or the next tag."""
+    """What follows each identifier tag and its colon, up to the line's end or the next tag. The tag's words without a colon, as in
+    prose about tags, are none."""
     ends = [end + 1 for end, _ in tag_automaton().iter(data.translate(LOWER_TABLE).decode("latin-1"))]
-    for start, after in zip(ends, [*(e - len(RAW_TAG) for e in ends[1:]), len(data)], strict=True):
-        line_end = _LINE_END.search(data, start, after)
-        yield data[start : line_end.start() if line_end else after]
+    for k, start in enumerate(ends):
+        after = ends[k + 1] - len(RAW_TAG) if k + 1 < len(ends) else len(data)
+        if colon := _COLON.match(data, start, after):
+            line_end = _LINE_END.search(data, colon.end(), after)
+            yield data[colon.end() : line_end.start() if line_end else after]
 
 
 @lru_cache(maxsize=4)

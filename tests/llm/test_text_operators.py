@@ -149,10 +149,12 @@ def test_shunting_yard(expression, order):
         ("MIT AND Apache-2.0", {"mit", "apache-2.0"}, 1),
         ("MIT OR Apache-2.0", {"apache-2.0 or mit"}, 2),
         ("(mit or apache-2.0) and gpl-2.0 with x", {"apache-2.0 or mit", "gpl-2.0 with x"}, 2),
-        ("mit or gpl-2.0 and isc or mit", {"(gpl-2.0 and isc) or mit"}, 3),
+        ("mit or gpl-2.0 and isc or mit", {"(gpl-2.0 and isc) or mit"}, 2),
+        ("MIT OR MIT", {"mit"}, 1),
+        ("(MIT OR MIT) WITH x AND (a or (b or a))", {"mit with x", "a or b"}, 2),
         ("(a or b) with (c or d)", {"(a or b) with (c or d)"}, 2),
         ("a and (b or c and (d or a))", {"a", "((a or d) and c) or b"}, 3),
-        ("the", None, 0),
+        ("the", {"the"}, 1),
         ("Zlib", {"zlib"}, 1),
         ("a and", None, 0),
     ],
@@ -163,6 +165,34 @@ def test_licence_expressions(expression, labels, choices):
 
 def test_leading_expression():
     assert license_scan.leading_expression("MIT OR Apache-2.0 see the file") == "MIT OR Apache-2.0"
+    for line in ("the quick brown fox", "well-known format is used", "", " . "):
+        assert license_scan.leading_expression(line) == ""
+    for line in ("Minpack", "Minpack.", "Minpack */ x = 1;", "Minpack // more", "(Minpack) -->", "Minpack # more"):
+        assert license_scan.evaluated(license_scan.leading_expression(line)) == ({"minpack"}, 1)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier : MIT", "mit"),
+        ("see the SPDX license identifier list", ""),
+        ("SPDX-License-Identifier without a colon\nSPDX-License-Identifier: ISC", "isc"),
+        ("SPDX License Identifier: MIT", ""),  # the words, but not the tag
+        ("SPDX-License-Identifier: Apache-2.0.", "apache-2.0"),
+        ("SPDX-License-Identifier: MIT.", "mit"),
+        ("SPDX-License-Identifier: Minpack", "minpack"),
+        ("SPDX-License-Identifier: GPL-2.0+, or so", "gpl-2.0+"),
+        ("SPDX-License-Identifier: well-known format is used", ""),
+        ("SPDX-License-Identifier: MIT OR MIT", "mit"),
+        ("SPDX-License-Identifier:", ""),
+        ("spdx-license-identifier\n: MIT", ""),
+    ],
+)
+def test_tags_of_licences(text, labels):
+    phrases = ((license_scan.TAG, None, False),)
+    row = license_scan.scan(text.encode(), license_scan.automaton(phrases))
+    assert row["labels"] == labels
+    assert row["score"] == (0.75 if labels else 0)
 
 
 def ppm_bits(text, texts):
