@@ -30,6 +30,9 @@ ORDER = 3
 #: The bound of the training sample, for each language, and of the number of languages.
 SAMPLE_ROWS, SAMPLE_BYTES, MAX_LANGUAGES = 140, 16 << 10, 256
 UNDETERMINED = "und"
+#: A text is noise in its language beyond so many times the median rate of that language's sample and so many bits more, which
+#: names, numbers and short texts may take; samples of fewer texts tell no noise.
+NOISE, NOISE_BITS, NOISE_TEXTS = 2.0, 512, 16
 _CHUNK = 1 << 18
 
 
@@ -100,8 +103,10 @@ class _Lookup:
 class Model:
     """Costs in bits, for all languages at once."""
 
-    def __init__(self, trees: dict[str, list[tuple[np.ndarray, np.ndarray]]]):
+    def __init__(self, trees: dict[str, list[tuple[np.ndarray, np.ndarray]]], limits: dict[str, float] | None = None):
         self.languages = sorted(trees)
+        #: Bits per byte beyond which a text is noise, for each language.
+        self.limits = np.array([(limits or {}).get(x, np.inf) for x in self.languages])
         n = len(self.languages)
         self.seen: list[_Lookup] = []  # windows of each order that any language has
         self.cost: list[np.ndarray] = []
@@ -158,12 +163,25 @@ class Model:
         return out
 
 
+def without_noise(texts: list[bytes]) -> tuple[list[bytes], float]:
+    """The texts that are not noise beside the others, and the limit in bits per byte. Each half is measured by a model of the other
+    one; as the limit comes from a median, up to half of the texts may be noise."""
+    if len(texts) < NOISE_TEXTS:
+        return texts, np.inf
+    halves = texts[::2], texts[1::2]
+    bits = [Model({"": train(other)}).code_lengths(own)[:, 0] for own, other in (halves, halves[::-1])]
+    sizes = [np.array([len(t) for t in own]) for own in halves]
+    limit = NOISE * float(np.median(np.concatenate(bits) / np.concatenate(sizes)))
+    return [t for own, b, n in zip(halves, bits, sizes, strict=True) for t, k in zip(own, b <= limit * n + NOISE_BITS, strict=True) if k], limit
+
+
 def has_letter(data: bytes) -> bool:
     return any(map(str.isalpha, data.decode("utf-8")))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """Trees of each language, each trained in a task of its own on its bounded sample."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, tell_noise: bool = False) -> Model | None:
+    """Trees of each language, each trained in a task of its own on its bounded sample; with `tell_noise` on what is no noise there, with the
+    limit that tells it."""
     long = (F.octet_length(text_col) > sample_bytes).cast("int")
     usable = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"), long.alias("long"))
     order = Window.partitionBy("l").orderBy("long", F.xxhash64("i"), "i", "h")
@@ -173,15 +191,20 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(set(rows["t"]))[: sample_rows]
-        trees = train([t.encode("utf-8") for t in texts])
-        return pd.DataFrame({"l": rows["l"].iloc[0], "k": range(ORDER + 1), "windows": [w.astype("<u4").tobytes() for w, _ in trees], "counts": [c.astype("<i8").tobytes() for _, c in trees]})
+        own, limit = [t.encode("utf-8") for t in texts], np.inf
+        if tell_noise:
+            own, limit = without_noise(own)
+        trees = train(own)
+        return pd.DataFrame({"limit": limit, "l": rows["l"].iloc[0], "k": range(ORDER + 1), "windows": [w.astype("<u4").tobytes() for w, _ in trees], "counts": [c.astype("<i8").tobytes() for _, c in trees]})
 
     trees: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for r in sample.select("l", "t").groupBy("l").applyInPandas(one, "l string, k int, windows binary, counts binary").toLocalIterator():
+    limits: dict[str, float] = {}
+    for r in sample.select("l", "t").groupBy("l").applyInPandas(one, "limit double, l string, k int, windows binary, counts binary").toLocalIterator():
+        limits[r.l] = r.limit
         trees.setdefault(r.l, {})[r.k] = (np.frombuffer(r.windows, "<u4"), np.frombuffer(r.counts, "<i8"))
         if len(trees) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return Model({x: [t[k] for k in range(ORDER + 1)] for x, t in trees.items()}) if trees else None
+    return Model({x: [t[k] for k in range(ORDER + 1)] for x, t in trees.items()}, limits) if trees else None
 
 
 def judge(model: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -217,15 +240,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def identified(docs: DataFrame, model: Model | None, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is told with at least this score."""
+    """The rows, with all their columns, whose language is told with at least this score and which are no noise in that language, if
+    the model was fitted to tell noise."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = sent.value
 
         def fn(texts: list[bytes]) -> list[bool]:
-            lang, score, _ = judge(model, texts)
-            return [x != UNDETERMINED and s >= least_score for x, s in zip(lang, score, strict=True)]
+            lang, score, rate = judge(model, texts)
+            limits = {UNDETERMINED: 0.0} | (dict(zip(model.languages, model.limits, strict=True)) if model else {})
+            return [x != UNDETERMINED and s >= least_score and r * len(t) <= limits[x] * len(t) + NOISE_BITS for t, x, s, r in zip(texts, lang, score, rate, strict=True)]
 
         return fn
 

@@ -248,6 +248,30 @@ def test_language_id_cases(docs, empty):
     assert kept.columns == docs.columns and {4, 5, 6, 16}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_noise_is_told_from_prose(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = {r.doc_id for r in language_id.identified(docs, language_id.fit(docs, tell_noise=True)).select("doc_id").collect()}
+    noise, clean = set(), set()
+    for r in docs.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id", "left").select("doc_id", "text", "quality").collect():
+        if len(re.findall(r"!!|%%%|&&&|[*]{3}|[$]{3}|###", r.text or "")) > 10:
+            noise.add(r.doc_id)
+        elif r.quality == 1:
+            clean.add(r.doc_id)
+    assert len(clean & kept) >= 0.99 * len(clean)
+    assert len(noise - kept) >= 0.5 * len(noise)
+
+
+def test_limits_of_noise_are_exact():
+    texts = [prose(60, k).encode() for k in range(20)] + [b"%%% !!" * 300]
+    own, limit = language_id.without_noise(texts)
+    halves = texts[::2], texts[1::2]
+    bits = {t: ppm_bits(t, other) for one, other in (halves, halves[::-1]) for t in one}
+    rates = sorted(b / len(t) for t, b in bits.items())
+    assert limit == pytest.approx(2 * rates[len(rates) // 2])
+    assert set(own) == {t for t, b in bits.items() if b <= limit * len(t) + 512} == set(texts[:-1])
+    assert language_id.without_noise(texts[:5]) == (texts[:5], math.inf)
+
+
 def crc_fold(i, parts):
     return zlib.crc32(("" if i is None else str(i)).encode()) % parts
 
