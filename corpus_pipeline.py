@@ -26,9 +26,10 @@ def _bounded(spark: SparkSession) -> None:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a letter whose language is more likely than all others together."""
+    """Keeps documents with a letter whose language is more likely than all others together, and that are no noise in it: at most twice the
+    median bits per byte of that language's sample, and 512 bits more. Noise is left out of what the models learn."""
     _bounded(spark)
-    return language_id.identified(docs, language_id.fit(docs))
+    return language_id.identified(docs, language_id.fit(docs, tell_noise=True))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
