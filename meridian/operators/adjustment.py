@@ -36,6 +36,8 @@ GRAVITY_TYPES = ("GRAVITY", "GRAVITY_DIFFERENCE")
 DISTRIBUTED_TYPES = ("HEIGHT_DIFFERENCE", "HEIGHT", "HORIZONTAL_DISTANCE", "SLOPE_DISTANCE", "ZENITH_ANGLE", "AZIMUTH", "DIRECTION", "HORIZONTAL_ANGLE", "X_DIFFERENCE", "Y_DIFFERENCE")
 #: Types whose values are angles.
 ANGULAR = ("DIRECTION", "HORIZONTAL_ANGLE", "AZIMUTH", "ZENITH_ANGLE")
+#: Groups of observations that variance_components() tells apart at most.
+GROUPS = 64
 #: Rows of observations that a group of whole networks has, about.
 GROUP_ROWS = 100_000
 
@@ -168,8 +170,9 @@ def _named(network: pa.Array, name: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(network, name, "\x00")  # null where a name is
 
 
-def _task(t: pa.Table, frame: str, defect: tuple[str, ...], degree: int, once: bool) -> pa.Table:
-    """Adjusts the networks of one group of _IN rows; gives _OUT rows: 0 stations, 1 residuals, 2 cofactors, 3 statistics."""
+def _task(t: pa.Table, frame: str, defect: tuple[str, ...], degree: int, once: bool, influence: bool = False, parts: tuple[str, ...] = ()) -> pa.Table:
+    """Adjusts the networks of one group of _IN rows; gives _OUT rows: 0 stations, 1 residuals, 2 cofactors, 3 statistics, and 4 traces of the
+    groups of observations that `parts` names."""
     t = t.combine_chunks()
     what = t["what"].to_numpy()
     col = lambda own, name: own[name].combine_chunks() if own.num_rows else pa.array([], own.schema.field(name).type)
@@ -269,13 +272,18 @@ def _task(t: pa.Table, frame: str, defect: tuple[str, ...], degree: int, once: b
         bad = lost[row_net]
         net.stations[bad], net.extra[bad] = 0, -1
         net.unknown[lost[station_net]] = -1
+    groups = _places(pa.array(parts, pa.string()), col(ob, "part")) if parts else None
+    split = np.zeros(nets, bool)  # networks with observations of two groups that are correlated
+    if parts:
+        split[row_net[net.pair[0][groups[net.pair[0]] != groups[net.pair[1]]]]] = True
     with np.errstate(all="ignore"):
-        out = solve(net, defect, np.array(orientation_of, np.int64).reshape(-1, 2), once)
+        out = solve(net, defect, np.array(orientation_of, np.int64).reshape(-1, 2), once, influence, groups)
 
     rank = out["rank_defect"]
     status = np.full(nets, "not_converged", object)
     status[out["converged"] | (once & (rank == 0))] = "converged"
     status[rank > 0], status[out["too_large"]], status[lost] = "rank_defect", "too_large", "missing_station"
+    status[split & (status == "converged")] = "split_group"
     good = status == "converged"
     net_text = np.array(net_names.to_pylist(), object)
     names = {}
@@ -299,13 +307,19 @@ def _task(t: pa.Table, frame: str, defect: tuple[str, ...], degree: int, once: b
     null = lambda x: np.where(ok, x, np.nan)
     m = len(kind)
     vpv = np.where(good, np.bincount(row_net, np.nan_to_num(out["residual"] * out["weighted"]), nets), np.nan)
-    tables.append(rows_of(1, net_text[row_net], col(ob, "fullname"), blank(m), null(out["residual"]), 1.0 / variance, null(out["redundancy"]), null(out["weighted"]), np.full(m, np.nan), blank(m), blank(m)))
+    tables.append(rows_of(1, net_text[row_net], col(ob, "fullname"), blank(m), null(out["residual"]), 1.0 / variance, null(out["redundancy"]), null(out["weighted"]), null(out["influence"]), blank(m), blank(m)))
     qn, qi, qj, q = out["q"]
     keep = good[qn] if len(qn) else np.zeros(0, bool)
     qn, qi, qj, q = qn[keep], qi[keep], qj[keep], q[keep]
     label = lambda x: [names[k] for k in zip(qn.tolist(), x.tolist(), strict=True)]
     tables.append(rows_of(2, net_text[qn], label(qi), label(qj), q, *(np.full(len(q), np.nan) for _ in range(4)), blank(len(q)), blank(len(q))))
     tables.append(rows_of(3, net_text, blank(nets), blank(nets), vpv, np.bincount(row_net, minlength=nets).astype(float), count.astype(float), rank.astype(float), out["iterations"].astype(float), blank(nets), status))
+    if parts:  # how often a group's rows, tr(Q N_k) and tr(Q N_k Q N_j) count, of all networks of this task together
+        own, none = np.flatnonzero(good), np.full(len(parts), np.nan)
+        members = np.bincount(groups[ok & (groups >= 0)], minlength=len(parts)).astype(float)
+        for k, name in enumerate(parts):
+            both = out["traced"][own, k].sum(0)
+            tables.append(rows_of(4, blank(len(parts)), [name] * len(parts), list(parts), both, np.full(len(parts), out["once_traced"][own, k].sum()), np.full(len(parts), members[k]), none, none, blank(len(parts)), blank(len(parts))))
     return pa.concat_tables(tables)
 
 
@@ -315,36 +329,55 @@ def _refuse_other(observations: DataFrame, kinds: tuple[str, ...], frame: str) -
         raise ValueError(f"no observation equation for {unlike[0].type} in {frame}")
 
 
-def _estimated(stations: DataFrame, observations: DataFrame, frame: str, defect: tuple[str, ...], covariances: DataFrame | None, degree: int, once: bool) -> dict[str, DataFrame]:
+def _estimated(
+    stations: DataFrame, observations: DataFrame, frame: str, defect: tuple[str, ...], covariances: DataFrame | None, degree: int, once: bool,
+    influence: bool = False, part: str | None = None, parts: tuple[str, ...] = (),
+) -> dict[str, DataFrame]:
     if degree > EXTRAS:
         raise ValueError(f"drifts of a degree over {EXTRAS} are not estimated")
     kinds = GRAVITY_TYPES if frame == "gravity_1d" else tuple(k for k in STATIONS_OF if k not in GRAVITY_TYPES)
-    _refuse_other(observations, kinds, frame)
-    if observations.where(F.coalesce(F.col("variance"), F.lit(0.0)) <= 0).limit(1).count():
-        raise ValueError("every observation needs a variance over 0")
-    row = lambda what, **own: [F.lit(what).alias("what"), *(own.get(n, F.lit(None)).cast(t).alias(n) for n, t in _IN.items() if n != "what"), own.get("fullname", F.lit(None)).cast("string").alias("fullname")]
+    names = [*_IN, "fullname", "part"]
+    types = _IN | {"fullname": "string", "part": "string"}
+    row = lambda what, **own: [own.get(n, F.lit(what if n == "what" else None)).cast(types[n]).alias(n) for n in names]
     c = F.col
     begin, end, offset = (c(n) if n in observations.columns else F.lit(None) for n in ("elapsed_at", "elapsed_to", "height_offset"))
-    parts = stations.select(*row(0, network_id=c("network_id"), a=c("station"), x=c("x"), y=c("y"), z=c("z"), fixed=F.coalesce("fixed", F.lit(False))))
-    parts = parts.unionByName(observations.select(*row(1, network_id=c("network_id"), a=c("at"), b=c("to"), c=c("third"), type=c("type"), name=c("setup"), v=c("value"), w=c("variance"), x=begin, y=end, z=offset, fullname=c("obs"))))
+    rows = stations.select(*row(0, network_id=c("network_id"), a=c("station"), x=c("x"), y=c("y"), z=c("z"), fixed=F.coalesce("fixed", F.lit(False))))
+    of_part = c(part).cast("string") if part else F.lit(None)
+    own = row(1, network_id=c("network_id"), a=c("at"), b=c("to"), c=c("third"), type=c("type"), name=c("setup"), v=c("value"), w=c("variance"), x=begin, y=end, z=offset, fullname=c("obs"), part=of_part)
+    rows = rows.unionByName(observations.select(*own))
     if covariances is not None:
-        parts = parts.unionByName(covariances.select(*row(2, network_id=c("network_id"), a=c("obs_a"), b=c("obs_b"), v=c("covariance"))))
+        rows = rows.unionByName(covariances.select(*row(2, network_id=c("network_id"), a=c("obs_a"), b=c("obs_b"), v=c("covariance"))))
+    rows = stored(rows)  # what gives the observations is evaluated once; the checks and the adjustment read this
+    observed = F.col("what") == 1
+    unlike = observed & (F.col("type").isNull() | ~F.col("type").isin(*kinds))
+    found = rows.agg(
+        F.count(F.when(observed, 1)).alias("n"),
+        F.max(F.when(unlike, F.coalesce("type", F.lit("null")))).alias("unlike"),
+        F.count(F.when(observed & (F.coalesce(F.col("w"), F.lit(0.0)) <= 0), 1)).alias("unweighted"),
+    ).first()
+    if found.unlike is not None:
+        raise ValueError(f"no observation equation for {found.unlike} in {frame}")
+    if found.unweighted:
+        raise ValueError("every observation needs a variance over 0")
     # whole networks are dealt to groups of about GROUP_ROWS rows
-    groups = max(int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions")), observations.count() // GROUP_ROWS)
-    grouped = parts.withColumn("deal", F.pmod(F.xxhash64("network_id"), F.lit(groups))).groupBy("deal")
-    out = stored(grouped.applyInArrow(lambda t: _task(t, frame, defect, degree, once), _OUT))
+    groups = max(int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.n // GROUP_ROWS)
+    grouped = rows.withColumn("deal", F.pmod(F.xxhash64("network_id"), F.lit(groups))).groupBy("deal")
+    out = stored(grouped.applyInArrow(lambda t: _task(t, frame, defect, degree, once, influence, parts), _OUT))
+    discard(rows)
     statistics = out.where("what = 3").select("network_id", F.col("w").cast("long").alias("rows"), F.col("v").alias("vpv"), F.col("x").cast("long").alias("unknowns"), F.col("y").cast("int").alias("rank_defect"), F.col("z").cast("int").alias("iterations"), "status")
     statistics = statistics.withColumn("converged", F.col("status") == "converged").withColumn("dof", F.col("rows") - F.col("unknowns") + len(defect))
     statistics = statistics.withColumn("variance_factor", F.when(F.col("dof") > 0, F.col("vpv") / F.col("dof")))
+    norm = [F.col("z").alias("influence")] if influence else []
     return {
         "stations": out.where("what = 0").select("network_id", F.col("a").alias("station"), "x", "y", "z", "fixed"),
-        "residuals": out.where("what = 1").select("network_id", F.col("a").alias("obs"), F.col("v").alias("residual"), F.col("w").alias("weight"), F.col("x").alias("redundancy"), F.col("y").alias("weighted")),
+        "residuals": out.where("what = 1").select("network_id", F.col("a").alias("obs"), F.col("v").alias("residual"), F.col("w").alias("weight"), F.col("x").alias("redundancy"), F.col("y").alias("weighted"), *norm),
         "cofactors": out.where("what = 2").select("network_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("v").alias("q")),
         "statistics": statistics,
+        "traces": out.where("what = 4").select(F.col("a").alias("k"), F.col("b").alias("j"), F.col("v").alias("both"), F.col("w").alias("once"), F.col("x").alias("rows")),
     }
 
 
-def adjust(stations: DataFrame, observations: DataFrame, frame: str = "plane_2d", defect: tuple[str, ...] = (), covariances: DataFrame | None = None, degree: int = 1) -> dict[str, DataFrame]:
+def adjust(stations: DataFrame, observations: DataFrame, frame: str = "plane_2d", defect: tuple[str, ...] = (), covariances: DataFrame | None = None, degree: int = 1, influence: bool = False) -> dict[str, DataFrame]:
     """Gauss-Newton over all networks: tables stations (adjusted coordinates), residuals, cofactors (of unknowns that share
     an observation or a station) and statistics (rows, unknowns, dof, vpv, variance_factor, iterations, status).
 
@@ -353,8 +386,8 @@ def adjust(stations: DataFrame, observations: DataFrame, frame: str = "plane_2d"
     differences: `setup` names its owner, `elapsed_at` and `elapsed_to` are scaled times of the two readings.
     A network that does not converge, has null vectors beyond `defect`, names stations it does not have or is too large
     for a task has that as its status and null results; if there is no other network, it raises. One network that is
-    too large is for adjust_distributed."""
-    out = _estimated(stations, observations, frame, defect, covariances, degree, once=False)
+    too large is for adjust_distributed. With `influence` residuals have the norm of Q A'P e too, as reliability() reads it."""
+    out = _estimated(stations, observations, frame, defect, covariances, degree, False, influence)
     first = out["statistics"].limit(2).collect()
     if len(first) == 1 and not first[0].converged and first[0].unknowns:
         raise ValueError(f"network {first[0].network_id}: {first[0].status}")
@@ -428,9 +461,11 @@ def data_snooping(residuals: DataFrame, statistics: DataFrame, confidence: float
 
 
 def reliability(residuals: DataFrame, alpha: float = 0.001, beta: float = 0.20) -> DataFrame:
-    """Adds the minimal detectable bias; null where the redundancy is below UNCHECKABLE."""
+    """Adds the minimal detectable bias, and if residuals have an influence the external effect, the norm of what a bias of that size
+    does to all unknowns; both are null where the redundancy is below UNCHECKABLE."""
     delta = dist.non_centrality(alpha, beta)
-    return residuals.withColumn("minimal_detectable_bias", F.when(F.col("redundancy") >= UNCHECKABLE, delta / F.sqrt(F.col("weight") * F.col("redundancy"))))
+    out = residuals.withColumn("minimal_detectable_bias", F.when(F.col("redundancy") >= UNCHECKABLE, delta / F.sqrt(F.col("weight") * F.col("redundancy"))))
+    return out.withColumn("external_effect", F.col("influence") * F.col("minimal_detectable_bias")) if "influence" in residuals.columns else out
 
 
 def ellipse(cxx: Column, cxy: Column, cyy: Column, scale: float = 1.0) -> dict[str, Column]:
@@ -449,21 +484,50 @@ def station_ellipses(cofactors: DataFrame, scale: float = 1.0) -> DataFrame:
     return c.select("network_id", "station", *(v.alias(k) for k, v in ellipse(F.col("xx"), F.col("xy"), F.col("yy"), scale).items()))
 
 
-def variance_components(stations: DataFrame, observations: DataFrame, frame: str, group: str, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """(group, factor): a factor for each group of observations, estimated over all networks by v'Pv over redundancy and repeated
-    until every step is within `tolerance` of one. Raises where a group has too little redundancy or a factor of zero, or
-    where the factors do not settle."""
-    observations = stored(observations)
-    total = {r[0]: 1.0 for r in observations.select(group).distinct().collect()}
+def variance_components(
+    stations: DataFrame, observations: DataFrame, frame: str, group: str, rounds: int = 30, tolerance: float = 1e-4,
+    defect: tuple[str, ...] = (), covariances: DataFrame | None = None,
+) -> DataFrame:
+    """(group, factor, std_dev, redundancy, observations): a variance factor for each group of observations, estimated over all networks.
+    A round solves, for the groups' factors t, sum_j tr(M V_k M V_j) t_j = v'P V_k P v with M = P Qvv P; the traces are sums
+    over networks of those of selected entries of their inverses. Variances are scaled by the factors and rounds are repeated
+    until every factor of one is within `tolerance` of one. Groups are at most GROUPS. Raises where a group has too little
+    redundancy, where a factor is not positive, where correlated observations are in two groups, or where factors do not settle."""
+    observations = stored(observations.withColumn(group, F.col(group).cast("string")))
+    names = tuple(sorted(r[0] for r in observations.select(group).distinct().limit(GROUPS + 1).collect() if r[0] is not None))
+    if len(names) > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups")
+    if not names:
+        raise ValueError("no observation has a group")
+    total = dict.fromkeys(names, 1.0)
+    pairs = observations.select("network_id", "obs", group)
     for _ in range(rounds):
-        factor = F.create_map(*(F.lit(x) for pair in total.items() for x in pair))[F.col(group)]
-        residuals = adjust(stations, observations.withColumn("variance", F.col("variance") * factor), frame)["residuals"].join(observations.select("network_id", "obs", group), ["network_id", "obs"])
-        steps = residuals.groupBy(group).agg(F.sum(F.col("residual") * F.col("weighted")).alias("vpv"), F.sum("redundancy").alias("r")).collect()
-        if any((s.r or 0.0) < 1 for s in steps):
-            raise ValueError("a group has too little redundancy for a factor of its own")
-        if any(s.vpv <= 0 for s in steps):
-            raise ValueError("a group fits without residuals: its factor is zero")
-        total = {s[group]: total[s[group]] * s.vpv / s.r for s in steps}
-        if max(abs(s.vpv / s.r - 1) for s in steps) < tolerance:
-            return stations.sparkSession.createDataFrame(list(total.items()), f"{group} string, factor double")
+        factor = F.coalesce(F.create_map(*(F.lit(x) for pair in total.items() for x in pair))[F.col(group)], F.lit(1.0))
+        scaled = observations.withColumn("variance", F.col("variance") * factor)
+        own = None
+        if covariances is not None:
+            of_a = pairs.withColumnsRenamed({"obs": "obs_a"}).withColumn("_factor", factor).drop(group)
+            own = covariances.join(of_a, ["network_id", "obs_a"]).withColumn("covariance", F.col("covariance") * F.col("_factor"))
+        out = _estimated(stations, scaled, frame, defect, own, 1, False, part=group, parts=names)
+        lost = out["statistics"].where("NOT converged").select("network_id", "status").first()
+        if lost:
+            raise ValueError(f"network {lost.network_id}: {lost.status}")
+        right = {r[group]: r.vpv for r in out["residuals"].join(pairs, ["network_id", "obs"]).groupBy(group).agg(F.sum(F.col("residual") * F.col("weighted")).alias("vpv")).collect()}
+        normal, free, rows = np.zeros((len(names),) * 2), np.zeros(len(names)), np.zeros(len(names), np.int64)
+        for r in out["traces"].groupBy("k", "j").agg(*(F.sum(c).alias(c) for c in ("both", "once", "rows"))).collect():
+            k, j = names.index(r.k), names.index(r.j)
+            normal[k, j] += 0.5 * r.both
+            if k == j:
+                normal[k, k] += 0.5 * r.rows - r.once
+                free[k], rows[k] = r.rows - r.once, int(r.rows)
+        if free.min() < 1:
+            raise ValueError(f"group {names[int(free.argmin())]} has too little redundancy for a factor of its own")
+        estimate = np.linalg.solve(normal, [0.5 * right[n] for n in names])
+        if not estimate.min() > 0:
+            raise ValueError(f"group {names[int(estimate.argmin())]}: its factor is not positive")
+        total = {n: total[n] * float(e) for n, e in zip(names, estimate, strict=True)}
+        if np.abs(estimate - 1.0).max() <= tolerance:
+            spread = np.sqrt(np.diag(np.linalg.inv(normal)))
+            found = [(n, total[n], float(d) * total[n], float(f), int(m)) for n, d, f, m in zip(names, spread, free, rows, strict=True)]
+            return stations.sparkSession.createDataFrame(found, f"{group} string, factor double, std_dev double, redundancy double, observations long")
     raise ValueError("the variance factors do not settle")

@@ -115,8 +115,8 @@ class Networks:
         names = np.concatenate([np.where(self.stations[:, s, None] >= 0, self.unknown[self.stations[:, s]], -1) for s in range(3)] + [self.extra], 1)
         return misclosure, np.where(names >= 0, a, 0.0), names
 
-    def normal(self, misclosure, a, names) -> tuple[np.ndarray, ...]:
-        """Entries (network, i, j, value) of the normal matrices, and (network, i, value) of the right sides."""
+    def normal(self, misclosure, a, names) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """Entries (network, i, j, value, row) of the normal matrices, and (network, i, value) of the right sides."""
         i, k, p = self.pair
         net = self.row_net[i]
         x, y = np.nonzero((names >= 0).any(0))[0], np.nonzero((names >= 0).any(0))[0]  # columns in use
@@ -127,7 +127,8 @@ class Networks:
         side = p[:, None] * a[i] * misclosure[k][:, None]
         use = names[i] >= 0
         shape = value.shape
-        return (nets[good], np.broadcast_to(rows, shape)[good], np.broadcast_to(cols, shape)[good], value[good]), (np.broadcast_to(net[:, None], use.shape)[use], names[i][use], side[use])
+        entries = nets[good], np.broadcast_to(rows, shape)[good], np.broadcast_to(cols, shape)[good], value[good], np.broadcast_to(i[:, None, None], shape)[good]
+        return entries, (np.broadcast_to(net[:, None], use.shape)[use], names[i][use], side[use])
 
 
 def datum(position: np.ndarray, unknown: np.ndarray, n: int, defect: tuple[str, ...], orientations: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,10 +231,9 @@ class Tridiagonal:
         at = int(self.first[k])
         return self.flat[at : at + w * w].reshape(w, w), self.flat[at + w * w : at + w * (w + b)].reshape(w, b)
 
-    def solve(self, sides: np.ndarray, hold: np.ndarray | None = None) -> np.ndarray:
-        """N^-1 times the columns; raises LinAlgError where N has no full rank. `hold` adds its square to N."""
-        self.inverse, self.carry = [], []
-        y = sides / self.scale[:, None]
+    def factor(self, hold: np.ndarray | None = None) -> None:
+        """Inverts level by level; raises LinAlgError where N has no full rank. `hold` adds its square to N."""
+        self.inverse, self.carry, self.lower = [], [], []
         for k, part in enumerate(self.parts):
             d, b = self._blocks(k)
             d = d.copy()
@@ -244,12 +244,18 @@ class Tridiagonal:
             if k:
                 w = self.inverse[-1] @ b.T
                 d -= b @ w
-                y[part] -= w.T @ y[self.parts[k - 1]]
                 self.carry.append(w)
+            self.lower.append(b)
             chol = np.linalg.cholesky(d)
             if np.diag(chol).min() ** 2 < RANK_TOLERANCE * max(1.0, float(np.diag(d).max())):
                 raise np.linalg.LinAlgError("rank")
             self.inverse.append(np.linalg.inv(d))
+
+    def apply(self, sides: np.ndarray) -> np.ndarray:
+        """N^-1 times the columns, once N is factored."""
+        y = sides / self.scale[:, None]
+        for k in range(1, len(self.parts)):
+            y[self.parts[k]] -= self.carry[k - 1].T @ y[self.parts[k - 1]]
         for k in range(len(self.parts) - 1, -1, -1):
             part = self.parts[k]
             y[part] = self.inverse[k] @ y[part]
@@ -273,11 +279,56 @@ class Tridiagonal:
             out[at : at + w * w] = last.ravel()
         self.cofactors = out
 
-    def of(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """Cofactors of unknowns whose levels are at most one apart."""
+    def gathered(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Entries of a symmetric matrix of N's pattern, scaled and put into the blocks' places."""
+        keep = self.level[cols] <= self.level[rows]
+        return np.bincount(self._place(rows[keep], cols[keep]), (values / self.scale[rows] / self.scale[cols])[keep], self.numbers)
+
+    def between(self, blocks: np.ndarray) -> np.ndarray:
+        """The blocks of Q E Q, for the scaled blocks of a symmetric E: what the selected inverse gains a unit of N - tE, found by
+        differentiating both passes, without any entry of Q outside the blocks."""
+
+        def own(k: int) -> tuple[np.ndarray, np.ndarray]:
+            w, b, at = int(self.width[k]), int(self.below[k]), int(self.first[k])
+            return blocks[at : at + w * w].reshape(w, w), blocks[at + w * w : at + w * (w + b)].reshape(w, b)
+
+        inverse, carry = [], []
+        for k in range(len(self.parts)):
+            e, f = own(k)
+            d = -e
+            if k:
+                w = inverse[-1] @ self.lower[k].T - self.inverse[k - 1] @ f.T
+                d = d + f @ self.carry[k - 1] - self.lower[k] @ w
+                carry.append(w)
+            inverse.append(-self.inverse[k] @ d @ self.inverse[k])
+        out = np.empty_like(blocks)
+        last = gain = None
+        for k in range(len(self.parts) - 1, -1, -1):
+            w, at = int(self.width[k]), int(self.first[k])
+            q, dq = self.inverse[k], inverse[k]
+            if last is not None:
+                cross = -last @ self.carry[k].T
+                change = -gain @ self.carry[k].T - last @ carry[k].T
+                q, dq = q - self.carry[k] @ cross, dq - carry[k] @ cross - self.carry[k] @ change
+                up = int(self.first[k + 1]) + int(self.width[k + 1]) ** 2
+                out[up : up + change.size] = change.ravel()
+            last, gain = 0.5 * (q + q.T), 0.5 * (dq + dq.T)
+            out[at : at + w * w] = gain.ravel()
+        return out
+
+    def product_trace(self, one: np.ndarray, other: np.ndarray) -> float:
+        """The trace of the product of two symmetric matrices given by their blocks."""
+        total = 0.0
+        for k in range(len(self.parts)):
+            w, b, at = int(self.width[k]), int(self.below[k]), int(self.first[k])
+            total += float(one[at : at + w * w] @ other[at : at + w * w]) + 2.0 * float(one[at + w * w : at + w * (w + b)] @ other[at + w * w : at + w * (w + b)])
+        return total
+
+    def of(self, rows: np.ndarray, cols: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
+        """Cofactors of unknowns whose levels are at most one apart, or entries of other scaled blocks."""
         swap = self.level[rows] < self.level[cols]
         a, b = np.where(swap, cols, rows), np.where(swap, rows, cols)
-        return self.cofactors[self._place(a, b)] / self.scale[rows] / self.scale[cols]
+        return (self.cofactors if blocks is None else blocks)[self._place(a, b)] / self.scale[rows] / self.scale[cols]
 
 
 class Large:
@@ -296,11 +347,42 @@ class Large:
             hold[near] = whole[near] * self.matrix.scale[near, None]
             hold /= np.maximum(np.linalg.norm(hold, axis=0), 1e-300)
             self.a = np.linalg.inv(g.T @ whole)
-            got = self.matrix.solve(np.concatenate((u[:, None], g), 1), hold)
+            self.matrix.factor(hold)
+            got = self.matrix.apply(np.concatenate((u[:, None], g), 1))
             self.x = got[:, 0] - whole @ (self.a @ (g.T @ got[:, 0]))
             self.k = got[:, 1:]  # Q times G
         else:
-            self.x = self.matrix.solve(u[:, None])[:, 0]
+            self.matrix.factor()
+            self.x = self.matrix.apply(u[:, None])[:, 0]
+
+    def square(self) -> None:
+        """Prepares squared(): the blocks of the held inverse's square, and what the move to the inner constraints adds."""
+        matrix = self.matrix
+        every = np.arange(self.n)
+        self.twice = matrix.between(matrix.gathered(every, every, np.ones(self.n)))
+        if self.g is not None and self.g.shape[1]:
+            self.ea = self.whole @ self.a
+            both = matrix.apply(np.concatenate((self.k, self.ea), 1))
+            self.k2, self.la = both[:, : self.k.shape[1]], both[:, self.k.shape[1] :]
+
+    def squared(self, n_rows: int, row: np.ndarray, unknown: np.ndarray, value: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """|Q s|^2 for sparse vectors s given as entries (row, unknown, value), x and y all pairs of entries of one vector. Q is T M T' with
+        T = I - ea G', so beside s' M^2 s there are terms in as many numbers as the datum has defects."""
+        out = np.bincount(row[x], value[x] * value[y] * self.matrix.of(unknown[x], unknown[y], self.twice), n_rows)
+        if self.g is None or not self.g.shape[1]:
+            return out
+        against = lambda m: np.stack([np.bincount(row, value * m[unknown, c], n_rows) for c in range(m.shape[1])], 1)
+        beta = against(self.ea)
+        left = against(self.k) - beta @ (self.g.T @ self.k).T
+        along = against(self.la) - beta @ (self.ea.T @ self.k).T
+        out += -2.0 * (beta * against(self.k2)).sum(1) + ((beta @ (self.k.T @ self.k)) * beta).sum(1)
+        return out - 2.0 * (left * along).sum(1) + ((left @ (self.ea.T @ self.ea)) * left).sum(1)
+
+    def traces(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """tr(Q N_k) and tr(Q N_k Q N_j) of parts of N that leave the datum's null vectors at zero, given by their blocks: M does for Q."""
+        once = np.array([self.matrix.product_trace(self.matrix.cofactors, p) for p in parts])
+        moved = [self.matrix.between(p) for p in parts]
+        return once, np.array([[self.matrix.product_trace(m, p) for p in parts] for m in moved])
 
     def of(self, rows, cols) -> np.ndarray:
         q = self.matrix.of(rows, cols)
@@ -311,10 +393,13 @@ class Large:
         return q
 
 
-def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, once: bool = False) -> dict[str, np.ndarray]:
+def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, once: bool = False, influence: bool = False, groups: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Gauss-Newton over all networks of a task; those that have converged stay as they are. `once`: one linearisation at the
     given coordinates, for a design. Returns positions, extra values, and by network converged, iterations, rank_defect,
-    too_large; by row residual, cofactor sums; and the entries (network, i, j, q) of the pattern of N."""
+    too_large; by row residual, cofactor sums; and the entries (network, i, j, q) of the pattern of N. With `influence` also,
+    by row, the norm of Q A'P e; with `groups` of rows (numbers, -1 for none) also, by network, tr(Q N_k) and tr(Q N_k Q N_j) of
+    the groups' parts of N."""
+    parts = 0 if groups is None else int(groups.max(initial=-1)) + 1
     nets = len(net.unknowns)
     position, extra = net.position.copy(), net.extra_value.copy()
     alive, converged = net.unknowns > 0, net.unknowns == 0
@@ -335,10 +420,11 @@ def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, on
     def step(chosen: np.ndarray, cofactors: bool):
         """Corrections of the chosen networks, all in one array, and a function that looks up cofactors."""
         misclosure, a, names = net.linearise(position, extra)
-        (kn, ki, kj, kv), (un, ui, uv) = net.normal(misclosure, a, names)
+        (kn, ki, kj, kv, kr), (un, ui, uv) = net.normal(misclosure, a, names)
+        of_group = groups[kr] if cofactors and parts else None
         x = np.full(offset[-1], np.nan)
         u = np.bincount(offset[un] + ui, uv, offset[-1]) if offset[-1] else np.zeros(0)
-        q_at, tables, larges = np.zeros(nets, np.int64), [], {}
+        q_at, tables, squares, larges = np.zeros(nets, np.int64), [], [], {}
         at = 0
         for width in np.unique(size[chosen & ~big]).tolist():
             own = np.flatnonzero(chosen & ~big & (size == width))
@@ -365,6 +451,17 @@ def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, on
                     q_at[some] = at + np.arange(len(some)) * width * width
                     tables.append(q.ravel())
                     at += q.size
+                    if influence:
+                        squares.append((q @ q).ravel())
+                    moved = []
+                    for part in range(parts):
+                        mine = use & (of_group == part)
+                        own_n = np.bincount((slot[kn[mine]] * width + ki[mine]) * width + kj[mine], kv[mine], len(some) * width * width).reshape(-1, width, width)
+                        moved.append(q @ own_n)
+                        once_traced[some, part] = np.einsum("sii->s", moved[-1])
+                    for one, x_one in enumerate(moved):
+                        for other, x_other in enumerate(moved):
+                            traced[some, one, other] = np.einsum("sij,sji->s", x_one, x_other)
         by_net = np.argsort(kn, kind="stable") if (chosen & big).any() else np.zeros(0, np.int64)
         for k in np.flatnonzero(chosen & big).tolist():
             own = by_net[np.searchsorted(kn[by_net], k) : np.searchsorted(kn[by_net], k, side="right")]
@@ -374,6 +471,11 @@ def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, on
                 x[offset[k] : offset[k + 1]] = larges[k].x
                 if cofactors:
                     larges[k].matrix.select()
+                    if influence:
+                        larges[k].square()
+                    if parts:
+                        of_part = [own[of_group[own] == part] for part in range(parts)]
+                        once_traced[k], traced[k] = larges[k].traces([larges[k].matrix.gathered(ki[e], kj[e], kv[e]) for e in of_part])
                 else:
                     del larges[k]
             except np.linalg.LinAlgError:
@@ -391,8 +493,29 @@ def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, on
                 out[here] = own.of(i[here], j[here])
             return out
 
-        return misclosure, a, names, x, look, (kn, ki, kj)
+        def squared(r, u, v):
+            """|Q s|^2 of sparse vectors, one a row, given as entries sorted by row."""
+            first = np.searchsorted(r, r)
+            each = np.searchsorted(r, r, side="right") - first
+            x = np.repeat(np.arange(len(r)), each)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(each) - each, each) + first[x]
+            n = net.row_net[r]
+            dense = (~big[n] & chosen[n])[x]
+            flat2 = np.concatenate(squares) if squares else np.zeros(0)
+            here = n[x[dense]]
+            out = np.bincount(r[x[dense]], v[x[dense]] * v[y[dense]] * flat2[q_at[here] + u[x[dense]] * size[here] + u[y[dense]]], len(net.row_net))
+            for k, own in larges.items():
+                mine = n[x] == k
+                entries = np.flatnonzero(n == k)
+                place = np.full(len(r), -1)
+                place[entries] = np.arange(len(entries))
+                if len(entries):
+                    out = out + own.squared(len(net.row_net), r[entries], u[entries], v[entries], place[x[mine]], place[y[mine]])
+            return out
+
+        return misclosure, a, names, x, look, (kn, ki, kj), squared
 
+    once_traced, traced = np.zeros((nets, parts)), np.zeros((nets, parts, parts))
     free = net.unknown >= 0
     free_at = (offset[net.station_net][:, None] + net.unknown)[free]
     extra_net, extra_unknown = np.zeros(len(extra), np.int64), np.zeros(len(extra), np.int64)
@@ -411,7 +534,7 @@ def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, on
         steps[alive & ~lost] += 1
         alive &= ~done & ~lost & (steps < ITERATIONS)
     chosen = (net.unknowns > 0) & (converged | once)
-    misclosure, a, names, x, look, (kn, ki, kj) = step(chosen, True)
+    misclosure, a, names, x, look, (kn, ki, kj), squared = step(chosen, True)
     converged &= missing == 0
     full = np.concatenate((x, [0.0]))
     dx = full[np.where(names >= 0, offset[net.row_net][:, None] + names, len(x))]
@@ -426,7 +549,14 @@ def solve(net: Networks, defect: tuple[str, ...], orientation_of: np.ndarray, on
             own_i, own_k = i[good], k[good]
             share += np.bincount(own_i, p[good] * a[own_i, c] * a[own_k, d] * look(net.row_net[own_i], names[own_i, c], names[own_k, d]), len(residual))
     weighted = np.bincount(i, p * residual[k], len(residual))
+    norms = np.full(len(residual), np.nan)
+    if influence:  # the vectors A'P e of rows: entries by row and unknown, those of correlated rows added up
+        use = names[k] >= 0
+        entry = (np.broadcast_to(i[:, None], use.shape)[use] << 20) | names[k][use]
+        entry, of_entry = np.unique(entry, return_inverse=True)
+        amount = np.bincount(of_entry, (p[:, None] * a[k])[use], len(entry))
+        norms = np.sqrt(np.maximum(squared(entry >> 20, entry & 0xFFFFF, amount), 0.0))
     key = (kn.astype(np.int64) << 40) | (ki << 20) | kj
     key = np.unique(key[chosen[kn]])
     qn, qi, qj = key >> 40, (key >> 20) & 0xFFFFF, key & 0xFFFFF
-    return {"position": position, "extra": extra, "converged": converged, "iterations": steps, "rank_defect": missing, "too_large": too_large, "residual": residual, "weighted": weighted, "redundancy": 1.0 - share, "q": (qn, qi, qj, look(qn, qi, qj))}
+    return {"position": position, "extra": extra, "converged": converged, "iterations": steps, "rank_defect": missing, "too_large": too_large, "residual": residual, "weighted": weighted, "redundancy": 1.0 - share, "q": (qn, qi, qj, look(qn, qi, qj)), "influence": norms, "once_traced": once_traced, "traced": traced}

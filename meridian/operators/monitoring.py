@@ -12,17 +12,36 @@ from pyspark.sql import functions as F
 from meridian.functions import distributions as dist
 
 AXES = ("x", "y", "z")
+#: What two solutions must have alike to be compared.
+COMPARED = ("frame", "datum", "height_type", "geoid", "ellipsoid", "coordinate_system")
 
 
-def compare(first: DataFrame, second: DataFrame) -> DataFrame:
+def require_comparable(first: DataFrame, second: DataFrame, fields: tuple[str, ...] = COMPARED) -> None:
+    """Raises where two solutions' descriptions (a row each) differ."""
+    a, b = first.head(2), second.head(2)
+    if len(a) != 1 or len(b) != 1:
+        raise ValueError("a solution needs one description")
+    unlike = [f for f in fields if f in first.columns and f in second.columns and a[0][f] != b[0][f]]
+    if unlike:
+        raise ValueError(f"solutions differ in {', '.join(unlike)}")
+
+
+def compare(first: DataFrame, second: DataFrame, descriptions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Stations of both epochs: differences, and cofactors under the pooled variance factor, which is 1 without degrees of
-    freedom. The epochs are taken as independent."""
+    freedom. The epochs are taken as independent. A station that comes twice in an epoch fails; so do epochs whose `descriptions`
+    (a row each, as solutions.require_comparable() reads them) state different frames, units or datums."""
+    if descriptions is not None:
+        require_comparable(*descriptions)
     a, b = first.alias("a"), second.alias("b")
     dof = F.col("a.dof") + F.col("b.dof")
     pooled = F.when(dof > 0, (F.col("a.dof") * F.col("a.factor") + F.col("b.dof") * F.col("b.factor")) / dof).otherwise(1.0)
     d = [(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(f"d{c}") for c in AXES]
     q = [(F.col(f"a.v{c}") / F.col("a.factor") + F.col(f"b.v{c}") / F.col("b.factor")).alias(f"q{c}") for c in AXES]
-    return a.join(b, F.col("a.station") == F.col("b.station")).select(F.col("a.station").alias("station"), *d, *q, pooled.alias("pooled"), dof.alias("dof"))
+    both = a.join(b, F.col("a.station") == F.col("b.station")).select(F.col("a.station").alias("station"), *d, *q, pooled.alias("pooled"), dof.alias("dof"))
+    again = F.count(F.lit(1)).over(Window.partitionBy("station")) > 1
+    message = F.concat(F.lit("station "), F.col("station").cast("string"), F.lit(" comes twice in an epoch"))
+    kind = both.schema["station"].dataType
+    return both.withColumn("station", F.when(again, F.raise_error(message).cast(kind)).otherwise(F.col("station")))
 
 
 def unmatched(first: DataFrame, second: DataFrame) -> DataFrame:

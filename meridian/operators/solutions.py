@@ -9,10 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.operators.adjustment import ellipse
-from meridian.operators.monitoring import nice_factor
+from meridian.operators.monitoring import COMPARED, nice_factor, require_comparable
 
-#: What two solutions must have alike to be compared.
-COMPARED = ("frame", "datum", "height_type", "geoid", "ellipsoid", "coordinate_system")
 
 
 def constrained_stations(stations: DataFrame) -> DataFrame:
@@ -59,16 +57,6 @@ def incomparable(first: DataFrame, second: DataFrame, key: str = "solution", fie
     return a.join(b, F.col(f"a.{key}") < F.col(f"b.{key}")).select(F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second"), reasons.alias("reasons"))
 
 
-def require_comparable(first: DataFrame, second: DataFrame, fields: tuple[str, ...] = COMPARED) -> None:
-    """Raises where two solutions' descriptions (a row each) differ."""
-    a, b = first.head(2), second.head(2)
-    if len(a) != 1 or len(b) != 1:
-        raise ValueError("a solution needs one description")
-    unlike = [f for f in fields if f in first.columns and f in second.columns and a[0][f] != b[0][f]]
-    if unlike:
-        raise ValueError(f"solutions differ in {', '.join(unlike)}")
-
-
 def compare_solutions(reference: DataFrame, other: DataFrame, keys: list[str], tolerances: dict[str, float]) -> DataFrame:
     """All rows of both by key: differences, whether each is within its tolerance, and which side a row without partner is of."""
     a, b = reference.select(*keys, *tolerances, F.lit(True).alias("_a")), other.select(*keys, *(F.col(c).alias(f"{c}_other") for c in tolerances), F.lit(True).alias("_b"))

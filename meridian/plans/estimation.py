@@ -125,10 +125,10 @@ YEARS = "SELECT station, epoch, x, y, z, vx, vy, vz FROM {epochs}"
 
 def _two(spark, sf):
     e = epochs(spark, sf)
-    return e.where("epoch = 1995.5"), e.where("epoch = 1996.5 and y > 4.7")
+    return e.where("epoch = 1995.5"), e.where("epoch = 1996.5")
 
 
-COMPARE = "SELECT a.station, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz, (a.vx+b.vx)/1.5 AS qx, (a.vy+b.vy)/1.5 AS qy, (a.vz+b.vz)/1.5 AS qz FROM {epochs} a JOIN {epochs} b ON a.station = b.station WHERE a.epoch = 1995.5 AND b.epoch = 1996.5 AND b.y > 4.7"
+COMPARE = "SELECT a.station, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz, (a.vx+b.vx)/1.5 AS qx, (a.vy+b.vy)/1.5 AS qy, (a.vz+b.vz)/1.5 AS qz FROM {epochs} a JOIN {epochs} b ON a.station = b.station WHERE a.epoch = 1995.5 AND b.epoch = 1996.5"
 
 
 @query("epoch_comparison", "SELECT station, round(dx,6)+0.0 AS dx, round(dy,6)+0.0 AS dy, round(dz,6)+0.0 AS dz, round(qx,6)+0.0 AS qx, 1.5 AS pooled, 40 AS dof FROM (" + COMPARE + ")")
@@ -139,7 +139,8 @@ def epoch_comparison(spark, sf):
 
 @query("epoch_unmatched", "SELECT coalesce(a.station, b.station) AS station, CASE WHEN b.station IS NULL THEN 'first' ELSE 'second' END AS epoch FROM (SELECT station FROM {epochs} WHERE epoch = 1995.5) a FULL JOIN (SELECT station FROM {epochs} WHERE epoch = 1996.5 AND y > 4.7) b ON a.station = b.station WHERE a.station IS NULL OR b.station IS NULL")
 def epoch_unmatched(spark, sf):
-    return monitoring.unmatched(*_two(spark, sf))
+    first, second = _two(spark, sf)
+    return monitoring.unmatched(first, second.where("y > 4.7"))
 
 
 @query("epoch_reference", "SELECT station, round(dx-avg(CASE WHEN station < 'N2' THEN dx END) OVER (),6)+0.0 AS dx, round(dy-avg(CASE WHEN station < 'N2' THEN dy END) OVER (),6)+0.0 AS dy, round(dz-avg(CASE WHEN station < 'N2' THEN dz END) OVER (),6)+0.0 AS dz FROM (" + COMPARE + ")")
@@ -215,4 +216,5 @@ def station_categories(spark, sf):
 def variance_components(spark, sf):
     stations, observations = _height_network(spark, sf)
     grouped = observations.withColumn("technique", F.when(F.col("at") < F.col("to"), "forward").otherwise("back"))
-    return adjustment.variance_components(stations, grouped, "height_1d", "technique", rounds=6, tolerance=1e-2).select("technique", r(F.col("factor"), 3).alias("factor"))
+    found = adjustment.variance_components(stations, grouped, "height_1d", "technique")
+    return found.select("technique", r(F.col("factor"), 3).alias("factor"), r(F.col("std_dev"), 3).alias("std_dev"), r(F.col("redundancy"), 3).alias("redundancy"), "observations")

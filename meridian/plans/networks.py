@@ -51,6 +51,17 @@ def observation_tests(spark, sf):
     return t.select("obs", r(F.col("residual")).alias("residual"), r(F.col("redundancy")).alias("redundancy"), r(F.col("w"), 5).alias("w"), "decision", r(F.col("minimal_detectable_bias"), 4).alias("minimal_detectable_bias"))
 
 
+@query("external_reliability", solved_sql(EDGE_ROWS, "0", f"""
+SELECT obs, round(n,9)+0.0 AS influence, round({Z9995 + Z80}/sqrt(w*(1-w*spread)),4)+0.0 AS minimal_detectable_bias, round(n*{Z9995 + Z80}/sqrt(w*(1-w*spread)),4)+0.0 AS external_effect
+FROM v JOIN (SELECT v.obs, sqrt(sum(pow(v.w*(coalesce(qb.q,0)-coalesce(qa.q,0)),2))) AS n FROM v CROSS JOIN s LEFT JOIN q qa ON qa.a = s.name AND qa.b = v.a LEFT JOIN q qb ON qb.a = s.name AND qb.b = v.b GROUP BY v.obs) USING (obs)"""))
+def external_reliability(spark, sf):
+    """What an error of the size that each test can just detect does to all heights."""
+    stations, observations = _height_network(spark, sf)
+    out = adjustment.adjust(stations, observations, "height_1d", influence=True)
+    t = adjustment.reliability(out["residuals"])
+    return t.select("obs", r(F.col("influence"), 9).alias("influence"), r(F.col("minimal_detectable_bias"), 4).alias("minimal_detectable_bias"), r(F.col("external_effect"), 4).alias("external_effect"))
+
+
 @query("statistics_items", solved_sql(EDGE_ROWS, "0", "SELECT item, round(value,5)+0.0 AS value FROM (SELECT unnest(['rows', 'unknowns', 'dof', 'vpv', 'variance_factor', 'rank_defect']) AS item, unnest([CAST((SELECT count(*) FROM o) AS DOUBLE), n, dof, vpv, vpv/dof, 0]) AS value FROM y, c)"))
 def statistics_items(spark, sf):
     _, _, out = _adjusted(spark, sf)
