@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions.geodesy import enu_rotation
-from meridian.operators.network import connected_components
+from meridian.operators.network import connected_components, rooted, tree_paths
 from meridian.operators.total_station import line_scale, to_ellipsoid
 from meridian.functions.uncertainty import transform
 from meridian.sources.shared import stored
@@ -269,38 +269,15 @@ def independent_subset(baselines: DataFrame) -> DataFrame:
 
 def closing_loops(baselines: DataFrame) -> DataFrame:
     """(loop, seq, baseline, sign): for each baseline that is not independent, itself and then the legs that lead back from its rover to
-    its base through independent ones; not where one of these joins the same two stations. Both ends climb towards the root of
-    their tree, a step a round, until they meet."""
-    tree = stored(baselines.where("independent").select("baseline", F.col("base").alias("a"), F.col("rover").alias("b")))
-    both = stored(tree.select("a", "b", "baseline", F.lit(1).alias("sign")).unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b"), "baseline", F.lit(-1).alias("sign"))))
-    stations = both.select(F.lit("g").alias("network_id"), F.col("a").alias("station")).distinct()
-    roots = connected_components(stations, tree.select(F.lit("g").alias("network_id"), "a", "b"))
-    seen = frontier = stored(roots.where("station = component").select("station", F.lit(None).cast("string").alias("parent"), F.lit(None).cast(both.schema["baseline"].dataType).alias("leg"), F.lit(0).alias("up"), F.lit(0).alias("depth")))
-    while True:  # (station, parent, leg, sign of going up by it, depth)
-        reached = frontier.select(F.col("station").alias("b"), "depth").join(both, "b").select(F.col("a").alias("station"), F.col("b").alias("parent"), F.col("baseline").alias("leg"), F.col("sign").alias("up"), (F.col("depth") + 1).alias("depth"))
-        frontier = stored(reached.join(seen, "station", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = stored(seen.unionByName(frontier))
-    place = lambda p: seen.select(F.col("station").alias(p), F.col("parent").alias(f"{p}_parent"), F.col("leg").alias(f"{p}_leg"), F.col("up").alias(f"{p}_up"), F.col("depth").alias(f"{p}_depth"))
-    # forth: legs from the rover up; back: legs up from the base, to be walked in reverse
-    empty = F.array().cast(f"array<struct<baseline:{both.schema['baseline'].dataType.simpleString()},sign:int>>")
-    open_ = baselines.where("not independent and base <> rover").select(F.col("baseline").alias("loop"), F.col("rover").alias("u"), F.col("base").alias("v"), empty.alias("forth"), empty.alias("back"))
-    done = None
-    while True:
-        met = open_.where("u = v")
-        done = stored(met if done is None else done.unionByName(met))
-        rest = stored(open_.where("u <> v"))
-        if rest.isEmpty():
-            break
-        at = rest.join(place("u"), "u").join(place("v"), "v")
-        climb_u, climb_v = F.col("u_depth") >= F.col("v_depth"), F.col("v_depth") >= F.col("u_depth")
-        leg = lambda p, sign: F.array(F.struct(F.col(f"{p}_leg").alias("baseline"), (F.col(f"{p}_up") * sign).alias("sign")))
-        open_ = at.select("loop", F.when(climb_u, F.col("u_parent")).otherwise(F.col("u")).alias("nu"), F.when(climb_v, F.col("v_parent")).otherwise(F.col("v")).alias("nv"), F.when(climb_u, F.concat("forth", leg("u", 1))).otherwise(F.col("forth")).alias("forth"), F.when(climb_v, F.concat(leg("v", -1), "back")).otherwise(F.col("back")).alias("back"))
-        open_ = stored(open_.withColumnsRenamed({"nu": "u", "nv": "v"}))
-    closing = F.array(F.struct(F.col("loop").alias("baseline"), F.lit(1).alias("sign")))
-    loops = done.where(F.size("forth") + F.size("back") >= 2).select("loop", F.concat(closing, "forth", "back").alias("legs"))
-    return loops.select("loop", F.posexplode("legs").alias("seq", "leg")).select("loop", "seq", "leg.baseline", "leg.sign")
+    its base through independent ones; not where one of these joins the same two stations. The independent ones are a forest, whose
+    paths are found in rounds that grow with the logarithm of its depth."""
+    one = F.lit("g").alias("network_id")
+    forest = rooted(baselines.where("independent").select(one, F.col("base").alias("a"), F.col("rover").alias("b"), F.col("baseline").alias("leg")))
+    ends = baselines.where("not independent and base <> rover").select(one, F.col("baseline").alias("path"), F.col("rover").alias("u"), F.col("base").alias("v"))
+    legs = stored(tree_paths(forest, ends))
+    closed = legs.groupBy("path").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("path").alias("loop"))
+    back = legs.join(closed, F.col("path") == F.col("loop")).select("loop", (F.col("seq") + 1).alias("seq"), F.col("leg").alias("baseline"), "sign")
+    return closed.select("loop", F.lit(0).alias("seq"), F.col("loop").alias("baseline"), F.lit(1).alias("sign")).unionByName(back)
 
 
 # ---- several techniques

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridian.functions import distributions as dist
-from meridian.operators import adjustment, monitoring
+from meridian.operators import adjustment, monitoring, network, starting
 from meridian.plans.registry import edges, epochs, query, r, table
 
 
@@ -111,6 +112,28 @@ def plane_networks(spark, sf):
     return out["stations"].select("network_id", "station", r(F.col("x"), 5).alias("x"), r(F.col("y"), 5).alias("y"))
 
 
+@query("starting_positions", "SELECT 'q' || c_custkey AS network_id, s AS station, round(x + CASE WHEN f THEN 0 ELSE c_custkey % 17 / 10.0 END, 5)+0.0 AS x, round(y - CASE WHEN f THEN 0 ELSE c_custkey % 17 / 10.0 END, 5)+0.0 AS y FROM customer, (VALUES ('A',0.0,0.0,true),('B',100.0,0.0,true),('C',100.0,100.0,false),('D',0.0,100.0,false)) AS q(s,x,y,f)")
+def starting_positions(spark, sf):
+    """The same networks without approximate coordinates of their free corners; from one held corner alone, the others follow."""
+    stations, observations = _plane_networks(spark, sf)
+    bare = stations.withColumns({c: F.when(F.col("fixed"), F.col(c)) for c in "xy"})
+    out = starting.starting_positions(bare, observations)
+    return out.select("network_id", "station", r(F.col("x"), 5).alias("x"), r(F.col("y"), 5).alias("y"))
+
+
+@query("carried_values", """
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value FROM events)
+SELECT CAST(user_id AS VARCHAR) AS network_id, k AS station, round(100 + sum(CASE WHEN k = 1 THEN 0 ELSE value END) OVER (PARTITION BY user_id ORDER BY k), 4)+0.0 AS value FROM e
+QUALIFY count(*) OVER (PARTITION BY user_id) > 1""")
+def carried_values(spark, sf):
+    """A line a user: each of its events is a station, a step in value from the one before; the first is held at 100."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("network_id"), F.row_number().over(order).cast("long").alias("b"), F.col("value").alias("d_value"))
+    ties = e.where("b > 1").select("network_id", (F.col("b") - 1).alias("a"), "b", "d_value")
+    seeds = ties.where("a = 1").select("network_id", F.col("a").alias("station"), F.lit(100.0).alias("value"))
+    return network.carried_values(seeds, ties).select("network_id", "station", r(F.col("value"), 4).alias("value"))
+
+
 @query("plane_design")
 def plane_design(spark, sf):
     """Expected ellipses of the planned networks."""
