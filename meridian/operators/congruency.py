@@ -48,45 +48,164 @@ def _critical(confidence: float, h: int, dof: int) -> float:
 OUT = "i string, v double, variance double, omega double, h int, statistic double, critical double, congruent boolean"
 
 
-def congruency(differences: DataFrame, cofactors: DataFrame, positions: DataFrame, meta: DataFrame, by: list[str], defect: tuple[str, ...] = (), confidence: float = 0.95) -> DataFrame:
-    """(keys.., i, v, variance; omega, h, statistic, critical, congruent of the campaign): differences in the datum of the reference
-    stations, and d'Q^-1 d over these against F(h, dof), or chi-square(h) without degrees of freedom. meta: keys.., pooled, dof."""
+def _campaigns(differences: DataFrame, cofactors: DataFrame, positions: DataFrame, meta: DataFrame, by: list[str]) -> DataFrame:
+    """All that campaigns have, as rows of one table: 0 differences, 1 cofactors, 2 positions, 3 pooled factor and degrees of freedom."""
     none = lambda t: F.lit(None).cast(t)
     rows = differences.select(*by, F.lit(0).alias("what"), "i", none("string").alias("j"), F.col("v"), *(none("double").alias(c) for c in "xyz"), none("boolean").alias("reference"))
     rows = rows.unionByName(cofactors.select(*by, F.lit(1).alias("what"), "i", "j", "v", *(none("double").alias(c) for c in "xyz"), none("boolean").alias("reference")))
     rows = rows.unionByName(positions.select(*by, F.lit(2).alias("what"), F.col("station").alias("i"), none("string").alias("j"), none("double").alias("v"), "x", "y", "z", "reference"))
     rows = rows.unionByName(meta.select(*by, F.lit(3).alias("what"), none("string").alias("i"), none("string").alias("j"), F.col("pooled").cast("double").alias("v"), F.col("dof").cast("double").alias("x"), none("double").alias("y"), none("double").alias("z"), none("boolean").alias("reference")))
+    return rows
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
+
+class _Campaign:
+    """One campaign's differences in the order of their names, with cofactors, datum basis and reference components."""
+
+    def __init__(self, t: pd.DataFrame, defect: tuple[str, ...]):
         d = t[t.what == 0].sort_values("i")
-        names = d.i.tolist()
-        if len(set(names)) != len(names):
+        self.names = d.i.tolist()
+        if len(set(self.names)) != len(self.names):
             raise ValueError("a station comes twice in an epoch")
-        at = {n: k for k, n in enumerate(names)}
+        at = {n: k for k, n in enumerate(self.names)}
         entries = t[(t.what == 1) & t.i.isin(at) & t.j.isin(at)]
-        q = np.zeros((len(names), len(names)))
-        q[entries.i.map(at), entries.j.map(at)] = entries.v
+        self.q = np.zeros((len(at), len(at)))
+        self.q[entries.i.map(at), entries.j.map(at)] = entries.v
         place = t[t.what == 2]
         position = {s: (x, y, z) for s, x, y, z in zip(place.i, place.x.fillna(0), place.y.fillna(0), place.z.fillna(0), strict=True)}
-        reference = set(place.i[place.reference == True])  # noqa: E712
-        chosen = np.array([n.rpartition(":")[0] in reference for n in names])
-        basis = datum_basis(names, position, defect)
-        v, q = s_transformed(d.v.to_numpy(float), q, basis, chosen)
+        self.reference = set(place.i[place.reference == True])  # noqa: E712
+        self.stations = np.array([n.rpartition(":")[0] for n in self.names], object)
+        self.chosen = np.array([s in self.reference for s in self.stations], bool)
+        self.basis = datum_basis(self.names, position, defect)
+        self.v = d.v.to_numpy(float)
+        head = t[t.what == 3].iloc[0]
+        self.pooled, self.dof = float(head.v), int(head.x)
+
+    def tested(self, omega: float, h: int, confidence: float) -> tuple[float, float, bool]:
+        """Statistic, critical value and whether it holds."""
+        statistic = omega / (h * self.pooled) if self.dof > 0 and h else omega
+        critical = _critical(confidence, h, self.dof) if h else np.nan
+        return statistic, critical, bool(statistic <= critical)
+
+
+def _each(rows: DataFrame, by: list[str], kinds: dict[str, str], one, out: str) -> DataFrame:
+    """Whole campaigns, many a group."""
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def many(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(own) for _, own in t.groupby(by, sort=False)])
+
+    return rows.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(parts))).groupBy("deal").applyInPandas(many, ", ".join(f"{b} {kinds[b]}" for b in by) + ", " + out)
+
+
+def congruency(differences: DataFrame, cofactors: DataFrame, positions: DataFrame, meta: DataFrame, by: list[str], defect: tuple[str, ...] = (), confidence: float = 0.95) -> DataFrame:
+    """(keys.., i, v, variance; omega, h, statistic, critical, congruent of the campaign): differences in the datum of the reference
+    stations, and d'Q^-1 d over these against F(h, dof), or chi-square(h) without degrees of freedom. meta: keys.., pooled, dof."""
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        c = _Campaign(t, defect)
+        chosen = c.chosen
+        v, q = s_transformed(c.v, c.q, c.basis, chosen)
         own = q[np.ix_(chosen, chosen)]
         # the reference components have lost what the datum takes, so their cofactors have that rank defect
         values, vectors = np.linalg.eigh(0.5 * (own + own.T))
         keep = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
         part = vectors[:, keep].T @ v[chosen]
         omega, h = float((part * part / values[keep]).sum()), int(keep.sum())
-        head = t[t.what == 3].iloc[0]
-        pooled, dof = float(head.v), int(head.x)
-        statistic = omega / (h * pooled) if dof > 0 and h else omega
-        critical = _critical(confidence, h, dof) if h else np.nan
-        return pd.DataFrame({b: t[b].iloc[0] for b in by} | {"i": names, "v": v, "variance": np.diag(q), "omega": omega, "h": h, "statistic": statistic, "critical": critical, "congruent": bool(statistic <= critical)})
+        statistic, critical, holds = c.tested(omega, h, confidence)
+        return pd.DataFrame({b: t[b].iloc[0] for b in by} | {"i": c.names, "v": v, "variance": np.diag(q), "omega": omega, "h": h, "statistic": statistic, "critical": critical, "congruent": holds})
+
+    return _each(_campaigns(differences, cofactors, positions, meta, by), by, dict(differences.dtypes), one, OUT)
+
+
+class _Block:
+    """The reference block of a campaign, which loses stations one by one. With P the inverse of its cofactors (to which the square of the datum
+    basis B is added, so that they have one), Omega is d'Pd less what the datum takes, g' M^-1 g with M = B'PB and g = B'Pd. A
+    station that leaves changes all of these by its own rows only, so nothing is inverted anew."""
+
+    def __init__(self, c: _Campaign):
+        self.d, self.b = c.v[c.chosen], c.basis[c.chosen]
+        self.stations = c.stations[c.chosen]
+        q = c.q[np.ix_(c.chosen, c.chosen)]
+        scale = np.trace(q) / max(len(q), 1)
+        self.b = self.b / np.maximum(np.linalg.norm(self.b, axis=0), 1e-300) if self.b.size else self.b
+        self.p = np.linalg.inv(q + scale * self.b @ self.b.T) if len(q) else q
+
+    def without(self, station: str) -> tuple[float, int] | None:
+        """Omega and its rank without a station; None if what is left does not define the datum or nothing is left to test."""
+        out = self.stations == station
+        pd_, pb = self.p @ self.d, self.p @ self.b
+        if out.any():
+            half = np.linalg.solve(self.p[np.ix_(out, out)], np.concatenate((pd_[out, None], pb[out]), 1))
+            lost = float(pd_[out] @ half[:, 0])
+            g, m = self.b.T @ pd_ - pb[out].T @ half[:, 0], self.b.T @ pb - pb[out].T @ half[:, 1:]
+        else:
+            lost, g, m = 0.0, self.b.T @ pd_, self.b.T @ pb
+        rest = self.b[~out]
+        h = int((~out).sum()) - self.b.shape[1]
+        if h < 1 or rest.shape[1] and np.linalg.matrix_rank(rest) < rest.shape[1]:
+            return None
+        taken = float(g @ np.linalg.solve(m, g)) if len(g) else 0.0
+        return max(float(self.d @ pd_) - lost - taken, 0.0), h
+
+    def remove(self, station: str) -> None:
+        out = self.stations == station
+        cross = self.p[np.ix_(~out, out)]
+        self.p = self.p[np.ix_(~out, ~out)] - cross @ np.linalg.solve(self.p[np.ix_(out, out)], cross.T)
+        self.d, self.b, self.stations = self.d[~out], self.b[~out], self.stations[~out]
+
+
+LOCALISED = "step int, station string, omega double, h int, statistic double, critical double, share double, congruent boolean"
 
-    def many(t: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(own) for _, own in t.groupby(by, sort=False)])
 
-    kinds = dict(differences.dtypes)
-    parts = 4 * int(differences.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # whole campaigns, many a group
-    return rows.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(parts))).groupBy("deal").applyInPandas(many, ", ".join(f"{b} {kinds[b]}" for b in by) + ", " + OUT)
+def localised(differences: DataFrame, cofactors: DataFrame, positions: DataFrame, meta: DataFrame, by: list[str], defect: tuple[str, ...] = (), confidence: float = 0.95) -> DataFrame:
+    """(keys.., step, station, omega, h, statistic, critical, share, congruent): the test of the reference block, with the station that leaves it
+    next and what Omega loses with it; the one without which Omega is least, the first by name of equal ones. The last step has no
+    station: its block is congruent, or too small to lose one. Inputs are those of congruency()."""
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        c = _Campaign(t, defect)
+        block, out = _Block(c), []
+        while (now := block.without("")) is not None:
+            statistic, critical, holds = c.tested(*now, confidence)
+            left = {} if holds else {s: x[0] for s in sorted(set(block.stations)) if (x := block.without(s)) is not None}
+            worst = min(left, key=left.get) if left else None
+            out.append((len(out), worst, *now, statistic, critical, now[0] - left[worst] if left else None, holds))
+            if worst is None:
+                break
+            block.remove(worst)
+        names = [x.split()[0] for x in LOCALISED.split(", ")]
+        return pd.DataFrame([(*(t[b].iloc[0] for b in by), *r) for r in out], columns=[*by, *names])
+
+    return _each(_campaigns(differences, cofactors, positions, meta, by), by, dict(differences.dtypes), one, LOCALISED)
+
+
+ANALYSED = "station string, role string, status string, omega double, h int, statistic double, critical double, significant boolean"
+
+
+def deformation(differences: DataFrame, cofactors: DataFrame, positions: DataFrame, meta: DataFrame, by: list[str], defect: tuple[str, ...] = (), confidence: float = 0.95) -> DataFrame:
+    """(keys.., station, role, status, omega, h, statistic, critical, significant): each station's movement in the datum of the reference block, with
+    the whole cofactors of its components. A campaign whose block is not congruent, or defines no datum, is not analysed: its status is
+    `unstable_reference` or `no_reference`, its results are null, and localised() names the stations that moved."""
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        c = _Campaign(t, defect)
+        now = _Block(c).without("")
+        status = "no_reference" if now is None else "analysed" if c.tested(*now, confidence)[2] else "unstable_reference"
+        v, q = s_transformed(c.v, c.q, c.basis, c.chosen) if now is not None else (c.v, c.q)
+        out = []
+        for s in sorted(set(c.stations)):
+            own = np.flatnonzero(c.stations == s)
+            result = (None,) * 5
+            if status == "analysed":
+                values, vectors = np.linalg.eigh(q[np.ix_(own, own)])
+                keep = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
+                part = vectors[:, keep].T @ v[own]
+                omega, h = float((part * part / values[keep]).sum()), int(keep.sum())
+                statistic, critical, holds = c.tested(omega, h, confidence)
+                result = (omega, h, statistic, critical, not holds) if h else (omega, h, None, None, None)
+            out.append((*(t[b].iloc[0] for b in by), s, "reference" if s in c.reference else "object", status, *result))
+        names = [x.split()[0] for x in ANALYSED.split(", ")]
+        frame = pd.DataFrame(out, columns=[*by, *names])
+        return frame.astype({"h": "Int32", "significant": "boolean"})
+
+    return _each(_campaigns(differences, cofactors, positions, meta, by), by, dict(differences.dtypes), one, ANALYSED)
