@@ -88,11 +88,13 @@ class _Campaign:
 
 
 def _each(rows: DataFrame, by: list[str], kinds: dict[str, str], one, out: str) -> DataFrame:
-    """Whole campaigns, many a group."""
+    """Whole campaigns, many a group. `one` gives the rows of a campaign, as tuples after its keys."""
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [*by, *(x.split()[0] for x in out.split(", "))]
 
     def many(t: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(own) for _, own in t.groupby(by, sort=False)])
+        found = [(*(own[b].iloc[0] for b in by), *row) for _, own in t.groupby(by, sort=False) for row in one(own)]
+        return pd.DataFrame(found, columns=columns, dtype=object)
 
     return rows.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(parts))).groupBy("deal").applyInPandas(many, ", ".join(f"{b} {kinds[b]}" for b in by) + ", " + out)
 
@@ -101,7 +103,7 @@ def congruency(differences: DataFrame, cofactors: DataFrame, positions: DataFram
     """(keys.., i, v, variance; omega, h, statistic, critical, congruent of the campaign): differences in the datum of the reference
     stations, and d'Q^-1 d over these against F(h, dof), or chi-square(h) without degrees of freedom. meta: keys.., pooled, dof."""
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
+    def one(t: pd.DataFrame) -> list[tuple]:
         c = _Campaign(t, defect)
         chosen = c.chosen
         v, q = s_transformed(c.v, c.q, c.basis, chosen)
@@ -112,7 +114,8 @@ def congruency(differences: DataFrame, cofactors: DataFrame, positions: DataFram
         part = vectors[:, keep].T @ v[chosen]
         omega, h = float((part * part / values[keep]).sum()), int(keep.sum())
         statistic, critical, holds = c.tested(omega, h, confidence)
-        return pd.DataFrame({b: t[b].iloc[0] for b in by} | {"i": c.names, "v": v, "variance": np.diag(q), "omega": omega, "h": h, "statistic": statistic, "critical": critical, "congruent": holds})
+        variance = np.diag(q)
+        return [(name, float(v[k]), float(variance[k]), omega, h, statistic, float(critical), holds) for k, name in enumerate(c.names)]
 
     return _each(_campaigns(differences, cofactors, positions, meta, by), by, dict(differences.dtypes), one, OUT)
 
@@ -162,7 +165,7 @@ def localised(differences: DataFrame, cofactors: DataFrame, positions: DataFrame
     next and what Omega loses with it; the one without which Omega is least, the first by name of equal ones. The last step has no
     station: its block is congruent, or too small to lose one. Inputs are those of congruency()."""
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
+    def one(t: pd.DataFrame) -> list[tuple]:
         c = _Campaign(t, defect)
         block, out = _Block(c), []
         while (now := block.without("")) is not None:
@@ -173,8 +176,7 @@ def localised(differences: DataFrame, cofactors: DataFrame, positions: DataFrame
             if worst is None:
                 break
             block.remove(worst)
-        names = [x.split()[0] for x in LOCALISED.split(", ")]
-        return pd.DataFrame([(*(t[b].iloc[0] for b in by), *r) for r in out], columns=[*by, *names])
+        return out
 
     return _each(_campaigns(differences, cofactors, positions, meta, by), by, dict(differences.dtypes), one, LOCALISED)
 
@@ -187,7 +189,7 @@ def deformation(differences: DataFrame, cofactors: DataFrame, positions: DataFra
     the whole cofactors of its components. A campaign whose block is not congruent, or defines no datum, is not analysed: its status is
     `unstable_reference` or `no_reference`, its results are null, and localised() names the stations that moved."""
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
+    def one(t: pd.DataFrame) -> list[tuple]:
         c = _Campaign(t, defect)
         now = _Block(c).without("")
         status = "no_reference" if now is None else "analysed" if c.tested(*now, confidence)[2] else "unstable_reference"
@@ -203,9 +205,7 @@ def deformation(differences: DataFrame, cofactors: DataFrame, positions: DataFra
                 omega, h = float((part * part / values[keep]).sum()), int(keep.sum())
                 statistic, critical, holds = c.tested(omega, h, confidence)
                 result = (omega, h, statistic, critical, not holds) if h else (omega, h, None, None, None)
-            out.append((*(t[b].iloc[0] for b in by), s, "reference" if s in c.reference else "object", status, *result))
-        names = [x.split()[0] for x in ANALYSED.split(", ")]
-        frame = pd.DataFrame(out, columns=[*by, *names])
-        return frame.astype({"h": "Int32", "significant": "boolean"})
+            out.append((s, "reference" if s in c.reference else "object", status, *result))
+        return out
 
     return _each(_campaigns(differences, cofactors, positions, meta, by), by, dict(differences.dtypes), one, ANALYSED)

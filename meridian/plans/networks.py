@@ -460,7 +460,7 @@ _GRIDS = {
 def _grid_cells(spark, sf):
     out = None
     for name, (source, key, value, columns, *place) in _GRIDS.items():
-        k = F.col(key) - 1
+        k = F.col(key)
         fixed = [F.lit(x).alias(n) for n, x in zip(("south", "west", "dlat", "dlon"), place, strict=True)]
         own = table(spark, sf, source).select(F.lit(name).alias("path"), F.floor(k / columns).cast("int").alias("row"), (k % columns).cast("int").alias("column"), (F.col(value) / 100.0).cast("double").alias("value"), *fixed)
         out = own if out is None else out.unionByName(own)
@@ -468,7 +468,7 @@ def _grid_cells(spark, sf):
 
 
 _CELLS_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS path, ({key} - 1) // {columns} AS i, ({key} - 1) % {columns} AS j, {value} / 100.0 AS v, {south} AS south, {west} AS west, {dlat} AS dlat, {dlon} AS dlon FROM {source}"
+    f"SELECT '{name}' AS path, {key} // {columns} AS i, {key} % {columns} AS j, {value} / 100.0 AS v, {south} AS south, {west} AS west, {dlat} AS dlat, {dlon} AS dlon FROM {source}"
     for name, (source, key, value, columns, south, west, dlat, dlon) in _GRIDS.items()
 )
 
@@ -483,17 +483,17 @@ d AS (SELECT c.path, c.i, c.j, CASE WHEN count(s.v) = 2 THEN abs(sum(s.v) - 2*an
   UNION ALL SELECT c.path, c.i, c.j, CASE WHEN count(s.v) = 2 THEN abs(sum(s.v) - 2*any_value(c.v)) END, 'column' FROM c JOIN c s ON s.path = c.path AND s.i = c.i AND abs(s.j - c.j) = 1 GROUP BY ALL),
 e AS (SELECT point, coalesce(max(CASE WHEN axis = 'row' THEN second END), 0) AS by_row, coalesce(max(CASE WHEN axis = 'column' THEN second END), 0) AS by_column FROM k LEFT JOIN d ON d.path = k.path AND
   (axis = 'row' AND rows >= 3 AND j BETWEEN q AND q+1 AND i BETWEEN least(greatest(r, 1), rows-2) AND least(greatest(r+1, 1), rows-2) OR axis = 'column' AND cols >= 3 AND i BETWEEN r AND r+1 AND j BETWEEN least(greatest(q, 1), cols-2) AND least(greatest(q+1, 1), cols-2)) GROUP BY point)
-SELECT p.point, k.path AS grid, round(undulation, 9)+0.0 AS undulation, round(0.5*(by_row*t*(1-t)+by_column*u*(1-u)), 9)+0.0 AS interpolation_sigma FROM (SELECT point FROM {{points}}) p LEFT JOIN k ON k.point = p.point LEFT JOIN b ON b.point = p.point LEFT JOIN e ON e.point = p.point""")
+SELECT p.point, k.path AS grid, round(undulation, 11)+0.0 AS undulation, round(0.5*(by_row*t*(1-t)+by_column*u*(1-u)), 11)+0.0 AS interpolation_sigma FROM (SELECT point FROM {{points}}) p LEFT JOIN k ON k.point = p.point LEFT JOIN b ON b.point = p.point LEFT JOIN e ON e.point = p.point""")
 def geoid_undulations(spark, sf):
     """Undulations with the sigma of their interpolation, over two grids of unlike spacing."""
     found = geoid.undulations(points(spark, sf), _grid_cells(spark, sf))
-    return found.select("point", "grid", r(F.col("undulation"), 9).alias("undulation"), r(F.col("interpolation_sigma"), 9).alias("interpolation_sigma"))
+    return found.select("point", "grid", r(F.col("undulation"), 11).alias("undulation"), r(F.col("interpolation_sigma"), 11).alias("interpolation_sigma"))
 
 
 _LEVELLED = "(a + b) % 3 = 0"
 _WITH_GEOID = f"""
 SELECT a || '-' || b AS obs, CASE WHEN {_LEVELLED} THEN CAST(a AS VARCHAR) ELSE 'ellipsoidal:' || a END AS a, CASE WHEN {_LEVELLED} THEN CAST(b AS VARCHAR) ELSE 'ellipsoidal:' || b END AS b, difference AS l, n/1e6 AS w FROM {{edges}}
-UNION ALL SELECT 'ellipsoidal:' || s, CAST(s AS VARCHAR), 'ellipsoidal:' || s, 40 + s/10.0, 1/0.09 FROM (SELECT DISTINCT unnest([a, b]) AS s FROM {{edges}} WHERE NOT ({_LEVELLED}))"""
+UNION ALL SELECT 'ellipsoidal:' || s, CAST(s AS VARCHAR), 'ellipsoidal:' || s, 40 + s/10.0, 1/2500.0 FROM (SELECT DISTINCT unnest([a, b]) AS s FROM {{edges}} WHERE NOT ({_LEVELLED}))"""
 
 
 @query("geoid_residuals", solved_sql(_WITH_GEOID, "0", "SELECT v.a AS station, round(l,6)+0.0 AS model, round(l+v,5)+0.0 AS adjusted, round(v,5)+0.0 AS residual, round(1-w*spread,6)+0.0 AS redundancy, round(CASE WHEN 1-w*spread > 1e-6 THEN v/sqrt((1-w*spread)/w) END,4)+0.0 AS standardised FROM v WHERE obs LIKE 'ellipsoidal:%'"))
@@ -502,7 +502,7 @@ def geoid_residuals(spark, sf):
     stations, observations = _height_network(spark, sf)
     a, b = (F.split("obs", "-")[k].cast("int") for k in (0, 1))
     kinds = observations.withColumn("height_type", F.when((a + b) % 3 == 0, "orthometric").otherwise("ellipsoidal"))
-    models = stations.select("network_id", "station", (40 + F.col("station").cast("int") / 10.0).alias("undulation"), F.lit(0.09).alias("undulation_variance"))
+    models = stations.select("network_id", "station", (40 + F.col("station").cast("int") / 10.0).alias("undulation"), F.lit(2500.0).alias("undulation_variance"))
     whole, rows = geoid.with_undulations(stations, kinds, models)
     out = geoid.geoid_residuals(adjustment.adjust(whole, rows, "height_1d")["residuals"], rows)
     return out.select("station", r(F.col("model")).alias("model"), *(r(F.col(c), 5).alias(c) for c in ("adjusted", "residual")), r(F.col("redundancy")).alias("redundancy"), r(F.col("standardised"), 4).alias("standardised"))

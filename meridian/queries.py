@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridian.plans import checks, estimation, networks, scalars, surveys
+from meridian.plans import campaigns, checks, estimation, networks, scalars, surveys
 from meridian.plans.registry import QUERIES, SQL
 
-__all__ = ["checks", "entry", "estimation", "networks", "oracle_sql", "queries", "scalars", "surveys"]
+__all__ = ["campaigns", "checks", "entry", "estimation", "networks", "oracle_sql", "queries", "scalars", "surveys"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
