@@ -145,6 +145,28 @@ r AS (SELECT doc_id AS v, doc_id AS least FROM documents UNION SELECT e.v, r.lea
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.component_id FROM (SELECT DISTINCT doc_id FROM documents) q JOIN d ON d.doc_id = q.doc_id LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(least) AS component_id FROM r GROUP BY v) m ON m.v = d.doc_id"""
 
 
+_SPACE = r"[\x20\x09-\x0D]"
+_OP11 = rf"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_transform(generate_series(1, len(k)), lambda i: CAST(unicode(k[i]) AS BIGINT)), lambda c, b: list_reduce(generate_series(1, 8), lambda x, n: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295) % 20 AS fate FROM r),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM f WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || text)) AS i FROM d),
+g AS (SELECT *, left(role, 1) AS q, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '(?s)([^\x20\x09-\x0D]){_SPACE}*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+ins(s, t, c, a, x) AS (VALUES ('-','-',0,'',''),('-','u',2,'I','user:'||chr(10)),('-','a',4,'II','user:'||chr(10)||'assistant:'||chr(10)),('s','s',0,'',''),('s','u',2,'I','user:'||chr(10)),('s','a',4,'II','user:'||chr(10)||'assistant:'||chr(10)),
+  ('u','u',0,'',''),('u','a',2,'I','assistant:'||chr(10)),('u','u',4,'II','assistant:'||chr(10)||'user:'||chr(10)),('a','a',0,'',''),('a','u',2,'I','user:'||chr(10)),('a','a',4,'II','user:'||chr(10)||'assistant:'||chr(10))),
+nx(t, v) AS (VALUES ('-','s'),('-','u'),('s','u'),('u','a'),('a','u')),
+act AS (SELECT conv_id, i, t, t AS v, 3 AS c, 'D' AS a, '' AS x FROM g, (SELECT unnest(['-', 's', 'u', 'a']) AS t)
+  UNION ALL SELECT conv_id, i, t, v, CAST(fault = 'truncated' AS INTEGER), 'K', role || ':' || text || chr(10) FROM g JOIN nx ON q = v WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, i, t, v, 2 + CAST(fault = 'truncated' AS INTEGER), 'R', CASE v WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text || chr(10) FROM g, nx WHERE v <> 's' AND fault IN ('', 'truncated')),
+b AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '-' AS s, {{'c': CAST(0 AS BIGINT), 'a': '', 'x': ''}} AS m FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, s, m FROM (SELECT b.conv_id, b.i + 1 AS i, act.v AS s, min({{'c': CAST(b.m.c + ins.c + act.c AS BIGINT), 'a': b.m.a || ins.a || act.a, 'x': b.m.x || ins.x || act.x}}) AS m FROM b JOIN ins ON ins.s = b.s JOIN act ON act.conv_id IS NOT DISTINCT FROM b.conv_id AND act.i = b.i + 1 AND act.t = ins.t GROUP BY b.conv_id, b.i, act.v)),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || q NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+e AS (SELECT b.conv_id, min({{'c': b.m.c + ins.c, 'a': b.m.a || ins.a, 'x': b.m.x || ins.x}}) AS m FROM b JOIN ins ON ins.s = b.s LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id WHERE b.i = coalesce(n.n, 0) AND ins.t IN ('-', 'a') GROUP BY b.conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(e.m.c AS BIGINT) AS cost, e.m.a AS audit, sha256(e.m.x[:-2]) AS repaired_sha256 FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the queries whose results SQL can express over whole tables."""
-    return {"op4_topk_search": _OP4, "op7_warc": _OP7, "op8_jaccard_join": _OP8, "op10_decontamination": _OP10}
+    return {"op4_topk_search": _OP4, "op7_warc": _OP7, "op8_jaccard_join": _OP8, "op10_decontamination": _OP10, "op11_conversation_repair": _OP11}
