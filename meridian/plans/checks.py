@@ -128,16 +128,18 @@ def ellipse_rings(spark, sf):
     return flat.select("point", F.col("k").cast("long").alias("k"), r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
 
 
-#: Quantiles as printed in statistical tables.
-PRINTED = {"normal 0.975": 1.959964, "chi2 0.95 10": 18.307038, "t 0.975 5": 2.570582, "f 0.95 3 10": 3.708265, "non-centrality": 4.132148, "chi2 0.05 10": 3.940299, "f 0.95 1 1": 161.447639, "t 0.95 1": 6.313752, "confidence 0.95 2": 2.447747, "confidence 0.95 1": 1.959964}
+_EVEN = "1 - exp(-m/2) * list_sum(list_transform(generate_series(0, dof//2-1), lambda i: exp(i*ln(m/2) - lgamma(i+1.0))))"
 
 
-@query("quantiles", " UNION ALL ".join(f"SELECT '{k}' AS name, CAST({v} AS DOUBLE) AS quantile, CAST(round({p}, 4) AS DOUBLE) AS probability" for (k, v), p in zip(PRINTED.items(), (0.975, 0.95, 0.975, 0.95, 0.0, 0.05, 0.95, 0.95, 0.95, 0.95), strict=True)))
+@query("quantiles", f"""
+WITH RECURSIVE n AS (SELECT DISTINCT CAST(2*p_size AS BIGINT) AS dof FROM part), b AS (SELECT dof, 0.0::DOUBLE AS lo, 400.0::DOUBLE AS hi, 0 AS k FROM n
+UNION ALL SELECT dof, CASE WHEN below THEN m ELSE lo END, CASE WHEN below THEN hi ELSE m END, k+1 FROM (SELECT *, {_EVEN} < 0.95 AS below FROM (SELECT *, (lo+hi)/2 AS m FROM b)) WHERE k < 70)
+SELECT dof, round(lo, 6)+0.0 AS chi2_95, round(lo/dof, 6)+0.0 AS factor FROM b WHERE k = 70""")
 def quantiles(spark, sf):
-    """Quantiles beside printed ones, and the distribution functions at them."""
-    q = [dist.normal_quantile(0.975), dist.chi2_quantile(0.95, 10), dist.t_quantile(0.975, 5), dist.f_quantile(0.95, 3, 10), dist.non_centrality(), dist.chi2_quantile(0.05, 10), dist.f_quantile(0.95, 1, 1), dist.t_quantile(0.95, 1), dist.confidence_scale(0.95, 2), dist.confidence_scale(0.95, 1)]
-    p = [dist.normal_cdf(q[0]), dist.chi2_cdf(q[1], 10), dist.t_cdf(q[2], 5), dist.f_cdf(q[3], 3, 10), 0.0, dist.chi2_cdf(q[5], 10), dist.f_cdf(q[6], 1, 1), dist.t_cdf(q[7], 1), dist.chi2_cdf(q[8] ** 2, 2), dist.chi2_cdf(q[9] ** 2, 1)]
-    return spark.createDataFrame([(n, round(x, 6), round(y, 4)) for n, x, y in zip(PRINTED, q, p, strict=True)], "name string, quantile double, probability double")
+    """Chi-square quantiles of the distinct degrees of freedom that sizes of parts give, and those of the variance factor."""
+    degrees = [row.dof for row in table(spark, sf, "part").select((2 * F.col("p_size")).alias("dof")).distinct().collect()]
+    found = dist.lookup(spark, degrees, quantile=lambda d: dist.chi2_quantile(0.95, d))
+    return found.select(F.col("dof").cast("long").alias("dof"), r(F.col("quantile")).alias("chi2_95"), r(F.col("quantile") / F.col("dof")).alias("factor"))
 
 
 @query("printed_epochs", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS epoch FROM orders")

@@ -85,3 +85,14 @@ def test_tide_has_the_size_of_the_tide(spark):
     hours = spark.range(24 * 15).select((F.timestamp_seconds(F.lit(946684800) + F.col("id") * 3600)).alias("t"))
     r = hours.select((tides.tidal_correction(F.col("t"), F.lit(0.8), F.lit(0.15), F.lit(100.0)) * 1e8).alias("m")).agg(F.min("m"), F.max("m")).first()
     assert -120 < r[0] < -40 and 80 < r[1] < 220
+
+
+def test_printed_quantiles():
+    """Quantiles as statistical tables print them, and the distribution functions at them."""
+    printed = [
+        (distributions.normal_quantile(0.975), 1.959964, distributions.normal_cdf, (), 0.975), (distributions.chi2_quantile(0.95, 10), 18.307038, distributions.chi2_cdf, (10,), 0.95), (distributions.t_quantile(0.975, 5), 2.570582, distributions.t_cdf, (5,), 0.975),
+        (distributions.f_quantile(0.95, 3, 10), 3.708265, distributions.f_cdf, (3, 10), 0.95), (distributions.chi2_quantile(0.05, 10), 3.940299, distributions.chi2_cdf, (10,), 0.05), (distributions.f_quantile(0.95, 1, 1), 161.447639, distributions.f_cdf, (1, 1), 0.95), (distributions.t_quantile(0.95, 1), 6.313752, distributions.t_cdf, (1,), 0.95),
+    ]
+    for got, value, cdf, degrees, p in printed:
+        assert abs(got - value) < 1e-6 and abs(cdf(got, *degrees) - p) < 1e-9
+    assert abs(distributions.non_centrality() - 4.132148) < 1e-6 and abs(distributions.confidence_scale(0.95, 2) - 2.447747) < 1e-6
