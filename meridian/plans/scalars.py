@@ -128,7 +128,7 @@ def utm_zone(spark, sf):
     return points(spark, sf).select("point", geodesy.utm_zone(F.col("longitude")).alias("zone"))
 
 
-@query("atmosphere", f"SELECT point, round((({total_station.group_refractivity(0.85)!r}e0*273.15e0/101325)*(100000+height)/t - 0.1127*0.6*611.2*exp(17.62*(t-273.15)/(243.12+t-273.15))/t),6)+0.0 AS refractivity FROM (SELECT point, height, 283.15+10*latitude AS t FROM {{points}})")
+@query("atmosphere", "SELECT point, round((((287.6155e0+4.8866e0/(0.85e0*0.85e0)+0.068e0/pow(0.85e0, 4))*273.15e0/101325)*(100000+height)/t - 0.1127*0.6*611.2*exp(17.62*(t-273.15)/(243.12+t-273.15))/t),6)+0.0 AS refractivity FROM (SELECT point, height, 283.15+10*latitude AS t FROM {points})")
 def atmosphere(spark, sf):
     n = total_station.refractive_index(283.15 + 10 * F.col("latitude"), 100000 + F.col("height"), F.lit(0.6), 0.85)
     return points(spark, sf).select("point", r((n - 1.0) * 1e6, 6).alias("refractivity"))
