@@ -524,7 +524,7 @@ def variance_components(
             raise ValueError(f"group {names[int(free.argmin())]} has too little redundancy for a factor of its own")
         estimate = np.linalg.solve(normal, [0.5 * right[n] for n in names])
         if not estimate.min() > 0:
-            raise ValueError(f"group {names[int(estimate.argmin())]}: its factor is not positive")
+            raise ValueError(f"group {names[int(estimate.argmin())]}: its factor is zero or negative")
         total = {n: total[n] * float(e) for n, e in zip(names, estimate, strict=True)}
         if np.abs(estimate - 1.0).max() <= tolerance:
             spread = np.sqrt(np.diag(np.linalg.inv(normal)))
