@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meridian.operators import batch, congruency, products
+from meridian.operators import batch, congruency, frames, products
 from meridian.plans.registry import query, r, table
 from meridian.sources import sessions
 
@@ -106,3 +106,33 @@ def status_epochs(spark, sf):
     lines = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.posexplode(F.array(position, satellite)).alias("n", "line"), "event_id")
     status = sessions.read_status(lines.select("path", F.struct(F.col("event_id").alias("start"), F.col("n").cast("long").alias("k")).alias("order"), "line"))
     return status.select("path", F.col("instant").cast("timestamp_ntz").alias("instant"), F.size("sightings").cast("int").alias("sightings"), F.array_join("slips", ",").alias("slips"), F.array_join("rejections", ",").alias("rejections"))
+
+
+#: Three transformations between four frames; D leads to A, so A to D is a way back.
+_HELD = (("A", "B", "ab", 1.5, -2.0, 0.5, 2e-6, 1e-6, -2e-6, 3e-6, 0.01), ("B", "C", "bc", -0.5, 1.0, 2.0, -1e-6, 2e-6, 1e-6, -1e-6, -0.02), ("D", "A", "da", 3.0, 4.0, -5.0, 4e-6, 0.0, 0.0, 0.0, 0.05))
+
+
+def _leg_sql(code: str, of: str) -> str:
+    """Coordinates of `of` after a leg, with its shift moving at a yearly rate; the way back of a leg without rotations."""
+    _, _, _, tx, ty, tz, s, rx, ry, rz, rate = next(h for h in _HELD if h[2] == code.removeprefix("-"))
+    shift = [f"({t} + {rate}*(epoch-2010))" for t in (tx, ty, tz)]
+    if code.startswith("-"):
+        return ", ".join(f"({c}-{t})/(1+{s}) AS {c}" for c, t in zip("xyz", shift, strict=True)) + f" FROM {of}"
+    return f"{shift[0]}+(1+{s})*x-({rz})*y+({ry})*z AS x, {shift[1]}+({rz})*x+(1+{s})*y-({rx})*z AS y, {shift[2]}-({ry})*x+({rx})*y+(1+{s})*z AS z FROM {of}"
+
+
+@query("transformed_positions", f"""
+WITH p AS (SELECT c_custkey AS k, 2000 + c_custkey % 20 AS epoch, substr('ABCDE', CAST(1 + c_custkey % 5 AS INTEGER), 1) AS target, 4e6 + c_acctbal AS x, 1e6 - c_acctbal AS y, 4.8e6 + c_custkey AS z FROM customer),
+b AS (SELECT k, epoch, target, {_leg_sql("ab", "p")}), c AS (SELECT k, epoch, target, {_leg_sql("bc", "b")}), d AS (SELECT k, epoch, target, {_leg_sql("-da", "p")}),
+o AS (SELECT k, x, y, z, '' AS codes FROM p WHERE target = 'A' UNION ALL SELECT k, x, y, z, 'ab' FROM b WHERE target = 'B' UNION ALL SELECT k, x, y, z, 'ab,bc' FROM c WHERE target = 'C' UNION ALL SELECT k, x, y, z, '-da' FROM d WHERE target = 'D')
+SELECT p.k AS point, round(o.x, 5)+0.0 AS x, round(o.y, 5)+0.0 AS y, round(o.z, 5)+0.0 AS z, coalesce(codes, '') AS codes FROM p LEFT JOIN o ON o.k = p.k""")
+def transformed_positions(spark, sf):
+    """Positions in frame A brought to the frames that are held, over one leg, two, or one backwards; E can't be reached."""
+    rows = [(a, b, code, 2010.0, *p[:7], rate, 0.01) for a, b, code, *p, rate in _HELD]
+    held = spark.createDataFrame(rows, "source string, target string, code string, epoch double, tx double, ty double, tz double, scale double, rx double, ry double, rz double, d_t double, accuracy double")
+    held = held.withColumns({f"d_{p}": F.col("d_t") if p in ("tx", "ty", "tz") else F.lit(0.0) for p in frames.PARAMETERS})
+    k, a = F.col("c_custkey"), F.col("c_acctbal").cast("double")
+    target = F.substring(F.lit("ABCDE"), (1 + k % 5).cast("int"), F.lit(1))
+    points = table(spark, sf, "customer").select(k.alias("point"), F.lit("A").alias("source"), target.alias("target"), (2000 + k % 20).cast("double").alias("epoch"), (4e6 + a).alias("x"), (1e6 - a).alias("y"), (4.8e6 + k).alias("z"))
+    out = frames.transformed(points, held)
+    return out.select("point", *(r(F.col(c), 5).alias(c) for c in "xyz"), F.array_join("codes", ",").alias("codes"))
