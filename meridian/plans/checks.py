@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meridian.functions import angles, distributions as dist, geodesy, records, uncertainty, units
@@ -128,18 +127,64 @@ def ellipse_rings(spark, sf):
     return flat.select("point", F.col("k").cast("long").alias("k"), r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
 
 
-_EVEN = "1 - exp(-m/2) * list_sum(list_transform(generate_series(0, dof//2-1), lambda i: exp(i*ln(m/2) - lgamma(i+1.0))))"
+# Of what is bisected, m: chi-square's distribution function as a sum of positive terms, and F's, from the nearer end.
+_CHI2 = "list_sum(list_transform(generate_series(0, CAST(m/2 + 10*sqrt(m/2) + 60 AS BIGINT)), lambda i: exp((n/2+i)*ln(m/2) - m/2 - lgamma(n/2+i+1.0))))"
+_BETA = "list_sum(list_transform(generate_series(0, CAST({b} + 10*sqrt({b}) + 80 AS BIGINT)), lambda i: exp(lgamma({a}+{b}+i) - lgamma({a}+i+1.0) - lgamma({b}) + ({a}+i)*ln({x}) + {b}*ln({y}))))"
+_F = f"CASE WHEN d*m <= n THEN {_BETA.format(a='(d/2)', b='(n/2)', x='(d*m/(d*m+n))', y='(n/(d*m+n))')} ELSE 1 - {_BETA.format(a='(n/2)', b='(d/2)', x='(n/(d*m+n))', y='(d*m/(d*m+n))')} END"
+
+#: Quantiles for each degrees of freedom, and those that need none: kind, dimension or first degrees, probability.
+BY_DEGREES = [("chi2", 0, 0.95), ("chi2", 0, 0.05), ("t", 1, 0.975), ("t", 1, 0.95), ("f", 3, 0.95), ("f", 1, 0.95), ("f", 2, 0.95), ("confidence", 2, 0.95), ("confidence", 1, 0.95)]
+FIXED = [("normal", 1, 0.975), ("confidence", 2, 0.95), ("confidence", 1, 0.95)]
 
 
 @query("quantiles", f"""
-WITH RECURSIVE n AS (SELECT DISTINCT CAST(2*p_size AS BIGINT) AS dof FROM part), b AS (SELECT dof, 0.0::DOUBLE AS lo, 400.0::DOUBLE AS hi, 0 AS k FROM n
-UNION ALL SELECT dof, CASE WHEN below THEN m ELSE lo END, CASE WHEN below THEN hi ELSE m END, k+1 FROM (SELECT *, {_EVEN} < 0.95 AS below FROM (SELECT *, (lo+hi)/2 AS m FROM b)) WHERE k < 70)
-SELECT dof, round(lo, 6)+0.0 AS chi2_95, round(lo/dof, 6)+0.0 AS factor FROM b WHERE k = 70""")
+WITH RECURSIVE sizes AS (SELECT DISTINCT CAST(unnest([p_size, 2*p_size]) AS BIGINT) AS dof FROM part WHERE p_size > 0),
+kinds(kind, d, p, level) AS (VALUES ('chi2',0,0.95::DOUBLE,0.95::DOUBLE),('chi2',0,0.05,0.05),('t',1,0.975,0.95),('t',1,0.95,0.9),('f',3,0.95,0.95),('f',1,0.95,0.95),('f',2,0.95,0.95),('confidence',2,0.95,0.95),('confidence',1,0.95,0.95)),
+b AS (SELECT kind || ' ' || p || CASE WHEN d > 0 AND kind <> 't' THEN ' ' || d ELSE '' END || ' ' || dof AS name, kind, d, dof, dof AS n, level, 0.0::DOUBLE AS lo, 1000.0 + CASE WHEN d = 0 THEN 2*dof ELSE 0 END::DOUBLE AS hi, 0 AS k FROM sizes, kinds
+UNION ALL SELECT name, kind, 0, NULL, n, level, 0.0, 1000.0, 0 FROM (VALUES ('normal 0.975','normal',1,0.95::DOUBLE),('confidence 0.95 2','confidence',2,0.95),('confidence 0.95 1','confidence',1,0.95),('alpha','normal',1,0.999),('beta','normal',1,0.6)) v(name, kind, n, level)),
+s AS (SELECT * FROM b
+UNION ALL SELECT name, kind, d, dof, n, level, CASE WHEN below THEN m ELSE lo END, CASE WHEN below THEN hi ELSE m END, k+1 FROM (SELECT *, CASE WHEN d = 0 THEN {_CHI2} ELSE {_F} END < level AS below FROM (SELECT *, (lo+hi)/2 AS m FROM s WHERE k < 80))),
+e AS (SELECT *, CASE WHEN d = 0 THEN {_CHI2} ELSE {_F} END AS reached FROM (SELECT *, (lo+hi)/2 AS m FROM s WHERE k = 80)),
+q AS (SELECT name, dof, CASE kind WHEN 'chi2' THEN m WHEN 'f' THEN m WHEN 'confidence' THEN sqrt(greatest(d, 1)*m) ELSE sqrt(m) END AS quantile, CASE WHEN kind IN ('t', 'normal') THEN (1+reached)/2 ELSE reached END AS probability FROM e),
+c AS (SELECT n AS dof, m FROM e WHERE kind = 'chi2' AND level = 0.95)
+SELECT name, round(quantile, 6)+0.0 AS quantile, round(probability, 4)+0.0 AS probability, q.dof, round(m, 6)+0.0 AS chi2_95, round(m/q.dof, 6)+0.0 AS factor FROM q LEFT JOIN c ON q.dof = c.dof WHERE name NOT IN ('alpha', 'beta')
+UNION ALL SELECT 'non-centrality', round(sum(quantile), 6)+0.0, 0.0, NULL, NULL, NULL FROM q WHERE name IN ('alpha', 'beta')""")
 def quantiles(spark, sf):
-    """Chi-square quantiles of the distinct degrees of freedom that sizes of parts give, and those of the variance factor."""
-    degrees = [row.dof for row in table(spark, sf, "part").select((2 * F.col("p_size")).alias("dof")).distinct().collect()]
-    found = dist.lookup(spark, degrees, quantile=lambda d: dist.chi2_quantile(0.95, d))
-    return found.select(F.col("dof").cast("long").alias("dof"), r(F.col("quantile")).alias("chi2_95"), r(F.col("quantile") / F.col("dof")).alias("factor"))
+    """Quantiles and the distribution functions at them, for the distinct degrees of freedom that sizes of parts give; chi-square's beside all."""
+
+    def row(kind, d, p, n=None):
+        last = "" if n is None else f" {n}"
+        if kind == "chi2":
+            q = dist.chi2_quantile(p, n)
+            return f"chi2 {p}{last}", q, dist.chi2_cdf(q, n)
+        if kind == "t":
+            q = dist.t_quantile(p, n)
+            return f"t {p}{last}", q, dist.t_cdf(q, n)
+        if kind == "f":
+            q = dist.f_quantile(p, d, n)
+            return f"f {p} {d}{last}", q, dist.f_cdf(q, d, n)
+        if kind == "normal":
+            q = dist.normal_quantile(p)
+            return f"normal {p}", q, dist.normal_cdf(q)
+        q = dist.confidence_scale(p, d, n)
+        return f"confidence {p} {d}{last}", q, dist.chi2_cdf(q * q, d) if n is None else dist.f_cdf(q * q / d, d, n)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for n in batch.column(0).to_pylist():
+                chi2 = dist.chi2_quantile(0.95, n)
+                out += [(*row(*kind, n), n, chi2, chi2 / n) for kind in BY_DEGREES]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=arrow)
+
+    names = ["name", "quantile", "probability", "dof", "chi2_95", "factor"]
+    arrow = pa.schema([("name", pa.string()), *((x, pa.int64() if x == "dof" else pa.float64()) for x in names[1:])])
+    schema = "name string, quantile double, probability double, dof long, chi2_95 double, factor double"
+    size = F.col("p_size").cast("long")
+    sizes = table(spark, sf, "part").where("p_size > 0").select(F.explode(F.array(size, 2 * size)).alias("dof")).distinct()
+    fixed = [*(row(*kind) for kind in FIXED), ("non-centrality", dist.non_centrality(), 0.0)]
+    found = sizes.mapInArrow(run, schema).unionByName(spark.createDataFrame([(*x, None, None, None) for x in fixed], schema))
+    return found.select("name", r(F.col("quantile")).alias("quantile"), r(F.col("probability"), 4).alias("probability"), "dof", r(F.col("chi2_95")).alias("chi2_95"), r(F.col("factor")).alias("factor"))
 
 
 @query("printed_epochs", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS epoch FROM orders")
