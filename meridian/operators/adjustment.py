@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from meridian.functions import distributions as dist
 from meridian.functions import geodesy
 from meridian.functions.angles import circular_mean, wrap_to_2pi, wrap_to_pi
+from meridian.operators.gauss_newton import ANGULAR as ANGLES
 from meridian.operators.gauss_newton import CONVERGENCE, EXTRA_NAMES, EXTRAS, ITERATIONS, STATIONS_OF, Networks, solve
 from meridian.sources.shared import discard, stored
 
@@ -38,8 +39,10 @@ DISTRIBUTED_TYPES = ("HEIGHT_DIFFERENCE", "HEIGHT", "HORIZONTAL_DISTANCE", "SLOP
 ANGULAR = ("DIRECTION", "HORIZONTAL_ANGLE", "AZIMUTH", "ZENITH_ANGLE")
 #: Groups of observations that variance_components() tells apart at most.
 GROUPS = 64
-#: Rows of observations that a group of whole networks has, about.
+#: Rows of observations that a group of whole networks has, about. Of a network with more, repeated observations are merged first.
 GROUP_ROWS = 100_000
+#: Merged observations up to which they are broadcast to the rows that they stand for.
+BROADCAST_ROWS = 100_000
 
 
 def _partial(station: str, component: str, value: Column) -> Column:
@@ -307,7 +310,7 @@ def _task(t: pa.Table, frame: str, defect: tuple[str, ...], degree: int, once: b
     null = lambda x: np.where(ok, x, np.nan)
     m = len(kind)
     vpv = np.where(good, np.bincount(row_net, np.nan_to_num(out["residual"] * out["weighted"]), nets), np.nan)
-    tables.append(rows_of(1, net_text[row_net], col(ob, "fullname"), blank(m), null(out["residual"]), 1.0 / variance, null(out["redundancy"]), null(out["weighted"]), null(out["influence"]), blank(m), blank(m)))
+    tables.append(rows_of(1, net_text[row_net], col(ob, "fullname"), col(ob, "part") if "part" in ob.column_names else blank(m), null(out["residual"]), 1.0 / variance, null(out["redundancy"]), null(out["weighted"]), null(out["influence"]), blank(m), blank(m)))
     qn, qi, qj, q = out["q"]
     keep = good[qn] if len(qn) else np.zeros(0, bool)
     qn, qi, qj, q = qn[keep], qi[keep], qj[keep], q[keep]
@@ -329,6 +332,53 @@ def _refuse_other(observations: DataFrame, kinds: tuple[str, ...], frame: str) -
         raise ValueError(f"no observation equation for {unlike[0].type} in {frame}")
 
 
+#: What observations of one quantity have in common.
+_SAME = ("network_id", "type", "a", "b", "offset")
+
+
+def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Observations of _IN rows that differ from others in value and variance only, with the offset that their equation reads; and all other
+    rows. Angles are others, as their misclosures are wrapped one by one, and differences with a drift, as their times differ."""
+    own = (F.col("what") == 1) & ~F.col("type").isin(*ANGLES) & ~((F.col("type") == "GRAVITY_DIFFERENCE") & F.col("name").isNotNull())
+    offset = F.when(F.col("type") == "SLOPE_DISTANCE", F.nanvl(F.coalesce("z", F.lit(0.0)), F.lit(0.0)))
+    return rows.where(own).withColumn("offset", offset), rows.where(~own)
+
+
+def _means(repeated: DataFrame) -> DataFrame:
+    """One observation for all of a quantity, numbered (part): their weighted mean v with the sum of their weights gives the same normal equations."""
+    c = F.col
+    value = F.coalesce("v", F.lit(math.nan))
+    sums = repeated.groupBy(*_SAME).agg(F.sum(1.0 / c("w")).alias("weight"), F.sum(value / c("w")).alias("sum"), F.avg(value).alias("plain"))
+    weighted = c("weight") > 0  # infinite variances have no weight
+    return sums.select(F.monotonically_increasing_id().cast("string").alias("part"), *_SAME, "weight", F.when(weighted, c("sum") / c("weight")).otherwise(c("plain")).alias("v"), F.when(weighted, 1.0 / c("weight")).otherwise(math.inf).alias("w"))
+
+
+def _residuals(out: DataFrame, kind: str = "what = 1") -> DataFrame:
+    return out.where(kind).select("network_id", F.col("a").alias("obs"), F.col("v").alias("residual"), F.col("w").alias("weight"), F.col("x").alias("redundancy"), F.col("y").alias("weighted"), F.col("z").alias("influence"))
+
+
+def _spread_out(out: DataFrame, means: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Residuals of all observations, out of those of their means: rows of one quantity share its adjusted value and the spread of that."""
+    c = F.col
+    of = means.select("part", *(c(n).alias(f"_{n}") for n in _SAME), c("weight").alias("_weight"), c("v").alias("_v"))
+    of = of.join(out.where("what = 1 and b is not null").select(c("b").alias("part"), c("v").alias("_residual"), c("x").alias("_redundancy"), c("z").alias("_influence")), "part")
+    if means.count() <= BROADCAST_ROWS:
+        of = F.broadcast(of)
+    met = repeated.join(of, reduce(lambda x, y: x & y, (c(n).eqNullSafe(c(f"_{n}")) for n in _SAME)))
+    weight, residual = 1.0 / c("w"), c("_residual") + (c("_v") - c("v"))
+    share = F.when(c("_weight") > 0, weight / c("_weight")).otherwise(1.0)
+    merged = met.select("network_id", c("fullname").alias("obs"), residual.alias("residual"), weight.alias("weight"), (1.0 - share * (1.0 - c("_redundancy"))).alias("redundancy"), (weight * residual).alias("weighted"), (share * c("_influence")).alias("influence"))
+    return merged.unionByName(_residuals(out, "what = 1 and b is null"))
+
+
+def _of_all(statistics: DataFrame, residuals: DataFrame) -> DataFrame:
+    """Statistics with the number of all rows and v'Pv over them, where they were those of the rows' means."""
+    sums = stored(residuals.groupBy(F.col("network_id").alias("_network")).agg(F.count("*").alias("_rows"), F.sum(F.col("residual") * F.col("weighted")).alias("_vpv")))
+    joined = statistics.join(sums, F.col("network_id").eqNullSafe(F.col("_network")), "left")
+    every = {"rows": F.coalesce("_rows", F.lit(0)).cast("long"), "vpv": F.when(F.col("vpv").isNotNull(), F.coalesce("_vpv", F.lit(0.0)))}
+    return joined.select(*(every.get(n, F.col(n)).alias(n) for n in statistics.columns))
+
+
 def _estimated(
     stations: DataFrame, observations: DataFrame, frame: str, defect: tuple[str, ...], covariances: DataFrame | None, degree: int, once: bool,
     influence: bool = False, part: str | None = None, parts: tuple[str, ...] = (),
@@ -361,16 +411,27 @@ def _estimated(
         raise ValueError("every observation needs a variance over 0")
     # whole networks are dealt to groups of about GROUP_ROWS rows
     groups = max(int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.n // GROUP_ROWS)
-    grouped = rows.withColumn("deal", F.pmod(F.xxhash64("network_id"), F.lit(groups))).groupBy("deal")
+    repeated = means = None
+    if found.n > GROUP_ROWS and covariances is None and part is None and rows.where(observed).groupBy("network_id").count().agg(F.max("count")).first()[0] > GROUP_ROWS:
+        repeated, others = _repeated(rows)
+        means = stored(_means(repeated))
+        dealt = others.unionByName(means.select(*row(1, z=c("offset"), **{n: c(n) for n in ("network_id", "type", "a", "b", "v", "w", "part")})))
+    else:
+        dealt = rows
+    grouped = dealt.withColumn("deal", F.pmod(F.xxhash64("network_id"), F.lit(groups))).groupBy("deal")
     out = stored(grouped.applyInArrow(lambda t: _task(t, frame, defect, degree, once, influence, parts), _OUT))
-    discard(rows)
     statistics = out.where("what = 3").select("network_id", F.col("w").cast("long").alias("rows"), F.col("v").alias("vpv"), F.col("x").cast("long").alias("unknowns"), F.col("y").cast("int").alias("rank_defect"), F.col("z").cast("int").alias("iterations"), "status")
+    if means is None:
+        discard(rows)
+        residuals = _residuals(out)
+    else:
+        residuals = _spread_out(out, means, repeated)
+        statistics = _of_all(statistics, residuals)
     statistics = statistics.withColumn("converged", F.col("status") == "converged").withColumn("dof", F.col("rows") - F.col("unknowns") + len(defect))
     statistics = statistics.withColumn("variance_factor", F.when(F.col("dof") > 0, F.col("vpv") / F.col("dof")))
-    norm = [F.col("z").alias("influence")] if influence else []
     return {
         "stations": out.where("what = 0").select("network_id", F.col("a").alias("station"), "x", "y", "z", "fixed"),
-        "residuals": out.where("what = 1").select("network_id", F.col("a").alias("obs"), F.col("v").alias("residual"), F.col("w").alias("weight"), F.col("x").alias("redundancy"), F.col("y").alias("weighted"), *norm),
+        "residuals": residuals if influence else residuals.drop("influence"),
         "cofactors": out.where("what = 2").select("network_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("v").alias("q")),
         "statistics": statistics,
         "traces": out.where("what = 4").select(F.col("a").alias("k"), F.col("b").alias("j"), F.col("v").alias("both"), F.col("w").alias("once"), F.col("x").alias("rows")),
