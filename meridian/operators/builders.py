@@ -135,10 +135,10 @@ def distances_to_grid(observations: DataFrame, stations: DataFrame, scale, undul
 
 def level_network(lines: DataFrame, benchmarks: DataFrame, network_id: str = "levelling") -> tuple[DataFrame, DataFrame]:
     """(stations, observations) of reduced lines between their ends; benchmarks (station, height, variance) are held where they have no
-    variance, and observed where they have one."""
+    variance, and observed where they have one. The lines are evaluated once."""
     net = F.lit(network_id)
     rows = lines.where(F.col("from") != F.col("to")).select(*_observation(network_id=net, obs=F.concat_ws(":", F.lit("line"), F.col("line").cast("string")), type=F.lit("HEIGHT_DIFFERENCE"), at=F.col("from"), to=F.col("to"), value=F.col("height_difference"), variance=F.col("variance")))
-    return _with_benchmarks(rows, benchmarks, network_id)
+    return _with_benchmarks(stored(rows), benchmarks, network_id)
 
 
 def _with_benchmarks(rows: DataFrame, benchmarks: DataFrame, network_id: str) -> tuple[DataFrame, DataFrame]:
