@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.operators.network import connected_components
 
+#: Numbers in a stack of matrices.
+STACK_NUMBERS = 1 << 18
+
 
 def sub_block(matrix: DataFrame, labels: list[str]) -> DataFrame:
     return matrix.where(F.col("i").isin(labels) & F.col("j").isin(labels))
@@ -42,22 +49,88 @@ def _square(rows: pd.DataFrame) -> tuple[list, np.ndarray]:
     return names, m
 
 
-def inverse(matrix: DataFrame, by: list[str]) -> DataFrame:
-    """Inverses of the matrices, each small enough for a task."""
-    own = [f for f in matrix.schema if f.name in (*by, "i", "j")]
-    columns, names = [f.name for f in own], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
+def beginnings(t: pa.Table, by: list[str]) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before; nulls are equal."""
+    new = np.zeros(t.num_rows, bool)
+    for b in by:
+        code = pc.dictionary_encode(t[b].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
+
+def whole_groups(rows: DataFrame, by: list[str], of: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `of` gives of tables of whole groups, many at once. Rows are dealt and sorted by the keys and pass through a task in batches, so that
+    it holds one batch and the group in which that ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            new = np.flatnonzero(beginnings(pa.Table.from_batches([*before, batch]), by)[len(before) :])
+            if len(new):
+                last = int(new[-1])
+                whole = pa.Table.from_batches([*held, batch.slice(0, last)])
+                held = []
+                if whole.num_rows:
+                    yield from of(whole)
+                batch = batch.slice(last)
+            held.append(batch)
+        if held:
+            yield from of(pa.Table.from_batches(held))
+
+    dealt = rows.repartition(*by).sortWithinPartitions(*by) if by else rows.repartition(1)
+    return dealt.mapInArrow(run, schema)
+
+
+def _inverses(matrix: DataFrame, by: list[str], diagonal: bool) -> DataFrame:
+    own = [f for f in matrix.schema if f.name in (*by, "i", "j")[: len(by) + 2 - diagonal]]
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
+
+    def inverted(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        i, j = t["i"].combine_chunks(), t["j"].combine_chunks()
+        ends = pa.concat_arrays([i, j.cast(i.type)])
+        if ends.null_count:
+            raise ValueError("an entry has no row or no column")
+        new = beginnings(t, by)
+        group, first_row = np.cumsum(new), np.concatenate(([0], np.flatnonzero(new)))
+        # the places of each matrix's labels, in their order
+        labels = pc.unique(ends).sort()
+        code = pc.index_in(ends, value_set=labels).to_numpy()
+        known, of = np.unique(np.tile(group, 2) * len(labels) + code, return_inverse=True)
+        first = np.searchsorted(known, np.arange(len(first_row) + 1) * len(labels))
+        size = np.diff(first)
+        p, q = (of - first[np.tile(group, 2)]).reshape(2, -1)
+        v = t["v"].combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        for n in np.unique(size).tolist():
+            alike = np.flatnonzero(size == n)
+            for some in np.array_split(alike, max(1, len(alike) * n * n // STACK_NUMBERS)):
+                slot = np.full(len(size), -1)
+                slot[some] = np.arange(len(some))
+                use = slot[group] >= 0
+                m = np.zeros((len(some), n, n))
+                m[slot[group[use]], p[use], q[use]] = v[use]
+                m = np.linalg.inv(m)
+                name = known[first[some][:, None] + np.arange(n)] % len(labels)
+                name_i, name_j = (name, name) if diagonal else (np.repeat(name, n), np.tile(name, (1, n)))
+                value = np.einsum("kii->ki", m) if diagonal else m
+                of_rows = pa.array(np.repeat(first_row[some], value.size // len(some)))
+                ready = {"i": labels.take(pa.array(name_i.ravel())), "j": labels.take(pa.array(name_j.ravel())).cast(j.type)}
+                columns = [ready[f.name] if f.name in ready else t[f.name].combine_chunks().take(of_rows) for f in own]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(value.ravel(), from_pandas=True)], names=[*(f.name for f in own), "v"])
+
+    return whole_groups(matrix.select(*by, "i", "j", "v"), by, inverted, f"{names}, v double")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        labels, m = _square(rows)
-        q = np.linalg.inv(m)
-        i, j = np.divmod(np.arange(q.size), len(labels))
-        out = {b: rows[b].iloc[0] for b in by} | {"i": [labels[k] for k in i], "j": [labels[k] for k in j], "v": q.ravel()}
-        return pd.DataFrame(out)[[*columns, "v"]]
 
-    return matrix.groupBy(*by).applyInPandas(one, f"{names}, v double")
+def inverse(matrix: DataFrame, by: list[str]) -> DataFrame:
+    """Inverses of the matrices, each small enough for a task; those of a batch are inverted in stacks of one size."""
+    return _inverses(matrix, by, False)
 
 
 def inverse_diagonal(matrix: DataFrame, by: list[str]) -> DataFrame:
+    """(keys.., i, v): the diagonals of the inverses."""
     return inverse(matrix, by).where("i = j").drop("j")
 
 
