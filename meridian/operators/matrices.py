@@ -131,7 +131,7 @@ def inverse(matrix: DataFrame, by: list[str]) -> DataFrame:
 
 def inverse_diagonal(matrix: DataFrame, by: list[str]) -> DataFrame:
     """(keys.., i, v): the diagonals of the inverses."""
-    return inverse(matrix, by).where("i = j").drop("j")
+    return _inverses(matrix, by, True)
 
 
 def weight_entries(observations: DataFrame, covariances: DataFrame) -> DataFrame:
