@@ -4,14 +4,18 @@ differences: keys.., i (station:x), v; cofactors: keys.., i, j, v, of the differ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import distributions as dist
+from meridian.operators.matrices import STACK_NUMBERS, beginnings, whole_groups
 
 
 def datum_basis(names: list[str], position: dict[str, tuple[float, float, float]], defect: tuple[str, ...]) -> np.ndarray:
@@ -99,25 +103,130 @@ def _each(rows: DataFrame, by: list[str], kinds: dict[str, str], one, out: str)
     return rows.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(parts))).groupBy("deal").applyInPandas(many, ", ".join(f"{b} {kinds[b]}" for b in by) + ", " + out)
 
 
+class _Stacks:
+    """The campaigns of a table of whole ones, as a _Campaign has one: differences of all of them in the order of their names."""
+
+    def __init__(self, t: pa.Table, by: list[str], defect: tuple[str, ...]):
+        t = t.combine_chunks()
+        new = beginnings(t, by)
+        self.first_row = np.concatenate(([0], np.flatnonzero(new)))
+        group, what = np.cumsum(new), t["what"].to_numpy()
+        number = lambda name: t[name].combine_chunks().to_numpy(zero_copy_only=False)
+        own, entry, place, head = (np.flatnonzero(what == k) for k in range(4))
+        text = lambda name, rows: t[name].combine_chunks().take(pa.array(rows))
+        if text("i", own).null_count:
+            raise ValueError("a difference has no name")
+        self.labels = pc.unique(text("i", own)).sort()
+        many = max(len(self.labels), 1)
+        key = group[own] * many + self._codes(self.labels, text("i", own))
+        order = np.argsort(key, kind="stable")
+        self.key, own = key[order], own[order]
+        if (self.key[1:] == self.key[:-1]).any():
+            raise ValueError("a station comes twice in an epoch")
+        self.group, self.code, self.v = group[own], self.key % many, number("v")[own]
+        self.first = np.searchsorted(self.group, np.arange(len(self.first_row) + 1))
+        self.size = np.diff(self.first)
+        # cofactors, by the places of their differences; others are of no difference
+        ends = [self._codes(self.labels, text(c, entry)) for c in "ij"]
+        at = [np.searchsorted(self.key, group[entry] * many + c) for c in ends]
+        found = np.logical_and(*((c >= 0) & (np.append(self.key, -1)[x] == group[entry] * many + c) for x, c in zip(at, ends, strict=True)))
+        self.entry_group, self.q = group[entry][found], number("v")[entry][found]
+        self.p, self.k = (x[found] - self.first[self.entry_group] for x in at)
+        # the last position that a station has
+        part = [n.rpartition(":") for n in self.labels.to_pylist()]
+        axis = np.array(["xyz".index(c) for _, _, c in part], np.int64)[self.code]
+        named = pa.array([s for s, _, _ in part], self.labels.type)
+        stations = pc.unique(pa.concat_arrays([named, text("i", place)]))
+        every = len(stations) + 1
+        station = self._codes(stations, named)[self.code]
+        seat = self._codes(stations, text("i", place))
+        seat = group[place] * every + np.where(seat < 0, every - 1, seat)
+        whose = self.group * every + station
+        self.chosen = np.isin(whose, seat[text("reference", place).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)])
+        self.basis = np.zeros((len(self.v), len(defect)))
+        if defect:
+            seats, last = np.unique(seat[::-1], return_index=True)
+            xyz = np.stack([number(c)[place].astype(float) for c in "xyz"], 1)[::-1][last]
+            xyz[np.isnan(xyz)] = 0.0
+            of = seats // every
+            count = np.maximum(np.bincount(of, minlength=len(self.size)), 1)
+            centre = np.stack([np.bincount(of, xyz[:, c], len(self.size)) / count for c in range(3)], 1)
+            seen = np.searchsorted(seats, whose)
+            known = np.append(seats, -1)[seen] == whose
+            rel = np.where(known[:, None], np.concatenate((xyz, np.zeros((1, 3))))[np.where(known, seen, len(xyz))], 0.0) - centre[self.group]
+            for column, d in enumerate(defect):
+                if d == "rotation":
+                    self.basis[:, column] = np.select([axis == 0, axis == 1], [-rel[:, 1], rel[:, 0]], 0.0)
+                elif d == "scale":
+                    self.basis[:, column] = rel[np.arange(len(rel)), axis]
+                else:
+                    self.basis[:, column] = axis == "xyz".index(d)
+        heads, row = np.unique(group[head], return_index=True)
+        dof = number("x")[head][row].astype(float)
+        if len(heads) < len(self.size) or np.isnan(dof).any():
+            raise ValueError("a campaign has no pooled factor and degrees of freedom")
+        self.pooled, self.dof = number("v")[head][row].astype(float), dof.astype(np.int64)
+
+    @staticmethod
+    def _codes(values: pa.Array, of: pa.Array) -> np.ndarray:
+        """The place of each text among the values; -1 for nulls and others."""
+        return pc.fill_null(pc.index_in(of, value_set=values, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def alike(self) -> Iterator[tuple[np.ndarray, int]]:
+        """Campaigns with as many differences and as many reference components, and the number of these."""
+        reference = np.bincount(self.group, self.chosen, len(self.size)).astype(np.int64)
+        for n, m in np.unique(np.stack((self.size, reference), 1)[self.size > 0], axis=0).tolist():
+            own = np.flatnonzero((self.size == n) & (reference == m))
+            for some in np.array_split(own, max(1, len(own) * n * n // STACK_NUMBERS)):
+                yield some, m
+
+
 def congruency(differences: DataFrame, cofactors: DataFrame, positions: DataFrame, meta: DataFrame, by: list[str], defect: tuple[str, ...] = (), confidence: float = 0.95) -> DataFrame:
     """(keys.., i, v, variance; omega, h, statistic, critical, congruent of the campaign): differences in the datum of the reference
-    stations, and d'Q^-1 d over these against F(h, dof), or chi-square(h) without degrees of freedom. meta: keys.., pooled, dof."""
-
-    def one(t: pd.DataFrame) -> list[tuple]:
-        c = _Campaign(t, defect)
-        chosen = c.chosen
-        v, q = s_transformed(c.v, c.q, c.basis, chosen)
-        own = q[np.ix_(chosen, chosen)]
-        # the reference components have lost what the datum takes, so their cofactors have that rank defect
-        values, vectors = np.linalg.eigh(0.5 * (own + own.T))
-        keep = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
-        part = vectors[:, keep].T @ v[chosen]
-        omega, h = float((part * part / values[keep]).sum()), int(keep.sum())
-        statistic, critical, holds = c.tested(omega, h, confidence)
-        variance = np.diag(q)
-        return [(name, float(v[k]), float(variance[k]), omega, h, statistic, float(critical), holds) for k, name in enumerate(c.names)]
-
-    return _each(_campaigns(differences, cofactors, positions, meta, by), by, dict(differences.dtypes), one, OUT)
+    stations, and d'Q^-1 d over these against F(h, dof), or chi-square(h) without degrees of freedom. meta: keys.., pooled, dof.
+    Campaigns of one size are tested together, in stacks of matrices."""
+    rows = _campaigns(differences, cofactors, positions, meta, by).dropna(subset=by)
+    kinds, columns = dict(rows.dtypes), [x.split()[0] for x in OUT.split(", ")]
+
+    def tested(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        c = _Stacks(t, by, defect)
+        for some, m in c.alike():
+            n = int(c.size[some[0]])
+            own = c.first[some][:, None] + np.arange(n)
+            slot = np.full(len(c.size), -1)
+            slot[some] = np.arange(len(some))
+            use = slot[c.entry_group] >= 0
+            q = np.zeros((len(some), n, n))
+            q[slot[c.entry_group[use]], c.p[use], c.k[use]] = c.q[use]
+            v, basis, chosen = c.v[own], c.basis[own], c.chosen[own]
+            if defect:  # s_transformed() of each
+                held = (basis * chosen[:, :, None]).transpose(0, 2, 1)
+                s = np.eye(n) - basis @ np.linalg.solve(held @ basis, held)
+                v, q = (s @ v[:, :, None])[:, :, 0], s @ q @ s.transpose(0, 2, 1)
+            at = np.argsort(~chosen, axis=1, kind="stable")[:, :m]
+            of = q[np.arange(len(some))[:, None, None], at[:, :, None], at[:, None, :]]
+            # the reference components have lost what the datum takes, so their cofactors have that rank defect
+            values, vectors = np.linalg.eigh(0.5 * (of + of.transpose(0, 2, 1)))
+            keep = values > 1e-10 * np.maximum(values.max(1, initial=0.0), 1e-300)[:, None]
+            part = (vectors.transpose(0, 2, 1) @ np.take_along_axis(v, at, 1)[:, :, None])[:, :, 0]
+            omega, h = np.where(keep, part * part / np.where(keep, values, 1.0), 0.0).sum(1), keep.sum(1)
+            pooled, dof = c.pooled[some], c.dof[some]
+            scaled = (dof > 0) & (h > 0)
+            if (scaled & (pooled == 0)).any():
+                raise ZeroDivisionError("a pooled factor is zero")
+            statistic = np.where(scaled, omega / np.where(scaled, h * pooled, 1.0), omega)
+            pairs, which = np.unique(np.stack((h, dof), 1), axis=0, return_inverse=True)
+            critical = np.array([_critical(confidence, a, b) if a else np.nan for a, b in pairs.tolist()])[which.ravel()]
+            variance = np.einsum("kii->ki", q)
+            whole = [np.repeat(x, n) for x in (omega, h, statistic, critical, statistic <= critical)]
+            keys = [t[b].combine_chunks().take(pa.array(np.repeat(c.first_row[some], n))) for b in by]
+            floats = lambda x: pa.array(np.ascontiguousarray(x).ravel(), pa.float64(), from_pandas=True)
+            ready = [c.labels.take(pa.array(c.code[own].ravel())), floats(v), floats(variance), floats(whole[0]), pa.array(whole[1].astype(np.int32)), floats(whole[2]), floats(whole[3]), pa.array(whole[4])]
+            yield pa.RecordBatch.from_arrays([*keys, *ready], names=[*by, *columns])
+
+    out = whole_groups(rows, by, tested, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", " + OUT)
+    types = dict(differences.dtypes)
+    return out.select(*(F.col(b).cast(types[b]).alias(b) for b in by), *columns)
 
 
 class _Block:
